@@ -146,11 +146,14 @@ def quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
         F.struct("column_name", F.struct("n_outliers", "percentage", "lower_bound", "upper_bound"))))).alias("o")
     ).select("o").scalar()
     n_types = types.select(F.count(F.lit(1))).scalar()
+    miss_cols = miss.agg(F.array_join(F.array_sort(F.collect_list("column_name")), ",")).scalar()
+    outl_cols = outl.agg(F.array_join(F.array_sort(F.collect_list("column_name")), ",")).scalar()
     return score.select(
         "quality_score", score_band(F.col("quality_score")).alias("band"), "n_rows",
         F.coalesce(F.col("n_missing_cols"), F.lit(0)).alias("n_missing_cols"),
         F.coalesce(F.col("n_outlier_cols"), F.lit(0)).alias("n_outlier_cols"),
         "n_duplicates", n_types.alias("n_type_issues"),
+        miss_cols.alias("missing_columns"), outl_cols.alias("outlier_columns"),
         miss_map.alias("missing_values"), outl_map.alias("outliers"))
 
 
@@ -192,14 +195,15 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
     return {r["column_name"]: r["v"] for r in top.collect()}
 
 
-def fill_missing(df: DataFrame, approx: bool = False) -> DataFrame:
+def fill_missing(df: DataFrame, approx: bool = False, numeric: bool = True,
+                 categorical: bool = True) -> DataFrame:
     """Q7/Q8: numeric nulls → column median (integers become double),
     other nulls → column mode; all-null columns stay as they are."""
     nulls = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in df.columns]).collect()[0].asDict()
     todo = [c for c in df.columns if nulls[c] > 0]
     types = {f.name: f.dataType for f in df.schema.fields}
-    num = [c for c in todo if is_numeric(types[c])]
-    cat = [c for c in todo if not is_numeric(types[c])]
+    num = [c for c in todo if is_numeric(types[c])] if numeric else []
+    cat = [c for c in todo if not is_numeric(types[c])] if categorical else []
     med = column_medians(df, num, approx)
     mode = column_modes(df, cat)
     out = []
