@@ -9,6 +9,11 @@ def norm_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2.0))
 
 
+def norm_sf(x: float) -> float:
+    """Upper tail 1 − Φ(x), accurate far into the tail."""
+    return 0.5 * math.erfc(x / math.sqrt(2.0))
+
+
 def _betacf(a: float, b: float, x: float) -> float:
     """Continued fraction for the regularised incomplete beta (modified Lentz)."""
     tiny = 1e-300
@@ -83,4 +88,4 @@ def shapiro_p(w: float | None, n: int | None) -> float | None:
         mu = 0.0038915 * ln ** 3 - 0.083751 * ln ** 2 - 0.31082 * ln - 1.5861
         sigma = math.exp(0.0030302 * ln ** 2 - 0.082676 * ln - 0.4803)
         z = (ln1w - mu) / sigma
-    return 1.0 - norm_cdf(z)
+    return norm_sf(z)

@@ -1 +1,171 @@
-"""(filled in below)"""
+"""Statistics queries (T1–T13) on lineitem and part."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulon.operators import stats as st
+from tabulon.plans.registry import query
+from tabulon.sources.tables import read_table as T
+
+VARS = ["l_quantity", "l_extendedprice", "l_tax", "net"]
+_LI = ("WITH li AS (SELECT l_quantity, l_extendedprice, l_tax, l_extendedprice * (1 - l_discount) AS net, "
+       "l_linestatus, l_returnflag FROM lineitem)\n")
+
+
+def _li(spark, d):
+    li = T(spark, d, "lineitem")
+    return li.select("l_quantity", "l_extendedprice", "l_tax",
+                     (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
+                     "l_linestatus", "l_returnflag")
+
+
+def _r(df, cols, k=6):
+    return df.select(*[F.round(c, k).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@query("describe", _LI + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({i + 1} AS INTEGER) AS position, count({c}) AS count, "
+    f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, "
+    f"round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
+    f"round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max, count(*) AS row_count FROM li"
+    for i, c in enumerate(VARS)))
+def describe(spark, d):
+    return _r(st.describe(_li(spark, d), VARS), ["mean", "std", "min", "p25", "p50", "p75", "max"])
+
+
+_CORR_CTE = _LI + ", c AS (" + "\nUNION ALL ".join(
+    f"SELECT '{a}' AS var1, '{b}' AS var2, CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, corr({a}, {b}) AS r FROM li"
+    for i, a in enumerate(VARS) for j, b in enumerate(VARS)) + ")\n"
+
+
+@query("correlation", _CORR_CTE + "SELECT var1, var2, i, j, round(r, 6) AS r FROM c")
+def correlation(spark, d):
+    return _r(st.correlation(_li(spark, d), VARS), ["r"])
+
+
+@query("significant_correlations", _CORR_CTE + """
+SELECT var1, var2, round(r, 6) AS correlation, CASE WHEN abs(r) >= 0.7 THEN 'strong' ELSE 'moderate' END AS strength
+FROM c WHERE i < j AND abs(r) >= 0.5""")
+def significant_correlations(spark, d):
+    return _r(st.significant_correlations(st.correlation(_li(spark, d), VARS)), ["correlation"])
+
+
+@query("heatmap_cells", _CORR_CTE + "SELECT var1, var2, round(r, 6) AS r, printf('%.2f', r) AS label FROM c")
+def heatmap_cells(spark, d):
+    return _r(st.heatmap_cells(st.correlation(_li(spark, d), VARS)), ["r"])
+
+
+@query("interpretation", _CORR_CTE + """
+SELECT var1, var2, printf('%s %s correlation between %s and %s (r = %.2f).',
+   CASE WHEN abs(r) >= 0.7 THEN 'Strong' ELSE 'Moderate' END, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END,
+   var1, var2, r) AS sentence
+FROM c WHERE i < j AND abs(r) >= 0.5""")
+def interpretation(spark, d):
+    return st.interpretation(st.correlation(_li(spark, d), VARS))
+
+
+_TT_CTE = """
+WITH g AS (SELECT l_linestatus AS grp, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS std,
+                  count(*) AS n FROM lineitem WHERE l_linestatus IS NOT NULL GROUP BY 1),
+a AS (SELECT * FROM g WHERE grp = (SELECT min(grp) FROM g)),
+b AS (SELECT * FROM g WHERE grp = (SELECT max(grp) FROM g)),
+s AS (SELECT a.grp AS g1, a.mean AS m1, a.std AS s1, a.n AS n1, b.grp AS g2, b.mean AS m2, b.std AS s2, b.n AS n2,
+             ((a.n - 1) * a.std * a.std + (b.n - 1) * b.std * b.std) / (a.n + b.n - 2) AS sp2 FROM a, b)
+"""
+
+
+@query("t_test", _TT_CTE + """
+SELECT 'l_extendedprice' AS dependent_variable, 'l_linestatus' AS group_variable,
+       g1 AS group1, round(m1, 6) AS mean1, round(s1, 6) AS std1, n1, g2 AS group2, round(m2, 6) AS mean2,
+       round(s2, 6) AS std2, n2, round((m1 - m2) / sqrt(sp2 * (1.0 / n1 + 1.0 / n2)), 6) AS t_statistic,
+       CAST(n1 + n2 - 2 AS DOUBLE) AS df, round((m1 - m2) / sqrt(sp2), 6) AS cohens_d FROM s""")
+def t_test(spark, d):
+    tt = st.t_test(T(spark, d, "lineitem"), "l_extendedprice", "l_linestatus")
+    return _r(tt, ["mean1", "std1", "mean2", "std2", "t_statistic", "cohens_d"])
+
+
+@query("cohens_d", _TT_CTE + """
+SELECT g1 AS group1, g2 AS group2, round(CASE WHEN sqrt(sp2) <> 0 THEN (m1 - m2) / sqrt(sp2) ELSE 0 END, 6) AS cohens_d FROM s""")
+def cohens_d(spark, d):
+    tt = st.t_test(T(spark, d, "lineitem"), "l_extendedprice", "l_linestatus")
+    return _r(tt.select("group1", "group2", "cohens_d"), ["cohens_d"])
+
+
+@query("t_test_significance")
+def t_test_significance(spark, d):
+    """T5 verdict: two-sided p from the incomplete beta (no SQL function for it)."""
+    tt = st.t_test(T(spark, d, "lineitem"), "l_extendedprice", "l_linestatus")
+    return st.with_t_pvalue(tt).select("group1", "group2", "t_statistic", "df", "p_value", "significant")
+
+
+def _jb_sql(table, c, expr=None):
+    x = expr or c
+    return f"""
+WITH v AS (SELECT CAST({x} AS DOUBLE) AS x FROM {table} WHERE {x} IS NOT NULL),
+m AS (SELECT count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std FROM v),
+k AS (SELECT avg(power(x - mean, 2)) AS m2, avg(power(x - mean, 3)) AS m3, avg(power(x - mean, 4)) AS m4 FROM v, m),
+s AS (SELECT n, mean, std, m3 / power(m2, 1.5) AS skewness, m4 / (m2 * m2) - 3 AS kurtosis FROM m, k)
+SELECT '{c}' AS variable, n, round(mean, 6) AS mean, round(std, 6) AS std, round(skewness, 6) AS skewness,
+       round(kurtosis, 6) AS kurtosis, round(n / 6.0 * (skewness * skewness + kurtosis * kurtosis / 4), 4) AS jb_statistic,
+       round(exp(-(n / 6.0 * (skewness * skewness + kurtosis * kurtosis / 4)) / 2), 6) AS jb_p_value FROM s"""
+
+
+@query("jarque_bera", _jb_sql("part", "p_retailprice"))
+def jarque_bera(spark, d):
+    jb = st.jarque_bera(T(spark, d, "part"), "p_retailprice")
+    return _r(_r(jb, ["mean", "std", "skewness", "kurtosis", "jb_p_value"]), ["jb_statistic"], 4)
+
+
+@query("jarque_bera_quantity", _jb_sql("lineitem", "l_quantity"))
+def jarque_bera_quantity(spark, d):
+    jb = st.jarque_bera(T(spark, d, "lineitem"), "l_quantity")
+    return _r(_r(jb, ["mean", "std", "skewness", "kurtosis", "jb_p_value"]), ["jb_statistic"], 4)
+
+
+@query("shapiro_wilk")
+def shapiro_wilk(spark, d):
+    """W on every row (distributed ranks), Royston p-value."""
+    return st.shapiro_wilk(T(spark, d, "part"), "p_retailprice")
+
+
+@query("shapiro_wilk_quantity")
+def shapiro_wilk_quantity(spark, d):
+    return st.shapiro_wilk(T(spark, d, "lineitem"), "l_quantity")
+
+
+@query("histogram", """
+WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(l_extendedprice) AS n,
+                  (max(l_extendedprice) - min(l_extendedprice)) / 30 AS w FROM lineitem),
+b AS (SELECT CAST(least(floor((l_extendedprice - lo) / w), 29) AS INTEGER) AS bin, count(*) AS count
+      FROM lineitem, s WHERE l_extendedprice IS NOT NULL GROUP BY 1)
+SELECT bin, round(lo + bin * w, 6) AS bin_start, round(lo + (bin + 1) * w, 6) AS bin_end, count,
+       round(count / (n * w), 12) AS density FROM b, s""")
+def histogram(spark, d):
+    h = st.histogram(T(spark, d, "lineitem"), "l_extendedprice", 30)
+    return _r(_r(h, ["bin_start", "bin_end"]), ["density"], 12)
+
+
+@query("normal_curve", """
+WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, avg(l_extendedprice) AS mu,
+                  stddev_samp(l_extendedprice) AS sd FROM lineitem),
+p AS (SELECT CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / 99 AS x, mu, sd FROM s, range(100) t(i))
+SELECT i, round(x, 6) AS x, round(exp(-((x - mu) * (x - mu)) / (2 * sd * sd)) / (sd * sqrt(2 * pi())), 12) AS density FROM p""")
+def normal_curve(spark, d):
+    c = st.normal_curve(T(spark, d, "lineitem"), "l_extendedprice", 100)
+    return _r(_r(c, ["x"]), ["density"], 12)
+
+
+@query("box_stats", """
+WITH v AS (SELECT l_returnflag AS grp, l_extendedprice AS value FROM lineitem WHERE l_extendedprice IS NOT NULL),
+q AS (SELECT grp, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+             quantile_cont(value, 0.75) AS q3 FROM v GROUP BY grp),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q)
+SELECT f.grp AS "group", n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(min(value) FILTER (WHERE value >= lo_f AND value <= hi_f), 6) AS whisker_low,
+       round(max(value) FILTER (WHERE value >= lo_f AND value <= hi_f), 6) AS whisker_high,
+       count(*) FILTER (WHERE value < lo_f OR value > hi_f) AS n_fliers
+FROM v JOIN f USING (grp) GROUP BY ALL""")
+def box_stats(spark, d):
+    b = st.box_stats(T(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
+    return _r(b, ["q1", "median", "q3", "whisker_low", "whisker_high"])
