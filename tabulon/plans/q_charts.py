@@ -1 +1,126 @@
-"""(filled in below)"""
+"""Chart-data queries (C1–C15) on orders, lineitem and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulon.operators import chartdata as cd
+from tabulon.plans.registry import query
+from tabulon.sources.tables import read_table as T
+
+
+def _r(df, cols, k=2):
+    return df.select(*[F.round(c, k).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@query("chart_bar", """
+SELECT o_orderpriority, o_orderstatus, round(sum(o_totalprice), 2) AS o_totalprice
+FROM orders GROUP BY 1, 2""")
+def chart_bar(spark, d):
+    o = T(spark, d, "orders")
+    return _r(cd.chart_data(o, "bar", "o_orderpriority", "o_totalprice", "o_orderstatus"), ["o_totalprice"])
+
+
+@query("chart_line", """
+SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS o_totalprice
+FROM orders GROUP BY 1 ORDER BY 1""")
+def chart_line(spark, d):
+    o = T(spark, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    return _r(cd.chart_data(o, "line", "month", "o_totalprice"), ["o_totalprice"])
+
+
+@query("chart_scatter", """
+SELECT l_quantity, l_extendedprice, l_returnflag, l_discount FROM lineitem""")
+def chart_scatter(spark, d):
+    li = T(spark, d, "lineitem")
+    return cd.chart_data(li, "scatter", "l_quantity", "l_extendedprice", "l_returnflag", "l_discount")
+
+
+@query("chart_area", """
+WITH a AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderpriority, sum(o_totalprice) AS o_totalprice
+           FROM orders GROUP BY 1, 2)
+SELECT yr, o_orderpriority, round(o_totalprice, 2) AS o_totalprice,
+       round(sum(o_totalprice) OVER (PARTITION BY yr ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - o_totalprice, 2) AS y0,
+       round(sum(o_totalprice) OVER (PARTITION BY yr ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS y1
+FROM a""")
+def chart_area(spark, d):
+    o = T(spark, d, "orders").withColumn("yr", F.year("o_orderdate"))
+    return _r(cd.chart_data(o, "area", "yr", "o_totalprice", "o_orderpriority"), ["o_totalprice", "y0", "y1"])
+
+
+@query("chart_pie", """
+WITH a AS (SELECT c_mktsegment, sum(o_totalprice) AS o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+SELECT c_mktsegment, round(o_totalprice, 2) AS o_totalprice, round(o_totalprice / (SELECT sum(o_totalprice) FROM a), 6) AS share FROM a""")
+def chart_pie(spark, d):
+    o, c = T(spark, d, "orders"), T(spark, d, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey).select("c_mktsegment", "o_totalprice")
+    p = cd.chart_data(j, "pie", "c_mktsegment", "o_totalprice")
+    return _r(_r(p, ["o_totalprice"]), ["share"], 6)
+
+
+@query("chart_heatmap", """
+SELECT CAST(hour(ts) AS INTEGER) AS hour, event_type, count(*) AS value FROM events GROUP BY 1, 2""")
+def chart_heatmap(spark, d):
+    ev = T(spark, d, "events").withColumn("hour", F.hour("ts"))
+    return cd.chart_data(ev, "heatmap", "hour", "event_type")
+
+
+@query("chart_heatmap_avg", """
+SELECT CAST(hour(ts) AS INTEGER) AS hour, event_type, round(avg(value), 6) AS value FROM events GROUP BY 1, 2""")
+def chart_heatmap_avg(spark, d):
+    ev = T(spark, d, "events").withColumn("hour", F.hour("ts"))
+    return _r(cd.chart_data(ev, "heatmap", "hour", "event_type", color="value", agg="avg"), ["value"], 6)
+
+
+@query("value_counts", """
+SELECT event_type, count(*) AS count FROM events WHERE event_type IS NOT NULL
+GROUP BY 1 ORDER BY count DESC, event_type LIMIT 10""")
+def value_counts(spark, d):
+    return cd.value_counts(T(spark, d, "events"), "event_type", 10)
+
+
+@query("value_counts_users", """
+SELECT user_id, count(*) AS count FROM events WHERE user_id IS NOT NULL
+GROUP BY 1 ORDER BY count DESC, user_id LIMIT 10""")
+def value_counts_users(spark, d):
+    return cd.value_counts(T(spark, d, "events"), "user_id", 10)
+
+
+@query("auto_histogram")
+def auto_histogram(spark, d):
+    """Nice bins of ``events.value`` (bounds decide the step)."""
+    return cd.auto_histogram(T(spark, d, "events"), "value")
+
+
+@query("auto_chart", """
+SELECT o_orderpriority, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY 1 LIMIT 20""")
+def auto_chart(spark, d):
+    o = T(spark, d, "orders")
+    res = o.groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    _, data = cd.auto_chart(res)
+    return data
+
+
+@query("recommend_charts")
+def recommend_charts(spark, d):
+    """Ranked specs for orders (types and cardinality from one job)."""
+    o = T(spark, d, "orders")
+    return cd.recommend_charts(o, "compare totals across priorities")
+
+
+@query("chart_checks")
+def chart_checks(spark, d):
+    o = T(spark, d, "orders")
+    return cd.spec_title(cd.chart_checks(cd.recommend_charts(o, "trend over time")))
+
+
+@query("chart_list")
+def chart_list(spark, d):
+    """The chart list built from the recommendations, one image
+    reference per spec (the chart-data query that would be drawn)."""
+    o = T(spark, d, "orders")
+    recs = cd.spec_title(cd.chart_checks(cd.recommend_charts(o)))
+    charts = recs.select(F.col("priority").alias("idx"), "title",
+                         F.concat_ws(":", "chart_type", "x_field", "y_field").alias("image"),
+                         F.concat(F.initcap("chart_type"), F.lit(" visualization")).alias("description"))
+    return cd.chart_list(charts)
