@@ -1 +1,60 @@
-"""(filled in below)"""
+"""Exploration and report queries (X1–X9) over orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulon.operators import explore as ex
+from tabulon.operators import report as rp
+from tabulon.plans.registry import query
+from tabulon.sources.tables import read_table as T
+
+GOAL = "Find the year with the highest order total"
+PLAN = [
+    {"explanation": "Total order value per month",
+     "sql_query": "SELECT date_format(o_orderdate, 'yyyy-MM') AS month, sum(o_totalprice) AS total "
+                  "FROM data GROUP BY 1 ORDER BY 1"},
+    {"explanation": "Roll the monthly totals up to years",
+     "sql_query": "SELECT substr(month, 1, 4) AS year, sum(total) AS total FROM data GROUP BY 1 ORDER BY 1"},
+    {"explanation": "Pick the best year",
+     "sql_query": "SELECT year, total FROM data ORDER BY total DESC, year LIMIT 1"},
+]
+
+
+def run_plan(spark, d):
+    return ex.explore(spark, T(spark, d, "orders"), PLAN, max_iterations=3)
+
+
+@query("explore_chain", """
+WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+y AS (SELECT substr(month, 1, 4) AS year, sum(total) AS total FROM m GROUP BY 1)
+SELECT year, round(total, 2) AS total FROM y ORDER BY total DESC, year LIMIT 1""")
+def explore_chain(spark, d):
+    res = run_plan(spark, d).result
+    return res.select("year", F.round("total", 2).alias("total"))
+
+
+@query("step_log")
+def step_log(spark, d):
+    """One row per executed step."""
+    return run_plan(spark, d).step_log(spark)
+
+
+@query("step_findings")
+def step_findings(spark, d):
+    """The rule-based finding of each step."""
+    return run_plan(spark, d).step_log(spark).select("step_number", "insight")
+
+
+@query("exploration_report")
+def exploration_report(spark, d):
+    """Fallback markdown from the step log."""
+    return ex.fallback_report(run_plan(spark, d).step_log(spark), GOAL)
+
+
+@query("chart_report")
+def chart_report(spark, d):
+    """X6 + X8 + X9: chart list from the steps, report body, placeholders filled."""
+    steps = run_plan(spark, d).step_log(spark)
+    charts = ex.steps_chart_list(steps)
+    return rp.fill_placeholders(rp.report_markdown(charts, GOAL), charts)
