@@ -1 +1,65 @@
-"""(filled in below)"""
+"""Extraction queries (E1–E6) on pages, documents and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulon.operators import extract as xt
+from tabulon.plans.registry import query
+from tabulon.sources.tables import read_table as T
+
+_DECODE = ("replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), "
+           "'&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')")
+
+
+def _clean(x):
+    return f"trim(regexp_replace({_DECODE.format(x=f'regexp_replace({x}, ' + repr('<[^>]*>') + ', ' + repr('') + ', ' + repr('g') + ')')}, '\\s+', ' ', 'g'))"
+
+
+@query("html_links", f"""
+WITH z AS (SELECT page_id,
+  regexp_extract_all(html, '{xt.LINK_RE}', 1) AS hs, regexp_extract_all(html, '{xt.LINK_RE}', 2) AS ts FROM pages),
+e AS (SELECT page_id, hs, ts, unnest(range(len(hs))) AS i FROM z)
+SELECT page_id, CAST(i AS INTEGER) AS link_idx, {_DECODE.format(x='hs[i + 1]')} AS href, {_clean('ts[i + 1]')} AS text FROM e""")
+def html_links(spark, d):
+    return xt.html_links(T(spark, d, "pages"))
+
+
+@query("html_list_items", f"""
+WITH z AS (SELECT page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS it FROM pages),
+e AS (SELECT page_id, it, unnest(range(len(it))) AS i FROM z)
+SELECT page_id, CAST(i AS INTEGER) AS item_idx, {_clean('it[i + 1]')} AS text FROM e""")
+def html_list_items(spark, d):
+    return xt.html_list_items(T(spark, d, "pages"))
+
+
+@query("html_tables")
+def html_tables(spark, d):
+    """E1 over every page (the test pages hold no <table>; tests use a fixture)."""
+    return xt.html_tables(T(spark, d, "pages"))
+
+
+@query("text_tables")
+def text_tables(spark, d):
+    return xt.text_tables(T(spark, d, "documents"))
+
+
+@query("text_lists")
+def text_lists(spark, d):
+    return xt.text_lists(T(spark, d, "documents"))
+
+
+@query("extract_json", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, json_valid(props) AS json_ok,
+       CASE WHEN json_valid(props) THEN '' END AS missing_keys FROM events""")
+def extract_json(spark, d):
+    ev = xt.extract_json(T(spark, d, "events"), "props", required=["k"])
+    return ev.select("event_id", F.try_variant_get("parsed", "$.k", "int").alias("k"), "json_ok", "missing_keys")
+
+
+@query("extraction_confidence")
+def extraction_confidence(spark, d):
+    """E5: per document, the share of delimited lines that formed the table."""
+    t = xt.text_tables(T(spark, d, "documents"))
+    return t.groupBy("doc_id").agg(F.first("confidence").alias("confidence"),
+                                   F.max("row_idx").alias("n_rows"), F.max("col_idx").alias("max_col"))
