@@ -139,7 +139,11 @@ def recommend_charts(df: DataFrame, goal: str = "", max_specs: int = 3) -> DataF
     Field typing is one Spark job; the rules run over that per-column
     metadata (one row per column)."""
     meta = field_types(df).orderBy("position").collect()
-    quant = [r["column_name"] for r in meta if r["field_type"] == "quantitative"]
+    # Identifier-like numbers (…_id, …key, or one distinct value per row) are
+    # not measures.
+    ident = {r["column_name"] for r in meta
+             if r["column_name"].lower().endswith(("_id", "key", "id")) or r["n_unique"] == r["n_rows"]}
+    quant = [r["column_name"] for r in meta if r["field_type"] == "quantitative" and r["column_name"] not in ident]
     temporal = [r["column_name"] for r in meta if r["field_type"] == "temporal"]
     cats = [(r["column_name"], r["n_unique"]) for r in meta if r["field_type"] in ("nominal", "ordinal")]
     small = [c for c, n in sorted(cats, key=lambda t: (t[1], t[0])) if 1 < n <= 50]

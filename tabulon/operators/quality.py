@@ -111,9 +111,10 @@ def quality_score(missing: DataFrame, outliers: DataFrame, dups: DataFrame) -> D
     avg_m, n_m = m.select("avg_missing_pct").scalar(), m.select("n_missing_cols").scalar()
     avg_o, n_o = o.select("avg_outlier_pct").scalar(), o.select("n_outlier_cols").scalar()
     dup_pct = F.col("n_duplicates") / F.col("n_rows") * 100
+    # least() skips nulls, so "no affected column" is spelled out with when().
     score = (F.lit(100.0)
-             - F.coalesce(F.least(F.lit(30.0), avg_m * 0.5), F.lit(0.0))
-             - F.coalesce(F.least(F.lit(20.0), avg_o * 0.3), F.lit(0.0))
+             - F.when(avg_m.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(30.0), avg_m * 0.5))
+             - F.when(avg_o.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(20.0), avg_o * 0.3))
              - F.when(F.col("n_duplicates") > 0, F.least(F.lit(20.0), dup_pct * 0.5)).otherwise(0.0))
     return d.select(F.greatest(score, F.lit(0.0)).alias("quality_score"),
                     avg_m.alias("avg_missing_pct"), n_m.alias("n_missing_cols"),

@@ -1 +1,38 @@
-"""(filled in below)"""
+"""Flow queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulon.plans import flows
+from tabulon.plans.q_explore import GOAL, PLAN
+from tabulon.plans.registry import query
+from tabulon.sources.sinks import write_table
+from tabulon.sources.tables import read_table as T
+
+_LC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("quick_analysis")
+def quick_analysis(spark, d):
+    """F1 on lineitem: quality, cleaning, statistics, chart choice."""
+    return flows.quick_analysis_summary(T(spark, d, "lineitem"))
+
+
+@query("smart_analysis")
+def smart_analysis(spark, d):
+    """F2 on orders: three exploration steps and the report."""
+    _, report = flows.smart_analysis(spark, T(spark, d, "orders"), PLAN, GOAL)
+    return report
+
+
+@query("load_correlation", "WITH c AS (" + "\nUNION ALL ".join(
+    f"SELECT '{a}' AS var1, '{b}' AS var2, CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, corr({a}, {b}) AS r FROM lineitem"
+    for i, a in enumerate(_LC) for j, b in enumerate(_LC)) + ") SELECT var1, var2, i, j, round(r, 6) AS r FROM c")
+def load_correlation(spark, d):
+    """lineitem's numeric columns written as CSV to the shared scratch
+    folder, read back with inferred types, correlated."""
+    path = flows.shared_scratch(spark, "csv")
+    write_table(T(spark, d, "lineitem").select(*_LC), path, fmt="csv")
+    c = flows.load_correlation(spark, "csv", path)
+    return c.select("var1", "var2", "i", "j", F.round("r", 6).alias("r"))

@@ -24,7 +24,8 @@ def _check_path(spark: SparkSession, path: str | None) -> str:
     if not path:
         raise SourceError("file_path is required for file sources")
     # Only local paths can be checked up front; cluster URIs are left to the reader.
-    if "://" not in path and not any(ch in path for ch in "*?[") and not os.path.exists(path):
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if "://" not in local and not any(ch in local for ch in "*?[") and not os.path.exists(local):
         raise SourceError(f"File not found: {path}")
     return path
 
