@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import q
-from tabulon.session import ensure_checkpoint_dir
+from tabulon.session import ensure_checkpoint_dir, reliable_checkpoint, small_frame
 
 
 def long_form(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = (),
@@ -42,7 +42,7 @@ def rank_rows(long: DataFrame, keys: Sequence[str] = ("column_name",), value: st
               .sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = tagged.checkpoint(eager=True)
+    tagged = reliable_checkpoint(tagged)
     counts = tagged.groupBy("_pid", *keys).agg(F.count("*").alias("_c"), F.min("_mid").alias("_start"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -59,17 +59,143 @@ def quantile_names(probs: Sequence[float]) -> list[str]:
 
 
 def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("column_name",),
-                    value: str = "value", approx: bool = False, accuracy: int = 100000) -> DataFrame:
+                    value: str = "value", approx: bool = False, accuracy: int = 10000,
+                    method: str = "select") -> DataFrame:
     """Linear-interpolated quantiles per key (pandas / ``quantile_cont`` rule).
 
     Returns keys..., n, and one column per probability named by
-    :func:`quantile_names`.  ``approx=True`` uses one ``percentile_approx`` pass.
-    """
+    :func:`quantile_names`.  ``approx=True`` is one ``percentile_approx``
+    pass.  The exact default (``method="select"``) needs no sort of the data:
+    an approximate pass brackets each target rank, a counting pass checks the
+    bracket really holds it, and only the few values inside a bracket are
+    counted and ordered (brackets above ``BRACKET_LIMIT`` rows are narrowed
+    again first).  A bracket that fails its check falls back to the
+    distributed sort (``method="sort"``), so the answer is always exact."""
     names = quantile_names(probs)
     if approx:
         pa = F.percentile_approx(value, list(probs), accuracy)
         return (long.groupBy(*keys).agg(F.count("*").alias("n"), pa.alias("_qs"))
                 .select(*keys, "n", *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)]))
+    if method == "select":
+        out = _select_quantiles(long, list(probs), list(keys), value, accuracy)
+        if out is not None:
+            return out
+    return _sorted_quantiles(long, probs, keys, value)
+
+
+BRACKET_LIMIT = 1_000_000
+_GRID = 1000
+
+
+def _grid_bounds(grid_col, rel_lo, rel_hi):
+    """Grid values at or below ``rel_lo`` and at or above ``rel_hi``."""
+    i_lo = F.greatest(F.floor(rel_lo * _GRID), F.lit(0)).cast("int")
+    i_hi = F.least(F.ceil(rel_hi * _GRID), F.lit(_GRID)).cast("int")
+    return F.element_at(grid_col, i_lo + 1), F.element_at(grid_col, i_hi + 1)
+
+
+def _select_quantiles(long, probs, keys, value, accuracy):
+    spark = long.sparkSession
+    ensure_checkpoint_dir(spark)
+    P = len(probs)
+    v = F.col(value)
+    grid = [i / _GRID for i in range(_GRID + 1)]
+    margin = 4.0 / accuracy
+    # Pass 1: n and approximate values just below / above each target
+    # (map-side partial summaries, no shuffle of the rows).
+    around = []
+    for p in probs:
+        around += [max(0.0, p - margin), min(1.0, p + margin)]
+    s1 = long.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(v, around, accuracy).alias("_g"))
+    n1 = F.col("n") - 1
+    state_cols = [*keys, "n"]
+    for i, p in enumerate(probs):
+        lo, hi = F.col("_g")[2 * i], F.col("_g")[2 * i + 1]
+        state_cols += [(F.floor(n1 * F.lit(p)) + 1).cast("long").alias(f"r1_{i}"),
+                       F.least(F.floor(n1 * F.lit(p)) + 2, F.col("n")).cast("long").alias(f"r2_{i}"),
+                       lo.alias(f"lo_{i}"), hi.alias(f"hi_{i}")]
+    state = small_frame(s1.select(*state_cols))
+    for _round in range(6):
+        # Pass 2: exact counts below and inside every bracket.
+        j = long.join(F.broadcast(state) if keys == ["column_name"] else state, keys)
+        aggs = []
+        for i in range(P):
+            aggs += [F.count_if(v < F.col(f"lo_{i}")).alias(f"below_{i}"),
+                     F.count_if((v >= F.col(f"lo_{i}")) & (v <= F.col(f"hi_{i}"))).alias(f"cin_{i}")]
+        counts = j.groupBy(*keys).agg(*aggs)
+        st = small_frame(state.join(counts, keys))
+        bad = None
+        big = None
+        for i in range(P):
+            ok_i = (F.col(f"below_{i}") < F.col(f"r1_{i}")) & (F.col(f"below_{i}") + F.col(f"cin_{i}") >= F.col(f"r2_{i}"))
+            bad = ~ok_i if bad is None else (bad | ~ok_i)
+            b_i = F.col(f"cin_{i}") > BRACKET_LIMIT
+            big = b_i if big is None else (big | b_i)
+        flags = st.agg(F.max(bad.cast("int")).alias("bad"), F.max(big.cast("int")).alias("big")).collect()[0]
+        if flags["bad"]:
+            return None
+        if not flags["big"]:
+            return _resolve(long, st, probs, keys, value)
+        # Narrow the wide brackets: a finer grid over the rows inside them.
+        inside = _inside(long, st, P, keys, value)
+        sub = inside.groupBy(*keys, "_i").agg(F.percentile_approx(value, grid, accuracy).alias("_g"))
+        sub = sub.join(st, keys)
+        cols = [*keys, "n"]
+        for i in range(P):
+            rel_lo = (F.col(f"r1_{i}") - F.col(f"below_{i}") - 1) / F.col(f"cin_{i}") - margin
+            rel_hi = (F.col(f"r2_{i}") - F.col(f"below_{i}")) / F.col(f"cin_{i}") + margin
+            nlo, nhi = _grid_bounds(F.col("_g"), rel_lo, rel_hi)
+            keep = F.col(f"cin_{i}") <= BRACKET_LIMIT
+            cols += [F.first(F.col(f"r1_{i}")).alias(f"r1_{i}"), F.first(F.col(f"r2_{i}")).alias(f"r2_{i}"),
+                     F.max(F.when(keep, F.col(f"lo_{i}")).when(F.col("_i") == i, nlo)).alias(f"lo_{i}"),
+                     F.max(F.when(keep, F.col(f"hi_{i}")).when(F.col("_i") == i, nhi)).alias(f"hi_{i}")]
+        state = small_frame(sub.groupBy(*keys).agg(F.first("n").alias("n"), *cols[len(keys) + 1:]))
+    return None
+
+
+def _inside(long, st, P, keys, value):
+    """Rows inside any bracket, tagged with the bracket index ``_i``.
+
+    A cheap OR filter keeps only in-bracket rows before the (tiny) explode."""
+    j = long.join(F.broadcast(st) if keys == ["column_name"] else st, keys)
+    v = F.col(value)
+    conds = [(v >= F.col(f"lo_{i}")) & (v <= F.col(f"hi_{i}")) for i in range(P)]
+    anyin = conds[0]
+    for c in conds[1:]:
+        anyin = anyin | c
+    tagged = j.filter(anyin).select(*keys, value, F.explode(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conds)]))
+                                    .alias("_i"))
+    return tagged.filter(F.col("_i").isNotNull())
+
+
+def _resolve(long, st, probs, keys, value):
+    """Order the few values inside each bracket and read off the ranks."""
+    P = len(probs)
+    inside = _inside(long, st, P, keys, value)
+    vc = inside.groupBy(*keys, "_i", value).agg(F.count("*").alias("_c"))
+    meta = st.select(*keys, "n", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(f"below_{i}").alias("below"), F.col(f"r1_{i}").alias("r1"),
+                 F.col(f"r2_{i}").alias("r2")) for i in range(P)])))
+    w = Window.partitionBy(*keys, "_i").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = vc.join(meta, [*keys, "_i"]).withColumn("_cum", F.col("below") + F.sum("_c").over(w))
+    picked = cum.groupBy(*keys, "_i").agg(
+        F.first("n").alias("n"),
+        F.min(F.when(F.col("_cum") >= F.col("r1"), F.col(value))).alias("_v1"),
+        F.min(F.when(F.col("_cum") >= F.col("r2"), F.col(value))).alias("_v2"))
+    names = quantile_names(probs)
+    aggs = [F.first("n").alias("n")]
+    for i, (p, nm) in enumerate(zip(probs, names)):
+        h = (F.col("n") - 1) * F.lit(p)
+        frac = h - F.floor(h)
+        lo_v = F.max(F.when(F.col("_i") == i, F.col("_v1")))
+        hi_v = F.max(F.when(F.col("_i") == i, F.col("_v2")))
+        aggs.append((lo_v + (hi_v - lo_v) * F.max(F.when(F.col("_i") == i, frac))).alias(nm))
+    return small_frame(picked.groupBy(*keys).agg(*aggs).select(*keys, "n", *names))
+
+
+def _sorted_quantiles(long, probs, keys, value):
+    """Exact quantiles from global ranks (distributed sort)."""
+    names = quantile_names(probs)
     ranked = rank_rows(long, keys, value)
     n1 = F.col("n") - 1
     wanted = None

@@ -58,3 +58,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
+
+
+def reliable_checkpoint(df):
+    """Checkpoint to the shared checkpoint folder, computing the plan once.
+
+    ``Dataset.checkpoint`` evaluates its plan twice (once to count, once to
+    write) unless the data is cached, so cache for the duration of the write."""
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+
+
+def small_frame(df):
+    """Materialise a result known to be tiny (one row per column or per
+    group of a few) as a local relation: one job, no recomputation later."""
+    return local_frame(df.sparkSession, df.collect(), df.schema)
+
+
+def local_frame(spark, rows, schema):
+    """A small driver-side table as a JVM local relation (Arrow path), so
+    later jobs that read it start no Python workers."""
+    import pandas as pd
+    from pyspark.sql.types import StructType
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    names = [f.name for f in schema.fields]
+    pdf = pd.DataFrame([tuple(r) for r in rows], columns=names)
+    if not len(pdf):
+        return spark.createDataFrame([], schema)
+    for f in schema.fields:
+        if pdf[f.name].isna().all():
+            pdf[f.name] = pd.Series([None] * len(pdf), dtype=object)
+    return spark.createDataFrame(pdf, schema)
