@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.columns import q
 from tabulon.operators.profile import field_types
+from tabulon.session import local_frame
 from tabulon.sources.guards import require_columns
 
 CHART_TYPES = ("bar", "line", "scatter", "area", "pie", "heatmap")
@@ -133,12 +134,12 @@ SPEC_SCHEMA = ("chart_type string, x_field string, y_field string, color_field s
                "reason string, priority int")
 
 
-def recommend_charts(df: DataFrame, goal: str = "", max_specs: int = 3) -> DataFrame:
+def recommend_charts(df: DataFrame, goal: str = "", max_specs: int = 3, approx: bool = False) -> DataFrame:
     """2–3 ranked chart specs from field types and cardinality.
 
     Field typing is one Spark job; the rules run over that per-column
     metadata (one row per column)."""
-    meta = field_types(df).orderBy("position").collect()
+    meta = field_types(df, approx=approx).orderBy("position").collect()
     # Identifier-like numbers (…_id, …key, or one distinct value per row) are
     # not measures.
     ident = {r["column_name"] for r in meta
@@ -173,7 +174,7 @@ def recommend_charts(df: DataFrame, goal: str = "", max_specs: int = 3) -> DataF
                       f"Shows {quant[0]} across {small[0]} and {small[1]}."))
     specs.sort(key=lambda s: (-s[0], s[1]))
     rows = [(t, x, y, c, s, reason, i + 1) for i, (_, t, x, y, c, s, reason) in enumerate(specs[:max_specs])]
-    return df.sparkSession.createDataFrame(rows, SPEC_SCHEMA)
+    return local_frame(df.sparkSession, rows, SPEC_SCHEMA)
 
 
 def chart_checks(recs: DataFrame) -> DataFrame:
@@ -223,4 +224,4 @@ def chart_list(charts: DataFrame) -> DataFrame:
 
 def one_chart_list(spark: SparkSession, image: str, chart_type: str = "chart", title: str = "Chart") -> DataFrame:
     """One chart → a one-element chart list."""
-    return spark.createDataFrame([(1, title, image, f"{chart_type.title()} visualization")], CHART_SCHEMA)
+    return local_frame(spark, [(1, title, image, f"{chart_type.title()} visualization")], CHART_SCHEMA)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tabulon.functions.columns import is_numeric, q
 from tabulon.operators.chartdata import auto_chart
 from tabulon.operators.relational import check_read_only
-from tabulon.session import ensure_checkpoint_dir
+from tabulon.session import ensure_checkpoint_dir, local_frame, reliable_checkpoint
 
 STEP_SCHEMA = T.StructType([
     T.StructField("step_number", T.IntegerType()), T.StructField("transformation", T.StringType()),
@@ -35,7 +35,7 @@ class Exploration:
 
     def step_log(self, spark: SparkSession) -> DataFrame:
         rows = [tuple(s[f.name] for f in STEP_SCHEMA.fields) for s in self.steps]
-        return spark.createDataFrame(rows, STEP_SCHEMA)
+        return local_frame(spark, rows, STEP_SCHEMA)
 
 
 def step_finding(df: DataFrame) -> str:
@@ -87,7 +87,7 @@ def explore(spark: SparkSession, df: DataFrame, plan: list[dict], max_iterations
             out = spark.sql(body)
             if len(ex.steps) % checkpoint_every == checkpoint_every - 1:
                 ensure_checkpoint_dir(spark)
-                out = out.checkpoint(eager=True)
+                out = reliable_checkpoint(out)
             insight = step_finding(out)          # forces evaluation: runtime errors surface here
             chart_type, chart = auto_chart(out)
         except Exception as e:  # noqa: BLE001 — fail soft, as specified

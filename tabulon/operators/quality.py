@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions.columns import NUMERIC_TEXT, is_numeric, numeric_columns, q
-from tabulon.operators.ranking import exact_quantiles, long_form
+from tabulon.operators.ranking import column_quantiles, long_form
+from tabulon.session import local_frame, small_frame
 
 
 def _row_count(df: DataFrame):
@@ -39,7 +40,7 @@ def missing_values(df: DataFrame) -> DataFrame:
 def iqr_bounds(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Q1/Q3 (linear interpolation) and the 1.5·IQR fences per numeric column."""
     cols = numeric_columns(df) if cols is None else cols
-    qs = exact_quantiles(long_form(df, cols), [0.25, 0.75], approx=approx)
+    qs = column_quantiles(df, cols, [0.25, 0.75], approx=approx)
     iqr = F.col("q0750") - F.col("q0250")
     return qs.select("column_name", F.col("q0250").alias("q1"), F.col("q0750").alias("q3"),
                      (F.col("q0250") - 1.5 * iqr).alias("lower_bound"),
@@ -49,20 +50,26 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, approx: bool = Fals
 def outliers_iqr(df: DataFrame, cols: list[str] | None = None, bounds: DataFrame | None = None,
                  approx: bool = False) -> DataFrame:
     """Q2: values strictly outside the fences; percent over all rows (nulls too);
-    only columns with at least one hit."""
+    only columns with at least one hit.
+
+    The fences are one row per column; the hits of every column are counted
+    in one wide aggregation with the fences as literals."""
     cols = numeric_columns(df) if cols is None else cols
+    schema = "column_name string, n_outliers long, percentage double, lower_bound double, upper_bound double"
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, n_outliers long, percentage double, lower_bound double, upper_bound double")
+        return df.sparkSession.createDataFrame([], schema)
     bounds = iqr_bounds(df, cols, approx) if bounds is None else bounds
-    # The bounds table has one row per column, so broadcasting it is size-safe.
-    hits = (long_form(df, cols).join(F.broadcast(bounds), "column_name")
-            .filter((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
-            .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_outliers")))
-    total = _row_count(df)
-    return (hits.join(F.broadcast(bounds), "column_name")
-            .select("column_name", "n_outliers", (F.col("n_outliers") / total * 100).alias("percentage"),
-                    "lower_bound", "upper_bound"))
+    fences = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in bounds.collect()
+              if r["lower_bound"] is not None}
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for k, c in enumerate(cols):
+        if c in fences:
+            lo, hi = fences[c]
+            aggs.append(F.count_if((q(c) < F.lit(lo)) | (q(c) > F.lit(hi))).alias(f"_h{k}"))
+    row = df.agg(*aggs).collect()[0]
+    out = [(c, row[f"_h{k}"], row[f"_h{k}"] / row["_n"] * 100, *fences[c])
+           for k, c in enumerate(cols) if c in fences and row[f"_h{k}"] > 0]
+    return local_frame(df.sparkSession, out, schema)
 
 
 def numeric_as_string(df: DataFrame) -> DataFrame:
@@ -134,12 +141,15 @@ def quality_issue_table(missing: DataFrame, outliers: DataFrame) -> DataFrame:
     return a.unionByName(b).orderBy(F.desc("percentage"), "column_name", "issue_type")
 
 
-def quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Q14: one row with score, band, affected-column counts and per-column maps."""
-    miss = missing_values(df)
-    outl = outliers_iqr(df, approx=approx)
-    dups = duplicate_rows(df)
-    types = numeric_as_string(df)
+def quality_report(df: DataFrame, approx: bool = False, outliers: DataFrame | None = None) -> DataFrame:
+    """Q14: one row with score, band, affected-column counts and per-column maps.
+
+    The per-column results (one row per column) are materialised once, so
+    the several summaries below read them instead of re-scanning the table."""
+    miss = small_frame(missing_values(df))
+    outl = small_frame(outliers_iqr(df, approx=approx)) if outliers is None else outliers
+    dups = small_frame(duplicate_rows(df))
+    types = small_frame(numeric_as_string(df))
     score = quality_score(miss, outl, dups)
     miss_map = miss.agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct("column_name", F.struct("n_missing", "percentage"))))).alias("m")).select("m").scalar()
@@ -177,7 +187,7 @@ def column_medians(df: DataFrame, cols: list[str], approx: bool = False) -> dict
     """Exact medians per column — one bounded row per column on the driver."""
     if not cols:
         return {}
-    rows = exact_quantiles(long_form(df, cols), [0.5], approx=approx).collect()
+    rows = column_quantiles(df, cols, [0.5], approx=approx).collect()
     return {r["column_name"]: r["q0500"] for r in rows}
 
 

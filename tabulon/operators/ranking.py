@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import q
-from tabulon.session import ensure_checkpoint_dir, reliable_checkpoint, small_frame
+from tabulon.session import ensure_checkpoint_dir, local_frame, reliable_checkpoint, small_frame
 
 
 def long_form(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = (),
@@ -218,3 +218,87 @@ def _sorted_quantiles(long, probs, keys, value):
         lo_v, hi_v = F.col(f"{nm}_lo"), F.coalesce(F.col(f"{nm}_hi"), F.col(f"{nm}_lo"))
         outs.append((lo_v + (hi_v - lo_v) * frac).alias(nm))
     return agg.select(*keys, "n", *outs)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10000,
+                     approx: bool = False) -> DataFrame:
+    """Exact quantiles of several columns of one table (no unpivot of the data).
+
+    Same bracket-and-verify method as :func:`exact_quantiles`, but the two
+    counting passes are single wide aggregations with literal bounds, and
+    only the rows inside a bracket are unpivoted.  Returns a small frame
+    (column_name, n, q…)."""
+    from pyspark.sql import types as T
+    names = quantile_names(probs)
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "column_name string, n long, "
+                                     + ", ".join(f"{nm} double" for nm in names))
+    if approx:
+        return exact_quantiles(long_form(df, cols), probs, approx=True, accuracy=accuracy)
+    P = len(probs)
+    margin = 4.0 / accuracy
+    around = []
+    for p in probs:
+        around += [max(0.0, p - margin), min(1.0, p + margin)]
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    # Pass 1: counts and approximate neighbours of every target, one aggregation.
+    aggs = []
+    for k, c in enumerate(cols):
+        aggs += [F.count(x[c]).alias(f"n{k}"), F.percentile_approx(x[c], around, accuracy).alias(f"a{k}")]
+    row = df.agg(*aggs).collect()[0]
+    state = {}
+    for k, c in enumerate(cols):
+        n = row[f"n{k}"]
+        if not n:
+            continue
+        for i, p in enumerate(probs):
+            h = (n - 1) * p
+            r1 = int(h // 1) + 1
+            state[(k, i)] = dict(n=n, r1=r1, r2=min(r1 + 1, n), lo=row[f"a{k}"][2 * i], hi=row[f"a{k}"][2 * i + 1])
+    if not state:
+        return spark.createDataFrame([], "column_name string, n long, " + ", ".join(f"{nm} double" for nm in names))
+    # Pass 2: exact counts below and inside each bracket.
+    aggs = []
+    for (k, i), s_ in state.items():
+        c = x[cols[k]]
+        aggs += [F.count_if(c < F.lit(s_["lo"])).alias(f"b{k}_{i}"),
+                 F.count_if((c >= F.lit(s_["lo"])) & (c <= F.lit(s_["hi"]))).alias(f"c{k}_{i}")]
+    row = df.agg(*aggs).collect()[0]
+    for (k, i), s_ in state.items():
+        s_["below"], s_["cin"] = row[f"b{k}_{i}"], row[f"c{k}_{i}"]
+        if not (s_["below"] < s_["r1"] and s_["below"] + s_["cin"] >= s_["r2"]) or s_["cin"] > BRACKET_LIMIT:
+            # Unverified or wide bracket: the general path narrows or sorts.
+            return exact_quantiles(long_form(df, cols), probs, accuracy=accuracy)
+    # Pass 3: unpivot only the in-bracket rows, order them per bracket.
+    conds = {key: (x[cols[key[0]]] >= F.lit(s_["lo"])) & (x[cols[key[0]]] <= F.lit(s_["hi"]))
+             for key, s_ in state.items()}
+    anyin = None
+    for cnd in conds.values():
+        anyin = cnd if anyin is None else (anyin | cnd)
+    tagged = df.filter(anyin).select(F.explode(F.array(*[
+        F.when(cnd, F.struct(F.lit(k).alias("_k"), F.lit(i).alias("_i"), x[cols[k]].alias("value")))
+        for (k, i), cnd in conds.items()])).alias("t")).filter(F.col("t").isNotNull()).select("t.*")
+    meta = local_frame(spark, [(k, i, s_["below"], s_["r1"], s_["r2"]) for (k, i), s_ in state.items()],
+                       "_k int, _i int, below long, r1 long, r2 long")
+    vc = tagged.groupBy("_k", "_i", "value").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("_k", "_i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    cum = vc.join(F.broadcast(meta), ["_k", "_i"]).withColumn("_cum", F.col("below") + F.sum("_c").over(w))
+    picked = cum.groupBy("_k", "_i").agg(F.min(F.when(F.col("_cum") >= F.col("r1"), F.col("value"))).alias("v1"),
+                                         F.min(F.when(F.col("_cum") >= F.col("r2"), F.col("value"))).alias("v2"))
+    got = {(r["_k"], r["_i"]): (r["v1"], r["v2"]) for r in picked.collect()}
+    out = []
+    for k, c in enumerate(cols):
+        if (k, 0) not in state:
+            out.append((c, 0, *[None] * P))
+            continue
+        n = state[(k, 0)]["n"]
+        vals = []
+        for i, p in enumerate(probs):
+            v1, v2 = got[(k, i)]
+            h = (n - 1) * p
+            vals.append(v1 + (v2 - v1) * (h - (h // 1)))
+        out.append((c, n, *vals))
+    schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("n", T.LongType())]
+                          + [T.StructField(nm, T.DoubleType()) for nm in names])
+    return local_frame(spark, out, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from tabulon.functions import distributions as dist
 from tabulon.functions.columns import norm_ppf, norm_ppf_scalar, numeric_columns, pearson, q
-from tabulon.operators.ranking import exact_quantiles, long_form, rank_rows
+from tabulon.operators.ranking import column_quantiles, exact_quantiles, rank_rows
+from tabulon.session import local_frame
 
 
 def numeric_or_error(df: DataFrame, cols: list[str] | None, minimum: int = 1) -> list[str]:
@@ -22,38 +23,74 @@ def numeric_or_error(df: DataFrame, cols: list[str] | None, minimum: int = 1) ->
 
 def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear), max per numeric
-    column, plus the table's row count."""
+    column, plus the table's row count (small result: one row per column)."""
     cols = numeric_or_error(df, cols)
-    long = long_form(df, cols)
-    moments = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = exact_quantiles(long, [0.25, 0.5, 0.75], approx=approx)
-    total = df.select(F.count(F.lit(1))).scalar()
-    order = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("column_name"))
-    return (moments.join(qs, "column_name")
-            .select("column_name", order.cast("int").alias("position"), "count", "mean", "std", "min",
-                    F.col("q0250").alias("p25"), F.col("q0500").alias("p50"), F.col("q0750").alias("p75"),
-                    "max", total.alias("row_count")))
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for k, c in enumerate(cols):
+        x = q(c).cast("double")
+        aggs += [F.count(x).alias(f"c{k}"), F.avg(x).alias(f"m{k}"), F.stddev_samp(x).alias(f"s{k}"),
+                 F.min(x).alias(f"lo{k}"), F.max(x).alias(f"hi{k}")]
+    row = df.agg(*aggs).collect()[0]
+    qs = {r["column_name"]: r for r in column_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx).collect()}
+    out = [(c, k + 1, row[f"c{k}"], row[f"m{k}"], row[f"s{k}"], row[f"lo{k}"], qs[c]["q0250"], qs[c]["q0500"],
+            qs[c]["q0750"], row[f"hi{k}"], row["_rows"]) for k, c in enumerate(cols)]
+    return local_frame(df.sparkSession, out, "column_name string, position int, count long, mean double, std double, "
+                       "min double, p25 double, p50 double, p75 double, max double, row_count long")
 
 
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson r for every ordered pair (diagonal included), pairwise
-    complete; all pairs in one aggregation job, returned in long form."""
+    complete, in long form.
+
+    Two aggregation jobs regardless of width: per-column count, mean, min and
+    max, then plain sums of centred values (shifted by the column mean, so
+    no cancellation) — per column where a pair has no nulls, per pair where
+    nulls make the pair's rows differ.  A side that is constant over the
+    pair's rows gives null, never an error."""
     cols = numeric_or_error(df, cols, 2)
-    pairs = [(a, b) for a in cols for b in cols]
-    idx = {c: i for i, c in enumerate(cols)}
-    uniq = list(combinations(cols, 2)) + [(c, c) for c in cols]
-    aggs = [pearson(q(a).cast("double"), q(b).cast("double")).alias(f"_r{idx[a]}_{idx[b]}") for a, b in uniq]
-    wide = df.agg(*aggs)
-
-    def cell(a, b):
-        i, j = sorted((idx[a], idx[b]))
-        return F.col(f"_r{i}_{j}")
-
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.lit(idx[a]).alias("i"),
-                 F.lit(idx[b]).alias("j"), cell(a, b).alias("r")) for a, b in pairs])))
+    x = {c: q(c).cast("double") for c in cols}
+    first = df.agg(F.count(F.lit(1)).alias("_rows"), *[e for k, c in enumerate(cols) for e in (
+        F.count(x[c]).alias(f"n{k}"), F.avg(x[c]).alias(f"m{k}"),
+        F.min(x[c]).alias(f"lo{k}"), F.max(x[c]).alias(f"hi{k}"))]).collect()[0]
+    rows = first["_rows"]
+    full = {c for k, c in enumerate(cols) if first[f"n{k}"] == rows}
+    mean = {c: (first[f"m{k}"] if first[f"m{k}"] is not None else 0.0) for k, c in enumerate(cols)}
+    const = {c for k, c in enumerate(cols) if first[f"lo{k}"] is not None and first[f"lo{k}"] == first[f"hi{k}"]}
+    d = {c: x[c] - F.lit(mean[c]) for c in cols}
+    aggs, plan = [], {}
+    for k, c in enumerate(cols):
+        aggs += [F.sum(d[c]).alias(f"sx{k}"), F.sum(d[c] * d[c]).alias(f"sxx{k}")]
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if j < i:
+                continue
+            aggs.append(F.sum(d[a] * d[b]).alias(f"sxy{i}_{j}"))
+            if not (a in full and b in full):
+                both = x[a].isNotNull() & x[b].isNotNull()
+                da, db = F.when(both, d[a]), F.when(both, d[b])
+                aggs += [F.count_if(both).alias(f"pn{i}_{j}"), F.sum(da).alias(f"pa{i}_{j}"),
+                         F.sum(db).alias(f"pb{i}_{j}"), F.sum(da * da).alias(f"paa{i}_{j}"),
+                         F.sum(db * db).alias(f"pbb{i}_{j}")]
+    s = df.agg(*aggs).collect()[0]
+    out = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            lo_, hi_ = min(i, j), max(i, j)
+            if cols[lo_] in full and cols[hi_] in full:
+                n, sa, sb = rows, s[f"sx{lo_}"], s[f"sx{hi_}"]
+                saa, sbb = s[f"sxx{lo_}"], s[f"sxx{hi_}"]
+            else:
+                n, sa, sb = s[f"pn{lo_}_{hi_}"], s[f"pa{lo_}_{hi_}"], s[f"pb{lo_}_{hi_}"]
+                saa, sbb = s[f"paa{lo_}_{hi_}"], s[f"pbb{lo_}_{hi_}"]
+            sab = s[f"sxy{lo_}_{hi_}"]
+            r = None
+            if n and n > 1 and cols[lo_] not in const and cols[hi_] not in const and None not in (sa, sb, saa, sbb, sab):
+                vaa, vbb = saa - sa * sa / n, sbb - sb * sb / n
+                if vaa > 1e-12 * max(saa, 1e-300) and vbb > 1e-12 * max(sbb, 1e-300):
+                    r = (sab - sa * sb / n) / math.sqrt(vaa * vbb)
+                    r = max(-1.0, min(1.0, r))
+            out.append((a, b, i, j, r))
+    return local_frame(df.sparkSession, out, "var1 string, var2 string, i int, j int, r double")
 
 
 def significant_correlations(corr: DataFrame, threshold: float = 0.5, strong: float = 0.7) -> DataFrame:

@@ -18,7 +18,7 @@ from tabulon.operators import explore as ex
 from tabulon.operators import quality as qa
 from tabulon.operators import report as rp
 from tabulon.operators import stats as st
-from tabulon.session import ensure_checkpoint_dir
+from tabulon.session import ensure_checkpoint_dir, reliable_checkpoint, small_frame
 from tabulon.sources.files import load
 
 
@@ -39,17 +39,20 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
     """F1.  The cleaned table is checkpointed once (reliable, shared folder)
     so the three branches reuse it instead of re-running the cleaning."""
     spark = df.sparkSession
-    report = qa.quality_report(df, approx=approx)
+    # Outliers (one row per column) are computed once: they feed the report
+    # and the clipping bounds of the cleaning step.
+    outl = small_frame(qa.outliers_iqr(df, approx=approx))
+    report = small_frame(qa.quality_report(df, approx=approx, outliers=outl))
     if auto_clean:
-        ensure_checkpoint_dir(spark)
-        cleaned = qa.clean(df, approx=approx).checkpoint(eager=True)
+        bounds = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in outl.collect()}
+        cleaned = reliable_checkpoint(qa.clean(df, approx=approx, bounds=bounds))
     else:
         cleaned = df
-    removed = qa.rows_removed(df, cleaned)
+    removed = small_frame(qa.rows_removed(df, cleaned))
     nums = numeric_columns(cleaned)
-    describe = st.describe(cleaned, nums, approx=approx)
-    corr = st.correlation(cleaned, nums) if len(nums) >= 2 else None
-    recs = cd.spec_title(cd.chart_checks(cd.recommend_charts(cleaned, goal)))
+    describe = small_frame(st.describe(cleaned, nums, approx=approx))
+    corr = small_frame(st.correlation(cleaned, nums)) if len(nums) >= 2 else None
+    recs = small_frame(cd.spec_title(cd.chart_checks(cd.recommend_charts(cleaned, goal, approx=True))))
     top = recs.orderBy("priority").limit(1).collect()
     if top:
         r = top[0]
