@@ -86,7 +86,7 @@ SEPARATOR_CELL = r"^:?-{2,}:?$"
 
 
 def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Delimited plain-text tables (pipe or tab) as long rows.
+    """Delimited plain-text tables (pipe, tab or comma) as long rows.
 
     A table is a run of at least two consecutive lines that split into the
     same number (≥ 2) of cells on the same delimiter; per document the longest
@@ -94,11 +94,15 @@ def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines are dropped; outer empty cells from ``|a|b|`` framing are removed.
     ``confidence`` = table lines / delimited lines of the document."""
     lines = docs.select(q(id_col).alias("doc"), F.posexplode(F.split(q(text_col), "\n")).alias("line_idx", "line"))
-    delim = F.when(F.col("line").contains("|"), F.lit("|")).when(F.col("line").contains("\t"), F.lit("\t"))
+    # Comma rows must look like records, not prose: no sentence end, short cells.
+    comma_row = (F.col("line").contains(",") & ~F.trim("line").rlike(r"[.!?]$")
+                 & ~F.col("line").rlike(r"[^,]{41,}"))
+    delim = (F.when(F.col("line").contains("|"), F.lit("|")).when(F.col("line").contains("\t"), F.lit("\t"))
+             .when(comma_row, F.lit(",")))
     d = lines.withColumn("delim", delim).filter(F.col("delim").isNotNull())
     framed = F.regexp_replace(F.regexp_replace(F.trim("line"), r"^\|", ""), r"\|$", "")
-    cells = F.transform(F.split(F.when(F.col("delim") == "|", framed).otherwise(F.col("line")),
-                                F.when(F.col("delim") == "|", F.lit(r"\|")).otherwise(F.lit("\t"))),
+    pattern = F.when(F.col("delim") == "|", F.lit(r"\|")).when(F.col("delim") == ",", F.lit(",")).otherwise(F.lit("\t"))
+    cells = F.transform(F.split(F.when(F.col("delim") == "|", framed).otherwise(F.col("line")), pattern),
                         lambda c: F.trim(c))
     d = d.withColumn("cells", cells).withColumn("n_cells", F.size("cells")).filter(F.col("n_cells") >= 2)
     d = d.withColumn("is_rule", F.forall("cells", lambda c: c.rlike(SEPARATOR_CELL) | (c == "")))
@@ -158,8 +162,8 @@ def extract_json(df: DataFrame, col: str, required: list[str] | None = None) ->
     out = df.withColumn("json_text", cand).withColumn("parsed", F.try_parse_json("json_text"))
     out = out.withColumn("json_ok", F.col("parsed").isNotNull())
     if required:
-        miss = F.array_compact(F.array(*[F.when(F.try_variant_get("parsed", f"$.{k}", "string").isNull()
-                                                & F.is_variant_null(F.try_variant_get("parsed", f"$.{k}", "variant")).isNull(),
+        # A present key (even a JSON null) extracts as a variant; an absent one as SQL NULL.
+        miss = F.array_compact(F.array(*[F.when(F.try_variant_get("parsed", f"$.{k}", "variant").isNull(),
                                                 F.lit(k)) for k in required]))
         out = out.withColumn("missing_keys", F.when(F.col("json_ok"), F.array_join(miss, ",")))
     return out

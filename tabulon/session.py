@@ -87,11 +87,21 @@ def local_frame(spark, rows, schema):
     from pyspark.sql.types import StructType
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    names = [f.name for f in schema.fields]
-    pdf = pd.DataFrame([tuple(r) for r in rows], columns=names)
-    if not len(pdf):
+    rows = [tuple(r) for r in rows]
+    if not rows:
         return spark.createDataFrame([], schema)
+    if spark.conf.get("spark.sql.execution.arrow.pyspark.enabled", "false").lower() != "true":
+        return spark.createDataFrame(rows, schema)
+    pdf = pd.DataFrame({f.name: pd.Series([r[i] for r in rows], dtype=object)
+                        for i, f in enumerate(schema.fields)})
+    from pyspark.sql import types as T
+    nullable = {T.DoubleType: "Float64", T.FloatType: "Float32", T.LongType: "Int64",
+                T.IntegerType: "Int32", T.ShortType: "Int16", T.BooleanType: "boolean"}
     for f in schema.fields:
-        if pdf[f.name].isna().all():
+        kind = nullable.get(type(f.dataType))
+        if kind:
+            # Nullable pandas dtypes keep None as null (not NaN) through Arrow.
+            pdf[f.name] = pd.array([None if v is None else v for v in pdf[f.name].tolist()], dtype=kind)
+        elif pdf[f.name].isna().all():
             pdf[f.name] = pd.Series([None] * len(pdf), dtype=object)
     return spark.createDataFrame(pdf, schema)

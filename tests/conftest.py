@@ -18,6 +18,7 @@ def spark():
          .config("spark.sql.ansi.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     from tabulon.session import ensure_checkpoint_dir
