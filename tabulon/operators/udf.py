@@ -33,7 +33,7 @@ def function_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame] | Non
         raise ValueError("Function 'transform_data' not found")
 
     def run(f):
-        out = _check(df.transform(f))
+        out = _check(f(df))
         if validate:
             out.limit(1).collect()
         return out
