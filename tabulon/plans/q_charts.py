@@ -124,3 +124,18 @@ def chart_list(spark, d):
                          F.concat_ws(":", "chart_type", "x_field", "y_field").alias("image"),
                          F.concat(F.initcap("chart_type"), F.lit(" visualization")).alias("description"))
     return cd.chart_list(charts)
+
+
+@query("stream_window_counts", """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
+       count(*) AS n_events, round(sum(value), 6) AS value_sum, count(*) FILTER (WHERE value IS NULL) AS n_missing
+FROM events GROUP BY 1, 2""")
+def stream_window_counts(spark, d):
+    """Hourly event counts per type, computed by a Structured Streaming query
+    over the events files (watermarked state, update mode, batch sink)."""
+    from tabulon.plans.flows import shared_scratch
+    from tabulon.streaming.windows import run_windowed_counts
+    schema = T(spark, d, "events").schema
+    base = shared_scratch(spark, "stream")
+    out = run_windowed_counts(spark, f"{d.rstrip('/')}/events*.parquet", schema, f"{base}/sink", f"{base}/state")
+    return out.withColumn("value_sum", F.round("value_sum", 6))
