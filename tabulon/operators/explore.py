@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +33,20 @@ class Exploration:
     result: DataFrame
     steps: list[dict] = field(default_factory=list)
     charts: dict[int, DataFrame] = field(default_factory=dict)
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the cached step results once the caller is done with them."""
+        for df in self.cached:
+            df.unpersist()
+        self.cached.clear()
 
     def step_log(self, spark: SparkSession) -> DataFrame:
         rows = [tuple(s[f.name] for f in STEP_SCHEMA.fields) for s in self.steps]
         return local_frame(spark, rows, STEP_SCHEMA)
 
 
-def step_finding(df: DataFrame) -> str:
+def step_finding(df: DataFrame, n: int | None = None) -> str:
     """A one-to-two sentence finding from the result's shape and first row.
 
     One job computes the row count, the first row and, for the last numeric
@@ -46,7 +54,7 @@ def step_finding(df: DataFrame) -> str:
     cols = df.columns
     nums = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     first = df.limit(1).collect()
-    n = df.count()
+    n = df.count() if n is None else n
     if not first:
         return f"The query returned no rows ({len(cols)} columns)."
     head = ", ".join(f"{c} = {first[0][c]}" for c in cols[:4])
@@ -86,16 +94,19 @@ def explore(spark: SparkSession, df: DataFrame, plan: list[dict], max_iterations
             current.createOrReplaceTempView("data")
             out = spark.sql(body)
             if len(ex.steps) % checkpoint_every == checkpoint_every - 1:
-                ensure_checkpoint_dir(spark)
                 out = reliable_checkpoint(out)
-            insight = step_finding(out)          # forces evaluation: runtime errors surface here
+            else:
+                # Several small actions read the step result: compute it once.
+                out = out.persist(StorageLevel.MEMORY_AND_DISK)
+                ex.cached.append(out)
+            n_rows = out.count()                 # forces evaluation: runtime errors surface here
+            insight = step_finding(out, n_rows)
             chart_type, chart = auto_chart(out)
         except Exception as e:  # noqa: BLE001 — fail soft, as specified
             ex.steps.append(dict(step_number=step_num, transformation=explanation, sql_query=sql,
                                  insight=f"Query failed: {e}".split("\n")[0][:500], chart_type="none",
                                  status="failed", n_rows=None, n_cols=None))
             continue
-        n_rows = out.count()
         ex.steps.append(dict(step_number=step_num, transformation=explanation, sql_query=sql, insight=insight,
                              chart_type=chart_type, status="ok", n_rows=n_rows, n_cols=len(out.columns)))
         ex.charts[step_num] = chart

@@ -84,6 +84,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str]
 
 
 BRACKET_LIMIT = 1_000_000
+DRIVER_RESOLVE_LIMIT = 200_000
 _GRID = 1000
 
 
@@ -282,6 +283,9 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     meta = local_frame(spark, [(k, i, s_["below"], s_["r1"], s_["r2"]) for (k, i), s_ in state.items()],
                        "_k int, _i int, below long, r1 long, r2 long")
     vc = tagged.groupBy("_k", "_i", "value").agg(F.count("*").alias("_c"))
+    if sum(s_["cin"] for s_ in state.values()) <= DRIVER_RESOLVE_LIMIT:
+        # Few enough bracket values: order them on the driver (bounded by the limit).
+        return _finish_local(spark, cols, probs, names, state, vc.collect())
     w = Window.partitionBy("_k", "_i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     cum = vc.join(F.broadcast(meta), ["_k", "_i"]).withColumn("_cum", F.col("below") + F.sum("_c").over(w))
     picked = cum.groupBy("_k", "_i").agg(F.min(F.when(F.col("_cum") >= F.col("r1"), F.col("value"))).alias("v1"),
@@ -302,3 +306,33 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("n", T.LongType())]
                           + [T.StructField(nm, T.DoubleType()) for nm in names])
     return local_frame(spark, out, schema)
+
+
+def _finish_local(spark, cols, probs, names, state, vc_rows):
+    from pyspark.sql import types as T
+    by = {}
+    for r in vc_rows:
+        by.setdefault((r["_k"], r["_i"]), []).append((r["value"], r["_c"]))
+    out = []
+    for k, c in enumerate(cols):
+        if (k, 0) not in state:
+            out.append((c, 0, *[None] * len(probs)))
+            continue
+        n = state[(k, 0)]["n"]
+        vals = []
+        for i, p in enumerate(probs):
+            s_ = state[(k, i)]
+            cum, v1, v2 = s_["below"], None, None
+            for value, cnt in sorted(by.get((k, i), [])):
+                cum += cnt
+                if v1 is None and cum >= s_["r1"]:
+                    v1 = value
+                if cum >= s_["r2"]:
+                    v2 = value
+                    break
+            h = (n - 1) * p
+            vals.append(v1 + (v2 - v1) * (h - (h // 1)))
+        out.append((c, n, *vals))
+    schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("n", T.LongType())]
+                          + [T.StructField(nm, T.DoubleType()) for nm in names])
+    return local_frame(spark, out, schema)

@@ -63,3 +63,20 @@ def test_select_path_is_exact_with_refinement(spark, monkeypatch, limit):
     r = out.collect()[0]
     for p, nm in ((0.25, "q0250"), (0.5, "q0500"), (0.9, "q0900")):
         assert r[nm] == pytest.approx(brute(a, p), abs=1e-12)
+
+
+@pytest.mark.parametrize("driver_limit", [0, 200_000])
+def test_column_quantiles_both_resolve_paths(spark, monkeypatch, driver_limit):
+    from tabulon.operators import ranking
+    monkeypatch.setattr(ranking, "DRIVER_RESOLVE_LIMIT", driver_limit)
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=2500).round(2)
+    b = rng.integers(0, 4, size=2500)
+    rows = [(float(x), int(y), None if i % 9 == 0 else float(x) * 2) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b long, c double").repartition(4)
+    got = {r["column_name"]: r for r in ranking.column_quantiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75]).collect()}
+    cvals = [r[2] for r in rows if r[2] is not None]
+    for col, vals in (("a", a), ("b", b), ("c", cvals)):
+        for p, nm in ((0.25, "q0250"), (0.5, "q0500"), (0.75, "q0750")):
+            assert got[col][nm] == pytest.approx(brute(vals, p), abs=1e-9)
+    assert got["c"]["n"] == len(cvals)
