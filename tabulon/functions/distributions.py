@@ -89,3 +89,55 @@ def shapiro_p(w: float | None, n: int | None) -> float | None:
         sigma = math.exp(0.0030302 * ln ** 2 - 0.082676 * ln - 0.4803)
         z = (ln1w - mu) / sigma
     return norm_sf(z)
+
+
+def gammaincc(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma Q(a, x) (series below a+1,
+    continued fraction above)."""
+    if x <= 0:
+        return 1.0
+    ln_front = -x + a * math.log(x) - math.lgamma(a)
+    if x < a + 1.0:
+        term = total = 1.0 / a
+        ap = a
+        for _ in range(10000):
+            ap += 1.0
+            term *= x / ap
+            total += term
+            if abs(term) < abs(total) * 1e-16:
+                break
+        return max(0.0, 1.0 - total * math.exp(ln_front))
+    tiny = 1e-300
+    b = x + 1.0 - a
+    c = 1.0 / tiny
+    d = 1.0 / b
+    h = d
+    for i in range(1, 10000):
+        an = -i * (i - a)
+        b += 2.0
+        d = an * d + b
+        d = tiny if abs(d) < tiny else d
+        c = b + an / c
+        c = tiny if abs(c) < tiny else c
+        d = 1.0 / d
+        delta = d * c
+        h *= delta
+        if abs(delta - 1.0) < 1e-16:
+            break
+    return math.exp(ln_front) * h
+
+
+def chi2_sf(stat: float | None, dof: float | None) -> float | None:
+    """Upper tail of the chi-square distribution."""
+    if stat is None or dof is None or dof <= 0:
+        return None
+    return gammaincc(dof / 2.0, stat / 2.0)
+
+
+def f_sf(stat: float | None, d1: float | None, d2: float | None) -> float | None:
+    """Upper tail of the F distribution."""
+    if stat is None or d1 is None or d2 is None or d1 <= 0 or d2 <= 0 or stat != stat:
+        return None
+    if stat <= 0:
+        return 1.0
+    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * stat))

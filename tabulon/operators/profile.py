@@ -183,3 +183,14 @@ def shape(df: DataFrame, name: str) -> DataFrame:
 def preview(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """First ``n`` rows in a stated key order (Spark rows have no order)."""
     return df.orderBy(*[q(c) for c in order_by]).limit(n)
+
+
+def schema_summary(df: DataFrame, approx: bool = False) -> DataFrame:
+    """``Table shape: N rows x M columns`` then ``  - col (type): U unique
+    values, K nulls`` per column (one aggregation job)."""
+    st = column_stats(df, approx)
+    lines = st.select((F.col("position") + 1).alias("line_no"), F.format_string(
+        "  - %s (%s): %d unique values, %d nulls", "column_name", "dtype", "n_unique", "n_null").alias("line"))
+    head = st.filter(F.col("position") == 0).select(F.lit(0).alias("line_no"), F.format_string(
+        "Table shape: %d rows x %d columns", F.col("n_rows"), F.lit(len(df.columns))).alias("line"))
+    return head.unionByName(lines)

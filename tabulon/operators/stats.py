@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -299,3 +299,90 @@ def fliers(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     f = b.select(F.col("group").alias("grp"), (F.col("q1") - 1.5 * iqr).alias("lo_f"), (F.col("q3") + 1.5 * iqr).alias("hi_f"))
     return vals.join(f, "grp").filter((F.col("value") < F.col("lo_f")) | (F.col("value") > F.col("hi_f"))) \
         .select(F.col("grp").alias("group"), "value")
+
+
+# ------------------------------------------------------------------ documented-only tests
+def linear_regression(df: DataFrame, y: str, x: str) -> DataFrame:
+    """Least-squares line of y on x (pairs with both present): one aggregation."""
+    yy, xx = q(y).cast("double"), q(x).cast("double")
+    return df.agg(F.regr_count(yy, xx).alias("n"), F.regr_slope(yy, xx).alias("slope"),
+                  F.regr_intercept(yy, xx).alias("intercept"), F.regr_r2(yy, xx).alias("r2")).select(
+        F.lit(y).alias("dependent"), F.lit(x).alias("independent"), "n", "slope", "intercept", "r2")
+
+
+def anova(df: DataFrame, value: str, group: str) -> DataFrame:
+    """One-way ANOVA: between/within sums of squares and F, from one grouped
+    aggregation (per-group n, mean, variance) folded into one row."""
+    g = group_moments(df, value, group)
+    tot = g.agg(F.sum("n").alias("N"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("grand"),
+                F.count(F.lit(1)).alias("k"),
+                F.sum(F.coalesce((F.col("n") - 1) * F.col("std") ** 2, F.lit(0.0))).alias("ssw"),
+                F.collect_list(F.struct("n", "mean")).alias("gs"))
+    ssb = F.aggregate("gs", F.lit(0.0), lambda acc, s: acc + s["n"] * (s["mean"] - F.col("grand")) ** 2)
+    out = tot.select(F.lit(value).alias("dependent"), F.lit(group).alias("group_variable"),
+                     F.col("k").cast("long").alias("k"), F.col("N").cast("long").alias("n"),
+                     ssb.alias("ss_between"), F.col("ssw").alias("ss_within"))
+    d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
+    return out.withColumn("df_between", d1.cast("double")).withColumn("df_within", d2.cast("double")).withColumn(
+        "f_statistic", F.try_divide(F.col("ss_between") / d1, F.col("ss_within") / d2))
+
+
+def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Chi-square test of independence of two nominal columns.
+
+    Observed cells are one grouped count; expected counts come from the
+    row/column totals (windows over the contingency cells).  Absent cells
+    contribute their expected count, which is N − Σ expected over present
+    cells, so no cell grid (cross product) is ever built."""
+    cells = (df.filter(q(a).isNotNull() & q(b).isNotNull())
+             .groupBy(q(a).cast("string").alias("a"), q(b).cast("string").alias("b"))
+             .agg(F.count(F.lit(1)).alias("o")))
+    n = cells.select(F.sum("o")).scalar()
+    ra = F.sum("o").over(Window.partitionBy("a"))
+    cb = F.sum("o").over(Window.partitionBy("b"))
+    e = cells.withColumn("e", ra * cb / n)
+    return e.agg(F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("_present"),
+                 F.sum("e").alias("_esum"), F.count_distinct("a").alias("ra"), F.count_distinct("b").alias("cb"),
+                 F.sum("o").alias("n")).select(
+        F.lit(a).alias("var1"), F.lit(b).alias("var2"), "n",
+        (F.col("_present") + (F.col("n") - F.col("_esum"))).alias("chi2"),
+        ((F.col("ra") - 1) * (F.col("cb") - 1)).cast("long").alias("dof"))
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Spearman's rho: Pearson r of average ranks (ties share their mean rank).
+
+    Ranks come from the distributed rank operator per column; a value's
+    average rank is joined back by value, so no row identifier is needed."""
+    both = df.select(q(x).cast("double").alias("x"), q(y).cast("double").alias("y")).filter(
+        F.col("x").isNotNull() & F.col("y").isNotNull())
+
+    def avg_ranks(c):
+        ranked = rank_rows(both.select(F.lit(c).alias("column_name"), F.col(c).alias("value")))
+        return ranked.groupBy("value").agg(F.avg("rank").alias(f"r{c}"))
+
+    j = both.join(avg_ranks("x").withColumnRenamed("value", "x"), "x").join(
+        avg_ranks("y").withColumnRenamed("value", "y"), "y")
+    return j.agg(F.count(F.lit(1)).alias("n"), pearson(F.col("rx"), F.col("ry")).alias("rho")).select(
+        F.lit(x).alias("var1"), F.lit(y).alias("var2"), "n", "rho")
+
+
+def _tail_rows(batches):
+    for pdf in batches:
+        p = []
+        for r in pdf.itertuples(index=False):
+            if r.kind == "f":
+                p.append(dist.f_sf(r.stat, r.d1, r.d2))
+            else:
+                p.append(dist.chi2_sf(r.stat, r.d1))
+        yield pdf.assign(p_value=p)
+
+
+def with_tail_pvalue(df: DataFrame, kind: str, stat: str, d1: str, d2: str | None = None) -> DataFrame:
+    """Upper-tail p-value of an F (``kind='f'``) or chi-square statistic per row."""
+    staged = df.select("*", F.lit(kind).alias("kind"), F.col(stat).cast("double").alias("stat"),
+                       F.col(d1).cast("double").alias("d1"),
+                       (F.col(d2).cast("double") if d2 else F.lit(None).cast("double")).alias("d2"))
+    schema = T.StructType(staged.schema.fields + [T.StructField("p_value", T.DoubleType())])
+    out = staged.mapInPandas(_tail_rows, schema).drop("kind", "stat", "d1", "d2")
+    return out.withColumn("significant", F.col("p_value") < 0.05)

@@ -189,3 +189,13 @@ def table_summary(spark, d):
     """Dtype, distinct and null counts per column of one table."""
     st = pr.column_stats(T(spark, d, "lineitem"))
     return st.select("column_name", "dtype", "n_unique", "n_null")
+
+
+@query("schema_summary", "SELECT 0 AS line_no, 'Table shape: ' || CAST(count(*) AS VARCHAR) || ' rows x 6 columns' AS line FROM orders\nUNION ALL "
+       + "\nUNION ALL ".join(
+           f"SELECT {i + 1} AS line_no, '  - {c} ({dt}): ' || CAST(count(DISTINCT {c}) AS VARCHAR) || ' unique values, ' "
+           f"|| CAST(count(*) - count({c}) AS VARCHAR) || ' nulls' AS line FROM orders"
+           for i, (c, dt, _) in enumerate(ORDERS)))
+def schema_summary(spark, d):
+    """Shape and one line per column (type, distinct values, nulls)."""
+    return pr.schema_summary(T(spark, d, "orders"))

@@ -348,3 +348,13 @@ def sql_transform_q(spark, d):
     return rel.sql_transform(spark, o, """
         SELECT o_orderpriority, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total
         FROM input_data WHERE o_orderstatus = 'F' GROUP BY o_orderpriority ORDER BY total DESC""")
+
+
+@query("parse_date_text", """
+SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS date_text,
+       strftime(strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y'), '%Y-%m-%d') AS parsed FROM orders""")
+def parse_date_text(spark, d):
+    """Dates as text in a day-first format, parsed back with that format."""
+    o = T(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("date_text"))
+    return o.select("o_orderkey", "date_text",
+                    F.date_format(F.try_to_timestamp("date_text", F.lit("dd/MM/yyyy")), "yyyy-MM-dd").alias("parsed"))

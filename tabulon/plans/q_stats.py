@@ -169,3 +169,70 @@ FROM v JOIN f USING (grp) GROUP BY ALL""")
 def box_stats(spark, d):
     b = st.box_stats(T(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
     return _r(b, ["q1", "median", "q3", "whisker_low", "whisker_high"])
+
+
+@query("linear_regression", """
+SELECT 'l_extendedprice' AS dependent, 'l_quantity' AS independent,
+       CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n,
+       round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept,
+       round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem""")
+def linear_regression(spark, d):
+    r = st.linear_regression(T(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
+    return _r(r, ["slope", "intercept", "r2"])
+
+
+_ANOVA_SQL = """
+WITH g AS (SELECT l_returnflag AS grp, count(*) AS n, avg(l_extendedprice) AS mean, var_samp(l_extendedprice) AS var
+           FROM lineitem WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY 1),
+t AS (SELECT sum(n) AS nn, sum(mean * n) / sum(n) AS grand, count(*) AS k, sum(coalesce((n - 1) * var, 0)) AS ssw FROM g),
+s AS (SELECT k, nn, ssw, (SELECT sum(n * (mean - grand) * (mean - grand)) FROM g) AS ssb FROM t)
+SELECT 'l_extendedprice' AS dependent, 'l_returnflag' AS group_variable, CAST(k AS BIGINT) AS k, CAST(nn AS BIGINT) AS n,
+       round(ssb, 0) AS ss_between, round(ssw, 0) AS ss_within, CAST(k - 1 AS DOUBLE) AS df_between,
+       CAST(nn - k AS DOUBLE) AS df_within, round((ssb / (k - 1)) / (ssw / (nn - k)), 6) AS f_statistic FROM s"""
+
+
+def _anova(spark, d):
+    return st.anova(T(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
+
+
+@query("anova", _ANOVA_SQL)
+def anova(spark, d):
+    a = _r(_anova(spark, d), ["ss_between", "ss_within"], 0)
+    return _r(a, ["f_statistic"])
+
+
+@query("anova_significance")
+def anova_significance(spark, d):
+    """ANOVA verdict: F upper tail through the incomplete beta."""
+    a = st.with_tail_pvalue(_anova(spark, d), "f", "f_statistic", "df_between", "df_within")
+    return a.select("group_variable", "f_statistic", "df_between", "df_within", "p_value", "significant")
+
+
+_CHI_SQL = """
+WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS o FROM lineitem
+           WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT o, a, b, (sum(o) OVER (PARTITION BY a)) * (sum(o) OVER (PARTITION BY b)) / (SELECT sum(o) FROM c) AS e FROM c)
+SELECT 'l_returnflag' AS var1, 'l_linestatus' AS var2, CAST(sum(o) AS BIGINT) AS n,
+       round(sum((o - e) * (o - e) / e) + (sum(o) - sum(e)), 6) AS chi2,
+       CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS dof FROM e"""
+
+
+@query("chi_square", _CHI_SQL)
+def chi_square(spark, d):
+    return _r(st.chi_square(T(spark, d, "lineitem"), "l_returnflag", "l_linestatus"), ["chi2"])
+
+
+@query("chi_square_significance")
+def chi_square_significance(spark, d):
+    c = st.chi_square(T(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+    return st.with_tail_pvalue(c, "chi", "chi2", "dof").select("var1", "var2", "chi2", "dof", "p_value", "significant")
+
+
+@query("spearman", """
+WITH b AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+             rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM b)
+SELECT 'l_quantity' AS var1, 'l_extendedprice' AS var2, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r""")
+def spearman(spark, d):
+    return _r(st.spearman(T(spark, d, "lineitem"), "l_quantity", "l_extendedprice"), ["rho"])
