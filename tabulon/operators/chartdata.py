@@ -72,7 +72,8 @@ def nice_bins(lo: float, hi: float, maxbins: int = 10, base: float = 10.0, divid
     """Step and extent of 'nice' bins (the public Vega binning rule)."""
     span = (hi - lo) or abs(lo) or 1.0
     level = math.ceil(math.log(maxbins) / math.log(base))
-    step = max(0.0, base ** (round(math.log(span) / math.log(base)) - level))
+    # Round half up, as the published rule does (Python's round() is half-even).
+    step = max(0.0, base ** (math.floor(math.log(span) / math.log(base) + 0.5) - level))
     while math.ceil(span / step) > maxbins:
         step *= base
     for dv in divide:

@@ -86,7 +86,23 @@ def value_counts_users(spark, d):
     return cd.value_counts(T(spark, d, "events"), "user_id", 10)
 
 
-@query("auto_histogram")
+_NICE_SQL = """
+WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL),
+sp AS (SELECT lo, hi, coalesce(nullif(hi - lo, 0), nullif(abs(lo), 0), 1.0) AS span FROM s),
+s0 AS (SELECT *, power(10.0, floor(log10(span) + 0.5) - 1) AS st0 FROM sp),
+s1 AS (SELECT *, CASE WHEN ceil(span / st0) <= 10 THEN st0 WHEN ceil(span / (st0 * 10)) <= 10 THEN st0 * 10
+                      WHEN ceil(span / (st0 * 100)) <= 10 THEN st0 * 100 ELSE st0 * 1000 END AS st1 FROM s0),
+s2 AS (SELECT *, CASE WHEN span / (st1 / 5) <= 10 THEN st1 / 5 ELSE st1 END AS st2 FROM s1),
+s3 AS (SELECT *, CASE WHEN span / (st2 / 2) <= 10 THEN st2 / 2 ELSE st2 END AS step FROM s2),
+s4 AS (SELECT *, CASE WHEN ln(step) >= 0 THEN 0 ELSE CAST(floor(-ln(step) / ln(10)) AS INTEGER) + 1 END AS prec FROM s3),
+s5 AS (SELECT *, floor(lo / step + power(10.0, -prec - 1)) * step AS v FROM s4),
+b AS (SELECT CASE WHEN lo < v THEN v - step ELSE v END AS start, step FROM s5)
+SELECT start + k * step AS bin_start, start + (k + 1) * step AS bin_end, count(*) AS count
+FROM (SELECT floor((value - start) / step) AS k, start, step FROM events, b WHERE value IS NOT NULL) t
+GROUP BY k, start, step"""
+
+
+@query("auto_histogram", _NICE_SQL)
 def auto_histogram(spark, d):
     """Nice bins of ``events.value`` (bounds decide the step)."""
     return cd.auto_histogram(T(spark, d, "events"), "value")
