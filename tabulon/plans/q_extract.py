@@ -39,12 +39,47 @@ def html_tables(spark, d):
     return xt.html_tables(T(spark, d, "pages"))
 
 
-@query("text_tables")
+_TEXT_TABLES_SQL = r"""
+WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i AS line_idx, ls[i + 1] AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM l0)),
+dl AS (SELECT *, CASE WHEN contains(line, '|') THEN '|' WHEN contains(line, chr(9)) THEN 'tab'
+                      WHEN contains(line, ',') AND NOT regexp_matches(trim(line), '[.!?]$')
+                           AND NOT regexp_matches(line, '[^,]{41,}') THEN ',' END AS delim FROM l),
+c AS (SELECT doc_id, line_idx, delim,
+             list_transform(CASE WHEN delim = '|' THEN string_split(regexp_replace(regexp_replace(trim(line), '^\|', ''), '\|$', ''), '|')
+                                 WHEN delim = ',' THEN string_split(line, ',') ELSE string_split(line, chr(9)) END, lambda x: trim(x)) AS cells
+      FROM dl WHERE delim IS NOT NULL),
+d AS (SELECT *, len(cells) AS n_cells,
+             list_bool_and(list_transform(cells, lambda x: regexp_full_match(x, ':?-{2,}:?') OR x = '')) AS is_rule
+      FROM c WHERE len(cells) >= 2),
+r AS (SELECT *, line_idx - row_number() OVER (PARTITION BY doc_id, delim, n_cells ORDER BY line_idx) AS run FROM d),
+runs AS (SELECT doc_id, delim, n_cells, run, count(*) AS n_lines, min(line_idx) AS first_line FROM r GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_lines DESC, first_line) AS rk
+                        FROM runs WHERE n_lines >= 2) WHERE rk = 1),
+tot AS (SELECT doc_id, count(*) AS n_delimited FROM d GROUP BY doc_id),
+t AS (SELECT r.doc_id, r.line_idx, r.cells, CAST(b.n_lines AS DOUBLE) / tot.n_delimited AS confidence
+      FROM r JOIN best b USING (doc_id, delim, n_cells, run) JOIN tot USING (doc_id) WHERE NOT r.is_rule),
+t2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) - 1 AS row_idx FROM t),
+h AS (SELECT doc_id, cells AS hdr FROM t2 WHERE row_idx = 0),
+body AS (SELECT t2.doc_id, row_idx, confidence, cells, hdr, unnest(range(len(cells))) AS j FROM t2 JOIN h USING (doc_id) WHERE row_idx > 0)
+SELECT doc_id, CAST(row_idx AS INTEGER) AS row_idx, CAST(j AS INTEGER) AS col_idx,
+       coalesce(nullif(hdr[j + 1], ''), 'column_' || CAST(j AS VARCHAR)) AS header,
+       regexp_replace(cells[j + 1], '\s+', ' ', 'g') AS value, coalesce(confidence, 0.8) AS confidence FROM body"""
+
+
+@query("text_tables", _TEXT_TABLES_SQL)
 def text_tables(spark, d):
     return xt.text_tables(T(spark, d, "documents"))
 
 
-@query("text_lists")
+_LIST_RE = r"^\s*(?:[-*•]|\d+[.)])\s+(.+?)\s*$"
+
+
+@query("text_lists", f"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM l)
+SELECT doc_id, CAST(i AS INTEGER) AS line_idx, regexp_extract(ls[i + 1], '{_LIST_RE}', 1) AS item
+FROM e WHERE regexp_matches(ls[i + 1], '{_LIST_RE}')""")
 def text_lists(spark, d):
     return xt.text_lists(T(spark, d, "documents"))
 
@@ -57,9 +92,10 @@ def extract_json(spark, d):
     return ev.select("event_id", F.try_variant_get("parsed", "$.k", "int").alias("k"), "json_ok", "missing_keys")
 
 
-@query("extraction_confidence")
+@query("extraction_confidence", "SELECT doc_id, max(confidence) AS confidence, max(row_idx) AS n_rows, "
+       "max(col_idx) AS max_col FROM (" + _TEXT_TABLES_SQL + ") tt GROUP BY doc_id")
 def extraction_confidence(spark, d):
     """E5: per document, the share of delimited lines that formed the table."""
     t = xt.text_tables(T(spark, d, "documents"))
-    return t.groupBy("doc_id").agg(F.first("confidence").alias("confidence"),
+    return t.groupBy("doc_id").agg(F.max("confidence").alias("confidence"),
                                    F.max("row_idx").alias("n_rows"), F.max("col_idx").alias("max_col"))
