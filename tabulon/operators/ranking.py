@@ -12,6 +12,7 @@ boundaries are fixed and a lost executor recomputes nothing upstream.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -84,7 +85,9 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str]
 
 
 BRACKET_LIMIT = 1_000_000
-DRIVER_RESOLVE_LIMIT = 200_000
+DRIVER_RESOLVE_LIMIT = 500_000
+SAMPLE_SIZE = 100_000
+SAMPLE_BRACKET_MAX_ROWS = 50_000_000
 _GRID = 1000
 
 
@@ -243,20 +246,47 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     for p in probs:
         around += [max(0.0, p - margin), min(1.0, p + margin)]
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    # Pass 1: counts and approximate neighbours of every target, one aggregation.
-    aggs = []
-    for k, c in enumerate(cols):
-        aggs += [F.count(x[c]).alias(f"n{k}"), F.percentile_approx(x[c], around, accuracy).alias(f"a{k}")]
-    row = df.agg(*aggs).collect()[0]
+    counts = df.agg(*[F.count(x[c]).alias(f"n{k}") for k, c in enumerate(cols)]).collect()[0]
+    n_max = max(counts[f"n{k}"] or 0 for k in range(len(cols)))
     state = {}
-    for k, c in enumerate(cols):
-        n = row[f"n{k}"]
-        if not n:
-            continue
-        for i, p in enumerate(probs):
-            h = (n - 1) * p
-            r1 = int(h // 1) + 1
-            state[(k, i)] = dict(n=n, r1=r1, r2=min(r1 + 1, n), lo=row[f"a{k}"][2 * i], hi=row[f"a{k}"][2 * i + 1])
+    if 0 < n_max <= SAMPLE_BRACKET_MAX_ROWS:
+        # Pass 1 (moderate sizes): brackets from a uniform sample of about
+        # SAMPLE_SIZE rows, cheaper than summaries; the counting pass below
+        # still proves every bracket, so the answer stays exact.
+        import numpy as np
+        frac = min(1.0, SAMPLE_SIZE / n_max)
+        proj = df.select(*[x[c].alias(f"s{k}") for k, c in enumerate(cols)])
+        sample = (proj.filter(F.rand(17) < frac) if frac < 1.0 else proj).toPandas()
+        for k, c in enumerate(cols):
+            n = counts[f"n{k}"]
+            if not n:
+                continue
+            vals = np.sort(sample[f"s{k}"].dropna().to_numpy(dtype=float))
+            m = len(vals)
+            for i, p in enumerate(probs):
+                h = (n - 1) * p
+                r1 = int(h // 1) + 1
+                if m == 0:
+                    lo, hi = float("-inf"), float("inf")
+                else:
+                    spread = 6.0 * math.sqrt(m * p * (1 - p)) + 2
+                    a, b = int(math.floor(p * (m - 1) - spread)), int(math.ceil(p * (m - 1) + spread))
+                    lo = float(vals[a]) if a > 0 else float("-inf")
+                    hi = float(vals[b]) if b < m - 1 else float("inf")
+                state[(k, i)] = dict(n=n, r1=r1, r2=min(r1 + 1, n), lo=lo, hi=hi)
+    else:
+        # Pass 1 (large): approximate neighbours of every target, one aggregation.
+        aggs = [F.percentile_approx(x[c], around, accuracy).alias(f"a{k}") for k, c in enumerate(cols)]
+        row = df.agg(*aggs).collect()[0]
+        for k, c in enumerate(cols):
+            n = counts[f"n{k}"]
+            if not n:
+                continue
+            for i, p in enumerate(probs):
+                h = (n - 1) * p
+                r1 = int(h // 1) + 1
+                state[(k, i)] = dict(n=n, r1=r1, r2=min(r1 + 1, n), lo=row[f"a{k}"][2 * i],
+                                     hi=row[f"a{k}"][2 * i + 1])
     if not state:
         return spark.createDataFrame([], "column_name string, n long, " + ", ".join(f"{nm} double" for nm in names))
     # Pass 2: exact counts below and inside each bracket.
@@ -285,7 +315,9 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     vc = tagged.groupBy("_k", "_i", "value").agg(F.count("*").alias("_c"))
     if sum(s_["cin"] for s_ in state.values()) <= DRIVER_RESOLVE_LIMIT:
         # Few enough bracket values: order them on the driver (bounded by the limit).
-        return _finish_local(spark, cols, probs, names, state, vc.collect())
+        pdf = vc.toPandas().rename(columns={"_k": "k", "_i": "i", "_c": "c"})
+        return _finish_local(spark, cols, probs, names, state,
+                             pdf.sort_values(["k", "i", "value"]).itertuples(index=False))
     w = Window.partitionBy("_k", "_i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     cum = vc.join(F.broadcast(meta), ["_k", "_i"]).withColumn("_cum", F.col("below") + F.sum("_c").over(w))
     picked = cum.groupBy("_k", "_i").agg(F.min(F.when(F.col("_cum") >= F.col("r1"), F.col("value"))).alias("v1"),
@@ -312,7 +344,7 @@ def _finish_local(spark, cols, probs, names, state, vc_rows):
     from pyspark.sql import types as T
     by = {}
     for r in vc_rows:
-        by.setdefault((r["_k"], r["_i"]), []).append((r["value"], r["_c"]))
+        by.setdefault((int(r.k), int(r.i)), []).append((float(r.value), int(r.c)))
     out = []
     for k, c in enumerate(cols):
         if (k, 0) not in state:
@@ -323,7 +355,7 @@ def _finish_local(spark, cols, probs, names, state, vc_rows):
         for i, p in enumerate(probs):
             s_ = state[(k, i)]
             cum, v1, v2 = s_["below"], None, None
-            for value, cnt in sorted(by.get((k, i), [])):
+            for value, cnt in by.get((k, i), []):
                 cum += cnt
                 if v1 is None and cum >= s_["r1"]:
                     v1 = value
