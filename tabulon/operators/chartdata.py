@@ -143,8 +143,11 @@ def recommend_charts(df: DataFrame, goal: str = "", max_specs: int = 3, approx:
     meta = field_types(df, approx=approx).orderBy("position").collect()
     # Identifier-like numbers (…_id, …key, or one distinct value per row) are
     # not measures.
+    integral = {f.name for f in df.schema.fields
+                if f.dataType.typeName() in ("byte", "short", "integer", "long")}
     ident = {r["column_name"] for r in meta
-             if r["column_name"].lower().endswith(("_id", "key", "id")) or r["n_unique"] == r["n_rows"]}
+             if r["column_name"].lower().endswith(("_id", "key", "id"))
+             or (r["column_name"] in integral and r["n_unique"] == r["n_rows"])}
     quant = [r["column_name"] for r in meta if r["field_type"] == "quantitative" and r["column_name"] not in ident]
     temporal = [r["column_name"] for r in meta if r["field_type"] == "temporal"]
     cats = [(r["column_name"], r["n_unique"]) for r in meta if r["field_type"] in ("nominal", "ordinal")]

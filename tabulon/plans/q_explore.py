@@ -58,3 +58,14 @@ def chart_report(spark, d):
     steps = run_plan(spark, d).step_log(spark)
     charts = ex.steps_chart_list(steps)
     return rp.fill_placeholders(rp.report_markdown(charts, GOAL), charts)
+
+
+@query("report_sink")
+def report_sink(spark, d):
+    """The exploration report written as one markdown file under the
+    shared scratch folder, read back as text."""
+    from tabulon.plans.flows import shared_scratch, smart_analysis
+    from tabulon.sources.sinks import write_report
+    _, report = smart_analysis(spark, T(spark, d, "orders"), PLAN, GOAL)
+    path = write_report(report, shared_scratch(spark, "report"))
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "markdown")

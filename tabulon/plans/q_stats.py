@@ -236,3 +236,13 @@ r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2
 SELECT 'l_quantity' AS var1, 'l_extendedprice' AS var2, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r""")
 def spearman(spark, d):
     return _r(st.spearman(T(spark, d, "lineitem"), "l_quantity", "l_extendedprice"), ["rho"])
+
+
+@query("box_fliers", """
+WITH v AS (SELECT event_type AS grp, value FROM events WHERE value IS NOT NULL),
+q AS (SELECT grp, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM v GROUP BY grp)
+SELECT v.grp AS "group", value FROM v JOIN q USING (grp)
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
+def box_fliers(spark, d):
+    """T11 detail: the points beyond the whisker fences, per group."""
+    return st.fliers(T(spark, d, "events"), "value", "event_type")

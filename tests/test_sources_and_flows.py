@@ -149,3 +149,29 @@ def test_chart_data_checks(spark):
     pie = {r["k"]: r["share"] for r in cd.chart_data(df, "pie", "k", "v").collect()}
     assert pie["a"] == pytest.approx(0.5)
     assert cd.nice_bins(0.01, 490.02) == (0.0, 500.0, 50.0)
+
+
+def test_select_spec_and_recommendations(spark):
+    df = spark.createDataFrame([(f"c{i % 4}", float(i), float(i * i % 7), f"2024-01-{1 + i % 28:02d}") for i in range(40)],
+                               "cat string, a double, b double, d string").withColumn("d", F.to_timestamp("d"))
+    recs = cd.chart_checks(cd.recommend_charts(df, "trend over time"))
+    rows = recs.collect()
+    assert 2 <= len(rows) <= 3 and [r["priority"] for r in rows] == sorted(r["priority"] for r in rows)
+    assert rows[0]["chart_type"] == "line" and rows[0]["x_field"] == "d"
+    one = cd.select_spec(recs, 1).collect()
+    assert len(one) == 1 and one[0]["priority"] == rows[1]["priority"]
+    with pytest.raises(ValueError):
+        cd.select_spec(recs, 5)
+
+
+def test_one_hot_and_report_sink(spark, scratch):
+    from tabulon.operators import ml
+    from tabulon.sources.sinks import write_report
+    df = spark.createDataFrame([("a",), ("b",), ("a",)], "s string")
+    idx = {r["s"]: r["s_index"] for r in ml.string_index(df, "s").collect()}
+    assert idx == {"a": 0.0, "b": 1.0}
+    assert "s_vec" in ml.one_hot(df, "s").columns
+    rep = spark.createDataFrame([("# Title\n\nbody\n",)], "report string")
+    path = write_report(rep, f"{scratch}/report")
+    text = spark.read.text(path, wholetext=True).collect()[0][0]
+    assert text.startswith("# Title")
