@@ -87,6 +87,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str]
 BRACKET_LIMIT = 1_000_000
 DRIVER_RESOLVE_LIMIT = 500_000
 SAMPLE_SIZE = 100_000
+SAMPLE_CELLS = 2_000_000
 SAMPLE_BRACKET_MAX_ROWS = 50_000_000
 _GRID = 1000
 
@@ -254,7 +255,8 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         # SAMPLE_SIZE rows, cheaper than summaries; the counting pass below
         # still proves every bracket, so the answer stays exact.
         import numpy as np
-        frac = min(1.0, SAMPLE_SIZE / n_max)
+        # At most SAMPLE_CELLS values reach the driver, however wide the table.
+        frac = min(1.0, SAMPLE_SIZE / n_max, SAMPLE_CELLS / (n_max * len(cols)))
         proj = df.select(*[x[c].alias(f"s{k}") for k, c in enumerate(cols)])
         sample = (proj.filter(F.rand(17) < frac) if frac < 1.0 else proj).toPandas()
         for k, c in enumerate(cols):
