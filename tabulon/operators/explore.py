@@ -57,7 +57,7 @@ def step_finding(df: DataFrame, n: int | None = None) -> str:
     n = df.count() if n is None else n
     if not first:
         return f"The query returned no rows ({len(cols)} columns)."
-    head = ", ".join(f"{c} = {first[0][c]}" for c in cols[:4])
+    head = ", ".join(f"{c} = {_show(first[0][c])}" for c in cols[:4])
     text = f"The result has {n} rows and {len(cols)} columns. First row: {head}."
     if nums and n > 1:
         c = nums[-1]
@@ -68,6 +68,25 @@ def step_finding(df: DataFrame, n: int | None = None) -> str:
     return text
 
 
+def _show(v) -> str:
+    """A value as finding text.  Fractional numbers get two decimals: the last
+    digits of a floating-point sum depend on the order the partitions were
+    added in, and a finding must not change with the partitioning."""
+    import datetime
+    import decimal
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, (float, decimal.Decimal)):
+        return f"{float(v):.2f}"
+    if isinstance(v, datetime.datetime):
+        return v.strftime("%Y-%m-%d %H:%M:%S")
+    if isinstance(v, datetime.date):
+        return v.isoformat()
+    return str(v)
+
+
 def explore(spark: SparkSession, df: DataFrame, plan: list[dict], max_iterations: int = 3,
             checkpoint_every: int = 5) -> Exploration:
     """Run up to ``max_iterations`` planned steps.

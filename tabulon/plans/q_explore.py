@@ -34,25 +34,80 @@ def explore_chain(spark, d):
     return res.select("year", F.round("total", 2).alias("total"))
 
 
-@query("step_log")
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _finding(n, cols, share):
+    """The X5 finding text, spelled in DuckDB (values at two decimals)."""
+    head = ", ".join(f"{c} = ' || {v} || '" for c, v in cols)
+    tail = (f" || CASE WHEN {n} > 1 AND s <> 0 THEN printf(' That row holds %.1f%% of all {share}.', v / s * 100) "
+            "ELSE '' END") if share else ""
+    return f"'The result has ' || {n} || ' rows and 2 columns. First row: {head}.'{tail}"
+
+
+# The three steps of PLAN, computed independently in DuckDB.
+_STEPS_SQL = f"""
+WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+y AS (SELECT substr(month, 1, 4) AS year, sum(total) AS total FROM m GROUP BY 1),
+b AS (SELECT year, total FROM y ORDER BY total DESC, year LIMIT 1),
+f1 AS (SELECT (SELECT count(*) FROM m) AS n, month AS k, total AS v, (SELECT sum(total) FROM m) AS s
+       FROM m ORDER BY month LIMIT 1),
+f2 AS (SELECT (SELECT count(*) FROM y) AS n, year AS k, total AS v, (SELECT sum(total) FROM y) AS s
+       FROM y ORDER BY year LIMIT 1),
+f3 AS (SELECT (SELECT count(*) FROM b) AS n, year AS k, total AS v, CAST(NULL AS DOUBLE) AS s FROM b),
+steps AS (
+  SELECT CAST(1 AS INTEGER) AS step_number, {_lit(PLAN[0]["explanation"])} AS transformation,
+         {_lit(PLAN[0]["sql_query"])} AS sql_query,
+         {_finding("n", [("month", "k"), ("total", "printf('%.2f', v)")], "total")} AS insight,
+         'bar' AS chart_type, 'ok' AS status, CAST(n AS BIGINT) AS n_rows, CAST(2 AS INTEGER) AS n_cols FROM f1
+  UNION ALL
+  SELECT CAST(2 AS INTEGER), {_lit(PLAN[1]["explanation"])}, {_lit(PLAN[1]["sql_query"])},
+         {_finding("n", [("year", "k"), ("total", "printf('%.2f', v)")], "total")},
+         'bar', 'ok', CAST(n AS BIGINT), CAST(2 AS INTEGER) FROM f2
+  UNION ALL
+  SELECT CAST(3 AS INTEGER), {_lit(PLAN[2]["explanation"])}, {_lit(PLAN[2]["sql_query"])},
+         {_finding("n", [("year", "k"), ("total", "printf('%.2f', v)")], None)},
+         'bar', 'ok', CAST(n AS BIGINT), CAST(2 AS INTEGER) FROM f3)"""
+
+_CHARTS_SQL = _STEPS_SQL + """,
+charts AS (SELECT step_number AS idx, 'Step ' || step_number || ': ' || substr(transformation, 1, 50) || '...' AS title,
+                  'step-' || step_number || '-' || chart_type AS image, insight AS description
+           FROM steps WHERE chart_type <> 'none')"""
+
+
+@query("step_log", _STEPS_SQL + " SELECT * FROM steps")
 def step_log(spark, d):
     """One row per executed step."""
     return run_plan(spark, d).step_log(spark)
 
 
-@query("step_findings")
+@query("step_findings", _STEPS_SQL + " SELECT step_number, insight FROM steps")
 def step_findings(spark, d):
     """The rule-based finding of each step."""
     return run_plan(spark, d).step_log(spark).select("step_number", "insight")
 
 
-@query("exploration_report")
+@query("exploration_report", _STEPS_SQL + f"""
+SELECT '# Data Exploration Report' || E'\n\n' || '## Goal' || E'\n' || {_lit(GOAL)} || E'\n\n' || '## Findings'
+       || E'\n\n' || string_agg('**Step ' || step_number || '**: ' || transformation || E'\n' || '- Finding: '
+                                  || insight, E'\n\n' ORDER BY step_number)
+       || E'\n\n' || '## Conclusion' || E'\n' || 'Completed ' || count(*) || ' exploration steps.' || E'\n' AS report
+FROM steps""")
 def exploration_report(spark, d):
     """Fallback markdown from the step log."""
     return ex.fallback_report(run_plan(spark, d).step_log(spark), GOAL)
 
 
-@query("chart_report")
+# X8 + X9: one section per chart, its placeholder already replaced by the image line.
+_CHART_REPORT_SQL = _CHARTS_SQL + f"""
+SELECT '# Analysis Report' || E'\n\n' || '## Goal' || E'\n' || {_lit(GOAL)} || E'\n\n' || '## Charts' || E'\n\n'
+       || string_agg('### Chart ' || idx || ': ' || title || ' - ' || description || E'\n\n' || E'\n' || '![' || title
+                     || '](' || image || ')' || E'\n' || E'\n', E'\n' ORDER BY idx) AS report
+FROM charts"""
+
+
+@query("chart_report", _CHART_REPORT_SQL)
 def chart_report(spark, d):
     """X6 + X8 + X9: chart list from the steps, report body, placeholders filled."""
     steps = run_plan(spark, d).step_log(spark)

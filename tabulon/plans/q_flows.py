@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon.plans import flows
-from tabulon.plans.q_explore import GOAL, PLAN
+from tabulon.plans.q_explore import _CHART_REPORT_SQL, GOAL, PLAN
 from tabulon.plans.registry import query
 from tabulon.sources.sinks import write_table
 from tabulon.sources.tables import read_table as T
@@ -19,7 +19,7 @@ def quick_analysis(spark, d):
     return flows.quick_analysis_summary(T(spark, d, "lineitem"))
 
 
-@query("smart_analysis")
+@query("smart_analysis", _CHART_REPORT_SQL)
 def smart_analysis(spark, d):
     """F2 on orders: three exploration steps and the report."""
     _, report = flows.smart_analysis(spark, T(spark, d, "orders"), PLAN, GOAL)
