@@ -117,20 +117,75 @@ def auto_chart(spark, d):
     return data
 
 
-@query("recommend_charts")
+def _bonus(goal: str, words: tuple[str, ...], points: int = 10) -> str:
+    goal_sql = "'" + goal.lower().replace("'", "''") + "'"
+    return "CASE WHEN " + " OR ".join(f"contains({goal_sql}, '{w}')" for w in words) + f" THEN {points} ELSE 0 END"
+
+
+def _recommend_sql(goal: str) -> str:
+    """C12 rules in DuckDB over the per-column field types of orders."""
+    from tabulon.plans.q_profile import ORDERS, _field_types_sql
+    ints = ", ".join(f"('{c}', {str(dt in ('tinyint', 'smallint', 'int', 'bigint')).lower()})"
+                     for c, dt, _ in ORDERS)
+    return f"""
+WITH meta AS ({_field_types_sql("orders", ORDERS)}),
+f AS (SELECT m.*, (suffix(lower(m.column_name), 'id') OR suffix(lower(m.column_name), 'key')
+                   OR (d.is_int AND m.n_unique = m.n_rows)) AS ident
+      FROM meta m JOIN (VALUES {ints}) d(column_name, is_int) ON m.column_name = d.column_name),
+qn AS (SELECT column_name, row_number() OVER (ORDER BY position) AS r FROM f
+       WHERE field_type = 'quantitative' AND NOT ident),
+tm AS (SELECT column_name, row_number() OVER (ORDER BY position) AS r FROM f WHERE field_type = 'temporal'),
+sm AS (SELECT column_name, n_unique, row_number() OVER (ORDER BY n_unique, column_name) AS r FROM f
+       WHERE field_type IN ('nominal', 'ordinal') AND n_unique > 1 AND n_unique <= 50),
+k AS (SELECT (SELECT column_name FROM qn WHERE r = 1) AS q1, (SELECT column_name FROM qn WHERE r = 2) AS q2,
+             (SELECT column_name FROM qn WHERE r = 3) AS q3, (SELECT column_name FROM tm WHERE r = 1) AS t1,
+             (SELECT column_name FROM sm WHERE r = 1) AS s1, (SELECT column_name FROM sm WHERE r = 2) AS s2,
+             (SELECT column_name FROM sm WHERE r > 1 AND n_unique <= 10 ORDER BY r LIMIT 1) AS bar_color,
+             (SELECT column_name FROM sm WHERE n_unique <= 7 ORDER BY r LIMIT 1) AS pie_x),
+specs AS (
+  SELECT 90 + {_bonus(goal, ("trend", "time", "over"))} AS score, 'line' AS chart_type, t1 AS x_field, q1 AS y_field,
+         CASE WHEN s1 <> t1 THEN s1 END AS color_field, CAST(NULL AS VARCHAR) AS size_field,
+         'Shows how ' || q1 || ' changes over ' || t1 || '.' AS reason FROM k WHERE t1 IS NOT NULL AND q1 IS NOT NULL
+  UNION ALL
+  SELECT 85 + {_bonus(goal, ("compare", "rank", "top", "categor"))}, 'bar', s1, q1, bar_color, NULL,
+         'Compares ' || q1 || ' across ' || s1 || ' categories.' FROM k WHERE s1 IS NOT NULL AND q1 IS NOT NULL
+  UNION ALL
+  SELECT 80 + {_bonus(goal, ("correl", "relationship", "versus", "vs"))}, 'scatter', q1, q2, s1, q3,
+         'Shows the relationship between ' || q1 || ' and ' || q2 || '.' FROM k WHERE q2 IS NOT NULL
+  UNION ALL
+  SELECT 70 + {_bonus(goal, ("share", "proportion", "part"))}, 'pie', pie_x, q1, NULL, NULL,
+         'Shows each ' || pie_x || chr(39) || 's share of total ' || q1 || '.'
+  FROM k WHERE pie_x IS NOT NULL AND q1 IS NOT NULL
+  UNION ALL
+  SELECT 60, 'heatmap', s1, s2, q1, NULL, 'Shows ' || q1 || ' across ' || s1 || ' and ' || s2 || '.'
+  FROM k WHERE s2 IS NOT NULL AND q1 IS NOT NULL),
+recs AS (SELECT chart_type, x_field, y_field, color_field, size_field, reason,
+                CAST(row_number() OVER (ORDER BY score DESC, chart_type) AS INTEGER) AS priority
+         FROM specs QUALIFY priority <= 3),
+titled AS (SELECT *, substr(upper(chart_type[1]) || lower(chart_type[2:]) || ' of ' || y_field || ' by ' || x_field,
+                            1, 80) AS title FROM recs)"""
+
+
+_GOAL_RECOMMEND = "compare totals across priorities"
+_GOAL_CHECKS = "trend over time"
+
+
+@query("recommend_charts", _recommend_sql(_GOAL_RECOMMEND) + " SELECT * EXCLUDE (title) FROM titled")
 def recommend_charts(spark, d):
     """Ranked specs for orders (types and cardinality from one job)."""
     o = T(spark, d, "orders")
-    return cd.recommend_charts(o, "compare totals across priorities")
+    return cd.recommend_charts(o, _GOAL_RECOMMEND)
 
 
-@query("chart_checks")
+@query("chart_checks", _recommend_sql(_GOAL_CHECKS) + " SELECT * FROM titled")
 def chart_checks(spark, d):
     o = T(spark, d, "orders")
-    return cd.spec_title(cd.chart_checks(cd.recommend_charts(o, "trend over time")))
+    return cd.spec_title(cd.chart_checks(cd.recommend_charts(o, _GOAL_CHECKS)))
 
 
-@query("chart_list")
+@query("chart_list", _recommend_sql("") + """
+SELECT priority AS idx, title, chart_type || ':' || x_field || ':' || y_field AS image,
+       upper(chart_type[1]) || lower(chart_type[2:]) || ' visualization' AS description FROM titled""")
 def chart_list(spark, d):
     """The chart list built from the recommendations, one image
     reference per spec (the chart-data query that would be drawn)."""
