@@ -124,11 +124,18 @@ def _bonus(goal: str, words: tuple[str, ...], points: int = 10) -> str:
 
 def _recommend_sql(goal: str) -> str:
     """C12 rules in DuckDB over the per-column field types of orders."""
-    from tabulon.plans.q_profile import ORDERS, _field_types_sql
+    from tabulon.plans.q_profile import ORDERS
+    return "WITH " + recommend_ctes(goal, "orders", ORDERS)
+
+
+def recommend_ctes(goal: str, table: str, cols) -> str:
+    """C12 rules as DuckDB CTEs (ending in ``titled``) over ``table``, whose
+    columns are given as (name, type, semantic class)."""
+    from tabulon.plans.q_profile import _field_types_sql
     ints = ", ".join(f"('{c}', {str(dt in ('tinyint', 'smallint', 'int', 'bigint')).lower()})"
-                     for c, dt, _ in ORDERS)
+                     for c, dt, _ in cols)
     return f"""
-WITH meta AS ({_field_types_sql("orders", ORDERS)}),
+meta AS ({_field_types_sql(table, cols)}),
 f AS (SELECT m.*, (suffix(lower(m.column_name), 'id') OR suffix(lower(m.column_name), 'key')
                    OR (d.is_int AND m.n_unique = m.n_rows)) AS ident
       FROM meta m JOIN (VALUES {ints}) d(column_name, is_int) ON m.column_name = d.column_name),

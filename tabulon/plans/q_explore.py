@@ -115,7 +115,7 @@ def chart_report(spark, d):
     return rp.fill_placeholders(rp.report_markdown(charts, GOAL), charts)
 
 
-@query("report_sink")
+@query("report_sink", "SELECT report || E'\\n' AS markdown FROM (" + _CHART_REPORT_SQL + ")")
 def report_sink(spark, d):
     """The exploration report written as one markdown file under the
     shared scratch folder, read back as text."""
