@@ -247,27 +247,24 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     for p in probs:
         around += [max(0.0, p - margin), min(1.0, p + margin)]
     x = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    counts = df.agg(*[F.count(x[c]).alias(f"n{k}") for k, c in enumerate(cols)]).collect()[0]
-    n_max = max(counts[f"n{k}"] or 0 for k in range(len(cols)))
-    state = {}
-    if 0 < n_max <= SAMPLE_BRACKET_MAX_ROWS:
+    # Pass 0: the row count (no column is read; it bounds every column's n).
+    n_all = df.count()
+    if n_all == 0:
+        return spark.createDataFrame([], "column_name string, n long, " + ", ".join(f"{nm} double" for nm in names))
+    brackets = {}
+    if n_all <= SAMPLE_BRACKET_MAX_ROWS:
         # Pass 1 (moderate sizes): brackets from a uniform sample of about
         # SAMPLE_SIZE rows, cheaper than summaries; the counting pass below
         # still proves every bracket, so the answer stays exact.
         import numpy as np
         # At most SAMPLE_CELLS values reach the driver, however wide the table.
-        frac = min(1.0, SAMPLE_SIZE / n_max, SAMPLE_CELLS / (n_max * len(cols)))
+        frac = min(1.0, SAMPLE_SIZE / n_all, SAMPLE_CELLS / (n_all * len(cols)))
         proj = df.select(*[x[c].alias(f"s{k}") for k, c in enumerate(cols)])
         sample = (proj.filter(F.rand(17) < frac) if frac < 1.0 else proj).toPandas()
         for k, c in enumerate(cols):
-            n = counts[f"n{k}"]
-            if not n:
-                continue
             vals = np.sort(sample[f"s{k}"].dropna().to_numpy(dtype=float))
             m = len(vals)
             for i, p in enumerate(probs):
-                h = (n - 1) * p
-                r1 = int(h // 1) + 1
                 if m == 0:
                     lo, hi = float("-inf"), float("inf")
                 else:
@@ -275,34 +272,36 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     a, b = int(math.floor(p * (m - 1) - spread)), int(math.ceil(p * (m - 1) + spread))
                     lo = float(vals[a]) if a > 0 else float("-inf")
                     hi = float(vals[b]) if b < m - 1 else float("inf")
-                state[(k, i)] = dict(n=n, r1=r1, r2=min(r1 + 1, n), lo=lo, hi=hi)
+                brackets[(k, i)] = (lo, hi)
     else:
         # Pass 1 (large): approximate neighbours of every target, one aggregation.
         aggs = [F.percentile_approx(x[c], around, accuracy).alias(f"a{k}") for k, c in enumerate(cols)]
         row = df.agg(*aggs).collect()[0]
         for k, c in enumerate(cols):
-            n = counts[f"n{k}"]
-            if not n:
-                continue
             for i, p in enumerate(probs):
-                h = (n - 1) * p
-                r1 = int(h // 1) + 1
-                state[(k, i)] = dict(n=n, r1=r1, r2=min(r1 + 1, n), lo=row[f"a{k}"][2 * i],
-                                     hi=row[f"a{k}"][2 * i + 1])
-    if not state:
-        return spark.createDataFrame([], "column_name string, n long, " + ", ".join(f"{nm} double" for nm in names))
-    # Pass 2: exact counts below and inside each bracket.
-    aggs = []
-    for (k, i), s_ in state.items():
+                g = row[f"a{k}"]
+                brackets[(k, i)] = (g[2 * i], g[2 * i + 1]) if g else (float("-inf"), float("inf"))
+    # Pass 2: each column's non-null count, and exact counts below and inside
+    # each bracket, in one aggregation.
+    aggs = [F.count(x[c]).alias(f"n{k}") for k, c in enumerate(cols)]
+    for (k, i), (lo, hi) in brackets.items():
         c = x[cols[k]]
-        aggs += [F.count_if(c < F.lit(s_["lo"])).alias(f"b{k}_{i}"),
-                 F.count_if((c >= F.lit(s_["lo"])) & (c <= F.lit(s_["hi"]))).alias(f"c{k}_{i}")]
+        aggs += [F.count_if(c < F.lit(lo)).alias(f"b{k}_{i}"),
+                 F.count_if((c >= F.lit(lo)) & (c <= F.lit(hi))).alias(f"c{k}_{i}")]
     row = df.agg(*aggs).collect()[0]
-    for (k, i), s_ in state.items():
-        s_["below"], s_["cin"] = row[f"b{k}_{i}"], row[f"c{k}_{i}"]
+    state = {}
+    for (k, i), (lo, hi) in brackets.items():
+        n = row[f"n{k}"]
+        if not n:
+            continue
+        r1 = int(((n - 1) * probs[i]) // 1) + 1
+        s_ = state[(k, i)] = dict(n=n, r1=r1, r2=min(r1 + 1, n), lo=lo, hi=hi,
+                                  below=row[f"b{k}_{i}"], cin=row[f"c{k}_{i}"])
         if not (s_["below"] < s_["r1"] and s_["below"] + s_["cin"] >= s_["r2"]) or s_["cin"] > BRACKET_LIMIT:
             # Unverified or wide bracket: the general path narrows or sorts.
             return exact_quantiles(long_form(df, cols), probs, accuracy=accuracy)
+    if not state:
+        return spark.createDataFrame([], "column_name string, n long, " + ", ".join(f"{nm} double" for nm in names))
     # Pass 3: unpivot only the in-bracket rows, order them per bracket.
     conds = {key: (x[cols[key[0]]] >= F.lit(s_["lo"])) & (x[cols[key[0]]] <= F.lit(s_["hi"]))
              for key, s_ in state.items()}

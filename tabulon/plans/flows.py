@@ -18,7 +18,7 @@ from tabulon.operators import explore as ex
 from tabulon.operators import quality as qa
 from tabulon.operators import report as rp
 from tabulon.operators import stats as st
-from tabulon.session import ensure_checkpoint_dir, reliable_checkpoint, small_frame
+from tabulon.session import ensure_checkpoint_dir, shared_table, small_frame
 from tabulon.sources.files import load
 
 
@@ -36,8 +36,9 @@ class QuickAnalysis:
 
 def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
                    goal: str = "") -> QuickAnalysis:
-    """F1.  The cleaned table is checkpointed once (reliable, shared folder)
-    so the three branches reuse it instead of re-running the cleaning."""
+    """F1.  The cleaned table is written once as Parquet to the shared
+    checkpoint folder, so the three branches reuse it instead of re-running
+    the cleaning, and each reads only the columns it needs."""
     spark = df.sparkSession
     # Outliers (one row per column) are computed once: they feed the report
     # and the clipping bounds of the cleaning step.
@@ -45,7 +46,7 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
     report = small_frame(qa.quality_report(df, approx=approx, outliers=outl))
     if auto_clean:
         bounds = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in outl.collect()}
-        cleaned = reliable_checkpoint(qa.clean(df, approx=approx, bounds=bounds))
+        cleaned = shared_table(qa.clean(df, approx=approx, bounds=bounds), "cleaned")
     else:
         cleaned = df
     removed = small_frame(qa.rows_removed(df, cleaned))

@@ -74,6 +74,21 @@ def reliable_checkpoint(df):
         df.unpersist()
 
 
+def shared_table(df, name: str = "table"):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: the lineage is cut like a checkpoint, and later passes that need a
+    few columns read only those (column pruning, vectorised reader) instead
+    of deserialising whole rows."""
+    import uuid
+    if "void" in df.schema.simpleString():
+        # Parquet cannot hold an untyped all-null column.
+        return reliable_checkpoint(df)
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tabulon-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_frame(df):
     """Materialise a result known to be tiny (one row per column or per
     group of a few) as a local relation: one job, no recomputation later."""

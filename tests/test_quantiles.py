@@ -65,16 +65,21 @@ def test_select_path_is_exact_with_refinement(spark, monkeypatch, limit):
         assert r[nm] == pytest.approx(brute(a, p), abs=1e-12)
 
 
-@pytest.mark.parametrize("driver_limit", [0, 200_000])
-def test_column_quantiles_both_resolve_paths(spark, monkeypatch, driver_limit):
+@pytest.mark.parametrize("driver_limit,sample_max", [(0, 50_000_000), (200_000, 50_000_000), (200_000, 0)])
+def test_column_quantiles_both_resolve_paths(spark, monkeypatch, driver_limit, sample_max):
+    """Both resolve paths, and both bracket sources (sample; summaries as for
+    tables above the sample limit)."""
     from tabulon.operators import ranking
     monkeypatch.setattr(ranking, "DRIVER_RESOLVE_LIMIT", driver_limit)
+    monkeypatch.setattr(ranking, "SAMPLE_BRACKET_MAX_ROWS", sample_max)
     rng = np.random.default_rng(11)
     a = rng.normal(size=2500).round(2)
     b = rng.integers(0, 4, size=2500)
-    rows = [(float(x), int(y), None if i % 9 == 0 else float(x) * 2) for i, (x, y) in enumerate(zip(a, b))]
-    df = spark.createDataFrame(rows, "a double, b long, c double").repartition(4)
-    got = {r["column_name"]: r for r in ranking.column_quantiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75]).collect()}
+    rows = [(float(x), int(y), None if i % 9 == 0 else float(x) * 2, None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b long, c double, e double").repartition(4)
+    got = {r["column_name"]: r for r in
+           ranking.column_quantiles(df, ["a", "b", "c", "e"], [0.25, 0.5, 0.75]).collect()}
+    assert got["e"]["n"] == 0 and got["e"]["q0500"] is None
     cvals = [r[2] for r in rows if r[2] is not None]
     for col, vals in (("a", a), ("b", b), ("c", cvals)):
         for p, nm in ((0.25, "q0250"), (0.5, "q0500"), (0.75, "q0750")):
