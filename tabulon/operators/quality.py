@@ -24,12 +24,27 @@ def _row_count(df: DataFrame):
     return df.select(F.count(F.lit(1))).scalar()
 
 
-def missing_values(df: DataFrame) -> DataFrame:
-    """Q1: columns with at least one null: count and percent of all rows."""
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count_if(q(c).isNull()).alias(f"_m{i}")
-                                             for i, c in enumerate(df.columns)]
-    wide = df.agg(*aggs)
-    long = wide.select(F.col("_n"), F.inline(F.array(*[
+def column_counts(df: DataFrame) -> DataFrame:
+    """One aggregation (a single scan) behind Q1 and Q3: the row count, each
+    column's null count and, for text columns, the non-null and the
+    numeric-looking counts."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, f in enumerate(df.schema.fields):
+        c = q(f.name)
+        aggs.append(F.count_if(c.isNull()).alias(f"_m{i}"))
+        if isinstance(f.dataType, T.StringType):
+            aggs += [F.count(c).alias(f"_c{i}"), F.count_if(c.rlike(NUMERIC_TEXT)).alias(f"_k{i}")]
+    return df.agg(*aggs)
+
+
+def missing_values(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Q1: columns with at least one null: count and percent of all rows.
+
+    ``counts`` is :func:`column_counts` of ``df`` when the caller has it."""
+    if counts is None:
+        counts = df.agg(F.count(F.lit(1)).alias("_n"),
+                        *[F.count_if(q(c).isNull()).alias(f"_m{i}") for i, c in enumerate(df.columns)])
+    long = counts.select(F.col("_n"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), F.col(f"_m{i}").alias("n_missing"))
         for i, c in enumerate(df.columns)])))
     return long.filter(F.col("n_missing") > 0).select(
@@ -72,19 +87,20 @@ def outliers_iqr(df: DataFrame, cols: list[str] | None = None, bounds: DataFrame
     return local_frame(df.sparkSession, out, schema)
 
 
-def numeric_as_string(df: DataFrame) -> DataFrame:
+def numeric_as_string(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Q3: text columns whose every non-null value reads as a number."""
-    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    text = [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
     empty = "column_name string, issue string, recommendation string"
-    if not cols:
+    if not text:
         return df.sparkSession.createDataFrame([], empty)
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(q(c)).alias(f"_c{i}"), F.count_if(q(c).rlike(NUMERIC_TEXT)).alias(f"_k{i}")]
-    wide = df.agg(*aggs)
-    long = wide.select(F.inline(F.array(*[
+    if counts is None:
+        aggs = []
+        for i, c in text:
+            aggs += [F.count(q(c)).alias(f"_c{i}"), F.count_if(q(c).rlike(NUMERIC_TEXT)).alias(f"_k{i}")]
+        counts = df.agg(*aggs)
+    long = counts.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
-                 F.col(f"_c{i}").alias("n"), F.col(f"_k{i}").alias("k")) for i, c in enumerate(cols)])))
+                 F.col(f"_c{i}").alias("n"), F.col(f"_k{i}").alias("k")) for i, c in text])))
     return long.filter((F.col("n") > 0) & (F.col("n") == F.col("k"))).select(
         "column_name",
         F.lit("Column appears numeric but stored as string").alias("issue"),
@@ -141,15 +157,17 @@ def quality_issue_table(missing: DataFrame, outliers: DataFrame) -> DataFrame:
     return a.unionByName(b).orderBy(F.desc("percentage"), "column_name", "issue_type")
 
 
-def quality_report(df: DataFrame, approx: bool = False, outliers: DataFrame | None = None) -> DataFrame:
+def quality_report(df: DataFrame, approx: bool = False, outliers: DataFrame | None = None,
+                   counts: DataFrame | None = None) -> DataFrame:
     """Q14: one row with score, band, affected-column counts and per-column maps.
 
     The per-column results (one row per column) are materialised once, so
     the several summaries below read them instead of re-scanning the table."""
-    miss = small_frame(missing_values(df))
+    counts = small_frame(column_counts(df)) if counts is None else counts
+    miss = small_frame(missing_values(df, counts))
     outl = small_frame(outliers_iqr(df, approx=approx)) if outliers is None else outliers
     dups = small_frame(duplicate_rows(df))
-    types = small_frame(numeric_as_string(df))
+    types = small_frame(numeric_as_string(df, counts))
     score = quality_score(miss, outl, dups)
     miss_map = miss.agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct("column_name", F.struct("n_missing", "percentage"))))).alias("m")).select("m").scalar()
@@ -207,11 +225,17 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
 
 
 def fill_missing(df: DataFrame, approx: bool = False, numeric: bool = True,
-                 categorical: bool = True) -> DataFrame:
+                 categorical: bool = True, candidates: list[str] | None = None) -> DataFrame:
     """Q7/Q8: numeric nulls → column median (integers become double),
-    other nulls → column mode; all-null columns stay as they are."""
-    nulls = df.agg(*[F.count_if(q(c).isNull()).alias(c) for c in df.columns]).collect()[0].asDict()
-    todo = [c for c in df.columns if nulls[c] > 0]
+    other nulls → column mode; all-null columns stay as they are.
+
+    ``candidates`` (when known) are the only columns that may hold nulls;
+    with none, no pass over the data is needed."""
+    check = df.columns if candidates is None else [c for c in df.columns if c in set(candidates)]
+    if not check:
+        return df
+    nulls = df.agg(*[F.count_if(q(c).isNull()).alias(f"_m{i}") for i, c in enumerate(check)]).collect()[0]
+    todo = [c for i, c in enumerate(check) if nulls[f"_m{i}"] > 0]
     types = {f.name: f.dataType for f in df.schema.fields}
     num = [c for c in todo if is_numeric(types[c])] if numeric else []
     cat = [c for c in todo if not is_numeric(types[c])] if categorical else []
@@ -247,11 +271,14 @@ def outlier_bounds(df: DataFrame, approx: bool = False) -> dict[str, tuple[float
             for r in outliers_iqr(df, approx=approx).collect()}
 
 
-def clean(df: DataFrame, approx: bool = False, bounds: dict | None = None) -> DataFrame:
-    """Q11: drop sparse rows → fill → clip (fences of the uncleaned table) → distinct."""
+def clean(df: DataFrame, approx: bool = False, bounds: dict | None = None,
+          null_columns: list[str] | None = None) -> DataFrame:
+    """Q11: drop sparse rows → fill → clip (fences of the uncleaned table) → distinct.
+
+    ``null_columns``: the columns with nulls in ``df``, when already known."""
     bounds = outlier_bounds(df, approx) if bounds is None else bounds
     step = drop_sparse_rows(df)
-    step = fill_missing(step, approx)
+    step = fill_missing(step, approx, candidates=null_columns)
     step = winsorize(step, bounds)
     return step.dropDuplicates()
 

@@ -43,10 +43,14 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
     # Outliers (one row per column) are computed once: they feed the report
     # and the clipping bounds of the cleaning step.
     outl = small_frame(qa.outliers_iqr(df, approx=approx))
-    report = small_frame(qa.quality_report(df, approx=approx, outliers=outl))
+    # Null and text counts of every column: one scan shared by the report
+    # and the cleaning.
+    counts = small_frame(qa.column_counts(df))
+    report = small_frame(qa.quality_report(df, approx=approx, outliers=outl, counts=counts))
     if auto_clean:
         bounds = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in outl.collect()}
-        cleaned = shared_table(qa.clean(df, approx=approx, bounds=bounds), "cleaned")
+        nulls = [r["column_name"] for r in qa.missing_values(df, counts).collect()]
+        cleaned = shared_table(qa.clean(df, approx=approx, bounds=bounds, null_columns=nulls), "cleaned")
     else:
         cleaned = df
     removed = small_frame(qa.rows_removed(df, cleaned))
