@@ -19,6 +19,17 @@ _WRITE_WORDS = re.compile(r"\b(insert|update|delete|merge|drop|create|alter|trun
                           r"set|reset|add|cache|uncache|refresh|load|msck|use)\b\s", re.IGNORECASE)
 
 
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when a bounded count proves it small (it stops
+    reading at ``max_rows + 1`` rows); otherwise the join strategy is left to
+    Spark and AQE, which measure the side at run time."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def check_read_only(query: str) -> str:
     """R2: allow exactly one SELECT/WITH statement."""
     body = query.strip().rstrip(";").strip()
