@@ -61,7 +61,7 @@ def _packed(keys, fn):
 
 def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
                      partial=None, partial_schema: str | None = None, salt_buckets: int = 64,
-                     pack_buckets: int | None = None) -> DataFrame:
+                     pack_buckets: int | None = None, pack_rows: int | None = None) -> DataFrame:
     """Pandas function per key.
 
     Without ``partial`` the function sees each whole group: use it for keys
@@ -72,8 +72,15 @@ def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
 
     ``pack_buckets`` hashes many small keys into each task-level group and
     applies ``fn`` per key inside it, which removes the per-group overhead
-    when there are millions of tiny groups (keys must then be bounded)."""
+    when there are millions of tiny groups (keys must then be bounded).
+    ``pack_rows`` sizes the buckets from the data instead: about that many
+    rows per bucket (a row count sets the number of buckets, never fewer
+    than four per shuffle partition), so a packed group stays the same size
+    however large the table grows."""
     if partial is None:
+        if pack_rows:
+            width = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            pack_buckets = max(width, -(-df.count() // pack_rows))
         if pack_buckets:
             bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(pack_buckets))
             return (df.withColumn("_bucket", bucket).groupBy("_bucket")

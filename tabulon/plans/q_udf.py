@@ -32,6 +32,10 @@ def per_order(pdf: pd.DataFrame) -> pd.DataFrame:
                          "max_line_share": [float(net.max() / total) if total else None]})
 
 
+# Rows per packed applyInPandas group: bounded memory per Python worker call.
+PACK_ROWS = 200_000
+
+
 @query("fn_grouped", """
 SELECT l_orderkey, count(*) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 6) AS order_net,
        round(max(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice * (1 - l_discount)), 6) AS max_line_share
@@ -39,10 +43,9 @@ FROM lineitem GROUP BY l_orderkey""")
 def fn_grouped(spark, d):
     """U2 per order: an order's lines are a bounded group (at most seven)."""
     li = T(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = udf.grouped_function(li, ["l_orderkey"], per_order,
                              "l_orderkey long, n_lines long, order_net double, max_line_share double",
-                             pack_buckets=buckets)
+                             pack_rows=PACK_ROWS)
     return g.select("l_orderkey", "n_lines", F.round("order_net", 6).alias("order_net"),
                     F.round("max_line_share", 6).alias("max_line_share"))
 
