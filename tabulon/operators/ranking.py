@@ -226,13 +226,26 @@ def _sorted_quantiles(long, probs, keys, value):
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10000,
-                     approx: bool = False) -> DataFrame:
+                     approx: bool = False, extra: dict | None = None,
+                     extra_out: dict | None = None) -> DataFrame:
     """Exact quantiles of several columns of one table (no unpivot of the data).
 
     Same bracket-and-verify method as :func:`exact_quantiles`, but the two
     counting passes are single wide aggregations with literal bounds, and
     only the rows inside a bracket are unpivoted.  Returns a small frame
-    (column_name, n, q…)."""
+    (column_name, n, q…).
+
+    ``extra`` (name → aggregate column) rides along in the counting pass, so
+    a caller's own statistics cost no scan of their own; their values land
+    in ``extra_out``."""
+    res = _column_quantiles(df, cols, probs, accuracy, approx, extra or {}, extra_out)
+    if extra and extra_out is not None and not extra_out:
+        # The counting pass did not run (approximate or empty input).
+        extra_out.update(df.agg(*[e.alias(k) for k, e in extra.items()]).collect()[0].asDict())
+    return res
+
+
+def _column_quantiles(df, cols, probs, accuracy, approx, extra, extra_out):
     from pyspark.sql import types as T
     names = quantile_names(probs)
     spark = df.sparkSession
@@ -284,11 +297,14 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     # Pass 2: each column's non-null count, and exact counts below and inside
     # each bracket, in one aggregation.
     aggs = [F.count(x[c]).alias(f"n{k}") for k, c in enumerate(cols)]
+    aggs += [e.alias(f"_x_{name}") for name, e in extra.items()]
     for (k, i), (lo, hi) in brackets.items():
         c = x[cols[k]]
         aggs += [F.count_if(c < F.lit(lo)).alias(f"b{k}_{i}"),
                  F.count_if((c >= F.lit(lo)) & (c <= F.lit(hi))).alias(f"c{k}_{i}")]
     row = df.agg(*aggs).collect()[0]
+    if extra_out is not None:
+        extra_out.update({name: row[f"_x_{name}"] for name in extra})
     state = {}
     for (k, i), (lo, hi) in brackets.items():
         n = row[f"n{k}"]

@@ -25,15 +25,19 @@ def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False)
     """Count, mean, sample std, min, 25/50/75 % (linear), max per numeric
     column, plus the table's row count (small result: one row per column)."""
     cols = numeric_or_error(df, cols)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = {"_rows": F.count(F.lit(1))}
     for k, c in enumerate(cols):
         x = q(c).cast("double")
-        aggs += [F.count(x).alias(f"c{k}"), F.avg(x).alias(f"m{k}"), F.stddev_samp(x).alias(f"s{k}"),
-                 F.min(x).alias(f"lo{k}"), F.max(x).alias(f"hi{k}")]
-    row = df.agg(*aggs).collect()[0]
-    qs = {r["column_name"]: r for r in column_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx).collect()}
-    out = [(c, k + 1, row[f"c{k}"], row[f"m{k}"], row[f"s{k}"], row[f"lo{k}"], qs[c]["q0250"], qs[c]["q0500"],
-            qs[c]["q0750"], row[f"hi{k}"], row["_rows"]) for k, c in enumerate(cols)]
+        aggs.update({f"c{k}": F.count(x), f"m{k}": F.avg(x), f"s{k}": F.stddev_samp(x),
+                     f"lo{k}": F.min(x), f"hi{k}": F.max(x)})
+    # The moments ride along in the quantiles' counting pass (no scan of their own).
+    row: dict = {}
+    qs = {r["column_name"]: r for r in column_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx,
+                                                         extra=aggs, extra_out=row).collect()}
+    none = {"q0250": None, "q0500": None, "q0750": None}     # an all-null column has no quantiles
+    out = [(c, k + 1, row[f"c{k}"], row[f"m{k}"], row[f"s{k}"], row[f"lo{k}"], qs.get(c, none)["q0250"],
+            qs.get(c, none)["q0500"], qs.get(c, none)["q0750"], row[f"hi{k}"], row["_rows"])
+           for k, c in enumerate(cols)]
     return local_frame(df.sparkSession, out, "column_name string, position int, count long, mean double, std double, "
                        "min double, p25 double, p50 double, p75 double, max double, row_count long")
 

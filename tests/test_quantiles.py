@@ -85,3 +85,22 @@ def test_column_quantiles_both_resolve_paths(spark, monkeypatch, driver_limit, s
         for p, nm in ((0.25, "q0250"), (0.5, "q0500"), (0.75, "q0750")):
             assert got[col][nm] == pytest.approx(brute(vals, p), abs=1e-9)
     assert got["c"]["n"] == len(cvals)
+
+
+def test_describe_moments_on_every_quantile_path(spark):
+    """The moments ride along in the quantile counting pass; when that pass
+    does not run (approximate mode, empty table) they are still computed."""
+    from tabulon.operators.stats import describe
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=1200).round(3)
+    df = spark.createDataFrame([(float(x), None) for x in a], "a double, e double")
+    exact = {r["column_name"]: r for r in describe(df, ["a", "e"]).collect()}
+    approx = {r["column_name"]: r for r in describe(df, ["a", "e"], approx=True).collect()}
+    for r in (exact["a"], approx["a"]):
+        assert r["count"] == 1200 and r["row_count"] == 1200
+        assert r["mean"] == pytest.approx(a.mean()) and r["std"] == pytest.approx(a.std(ddof=1))
+        assert r["min"] == a.min() and r["max"] == a.max()
+    assert exact["a"]["p50"] == pytest.approx(brute(a, 0.5))
+    assert exact["e"]["count"] == 0 and exact["e"]["mean"] is None and exact["e"]["p50"] is None
+    empty = describe(df.limit(0), ["a"]).collect()[0]
+    assert empty["count"] == 0 and empty["row_count"] == 0 and empty["p25"] is None
