@@ -24,17 +24,36 @@ def _row_count(df: DataFrame):
     return df.select(F.count(F.lit(1))).scalar()
 
 
-def column_counts(df: DataFrame) -> DataFrame:
-    """One aggregation (a single scan) behind Q1 and Q3: the row count, each
+def column_count_aggs(df: DataFrame) -> dict:
+    """The aggregates behind Q1 and Q3 (name → column): the row count, each
     column's null count and, for text columns, the non-null and the
     numeric-looking counts."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = {"_n": F.count(F.lit(1))}
     for i, f in enumerate(df.schema.fields):
         c = q(f.name)
-        aggs.append(F.count_if(c.isNull()).alias(f"_m{i}"))
+        aggs[f"_m{i}"] = F.count_if(c.isNull())
         if isinstance(f.dataType, T.StringType):
-            aggs += [F.count(c).alias(f"_c{i}"), F.count_if(c.rlike(NUMERIC_TEXT)).alias(f"_k{i}")]
-    return df.agg(*aggs)
+            aggs[f"_c{i}"] = F.count(c)
+            aggs[f"_k{i}"] = F.count_if(c.rlike(NUMERIC_TEXT))
+    return aggs
+
+
+def column_counts(df: DataFrame) -> DataFrame:
+    """:func:`column_count_aggs` as one aggregation (a single scan)."""
+    return df.agg(*[e.alias(k) for k, e in column_count_aggs(df).items()])
+
+
+def counts_with_outliers(df: DataFrame, approx: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Q1–Q3 inputs with one scan less: the column counts ride along in the
+    counting pass of the outlier fences' quantiles.  Returns (counts as a
+    one-row frame, outliers)."""
+    got: dict = {}
+    outl = small_frame(outliers_iqr(df, approx=approx, extra=column_count_aggs(df), extra_out=got))
+    if not got:
+        return small_frame(column_counts(df)), outl
+    names = list(column_count_aggs(df))
+    return local_frame(df.sparkSession, [tuple(got[k] for k in names)],
+                       ", ".join(f"{k} long" for k in names)), outl
 
 
 def missing_values(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -52,10 +71,14 @@ def missing_values(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         (F.col("n_missing") / F.col("_n") * 100).alias("percentage"))
 
 
-def iqr_bounds(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Q1/Q3 (linear interpolation) and the 1.5·IQR fences per numeric column."""
+def iqr_bounds(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
+               extra: dict | None = None, extra_out: dict | None = None) -> DataFrame:
+    """Q1/Q3 (linear interpolation) and the 1.5·IQR fences per numeric column.
+
+    ``extra``/``extra_out``: aggregates computed in the same counting pass
+    (see :func:`column_quantiles`)."""
     cols = numeric_columns(df) if cols is None else cols
-    qs = column_quantiles(df, cols, [0.25, 0.75], approx=approx)
+    qs = column_quantiles(df, cols, [0.25, 0.75], approx=approx, extra=extra, extra_out=extra_out)
     iqr = F.col("q0750") - F.col("q0250")
     return qs.select("column_name", F.col("q0250").alias("q1"), F.col("q0750").alias("q3"),
                      (F.col("q0250") - 1.5 * iqr).alias("lower_bound"),
@@ -63,7 +86,7 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, approx: bool = Fals
 
 
 def outliers_iqr(df: DataFrame, cols: list[str] | None = None, bounds: DataFrame | None = None,
-                 approx: bool = False) -> DataFrame:
+                 approx: bool = False, extra: dict | None = None, extra_out: dict | None = None) -> DataFrame:
     """Q2: values strictly outside the fences; percent over all rows (nulls too);
     only columns with at least one hit.
 
@@ -73,7 +96,7 @@ def outliers_iqr(df: DataFrame, cols: list[str] | None = None, bounds: DataFrame
     schema = "column_name string, n_outliers long, percentage double, lower_bound double, upper_bound double"
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
-    bounds = iqr_bounds(df, cols, approx) if bounds is None else bounds
+    bounds = iqr_bounds(df, cols, approx, extra, extra_out) if bounds is None else bounds
     fences = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in bounds.collect()
               if r["lower_bound"] is not None}
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -163,6 +186,8 @@ def quality_report(df: DataFrame, approx: bool = False, outliers: DataFrame | No
 
     The per-column results (one row per column) are materialised once, so
     the several summaries below read them instead of re-scanning the table."""
+    if counts is None and outliers is None:
+        counts, outliers = counts_with_outliers(df, approx)
     counts = small_frame(column_counts(df)) if counts is None else counts
     miss = small_frame(missing_values(df, counts))
     outl = small_frame(outliers_iqr(df, approx=approx)) if outliers is None else outliers

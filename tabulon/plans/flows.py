@@ -40,12 +40,10 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
     checkpoint folder, so the three branches reuse it instead of re-running
     the cleaning, and each reads only the columns it needs."""
     spark = df.sparkSession
-    # Outliers (one row per column) are computed once: they feed the report
-    # and the clipping bounds of the cleaning step.
-    outl = small_frame(qa.outliers_iqr(df, approx=approx))
-    # Null and text counts of every column: one scan shared by the report
-    # and the cleaning.
-    counts = small_frame(qa.column_counts(df))
+    # Outliers (one row per column) feed the report and the clipping bounds;
+    # the null and text counts of every column ride along in their counting
+    # pass and are shared by the report and the cleaning.
+    counts, outl = qa.counts_with_outliers(df, approx)
     report = small_frame(qa.quality_report(df, approx=approx, outliers=outl, counts=counts))
     if auto_clean:
         bounds = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in outl.collect()}
