@@ -54,7 +54,7 @@ def _quick_analysis_sql(table: str, cols, with_ctes: str = "") -> str:
         else:
             clipped.append(c)
     nonnull = " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in names)
-    means = union(f"SELECT 'describe' AS section, '{c}.mean' AS item, CAST(round(avg({c}), 6) AS VARCHAR) AS value, "
+    means = union(f"SELECT 'describe' AS section, '{c}.mean' AS item, CAST(round(avg({c}), 4) AS VARCHAR) AS value, "
                   f"CAST({i} AS INTEGER) AS o FROM cleaned" for i, c in enumerate(nums))
     return f"""
 WITH {with_ctes}src AS (SELECT * FROM {table}),
