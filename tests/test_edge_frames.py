@@ -155,3 +155,18 @@ def test_fenced_json(spark):
     assert all(out[i]["json_ok"] for i in (1, 2, 3, 5, 6)) and not out[4]["json_ok"]
     assert out[1]["missing_keys"] == "" and out[3]["missing_keys"] == ""
     assert out[6]["missing_keys"] == "columns"
+
+
+def test_duplicate_rows_nulls_in_different_places(spark):
+    """(1, null) and (null, 1) are different rows even though Spark's row hash
+    skips nulls; (null, 1) twice is one copy."""
+    df = spark.createDataFrame([(1, None), (None, 1), (None, 1), (2, 2)], "a int, b int")
+    r = qa.duplicate_rows(df).collect()[0]
+    assert (r["n_rows"], r["n_distinct"], r["n_duplicates"]) == (4, 3, 1)
+    clean = qa.duplicate_rows(df.distinct()).collect()[0]
+    assert (clean["n_rows"], clean["n_distinct"], clean["n_duplicates"]) == (3, 3, 0)
+    hot = spark.createDataFrame([(7, "x")] * 50 + [(i, "y") for i in range(50)], "a int, b string")
+    h = qa.duplicate_rows(hot).collect()[0]
+    assert (h["n_rows"], h["n_distinct"], h["n_duplicates"]) == (100, 51, 49)
+    e = qa.duplicate_rows(df.limit(0)).collect()[0]
+    assert e["n_rows"] == 0 and e["n_duplicates"] == 0
