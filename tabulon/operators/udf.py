@@ -59,6 +59,13 @@ def _packed(keys, fn):
     return run
 
 
+def pack_bucket_count(df: DataFrame, pack_rows: int) -> int:
+    """Buckets for about ``pack_rows`` rows each (one row count), never fewer
+    than four per shuffle partition."""
+    width = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, -(-df.count() // pack_rows))
+
+
 def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
                      partial=None, partial_schema: str | None = None, salt_buckets: int = 64,
                      pack_buckets: int | None = None, pack_rows: int | None = None) -> DataFrame:
@@ -79,8 +86,7 @@ def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
     however large the table grows."""
     if partial is None:
         if pack_rows:
-            width = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            pack_buckets = max(width, -(-df.count() // pack_rows))
+            pack_buckets = pack_bucket_count(df, pack_rows)
         if pack_buckets:
             bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(pack_buckets))
             return (df.withColumn("_bucket", bucket).groupBy("_bucket")

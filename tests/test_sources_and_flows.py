@@ -175,3 +175,36 @@ def test_one_hot_and_report_sink(spark, scratch):
     path = write_report(rep, f"{scratch}/report")
     text = spark.read.text(path, wholetext=True).collect()[0][0]
     assert text.startswith("# Title")
+
+
+def test_bounded_broadcast_hints_only_small_sides(spark):
+    from tabulon.operators.relational import bounded_broadcast
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    dim = spark.range(10).withColumnRenamed("id", "k")
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # only hints may broadcast
+    try:
+        small_plan = big.join(bounded_broadcast(dim, max_rows=10), "k")._jdf.queryExecution().executedPlan().toString()
+        large_plan = big.join(bounded_broadcast(dim, max_rows=9), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert "BroadcastHashJoin" in small_plan
+    assert "BroadcastHashJoin" not in large_plan
+
+
+def test_packed_grouped_function_bucket_count(spark):
+    """Packed groups: as many buckets as the row count asks for, never fewer
+    than four per shuffle partition; the result is the per-key one."""
+    import pandas as pd
+    from tabulon.operators import udf
+    df = spark.range(3000).select((F.col("id") % 300).alias("k"), F.col("id").cast("double").alias("v"))
+
+    def per_key(pdf):
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "n": [len(pdf)], "s": [float(pdf["v"].sum())]})
+
+    out = udf.grouped_function(df, ["k"], per_key, "k long, n long, s double", pack_rows=100)
+    rows = out.collect()
+    assert len(rows) == 300 and {r["n"] for r in rows} == {10}
+    assert sum(r["s"] for r in rows) == float(sum(range(3000)))
+    assert udf.pack_bucket_count(df, 100) == 32      # 30 by rows, at least 4 × 8 partitions
+    assert udf.pack_bucket_count(df, 10) == 300      # by rows
