@@ -43,17 +43,28 @@ def column_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[e.alias(k) for k, e in column_count_aggs(df).items()])
 
 
-def counts_with_outliers(df: DataFrame, approx: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Q1–Q3 inputs with one scan less: the column counts ride along in the
-    counting pass of the outlier fences' quantiles.  Returns (counts as a
-    one-row frame, outliers)."""
+def quality_pass(df: DataFrame, approx: bool = False, probs=(0.25, 0.75), extra: dict | None = None):
+    """The quantiles of every numeric column at ``probs`` (which hold 0.25 and
+    0.75), with the column counts of Q1/Q3 and the caller's ``extra``
+    aggregates riding along in their counting pass; then the outlier hits.
+
+    Returns (counts as a one-row frame, outliers, quantiles, extra values)."""
+    nums = numeric_columns(df)
+    count_aggs = column_count_aggs(df)
     got: dict = {}
-    outl = small_frame(outliers_iqr(df, approx=approx, extra=column_count_aggs(df), extra_out=got))
-    if not got:
-        return small_frame(column_counts(df)), outl
-    names = list(column_count_aggs(df))
-    return local_frame(df.sparkSession, [tuple(got[k] for k in names)],
-                       ", ".join(f"{k} long" for k in names)), outl
+    qs = small_frame(column_quantiles(df, nums, list(probs), approx=approx,
+                                      extra={**count_aggs, **(extra or {})}, extra_out=got))
+    outl = small_frame(outliers_iqr(df, nums, bounds=fences(qs)))
+    counts = local_frame(df.sparkSession, [tuple(got[k] for k in count_aggs)],
+                         ", ".join(f"{k} long" for k in count_aggs))
+    return counts, outl, qs, {k: got[k] for k in (extra or {})}
+
+
+def counts_with_outliers(df: DataFrame, approx: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Q1–Q3 inputs with one scan less (see :func:`quality_pass`).  Returns
+    (counts as a one-row frame, outliers)."""
+    counts, outl, _, _ = quality_pass(df, approx)
+    return counts, outl
 
 
 def missing_values(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -78,7 +89,11 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, approx: bool = Fals
     ``extra``/``extra_out``: aggregates computed in the same counting pass
     (see :func:`column_quantiles`)."""
     cols = numeric_columns(df) if cols is None else cols
-    qs = column_quantiles(df, cols, [0.25, 0.75], approx=approx, extra=extra, extra_out=extra_out)
+    return fences(column_quantiles(df, cols, [0.25, 0.75], approx=approx, extra=extra, extra_out=extra_out))
+
+
+def fences(qs: DataFrame) -> DataFrame:
+    """The 1.5·IQR fences from a quantile frame holding q0250 and q0750."""
     iqr = F.col("q0750") - F.col("q0250")
     return qs.select("column_name", F.col("q0250").alias("q1"), F.col("q0750").alias("q3"),
                      (F.col("q0250") - 1.5 * iqr).alias("lower_bound"),

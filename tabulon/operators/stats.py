@@ -21,28 +21,43 @@ def numeric_or_error(df: DataFrame, cols: list[str] | None, minimum: int = 1) ->
     return cols
 
 
-def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Count, mean, sample std, min, 25/50/75 % (linear), max per numeric
-    column, plus the table's row count (small result: one row per column)."""
-    cols = numeric_or_error(df, cols)
+def moment_aggs(cols: list[str]) -> dict:
+    """Row count and per-column count, mean, sample std, min and max (name →
+    aggregate), shared by describe and the first pass of correlation."""
     aggs = {"_rows": F.count(F.lit(1))}
     for k, c in enumerate(cols):
         x = q(c).cast("double")
         aggs.update({f"c{k}": F.count(x), f"m{k}": F.avg(x), f"s{k}": F.stddev_samp(x),
                      f"lo{k}": F.min(x), f"hi{k}": F.max(x)})
+    return aggs
+
+
+DESCRIBE_PROBS = [0.25, 0.5, 0.75]
+
+
+def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """Count, mean, sample std, min, 25/50/75 % (linear), max per numeric
+    column, plus the table's row count (small result: one row per column)."""
+    cols = numeric_or_error(df, cols)
     # The moments ride along in the quantiles' counting pass (no scan of their own).
     row: dict = {}
-    qs = {r["column_name"]: r for r in column_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx,
-                                                         extra=aggs, extra_out=row).collect()}
+    qs = column_quantiles(df, cols, DESCRIBE_PROBS, approx=approx, extra=moment_aggs(cols), extra_out=row)
+    return describe_from(df.sparkSession, cols, qs, row)
+
+
+def describe_from(spark, cols: list[str], quantiles: DataFrame, row: dict) -> DataFrame:
+    """T1 from results already computed: :func:`column_quantiles` at
+    ``DESCRIBE_PROBS`` and the values of :func:`moment_aggs`."""
+    qs = {r["column_name"]: r for r in quantiles.collect()}
     none = {"q0250": None, "q0500": None, "q0750": None}     # an all-null column has no quantiles
     out = [(c, k + 1, row[f"c{k}"], row[f"m{k}"], row[f"s{k}"], row[f"lo{k}"], qs.get(c, none)["q0250"],
             qs.get(c, none)["q0500"], qs.get(c, none)["q0750"], row[f"hi{k}"], row["_rows"])
            for k, c in enumerate(cols)]
-    return local_frame(df.sparkSession, out, "column_name string, position int, count long, mean double, std double, "
+    return local_frame(spark, out, "column_name string, position int, count long, mean double, std double, "
                        "min double, p25 double, p50 double, p75 double, max double, row_count long")
 
 
-def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def correlation(df: DataFrame, cols: list[str] | None = None, first: dict | None = None) -> DataFrame:
     """Pearson r for every ordered pair (diagonal included), pairwise
     complete, in long form.
 
@@ -53,11 +68,13 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     pair's rows gives null, never an error."""
     cols = numeric_or_error(df, cols, 2)
     x = {c: q(c).cast("double") for c in cols}
-    first = df.agg(F.count(F.lit(1)).alias("_rows"), *[e for k, c in enumerate(cols) for e in (
-        F.count(x[c]).alias(f"n{k}"), F.avg(x[c]).alias(f"m{k}"),
-        F.min(x[c]).alias(f"lo{k}"), F.max(x[c]).alias(f"hi{k}"))]).collect()[0]
+    if first is None:
+        # ``first`` may come from the caller: the values of moment_aggs(cols).
+        first = df.agg(F.count(F.lit(1)).alias("_rows"), *[e for k, c in enumerate(cols) for e in (
+            F.count(x[c]).alias(f"c{k}"), F.avg(x[c]).alias(f"m{k}"),
+            F.min(x[c]).alias(f"lo{k}"), F.max(x[c]).alias(f"hi{k}"))]).collect()[0]
     rows = first["_rows"]
-    full = {c for k, c in enumerate(cols) if first[f"n{k}"] == rows}
+    full = {c for k, c in enumerate(cols) if first[f"c{k}"] == rows}
     mean = {c: (first[f"m{k}"] if first[f"m{k}"] is not None else 0.0) for k, c in enumerate(cols)}
     const = {c for k, c in enumerate(cols) if first[f"lo{k}"] is not None and first[f"lo{k}"] == first[f"hi{k}"]}
     d = {c: x[c] - F.lit(mean[c]) for c in cols}

@@ -40,10 +40,12 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
     checkpoint folder, so the three branches reuse it instead of re-running
     the cleaning, and each reads only the columns it needs."""
     spark = df.sparkSession
-    # Outliers (one row per column) feed the report and the clipping bounds;
-    # the null and text counts of every column ride along in their counting
-    # pass and are shared by the report and the cleaning.
-    counts, outl = qa.counts_with_outliers(df, approx)
+    # One quantile pass over the numeric columns gives the outlier fences
+    # (report and clipping bounds) and the quartiles for describe; the column
+    # counts of the report and the moments for describe and correlation ride
+    # along in its counting pass.
+    nums0 = numeric_columns(df)
+    counts, outl, qs0, moments0 = qa.quality_pass(df, approx, st.DESCRIBE_PROBS, st.moment_aggs(nums0))
     report = small_frame(qa.quality_report(df, approx=approx, outliers=outl, counts=counts))
     if auto_clean:
         bounds = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in outl.collect()}
@@ -58,8 +60,14 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
         cleaned = df
     removed = small_frame(qa.rows_removed(df, cleaned))
     nums = numeric_columns(cleaned)
-    describe = small_frame(st.describe(cleaned, nums, approx=approx))
-    corr = small_frame(st.correlation(cleaned, nums)) if len(nums) >= 2 else None
+    if cleaned is df:
+        # Nothing was cleaned: describe is already known, correlation needs its second pass only.
+        describe = (st.describe_from(spark, nums, qs0, moments0) if nums
+                    else small_frame(st.describe(cleaned, nums, approx=approx)))
+        corr = small_frame(st.correlation(cleaned, nums, first=moments0)) if len(nums) >= 2 else None
+    else:
+        describe = small_frame(st.describe(cleaned, nums, approx=approx))
+        corr = small_frame(st.correlation(cleaned, nums)) if len(nums) >= 2 else None
     recs = small_frame(cd.spec_title(cd.chart_checks(cd.recommend_charts(cleaned, goal, approx=True))))
     top = recs.orderBy("priority").limit(1).collect()
     if top:

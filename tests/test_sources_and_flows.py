@@ -208,3 +208,24 @@ def test_packed_grouped_function_bucket_count(spark):
     assert sum(r["s"] for r in rows) == float(sum(range(3000)))
     assert udf.pack_bucket_count(df, 100) == 32      # 30 by rows, at least 4 × 8 partitions
     assert udf.pack_bucket_count(df, 10) == 300      # by rows
+
+
+def test_quick_analysis_shapes(spark):
+    """F1 on a clean table (describe reused from the quality pass), on a table
+    that needs cleaning, and on a table without numbers (describe refuses)."""
+    from tabulon.operators import stats as st
+    from tabulon.plans.flows import quick_analysis
+    clean = spark.createDataFrame([(i, float(i % 7), "abc"[i % 3]) for i in range(40)], "a long, b double, c string")
+    qa_ = quick_analysis(clean)
+    assert qa_.cleaned is clean
+    got = {r["column_name"]: r for r in qa_.describe.collect()}
+    want = {r["column_name"]: r for r in st.describe(clean, ["a", "b"]).collect()}
+    assert got == want
+    assert qa_.rows_removed.first()["rows_removed"] == 0
+    dirty = clean.union(clean.limit(5)).union(spark.createDataFrame([(None, None, None), (99, 1e6, "a")], clean.schema))
+    qd = quick_analysis(dirty)
+    assert qd.cleaned is not dirty
+    assert qd.rows_removed.first()["rows_removed"] == 6          # five copies and one all-null row
+    assert qd.describe.filter("column_name = 'b'").first()["max"] < 1e6   # clipped
+    with pytest.raises(ValueError):
+        quick_analysis(spark.createDataFrame([("x",), ("y",)], "c string"))
