@@ -37,10 +37,14 @@ def rank_rows(long: DataFrame, keys: Sequence[str] = ("column_name",), value: st
     spark = long.sparkSession
     ensure_checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [*[F.col(k) for k in keys], F.col(value)]
-    tagged = (long.select(*keys, value)
+    # A row id breaks ties: tied rows may take their ranks in any order, and
+    # with it the range partitioner can split a value held by a third of all
+    # rows over many partitions instead of one.
+    order = [*[F.col(k) for k in keys], F.col(value), F.col("_tie")]
+    tagged = (long.select(*keys, value, F.monotonically_increasing_id().alias("_tie"))
               .repartitionByRange(parts, *order)
               .sortWithinPartitions(*order)
+              .drop("_tie")
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = reliable_checkpoint(tagged)

@@ -104,3 +104,24 @@ def test_describe_moments_on_every_quantile_path(spark):
     assert exact["e"]["count"] == 0 and exact["e"]["mean"] is None and exact["e"]["p50"] is None
     empty = describe(df.limit(0), ["a"]).collect()[0]
     assert empty["count"] == 0 and empty["row_count"] == 0 and empty["p25"] is None
+
+
+def test_ranks_split_a_hot_value(spark):
+    """A value held by most rows is spread over several range partitions and
+    the ranks stay a permutation in value order."""
+    from pyspark.sql import functions as F
+    vals = [5.0] * 3000 + [float(i) for i in range(1000)]
+    df = spark.createDataFrame([(v,) for v in vals], "value double").repartition(6)
+    ranked = rank_rows(df.withColumn("column_name", F.lit("v")), partitions=8)
+    r = ranked.collect()
+    assert sorted(x["rank"] for x in r) == list(range(1, 4001))
+    assert [x["value"] for x in sorted(r, key=lambda x: x["rank"])] == sorted(vals)
+    # The hot value spans more than one partition of the ranked data.
+    hot_ranks = sorted(x["rank"] for x in r if x["value"] == 5.0)
+    assert len(hot_ranks) == 3001 and hot_ranks == list(range(hot_ranks[0], hot_ranks[0] + 3001))
+    tagged = (df.withColumn("column_name", F.lit("v"))
+              .select("column_name", "value", F.monotonically_increasing_id().alias("_tie"))
+              .repartitionByRange(8, "column_name", "value", "_tie")
+              .select(F.spark_partition_id().alias("p"), "value").filter("value = 5.0")
+              .select("p").distinct().count())
+    assert tagged > 1
