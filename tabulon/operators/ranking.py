@@ -126,7 +126,7 @@ def _select_quantiles(long, probs, keys, value, accuracy):
     state = small_frame(s1.select(*state_cols))
     for _round in range(6):
         # Pass 2: exact counts below and inside every bracket.
-        j = long.join(F.broadcast(state) if keys == ["column_name"] else state, keys)
+        j = long.join(_small_side(state), keys)
         aggs = []
         for i in range(P):
             aggs += [F.count_if(v < F.col(f"lo_{i}")).alias(f"below_{i}"),
@@ -162,11 +162,21 @@ def _select_quantiles(long, probs, keys, value, accuracy):
     return None
 
 
+STATE_BROADCAST_MAX_ROWS = 1_000_000
+
+
+def _small_side(state: DataFrame) -> DataFrame:
+    """The bracket state (one driver-side row per group) joined to the data:
+    broadcast when its row count, known because it was collected, is small,
+    so a group holding a third of all rows never lands in one join task."""
+    return F.broadcast(state) if state.count() <= STATE_BROADCAST_MAX_ROWS else state
+
+
 def _inside(long, st, P, keys, value):
     """Rows inside any bracket, tagged with the bracket index ``_i``.
 
     A cheap OR filter keeps only in-bracket rows before the (tiny) explode."""
-    j = long.join(F.broadcast(st) if keys == ["column_name"] else st, keys)
+    j = long.join(_small_side(st), keys)
     v = F.col(value)
     conds = [(v >= F.col(f"lo_{i}")) & (v <= F.col(f"hi_{i}")) for i in range(P)]
     anyin = conds[0]
