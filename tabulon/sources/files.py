@@ -119,14 +119,21 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     import pandas as pd
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    # The header decides the schema, so read it from the first workbook only.
-    head = files.orderBy("path").select("content").limit(1).collect()
+
+    def first_row(batches):
+        for pdf in batches:
+            rows = [parse_first_sheet(bytes(c)) for c in pdf["content"]]
+            yield pd.DataFrame({"header": [[None if h is None else str(h) for h in r[0]] if r else None
+                                           for r in rows]})
+
+    # The header decides the schema: the first workbook's first row is parsed
+    # on an executor, and only that row reaches the driver.
+    head = files.orderBy("path").limit(1).mapInPandas(first_row, "header array<string>").collect()
     if not head:
         raise SourceError(f"No workbook found at {path}")
-    header_rows = parse_first_sheet(bytes(head[0][0]))
-    if not header_rows:
+    if head[0]["header"] is None:
         raise SourceError("Workbook has no rows")
-    header = [str(h) if h is not None else f"column_{i}" for i, h in enumerate(header_rows[0])]
+    header = [h if h is not None else f"column_{i}" for i, h in enumerate(head[0]["header"])]
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
 
     def parse(batches):
