@@ -6,8 +6,8 @@ range-partitioned and sorted by (group keys, value); each partition counts its
 rows per group, prefix sums over those counts (a table of at most
 partitions + groups rows) give every partition its starting rank, and a row's
 rank is that offset plus its position inside the partition.  The tagged data
-is checkpointed to the shared checkpoint folder once, so the partition
-boundaries are fixed and a lost executor recomputes nothing upstream.
+is written once as Parquet to the shared checkpoint folder, so the partition
+ids are fixed and a lost executor recomputes nothing upstream.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import q
-from tabulon.session import ensure_checkpoint_dir, local_frame, reliable_checkpoint, small_frame
+from tabulon.session import ensure_checkpoint_dir, local_frame, shared_table, small_frame
 
 
 def long_form(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = (),
@@ -47,7 +47,7 @@ def rank_rows(long: DataFrame, keys: Sequence[str] = ("column_name",), value: st
               .drop("_tie")
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = reliable_checkpoint(tagged)
+    tagged = shared_table(tagged, "ranks")
     counts = tagged.groupBy("_pid", *keys).agg(F.count("*").alias("_c"), F.min("_mid").alias("_start"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
