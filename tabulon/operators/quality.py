@@ -154,20 +154,43 @@ def _row_fingerprint(df: DataFrame) -> list:
             F.xxhash64(F.lit("second seed"), *flags, *cols).alias("_f2")]
 
 
+DUPLICATE_CANDIDATES_MAX = 1_000_000
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Q4: rows equal to an earlier row (nulls compare equal).
 
-    First pass: counts per 128-bit row fingerprint, which shuffles a few
-    bytes per row instead of whole rows.  Equal rows share a fingerprint, so
-    when no fingerprint repeats no row repeats and the answer is exact.
-    Otherwise (real copies, or a hash collision) rows are grouped by all
-    columns, which is exact too; copies of a hot row collapse map-side."""
-    fp = df.select(*_row_fingerprint(df)).groupBy("_f1", "_f2").agg(F.count(F.lit(1)).alias("_k"))
-    st = fp.agg(F.coalesce(F.sum("_k"), F.lit(0)).cast("long").alias("n_rows"),
-                F.count(F.lit(1)).alias("n_distinct"), F.count_if(F.col("_k") > 1).alias("n_repeated")).first()
-    if st["n_repeated"] == 0:
-        return local_frame(df.sparkSession, [(st["n_rows"], st["n_distinct"], 0)],
-                           "n_rows long, n_distinct long, n_duplicates long")
+    Pass 1 counts rows per 128-bit row fingerprint, shuffling a few bytes per
+    row instead of whole rows.  Equal rows share a fingerprint, so rows
+    whose fingerprint is unique are distinct.  The same query (one shared
+    exchange) returns the repeated fingerprints, up to a bound.  Pass 2 keeps
+    only the rows carrying one of them (broadcast semi-join) and groups those
+    by all columns, which is exact even under a hash collision.  Above the
+    bound, all rows are grouped by all columns.  Either way, copies of a hot
+    row collapse map-side."""
+    spark = df.sparkSession
+    schema = "n_rows long, n_distinct long, n_duplicates long"
+    tagged = df.select(*_row_fingerprint(df), *[q(c) for c in df.columns])
+    fp = tagged.groupBy("_f1", "_f2").agg(F.count(F.lit(1)).alias("_k"))
+    stats = fp.agg(F.lit(True).alias("_stats"), F.lit(None).cast("long").alias("_f1"),
+                   F.lit(None).cast("long").alias("_f2"),
+                   F.coalesce(F.sum("_k"), F.lit(0)).cast("long").alias("n_rows"),
+                   F.count(F.lit(1)).alias("n_fp"), F.count_if(F.col("_k") > 1).alias("n_repeated"))
+    cands = fp.filter(F.col("_k") > 1).limit(DUPLICATE_CANDIDATES_MAX + 1).select(
+        F.lit(False).alias("_stats"), "_f1", "_f2", F.lit(None).cast("long").alias("n_rows"),
+        F.lit(None).cast("long").alias("n_fp"), F.lit(None).cast("long").alias("n_repeated"))
+    got = stats.unionByName(cands).collect()
+    st = next(r for r in got if r["_stats"])
+    n_rows, n_fp, n_rep = st["n_rows"], st["n_fp"], st["n_repeated"]
+    if n_rep == 0:
+        return local_frame(spark, [(n_rows, n_fp, 0)], schema)
+    if n_rep <= DUPLICATE_CANDIDATES_MAX:
+        cand = local_frame(spark, [(r["_f1"], r["_f2"]) for r in got if not r["_stats"]], "_f1 long, _f2 long")
+        rows = tagged.join(F.broadcast(cand), ["_f1", "_f2"], "left_semi").drop("_f1", "_f2")
+        exact = rows.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k")).agg(
+            F.count(F.lit(1)).alias("n")).first()["n"]
+        n_distinct = (n_fp - n_rep) + exact
+        return local_frame(spark, [(n_rows, n_distinct, n_rows - n_distinct)], schema)
     g = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
     return g.agg(F.sum("_k").cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
                  F.sum(F.col("_k") - 1).cast("long").alias("n_duplicates"))
