@@ -46,22 +46,30 @@ class Exploration:
         return local_frame(spark, rows, STEP_SCHEMA)
 
 
-def step_finding(df: DataFrame, n: int | None = None) -> str:
-    """A one-to-two sentence finding from the result's shape and first row.
+def step_shape(df: DataFrame) -> tuple[int, object]:
+    """Row count and the total of the last numeric column, in one job."""
+    nums = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
+    total = F.sum(q(nums[-1])) if nums else F.lit(None)
+    row = df.agg(F.count(F.lit(1)).alias("n"), total.alias("total")).first()
+    return row["n"], row["total"]
+
 
-    One job computes the row count, the first row and, for the last numeric
-    column, that row's share of the column total."""
+def step_finding(df: DataFrame, n: int | None = None, total=None) -> str:
+    """A one-to-two sentence finding from the result's shape and first row:
+    the row count, the first row and, for the last numeric column, that
+    row's share of the column total (``n`` and ``total`` from
+    :func:`step_shape` when the caller has them)."""
     cols = df.columns
     nums = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     first = df.limit(1).collect()
-    n = df.count() if n is None else n
+    if n is None:
+        n, total = step_shape(df)
     if not first:
         return f"The query returned no rows ({len(cols)} columns)."
     head = ", ".join(f"{c} = {_show(first[0][c])}" for c in cols[:4])
     text = f"The result has {n} rows and {len(cols)} columns. First row: {head}."
     if nums and n > 1:
         c = nums[-1]
-        total = df.agg(F.sum(q(c))).collect()[0][0]
         if total:
             share = float(first[0][c] or 0) / float(total) * 100
             text += f" That row holds {share:.1f}% of all {c}."
@@ -118,8 +126,8 @@ def explore(spark: SparkSession, df: DataFrame, plan: list[dict], max_iterations
                 # Several small actions read the step result: compute it once.
                 out = out.persist(StorageLevel.MEMORY_AND_DISK)
                 ex.cached.append(out)
-            n_rows = out.count()                 # forces evaluation: runtime errors surface here
-            insight = step_finding(out, n_rows)
+            n_rows, total = step_shape(out)      # forces evaluation: runtime errors surface here
+            insight = step_finding(out, n_rows, total)
             chart_type, chart = auto_chart(out)
         except Exception as e:  # noqa: BLE001 — fail soft, as specified
             ex.steps.append(dict(step_number=step_num, transformation=explanation, sql_query=sql,
