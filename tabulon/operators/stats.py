@@ -338,16 +338,17 @@ def linear_regression(df: DataFrame, y: str, x: str) -> DataFrame:
 
 def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     """One-way ANOVA: between/within sums of squares and F, from one grouped
-    aggregation (per-group n, mean, variance) folded into one row."""
+    aggregation (per-group n, mean, variance) folded into one row with plain
+    sums: the grand mean is a scalar subquery over the same groups, so no
+    list of groups is ever built, however many groups there are."""
     g = group_moments(df, value, group)
-    tot = g.agg(F.sum("n").alias("N"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("grand"),
-                F.count(F.lit(1)).alias("k"),
+    grand = g.select(F.sum(F.col("mean") * F.col("n")) / F.sum("n")).scalar()
+    tot = g.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
                 F.sum(F.coalesce((F.col("n") - 1) * F.col("std") ** 2, F.lit(0.0))).alias("ssw"),
-                F.collect_list(F.struct("n", "mean")).alias("gs"))
-    ssb = F.aggregate("gs", F.lit(0.0), lambda acc, s: acc + s["n"] * (s["mean"] - F.col("grand")) ** 2)
+                F.sum(F.col("n") * (F.col("mean") - grand) ** 2).alias("ssb"))
     out = tot.select(F.lit(value).alias("dependent"), F.lit(group).alias("group_variable"),
                      F.col("k").cast("long").alias("k"), F.col("N").cast("long").alias("n"),
-                     ssb.alias("ss_between"), F.col("ssw").alias("ss_within"))
+                     F.col("ssb").alias("ss_between"), F.col("ssw").alias("ss_within"))
     d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
     return out.withColumn("df_between", d1.cast("double")).withColumn("df_within", d2.cast("double")).withColumn(
         "f_statistic", F.try_divide(F.col("ss_between") / d1, F.col("ss_within") / d2))
