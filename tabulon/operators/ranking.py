@@ -259,6 +259,15 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return res
 
 
+def _no_values(spark, cols, names):
+    """One row per column with n = 0 and null quantiles (empty input or
+    all-null columns), the same shape as when some columns have values."""
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("n", T.LongType())]
+                          + [T.StructField(nm, T.DoubleType()) for nm in names])
+    return local_frame(spark, [(c, 0, *[None] * len(names)) for c in cols], schema)
+
+
 def _column_quantiles(df, cols, probs, accuracy, approx, extra, extra_out):
     from pyspark.sql import types as T
     names = quantile_names(probs)
@@ -277,7 +286,7 @@ def _column_quantiles(df, cols, probs, accuracy, approx, extra, extra_out):
     # Pass 0: the row count (no column is read; it bounds every column's n).
     n_all = df.count()
     if n_all == 0:
-        return spark.createDataFrame([], "column_name string, n long, " + ", ".join(f"{nm} double" for nm in names))
+        return _no_values(spark, cols, names)
     brackets = {}
     if n_all <= SAMPLE_BRACKET_MAX_ROWS:
         # Pass 1 (moderate sizes): brackets from a uniform sample of about
@@ -331,7 +340,7 @@ def _column_quantiles(df, cols, probs, accuracy, approx, extra, extra_out):
             # Unverified or wide bracket: the general path narrows or sorts.
             return exact_quantiles(long_form(df, cols), probs, accuracy=accuracy)
     if not state:
-        return spark.createDataFrame([], "column_name string, n long, " + ", ".join(f"{nm} double" for nm in names))
+        return _no_values(spark, cols, names)
     # Pass 3: unpivot only the in-bracket rows, order them per bracket.
     conds = {key: (x[cols[key[0]]] >= F.lit(s_["lo"])) & (x[cols[key[0]]] <= F.lit(s_["hi"]))
              for key, s_ in state.items()}
