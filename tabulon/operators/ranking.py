@@ -276,7 +276,10 @@ def _column_quantiles(df, cols, probs, accuracy, approx, extra, extra_out):
         return spark.createDataFrame([], "column_name string, n long, "
                                      + ", ".join(f"{nm} double" for nm in names))
     if approx:
-        return exact_quantiles(long_form(df, cols), probs, approx=True, accuracy=accuracy)
+        res = small_frame(exact_quantiles(long_form(df, cols), probs, approx=True, accuracy=accuracy))
+        have = {r["column_name"] for r in res.collect()}
+        missing = [c for c in cols if c not in have]
+        return res.unionByName(_no_values(spark, missing, names)) if missing else res
     P = len(probs)
     margin = 4.0 / accuracy
     around = []

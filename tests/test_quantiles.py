@@ -125,3 +125,14 @@ def test_ranks_split_a_hot_value(spark):
               .select(F.spark_partition_id().alias("p"), "value").filter("value = 5.0")
               .select("p").distinct().count())
     assert tagged > 1
+
+
+@pytest.mark.parametrize("approx", [False, True])
+def test_column_quantiles_one_row_per_column(spark, approx):
+    from tabulon.operators.ranking import column_quantiles
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (3.0, None)], "a double, e double")
+    got = {r["column_name"]: r for r in column_quantiles(df, ["a", "e"], [0.5], approx=approx).collect()}
+    assert set(got) == {"a", "e"} and got["a"]["q0500"] == 2.0
+    assert got["e"]["n"] == 0 and got["e"]["q0500"] is None
+    empty = column_quantiles(df.limit(0), ["a"], [0.5], approx=approx).collect()
+    assert [(r["column_name"], r["n"], r["q0500"]) for r in empty] == [("a", 0, None)]
