@@ -98,3 +98,35 @@ def test_column_quantiles_match_brute_force(spark, a, b):
             continue
         for p, nm in ((0.1, "q0100"), (0.5, "q0500"), (0.9, "q0900")):
             assert got[name][nm] == pytest.approx(brute(vals, p), rel=1e-12, abs=1e-9)
+
+
+small_ints = st_.lists(st_.one_of(st_.none(), st_.integers(0, 3)), min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(a=small_ints, b=small_ints)
+def test_duplicate_rows_match_brute_force(spark, a, b):
+    n = min(len(a), len(b))
+    rows = [(a[i], b[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    r = qa.duplicate_rows(df).first()
+    assert (r["n_rows"], r["n_distinct"], r["n_duplicates"]) == (n, len(set(rows)), n - len(set(rows)))
+
+
+@SETTINGS
+@given(a=values)
+def test_outliers_match_brute_force(spark, a):
+    df, rows = frame(spark, a, a, ["x"] * len(a))
+    vals = [r[0] for r in rows if r[0] is not None]
+    got = {r["column_name"]: r for r in qa.outliers_iqr(df, ["a"]).collect()}
+    if not vals:
+        assert not got
+        return
+    q1, q3 = brute(vals, 0.25), brute(vals, 0.75)
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    hits = sum(v < lo or v > hi for v in vals)
+    if hits == 0:
+        assert "a" not in got
+    else:
+        assert got["a"]["n_outliers"] == hits
+        assert got["a"]["percentage"] == pytest.approx(hits / len(rows) * 100)
