@@ -282,6 +282,20 @@ def drop_sparse_rows(df: DataFrame) -> DataFrame:
     return df.na.drop(thresh=need) if need > 0 else df
 
 
+def kept_row(df: DataFrame):
+    """Q6's test as a column: at least half the columns hold a value (null
+    and NaN count as missing, as in ``na.drop``)."""
+    need = math.ceil(len(df.columns) * 0.5)
+    present = [~(q(f.name).isNull() | F.isnan(q(f.name))) if isinstance(f.dataType, (T.FloatType, T.DoubleType))
+               else q(f.name).isNotNull() for f in df.schema.fields]
+    if not present:
+        return F.lit(True)
+    total = present[0].cast("int")
+    for p_ in present[1:]:
+        total = total + p_.cast("int")
+    return total >= need
+
+
 def column_medians(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, float]:
     """Exact medians per column — one bounded row per column on the driver."""
     if not cols:
@@ -306,17 +320,24 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, str]:
 
 
 def fill_missing(df: DataFrame, approx: bool = False, numeric: bool = True,
-                 categorical: bool = True, candidates: list[str] | None = None) -> DataFrame:
+                 categorical: bool = True, candidates: list[str] | None = None,
+                 with_nulls: list[str] | None = None) -> DataFrame:
     """Q7/Q8: numeric nulls → column median (integers become double),
     other nulls → column mode; all-null columns stay as they are.
 
     ``candidates`` (when known) are the only columns that may hold nulls;
-    with none, no pass over the data is needed."""
-    check = df.columns if candidates is None else [c for c in df.columns if c in set(candidates)]
-    if not check:
+    with none, no pass over the data is needed.  ``with_nulls`` (when known
+    exactly) are the columns that do hold nulls: no counting pass at all."""
+    if with_nulls is not None:
+        todo = [c for c in df.columns if c in set(with_nulls)]
+    else:
+        check = df.columns if candidates is None else [c for c in df.columns if c in set(candidates)]
+        if not check:
+            return df
+        nulls = df.agg(*[F.count_if(q(c).isNull()).alias(f"_m{i}") for i, c in enumerate(check)]).collect()[0]
+        todo = [c for i, c in enumerate(check) if nulls[f"_m{i}"] > 0]
+    if not todo:
         return df
-    nulls = df.agg(*[F.count_if(q(c).isNull()).alias(f"_m{i}") for i, c in enumerate(check)]).collect()[0]
-    todo = [c for i, c in enumerate(check) if nulls[f"_m{i}"] > 0]
     types = {f.name: f.dataType for f in df.schema.fields}
     num = [c for c in todo if is_numeric(types[c])] if numeric else []
     cat = [c for c in todo if not is_numeric(types[c])] if categorical else []
@@ -346,20 +367,30 @@ def winsorize(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFram
     return df.select(*out)
 
 
-def outlier_bounds(df: DataFrame, approx: bool = False) -> dict[str, tuple[float, float]]:
+def outlier_bounds(df: DataFrame, approx: bool = False, extra: dict | None = None,
+                   extra_out: dict | None = None) -> dict[str, tuple[float, float]]:
     """Fences of the columns that have outliers (bounded: one row per column)."""
     return {r["column_name"]: (r["lower_bound"], r["upper_bound"])
-            for r in outliers_iqr(df, approx=approx).collect()}
+            for r in outliers_iqr(df, approx=approx, extra=extra, extra_out=extra_out).collect()}
 
 
 def clean(df: DataFrame, approx: bool = False, bounds: dict | None = None,
           null_columns: list[str] | None = None) -> DataFrame:
     """Q11: drop sparse rows → fill → clip (fences of the uncleaned table) → distinct.
 
-    ``null_columns``: the columns with nulls in ``df``, when already known."""
-    bounds = outlier_bounds(df, approx) if bounds is None else bounds
+    ``null_columns``: the columns with nulls in ``df``, when already known.
+    Without ``bounds``, the null counts of the rows that survive the sparse
+    drop ride along in the fences' counting pass (no pass of their own)."""
+    with_nulls = None
+    if bounds is None:
+        keep = kept_row(df)
+        extra = {f"_kn{i}": F.count_if(keep & q(c).isNull()) for i, c in enumerate(df.columns)}
+        got: dict = {}
+        bounds = outlier_bounds(df, approx, extra=extra, extra_out=got)
+        if got:
+            with_nulls = [c for i, c in enumerate(df.columns) if got[f"_kn{i}"] > 0]
     step = drop_sparse_rows(df)
-    step = fill_missing(step, approx, candidates=null_columns)
+    step = fill_missing(step, approx, candidates=null_columns, with_nulls=with_nulls)
     step = winsorize(step, bounds)
     return step.dropDuplicates()
 
