@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tabulon.functions.columns import is_numeric, q
 from tabulon.operators.chartdata import auto_chart
 from tabulon.operators.relational import check_read_only
-from tabulon.session import ensure_checkpoint_dir, local_frame, reliable_checkpoint
+from tabulon.session import local_frame, reliable_checkpoint
 
 STEP_SCHEMA = T.StructType([
     T.StructField("step_number", T.IntegerType()), T.StructField("transformation", T.StringType()),

@@ -12,7 +12,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import q
 
 _READ_ONLY = re.compile(r"^\s*(\(\s*)*(select|with|values|table|from)\b", re.IGNORECASE)
 _WRITE_WORDS = re.compile(r"\b(insert|update|delete|merge|drop|create|alter|truncate|grant|revoke|"
