@@ -103,10 +103,14 @@ def trend_slope(agg: DataFrame, key_cols, x_col: str, y_col: str, name="slope"):
                                       F.count(F.lit(1)).alias("n_points"))
 
 
-def segment_vs_overall(df: DataFrame, segment_col: str, value_col: str):
+def segment_vs_overall(df: DataFrame, segment_col: str, value_col: str, count_col: str | None = None):
     """Per-segment mean against the overall mean.  The overall figure is
-    rebuilt from the per-segment sums, so no second scan and no cross join."""
-    seg = df.groupBy(segment_col).agg(F.sum(value_col).alias("_s"), F.count(value_col).alias("_c"))
+    rebuilt from the per-segment sums, so no second scan and no cross join.
+
+    With ``count_col`` the input is already partially aggregated: each row
+    holds a sum (``value_col``) and the number of values behind it."""
+    n = F.sum(count_col) if count_col else F.count(value_col)
+    seg = df.groupBy(segment_col).agg(F.sum(value_col).alias("_s"), n.alias("_c"))
     overall = F.sum("_s").over(Window.partitionBy()) / F.sum("_c").over(Window.partitionBy())
     return seg.select(segment_col, (F.col("_s") / F.col("_c")).alias("segment_avg"),
                       overall.alias("overall_avg")).withColumn(

@@ -349,8 +349,10 @@ SELECT c_mktsegment, round(avg(o_totalprice), 4) AS segment_avg,
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
 def segment_vs_overall(spark, d):
     o, c = T(spark, d, "orders"), T(spark, d, "customer")
-    j = o.join(c, o.o_custkey == c.c_custkey).select("c_mktsegment", "o_totalprice")
-    s = rel.segment_vs_overall(j, "c_mktsegment", "o_totalprice")
+    per_cust = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("o_totalprice"),
+                                          F.count("o_totalprice").alias("n"))
+    j = per_cust.join(c, F.col("o_custkey") == c.c_custkey).select("c_mktsegment", "o_totalprice", "n")
+    s = rel.segment_vs_overall(j, "c_mktsegment", "o_totalprice", count_col="n")
     return s.select("c_mktsegment", *[F.round(x, 4).alias(x) for x in ("segment_avg", "overall_avg", "diff")])
 
 
