@@ -225,9 +225,12 @@ FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate >= TIMES
 GROUP BY c_custkey""")
 def join_left(spark, d):
     c, o = T(spark, d, "customer"), T(spark, d, "orders")
-    recent = o.filter(F.col("o_orderdate") >= F.lit(_RECENT).cast("timestamp_ntz")).select("o_custkey", "o_orderkey")
-    return (c.select("c_custkey").join(recent, F.col("c_custkey") == F.col("o_custkey"), "left")
-            .groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_recent_orders")))
+    recent = o.filter(F.col("o_orderdate") >= F.lit(_RECENT).cast("timestamp_ntz"))
+    # Recent orders counted per customer before the join (a hot customer
+    # collapses map-side); customers without one get 0.
+    per_cust = recent.groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))
+    return (c.select("c_custkey").join(per_cust, F.col("c_custkey") == F.col("o_custkey"), "left")
+            .groupBy("c_custkey").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_recent_orders")))
 
 
 @query("join_semi", f"""
@@ -235,7 +238,9 @@ SELECT c_custkey, c_name FROM customer
 WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '{_RECENT}')""")
 def join_semi(spark, d):
     c, o = T(spark, d, "customer"), T(spark, d, "orders")
-    recent = o.filter(F.col("o_orderdate") >= F.lit(_RECENT).cast("timestamp_ntz")).select("o_custkey")
+    # Semi and anti joins ignore repeats on the right: distinct keys first, so
+    # a customer with a third of all orders collapses map-side.
+    recent = o.filter(F.col("o_orderdate") >= F.lit(_RECENT).cast("timestamp_ntz")).select("o_custkey").distinct()
     return c.join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
@@ -244,7 +249,7 @@ SELECT c_custkey, c_name FROM customer
 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '{_RECENT}')""")
 def join_anti(spark, d):
     c, o = T(spark, d, "customer"), T(spark, d, "orders")
-    recent = o.filter(F.col("o_orderdate") >= F.lit(_RECENT).cast("timestamp_ntz")).select("o_custkey")
+    recent = o.filter(F.col("o_orderdate") >= F.lit(_RECENT).cast("timestamp_ntz")).select("o_custkey").distinct()
     return c.join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
