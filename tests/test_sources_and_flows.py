@@ -229,3 +229,17 @@ def test_quick_analysis_shapes(spark):
     assert qd.describe.filter("column_name = 'b'").first()["max"] < 1e6   # clipped
     with pytest.raises(ValueError):
         quick_analysis(spark.createDataFrame([("x",), ("y",)], "c string"))
+
+
+def test_segment_vs_overall_from_partial_sums(spark):
+    """Partial sums with their value counts give the same segment and overall
+    means as the raw rows (nulls are not counted)."""
+    rows = [("a", 1.0, 1), ("a", 3.0, 1), ("a", None, 2), ("b", 10.0, 2), ("b", 20.0, 3), ("c", 5.0, 3)]
+    raw = spark.createDataFrame(rows, "seg string, v double, k int")
+    part = raw.groupBy("seg", "k").agg(F.sum("v").alias("v"), F.count("v").alias("n"))
+    want = {r["seg"]: r for r in rel.segment_vs_overall(raw, "seg", "v").collect()}
+    got = {r["seg"]: r for r in rel.segment_vs_overall(part, "seg", "v", count_col="n").collect()}
+    assert set(got) == set(want)
+    for k in want:
+        for c in ("segment_avg", "overall_avg", "diff"):
+            assert got[k][c] == pytest.approx(want[k][c])
