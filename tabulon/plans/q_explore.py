@@ -25,6 +25,15 @@ def run_plan(spark, d):
     return ex.explore(spark, T(spark, d, "orders"), PLAN, max_iterations=3)
 
 
+def plan_steps(spark, d):
+    """The step log (a driver-side frame); the cached step results are
+    released once it is built."""
+    e = run_plan(spark, d)
+    steps = e.step_log(spark)
+    e.release()
+    return steps
+
+
 @query("explore_chain", """
 WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS total FROM orders GROUP BY 1),
 y AS (SELECT substr(month, 1, 4) AS year, sum(total) AS total FROM m GROUP BY 1)
@@ -79,13 +88,13 @@ charts AS (SELECT step_number AS idx, 'Step ' || step_number || ': ' || substr(t
 @query("step_log", _STEPS_SQL + " SELECT * FROM steps")
 def step_log(spark, d):
     """One row per executed step."""
-    return run_plan(spark, d).step_log(spark)
+    return plan_steps(spark, d)
 
 
 @query("step_findings", _STEPS_SQL + " SELECT step_number, insight FROM steps")
 def step_findings(spark, d):
     """The rule-based finding of each step."""
-    return run_plan(spark, d).step_log(spark).select("step_number", "insight")
+    return plan_steps(spark, d).select("step_number", "insight")
 
 
 @query("exploration_report", _STEPS_SQL + f"""
@@ -96,7 +105,7 @@ SELECT '# Data Exploration Report' || E'\n\n' || '## Goal' || E'\n' || {_lit(GOA
 FROM steps""")
 def exploration_report(spark, d):
     """Fallback markdown from the step log."""
-    return ex.fallback_report(run_plan(spark, d).step_log(spark), GOAL)
+    return ex.fallback_report(plan_steps(spark, d), GOAL)
 
 
 # X8 + X9: one section per chart, its placeholder already replaced by the image line.
@@ -110,7 +119,7 @@ FROM charts"""
 @query("chart_report", _CHART_REPORT_SQL)
 def chart_report(spark, d):
     """X6 + X8 + X9: chart list from the steps, report body, placeholders filled."""
-    steps = run_plan(spark, d).step_log(spark)
+    steps = plan_steps(spark, d)
     charts = ex.steps_chart_list(steps)
     return rp.fill_placeholders(rp.report_markdown(charts, GOAL), charts)
 
@@ -121,6 +130,7 @@ def report_sink(spark, d):
     shared scratch folder, read back as text."""
     from tabulon.plans.flows import shared_scratch, smart_analysis
     from tabulon.sources.sinks import write_report
-    _, report = smart_analysis(spark, T(spark, d, "orders"), PLAN, GOAL)
+    e, report = smart_analysis(spark, T(spark, d, "orders"), PLAN, GOAL)
+    e.release()                      # the report is built from the driver-side step log
     path = write_report(report, shared_scratch(spark, "report"))
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "markdown")
