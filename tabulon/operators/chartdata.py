@@ -135,12 +135,14 @@ SPEC_SCHEMA = ("chart_type string, x_field string, y_field string, color_field s
                "reason string, priority int")
 
 
-def recommend_charts(df: DataFrame, goal: str = "", max_specs: int = 3, approx: bool = False) -> DataFrame:
+def recommend_charts(df: DataFrame, goal: str = "", max_specs: int = 3, approx: bool = False,
+                     types: DataFrame | None = None) -> DataFrame:
     """2–3 ranked chart specs from field types and cardinality.
 
-    Field typing is one Spark job; the rules run over that per-column
-    metadata (one row per column)."""
-    meta = field_types(df, approx=approx).orderBy("position").collect()
+    Field typing is one Spark job (or ``types``, the field_types frame when
+    the caller has it); the rules run over that per-column metadata (one row
+    per column)."""
+    meta = (field_types(df, approx=approx) if types is None else types).orderBy("position").collect()
     # Identifier-like numbers (…_id, …key, or one distinct value per row) are
     # not measures.
     integral = {f.name for f in df.schema.fields

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.columns import numeric_columns
 from tabulon.operators import chartdata as cd
 from tabulon.operators import explore as ex
+from tabulon.operators import profile as pr
 from tabulon.operators import quality as qa
 from tabulon.operators import report as rp
 from tabulon.operators import stats as st
@@ -45,7 +46,9 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
     # counts of the report and the moments for describe and correlation ride
     # along in its counting pass.
     nums0 = numeric_columns(df)
-    counts, outl, qs0, moments0 = qa.quality_pass(df, approx, st.DESCRIBE_PROBS, st.moment_aggs(nums0))
+    typing = {f"fs{k}": e for k, e in pr.column_stats_aggs(df, approx=True).items()}
+    counts, outl, qs0, moments0 = qa.quality_pass(df, approx, st.DESCRIBE_PROBS,
+                                                  {**st.moment_aggs(nums0), **typing})
     report = small_frame(qa.quality_report(df, approx=approx, outliers=outl, counts=counts))
     if auto_clean:
         bounds = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in outl.collect()}
@@ -68,7 +71,10 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
     else:
         describe = small_frame(st.describe(cleaned, nums, approx=approx))
         corr = small_frame(st.correlation(cleaned, nums)) if len(nums) >= 2 else None
-    recs = small_frame(cd.spec_title(cd.chart_checks(cd.recommend_charts(cleaned, goal, approx=True))))
+    # On an unchanged table the field types come from the first pass too.
+    types = (pr.field_types(df, approx=True, wide=pr.column_stats_row(
+        df, {k[2:]: v for k, v in moments0.items() if k.startswith("fs")})) if cleaned is df else None)
+    recs = small_frame(cd.spec_title(cd.chart_checks(cd.recommend_charts(cleaned, goal, approx=True, types=types))))
     top = recs.orderBy("priority").limit(1).collect()
     if top:
         r = top[0]
