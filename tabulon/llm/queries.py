@@ -84,3 +84,63 @@ def op10_language_id(spark, sf_dir):
     from tabulon.llm.language_id import identify
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_simhash_dedup")
+def op5_simhash_dedup(spark, sf_dir):
+    from tabulon.llm.simhash import near_duplicates
+    found = near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark, sf_dir):
+    from tabulon.llm.substring_dedup import dedup_substrings
+    out = dedup_substrings(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf_dir):
+    from tabulon.llm.suffix_dedup import dedup_suffixes
+    out = dedup_suffixes(_read(spark, sf_dir, "documents"), keep_first=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark, sf_dir):
+    from tabulon.llm.quality_rules import quality
+    out = quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "score")
+
+
+@query("op4_embedding_dedup")
+def op4_embedding_dedup(spark, sf_dir):
+    from tabulon.llm.vector_dedup import near_vectors
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+@query("op2_packing")
+def op2_packing(spark, sf_dir):
+    from tabulon.llm.packing import pack
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark, sf_dir):
+    from tabulon.llm.license_scan import scan
+    found = scan(_read(spark, sf_dir, "documents"))
+    best = F.sort_array(F.transform("licenses", lambda x: F.struct(
+        x["matched"].alias("matched"), x["coverage"].alias("coverage"), x["license"].alias("license"))), asc=False)
+    return found.select(
+        "doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"),
+        F.get(best, F.lit(0))["license"].alias("license"), F.get(best, F.lit(0))["coverage"].alias("coverage"),
+        F.array_join(F.transform("licenses", lambda x: F.concat_ws(
+            ":", x["license"], x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("places"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
