@@ -34,12 +34,15 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def normalise_nan(df: DataFrame) -> DataFrame:
-    """NaN → null in float columns, once on entry (missing = null or NaN)."""
+    """NaN → null in float columns, once on entry (missing = null or NaN).  A frame that
+    went through here already comes back as it is."""
     fl = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    if not fl:
+    if not fl or getattr(df, "_tabulon_no_nan", False):
         return df
-    return df.select(*[F.when(~F.isnan(q(c)), q(c)).alias(c) if c in fl else q(c)
-                       for c in df.columns])
+    out = df.select(*[F.when(~F.isnan(q(c)), q(c)).alias(c) if c in fl else q(c)
+                      for c in df.columns])
+    out._tabulon_no_nan = True
+    return out
 
 
 def safe_div(a: Column, b: Column) -> Column:

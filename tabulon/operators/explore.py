@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tabulon.functions.columns import is_numeric, q
 from tabulon.operators.chartdata import auto_chart
-from tabulon.operators.relational import check_read_only
+from tabulon.operators.relational import run_query
 from tabulon.session import local_frame, reliable_checkpoint
 
 STEP_SCHEMA = T.StructType([
@@ -117,9 +117,7 @@ def explore(spark: SparkSession, df: DataFrame, plan: list[dict], max_iterations
             continue
         explanation = step.get("explanation", "")
         try:
-            body = check_read_only(sql)
-            current.createOrReplaceTempView("data")
-            out = spark.sql(body)
+            out = run_query(spark, {"data": current}, sql)
             if len(ex.steps) % checkpoint_every == checkpoint_every - 1:
                 out = reliable_checkpoint(out)
             else:
@@ -131,7 +129,7 @@ def explore(spark: SparkSession, df: DataFrame, plan: list[dict], max_iterations
             chart_type, chart = auto_chart(out)
         except Exception as e:  # noqa: BLE001 — fail soft, as specified
             ex.steps.append(dict(step_number=step_num, transformation=explanation, sql_query=sql,
-                                 insight=f"Query failed: {e}".split("\n")[0][:500], chart_type="none",
+                                 insight=f"Query failed: {e}", chart_type="none",
                                  status="failed", n_rows=None, n_cols=None))
             continue
         ex.steps.append(dict(step_number=step_num, transformation=explanation, sql_query=sql, insight=insight,

@@ -63,15 +63,17 @@ def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
                     "value"))
 
 
-LINK_RE = r"(?is)<a\s[^>]*?href\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a>"
+# Address in double quotes, in single quotes, or bare up to a blank or the tag's end.
+LINK_RE = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>(.*?)</a>"
 
 
 def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Every link as a row (page, link_idx, href, text)."""
-    hrefs = F.regexp_extract_all(q(html_col), F.lit(LINK_RE), 1)
-    texts = F.regexp_extract_all(q(html_col), F.lit(LINK_RE), 2)
-    z = pages.select(q(id_col), F.posexplode(F.arrays_zip(hrefs.alias("h"), texts.alias("t"))).alias("link_idx", "z"))
-    return z.select(q(id_col), "link_idx", decode_entities(F.col("z.h")).alias("href"),
+    parts = [F.regexp_extract_all(q(html_col), F.lit(LINK_RE), i) for i in range(1, 5)]
+    z = pages.select(q(id_col), F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "abct", strict=True)]))
+                     .alias("link_idx", "z"))
+    return z.select(q(id_col), "link_idx",
+                    decode_entities(F.concat(*[F.coalesce(f"z.{n}", F.lit("")) for n in "abc"])).alias("href"),
                     clean_cell(F.col("z.t")).alias("text"))
 
 
@@ -94,11 +96,8 @@ def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines are dropped; outer empty cells from ``|a|b|`` framing are removed.
     ``confidence`` = table lines / delimited lines of the document."""
     lines = docs.select(q(id_col).alias("doc"), F.posexplode(F.split(q(text_col), "\n")).alias("line_idx", "line"))
-    # Comma rows must look like records, not prose: no sentence end, short cells.
-    comma_row = (F.col("line").contains(",") & ~F.trim("line").rlike(r"[.!?]$")
-                 & ~F.col("line").rlike(r"[^,]{41,}"))
     delim = (F.when(F.col("line").contains("|"), F.lit("|")).when(F.col("line").contains("\t"), F.lit("\t"))
-             .when(comma_row, F.lit(",")))
+             .when(F.col("line").contains(","), F.lit(",")))
     d = lines.withColumn("delim", delim).filter(F.col("delim").isNotNull())
     framed = F.regexp_replace(F.regexp_replace(F.trim("line"), r"^\|", ""), r"\|$", "")
     pattern = F.when(F.col("delim") == "|", F.lit(r"\|")).when(F.col("delim") == ",", F.lit(",")).otherwise(F.lit("\t"))
@@ -142,15 +141,17 @@ FENCE_RE = r"```(?:json)?\s*"
 
 
 def json_candidate(c):
-    """Drop code fences, then the span from the first ``{``/``[`` to the
-    matching last ``}``/``]``; the bare text when neither is present."""
+    """Drop code fences, then the first of these that parses: the span from the
+    first ``{``/``[`` (whichever comes first) to the last matching bracket, the span of
+    the other bracket, the bare text.  Without one that parses: the first span found."""
     s = F.trim(F.regexp_replace(c, FENCE_RE, ""))
-    obj = F.regexp_extract(s, r"(?s)(\{.*\})", 1)
-    arr = F.regexp_extract(s, r"(?s)(\[.*\])", 1)
+    obj = F.nullif(F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.lit(""))
+    arr = F.nullif(F.regexp_extract(s, r"(?s)(\[.*\])", 1), F.lit(""))
     first_obj = F.locate("{", s)
     first_arr = F.locate("[", s)
     pick_arr = (first_arr > 0) & ((first_obj == 0) | (first_arr < first_obj))
-    return F.when(pick_arr & (arr != ""), arr).when(obj != "", obj).otherwise(s)
+    spans = [F.when(pick_arr, arr).otherwise(obj), F.when(pick_arr, obj).otherwise(arr), s]
+    return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull(), x) for x in spans], *spans)
 
 
 def extract_json(df: DataFrame, col: str, required: list[str] | None = None) -> DataFrame:

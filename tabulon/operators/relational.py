@@ -7,43 +7,46 @@ the heavy work (joins, grouping) stays partitioned and pre-aggregated.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-_READ_ONLY = re.compile(r"^\s*(\(\s*)*(select|with|values|table|from)\b", re.IGNORECASE)
-_WRITE_WORDS = re.compile(r"\b(insert|update|delete|merge|drop|create|alter|truncate|grant|revoke|"
-                          r"set|reset|add|cache|uncache|refresh|load|msck|use)\b\s", re.IGNORECASE)
-
-
-BROADCAST_MAX_ROWS = 1_000_000
-
+def check_read_only(spark: SparkSession, query: str) -> str:
+    """R2: exactly one query, decided by Spark's own parser.
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it small (it stops
-    reading at ``max_rows + 1`` rows); otherwise the join strategy is left to
-    Spark and AQE, which measure the side at run time."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def check_read_only(query: str) -> str:
-    """R2: allow exactly one SELECT/WITH statement."""
+    The text must parse on its own and as a subquery; a subquery cannot write, set
+    or define anything, nor hold a second statement."""
     body = query.strip().rstrip(";").strip()
     if not body:
         raise ValueError("SQL query is empty")
-    if ";" in body:
-        raise ValueError("Only one SQL statement is allowed")
-    if not _READ_ONLY.match(body):
-        raise ValueError("Only read-only SELECT queries are allowed")
-    head = body.split("(", 1)[0]
-    if _WRITE_WORDS.match(head.strip()):
-        raise ValueError("Only read-only SELECT queries are allowed")
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    try:
+        parser.parsePlan(body)
+        parser.parsePlan(f"SELECT * FROM (\n{body}\n)")
+    except Exception as e:
+        raise ValueError(f"Only one read-only SELECT query is allowed: {str(e).splitlines()[0]}") from e
     return body
 
 
+def run_query(spark: SparkSession, tables: dict[str, DataFrame], query: str) -> DataFrame:
+    """One read-only query over named frames.  The names are views only while the query
+    is analysed; a caller's own views of these names are put back afterwards."""
+    body = check_read_only(spark, query)
+    before = {}
+    try:
+        for name, df in tables.items():
+            if any(t.name.lower() == name.lower() and t.isTemporary for t in spark.catalog.listTables()):
+                before[name] = spark.table(name)
+            df.createOrReplaceTempView(name)
+        return spark.sql(body)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
 def sql_transform(spark: SparkSession, tables: dict[str, DataFrame] | DataFrame, query: str,
                   require_rows: bool = False) -> DataFrame:
     """Register the inputs as views and run one read-only query.
@@ -52,10 +55,7 @@ def sql_transform(spark: SparkSession, tables: dict[str, DataFrame] | DataFrame,
     and ``data``."""
     if isinstance(tables, DataFrame):
         tables = {"input_data": tables, "data": tables}
-    body = check_read_only(query)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    out = spark.sql(body)
+    out = run_query(spark, tables, query)
     if require_rows and out.isEmpty():
         raise ValueError("Query returned no results")
     return out
@@ -75,7 +75,11 @@ def rolling_mean(df: DataFrame, order_col: str, value_col: str, rows: int, parti
 
 
 def share_of_total(df: DataFrame, value_col: str, partition_cols=(), name="share_pct"):
-    """Percent of the (partition) total; input is already aggregated."""
+    """Percent of the (partition) total; input is already aggregated.  The grand
+    total is one aggregated row, not a window over all rows."""
+    if not partition_cols:
+        total = df.agg(F.sum(value_col).alias("_total"))
+        return df.withColumn(name, F.col(value_col) / total.scalar() * 100)
     w = Window.partitionBy(*partition_cols)
     return df.withColumn(name, F.col(value_col) / F.sum(value_col).over(w) * 100)
 
@@ -111,7 +115,7 @@ def segment_vs_overall(df: DataFrame, segment_col: str, value_col: str, count_co
     holds a sum (``value_col``) and the number of values behind it."""
     n = F.sum(count_col) if count_col else F.count(value_col)
     seg = df.groupBy(segment_col).agg(F.sum(value_col).alias("_s"), n.alias("_c"))
-    overall = F.sum("_s").over(Window.partitionBy()) / F.sum("_c").over(Window.partitionBy())
+    overall = seg.agg((F.sum("_s") / F.sum("_c")).alias("overall")).scalar()
     return seg.select(segment_col, (F.col("_s") / F.col("_c")).alias("segment_avg"),
                       overall.alias("overall_avg")).withColumn(
         "diff", F.col("segment_avg") - F.col("overall_avg"))

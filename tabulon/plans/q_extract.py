@@ -16,11 +16,17 @@ def _clean(x):
     return f"trim(regexp_replace({_DECODE.format(x=f'regexp_replace({x}, ' + repr('<[^>]*>') + ', ' + repr('') + ', ' + repr('g') + ')')}, '\\s+', ' ', 'g'))"
 
 
-@query("html_links", f"""
-WITH z AS (SELECT page_id,
-  regexp_extract_all(html, '{xt.LINK_RE}', 1) AS hs, regexp_extract_all(html, '{xt.LINK_RE}', 2) AS ts FROM pages),
-e AS (SELECT page_id, hs, ts, unnest(range(len(hs))) AS i FROM z)
-SELECT page_id, CAST(i AS INTEGER) AS link_idx, {_DECODE.format(x='hs[i + 1]')} AS href, {_clean('ts[i + 1]')} AS text FROM e""")
+@query("html_links", r"""
+WITH z AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*>.*?</a>') AS links FROM pages),
+e AS (SELECT page_id, unnest(links) AS link, unnest(range(len(links))) AS i FROM z),
+h AS (SELECT page_id, i, link, regexp_extract(link, '(?is)^<a\s[^>]*>') AS tag FROM e),
+v AS (SELECT page_id, i, link, tag,
+             regexp_extract(tag, '(?is)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1) AS raw FROM h),
+n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS link_idx,
+             trim(raw, chr(34) || chr(39)) AS href, substr(link, len(tag) + 1, len(link) - len(tag) - 4) AS body
+      FROM v WHERE raw <> '')
+SELECT page_id, CAST(link_idx AS INTEGER) AS link_idx, """ + _DECODE.format(x="href") + " AS href, "
+       + _clean("body") + " AS text FROM n")
 def html_links(spark, d):
     return xt.html_links(T(spark, d, "pages"))
 
@@ -39,12 +45,27 @@ def html_tables(spark, d):
     return xt.html_tables(T(spark, d, "pages"))
 
 
+@query("html_tables_built", """
+SELECT n_regionkey AS page_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INTEGER AS row_idx,
+       c.col_idx::INTEGER AS col_idx, c.header, CASE c.col_idx WHEN 0 THEN n_nationkey::VARCHAR ELSE n_name END AS value
+FROM nation, (VALUES (0, 'key'), (1, 'name & more')) c(col_idx, header)""")
+def html_tables_built(spark, d):
+    """E1 on pages built from ``nation``: a small table first, then one with a header row."""
+    cells = F.concat(F.lit("<tr class='r'><td>"), F.col("n_nationkey").cast("string"), F.lit("</td>\n<TD><b>"),
+                     F.col("n_name"), F.lit("</b> </TD></tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", cells.alias("t")))),
+                                    lambda s: s["t"]), "\n")
+    head = "<table><tr><td>x</td></tr></table>\n<TABLE border=1><tr><th>key</th><th>name &amp; more</th></tr>"
+    pages = (T(spark, d, "nation").groupBy(F.col("n_regionkey").alias("page_id"))
+             .agg(F.concat(F.lit(head), rows, F.lit("</TABLE>")).alias("html")))
+    return xt.html_tables(pages)
+
+
 _TEXT_TABLES_SQL = r"""
 WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i AS line_idx, ls[i + 1] AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM l0)),
 dl AS (SELECT *, CASE WHEN contains(line, '|') THEN '|' WHEN contains(line, chr(9)) THEN 'tab'
-                      WHEN contains(line, ',') AND NOT regexp_matches(trim(line), '[.!?]$')
-                           AND NOT regexp_matches(line, '[^,]{41,}') THEN ',' END AS delim FROM l),
+                      WHEN contains(line, ',') THEN ',' END AS delim FROM l),
 c AS (SELECT doc_id, line_idx, delim,
              list_transform(CASE WHEN delim = '|' THEN string_split(regexp_replace(regexp_replace(trim(line), '^\|', ''), '\|$', ''), '|')
                                  WHEN delim = ',' THEN string_split(line, ',') ELSE string_split(line, chr(9)) END, lambda x: trim(x)) AS cells

@@ -121,3 +121,26 @@ def load_correlation(spark, d):
     write_table(T(spark, d, "lineitem").select(*_LC), path, fmt="csv")
     c = flows.load_correlation(spark, "csv", path)
     return c.select("var1", "var2", "i", "j", F.round("r", 6).alias("r"))
+
+
+@query("load_csv", """
+SELECT CAST(c_custkey AS INTEGER) AS id,
+       CASE WHEN c_custkey % 3 = 0 THEN 'a, "' || c_name || '"' || chr(10) || 'end' ELSE c_name END AS name,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS balance FROM customer""")
+def load_csv(spark, d):
+    """Customers written with quoted commas, doubled quotes, line breaks and NA, and loaded."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('a, "'), "c_name", F.lit('"\nend'))).otherwise(F.col("c_name"))
+    src = T(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), name.alias("name"),
+        F.when(F.col("c_custkey") % 5 == 0, F.lit("NA")).otherwise(F.col("c_acctbal").cast("string")).alias("balance"))
+    path = flows.shared_scratch(spark, "csv")
+    src.write.option("header", True).option("escape", '"').csv(path)
+    return flows.load(spark, "csv", path)
+
+
+@query("load_json", "SELECT event_id, event_type, value, props FROM events")
+def load_json(spark, d):
+    """Events written as JSON-lines and loaded."""
+    path = flows.shared_scratch(spark, "json")
+    T(spark, d, "events").select("event_id", "event_type", "value", "props").write.json(path)
+    return flows.load(spark, "json", path)

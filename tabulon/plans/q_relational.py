@@ -180,9 +180,12 @@ SELECT p_brand, round(regr_slope(revenue, month_idx), 4) AS slope, count(*) AS n
 FROM m GROUP BY p_brand HAVING regr_slope(revenue, month_idx) < 0""")
 def declining_brands(spark, d):
     li, p = T(spark, d, "lineitem"), T(spark, d, "part")
-    m = (li.join(p, li.l_partkey == p.p_partkey)
-         .groupBy("p_brand", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("month_idx"))
-         .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue")))
+    # Revenue per part and month before the join: a part with a third of all lines
+    # collapses map-side.
+    per_part = (li.groupBy("l_partkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("month_idx"))
+                .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue")))
+    m = (per_part.join(p, F.col("l_partkey") == p.p_partkey).groupBy("p_brand", "month_idx")
+         .agg(F.sum("revenue").alias("revenue")))
     s = rel.trend_slope(m, ["p_brand"], "month_idx", "revenue")
     return s.filter(F.col("slope") < 0).select("p_brand", F.round("slope", 4).alias("slope"),
                                                F.col("n_points").alias("n_months"))
@@ -202,9 +205,8 @@ def join_star(spark, d):
 
 
 def _geo(n, r):
-    """nation ⋈ region, broadcast once a bounded count shows it small."""
-    return rel.bounded_broadcast(
-        n.join(rel.bounded_broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name"))
+    """nation ⋈ region; the join strategy is left to the measured sizes."""
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
 
 
 def _orders_by_customer(o):
@@ -278,25 +280,26 @@ def region_segment_grid(spark, d):
                                                    F.sum("n_orders").alias("n_orders")))
 
 
-def _rich(spark, d):
-    c = T(spark, d, "customer").filter(F.col("c_acctbal") > 8000).select(F.col("c_nationkey").alias("nationkey"))
-    s = T(spark, d, "supplier").filter(F.col("s_acctbal") > 8000).select(F.col("s_nationkey").alias("nationkey"))
-    return c, s
+def _nations(spark, d, above=None):
+    c, s = T(spark, d, "customer"), T(spark, d, "supplier")
+    if above is not None:
+        c, s = c.filter(F.col("c_acctbal") > above), s.filter(F.col("s_acctbal") > above)
+    return c.select(F.col("c_nationkey").alias("nationkey")), s.select(F.col("s_nationkey").alias("nationkey"))
 
 
 @query("union_all", """
-SELECT c_nationkey AS nationkey FROM customer WHERE c_acctbal > 8000
-UNION ALL SELECT s_nationkey AS nationkey FROM supplier WHERE s_acctbal > 8000""")
+SELECT c_nationkey AS nationkey FROM customer
+UNION ALL SELECT s_nationkey AS nationkey FROM supplier""")
 def union_all(spark, d):
-    c, s = _rich(spark, d)
+    c, s = _nations(spark, d)
     return c.unionByName(s)
 
 
 @query("intersect", """
-SELECT c_nationkey AS nationkey FROM customer WHERE c_acctbal > 8000
-INTERSECT SELECT s_nationkey AS nationkey FROM supplier WHERE s_acctbal > 8000""")
+SELECT c_nationkey AS nationkey FROM customer
+INTERSECT SELECT s_nationkey AS nationkey FROM supplier""")
 def intersect(spark, d):
-    c, s = _rich(spark, d)
+    c, s = _nations(spark, d)
     return c.intersect(s)
 
 
@@ -304,7 +307,8 @@ def intersect(spark, d):
 SELECT c_nationkey AS nationkey FROM customer WHERE c_acctbal > 8000
 EXCEPT SELECT s_nationkey AS nationkey FROM supplier WHERE s_acctbal > 8000""")
 def except_(spark, d):
-    c, s = _rich(spark, d)
+    # Rich customers' nations without a rich supplier (over all rows the result is empty).
+    c, s = _nations(spark, d, 8000)
     return c.subtract(s)
 
 
@@ -312,12 +316,33 @@ def except_(spark, d):
 WITH a AS (SELECT o_custkey AS k, avg(o_totalprice) AS avg_total FROM orders GROUP BY o_custkey)
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders JOIN a ON o_custkey = k WHERE o_totalprice > avg_total""")
 def cte_subquery(spark, d):
-    o = T(spark, d, "orders")
-    o.createOrReplaceTempView("_orders_cte")
-    return spark.sql("""
-        WITH a AS (SELECT o_custkey AS k, avg(o_totalprice) AS avg_total FROM _orders_cte GROUP BY o_custkey)
-        SELECT o_orderkey, o_custkey, o_totalprice FROM _orders_cte o
-        WHERE o_totalprice > (SELECT avg_total FROM a WHERE a.k = o.o_custkey)""")
+    # One average per customer joins back; a customer with many orders is split by
+    # the skew join, the averages' side having one row for it.
+    return rel.run_query(spark, {"orders_cte": T(spark, d, "orders")}, """
+        WITH a AS (SELECT o_custkey AS k, avg(o_totalprice) AS avg_total FROM orders_cte GROUP BY o_custkey)
+        SELECT o_orderkey, o_custkey, o_totalprice FROM orders_cte o JOIN a ON a.k = o.o_custkey
+        WHERE o_totalprice > avg_total""")
+
+
+@query("join_right", """
+SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey""")
+def join_right(spark, d):
+    o, c = T(spark, d, "orders").select("o_custkey", "o_orderkey"), T(spark, d, "customer").select("c_custkey")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "o_orderkey")
+
+
+@query("join_full", """
+SELECT n.k AS nation_key, n.n_customers, s.n_suppliers
+FROM (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer WHERE c_acctbal > 0 GROUP BY 1) n
+FULL JOIN (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) s
+ON n.k = s.k""")
+def join_full(spark, d):
+    n = (T(spark, d, "customer").filter(F.col("c_acctbal") > 0).groupBy(F.col("c_nationkey").alias("nk"))
+         .agg(F.count(F.lit(1)).alias("n_customers")))
+    s = (T(spark, d, "supplier").filter(F.col("s_acctbal") > 8000).groupBy(F.col("s_nationkey").alias("sk"))
+         .agg(F.count(F.lit(1)).alias("n_suppliers")))
+    return n.join(s, F.col("nk") == F.col("sk"), "full").select(
+        F.col("nk").alias("nation_key"), "n_customers", "n_suppliers")
 
 
 @query("pivot_flags", """

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import normalise_nan
-from tabulon.sources.guards import SourceError
+from tabulon.functions.columns import NUMERIC_TEXT, normalise_nan
+from tabulon.sources.guards import SourceError, require_rows
 from tabulon.sources import jdbc
 
 FILE_TYPES = ("csv", "json", "excel", "parquet")
@@ -30,27 +30,95 @@ def _check_path(spark: SparkSession, path: str | None) -> str:
     return path
 
 
+# Spellings of a missing value in CSV files.
+NULL_TEXT = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+             "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+#: Types tried for a CSV column, narrowest first; text when none fits every value.
+_CSV_TYPES = ("int", "bigint", "double", "boolean", "date", "timestamp")
+
+
+def read_csv(spark: SparkSession, path: str, infer_schema: bool = True,
+             schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """CSV with a header, doubled quotes and missing-value spellings.
+
+    Files split across tasks unless a quoted field holds a line break.  With
+    ``multi_line`` None one pass over the lines looks for that (an odd number of
+    quotes); then each file is read by one task."""
+    if multi_line is None:
+        odd = F.col("value").contains('"') & (F.regexp_count("value", F.lit('"')) % 2 == 1)
+        multi_line = not spark.read.text(path).filter(odd).isEmpty()
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"')
+           .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
+    text = raw.select(*[F.when(~F.trim(_q(c)).isin(*NULL_TEXT), _q(c)).alias(c) for c in raw.columns])
+    if schema is not None:
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return text.select(*[F.trim(_q(c)).cast(f.dataType).alias(f.name)
+                             if not isinstance(f.dataType, T.StringType) else _q(c).alias(f.name)
+                             for c, f in zip(text.columns, wanted.fields, strict=True)])
+    if not infer_schema or not text.columns:
+        return text
+    # One pass decides the type of every column.
+    fits = text.agg(*[F.bool_and(_q(c).isNull() | _fits(c, t)).alias(f"{i}_{t}")
+                      for i, c in enumerate(text.columns) for t in _CSV_TYPES]).first()
+    out = []
+    for i, c in enumerate(text.columns):
+        kind = next((t for t in _CSV_TYPES if fits[f"{i}_{t}"]), None)
+        out.append(F.trim(_q(c)).cast(kind).alias(c) if kind else _q(c))
+    return text.select(*out)
+
+
+def _fits(c: str, kind: str):
+    value = F.trim(_q(c))
+    if kind in ("int", "bigint"):
+        return value.rlike(r"^[+-]?\d+$") & value.try_cast(kind).isNotNull()
+    if kind == "boolean":
+        return F.lower(value).isin("true", "false")
+    if kind == "date":
+        return value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & value.try_cast(kind).isNotNull()
+    if kind == "timestamp":
+        return value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d") & value.try_cast(kind).isNotNull()
+    return value.rlike(NUMERIC_TEXT + r"|(?i)^[+-]?inf(inity)?$") & value.try_cast(kind).isNotNull()
+
+
+def _q(c: str):
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+              multi_line: bool | None = None) -> DataFrame:
+    """JSON-lines, or one array (or object) per file.
+
+    With ``multi_line`` None one pass looks whether every line is an object of its
+    own; otherwise each file is one document, read by one task.  A record that does
+    not parse raises when it is read."""
+    if multi_line is None:
+        line = F.trim("value")
+        whole = (F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))) | (line == "")
+        multi_line = not spark.read.text(path).filter(~whole).isEmpty()
+    r = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
+    return (r.schema(schema) if schema is not None else r).json(path)
+
+
 def load(spark: SparkSession, source_type: str, path: str | None = None,
          db_config: dict | None = None, infer_schema: bool = True,
-         schema: T.StructType | str | None = None) -> DataFrame:
-    """Load a table.  ``source_type``: csv, json, excel, parquet, mysql, postgresql, sqlite."""
+         schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Load a table.  ``source_type``: csv, json, excel, parquet, mysql, postgresql, sqlite.
+    A table without rows raises."""
     st = (source_type or "").lower()
     if st in FILE_TYPES:
         path = _check_path(spark, path)
         if st == "csv":
-            r = spark.read.option("header", True)
-            r = r.schema(schema) if schema is not None else r.option("inferSchema", infer_schema)
-            df = r.csv(path)
+            df = read_csv(spark, path, infer_schema, schema, multi_line)
         elif st == "json":
-            r = spark.read.option("multiLine", True)
-            df = (r.schema(schema) if schema is not None else r).json(path)
+            df = read_json(spark, path, schema, multi_line)
         elif st == "parquet":
             df = spark.read.parquet(path)
         else:
             df = read_excel(spark, path)
-        return normalise_nan(df)
+        return require_rows(normalise_nan(df))
     if st in DB_TYPES:
-        return jdbc.load_database(spark, st, db_config)
+        return require_rows(normalise_nan(jdbc.load_database(spark, st, db_config)))
     raise SourceError(f"Unsupported source type: {source_type}")
 
 
@@ -94,12 +162,16 @@ def parse_first_sheet(content: bytes) -> list[list[str | None]]:
     rows: list[list[str | None]] = []
     for row in sheet.iter(f"{_NS}row"):
         cells: dict[int, str | None] = {}
+        idx = -1
         for c in row.iter(f"{_NS}c"):
-            idx = _col_index(c.get("r", "A"))
+            # The cell reference is optional; without it a cell follows the last one.
+            idx = _col_index(c.get("r")) if c.get("r") else idx + 1
             kind = c.get("t")
             v = c.find(f"{_NS}v")
             if kind == "s" and v is not None:
                 val = shared[int(v.text)]
+            elif kind == "b" and v is not None:
+                val = "true" if v.text == "1" else "false"
             elif kind == "inlineStr":
                 val = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
             else:
@@ -140,8 +212,16 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             out = []
             for content in pdf["content"]:
-                rows = parse_first_sheet(bytes(content))[1:]
-                out.extend([(r + [None] * len(header))[: len(header)] for r in rows])
+                rows = parse_first_sheet(bytes(content))
+                if not rows:
+                    continue
+                # Cells go by their own workbook's header names.
+                own = [h if h is not None else f"column_{i}" for i, h in enumerate(rows[0])]
+                unknown = set(own) - set(header)
+                if unknown or any(len(r) > len(own) for r in rows[1:]):
+                    raise ValueError(f"Workbooks differ in their columns: {sorted(unknown)}")
+                at = {h: i for i, h in enumerate(own)}
+                out.extend([[r[at[h]] if h in at and at[h] < len(r) else None for h in header] for r in rows[1:]])
             yield pd.DataFrame(out, columns=header)
 
     raw = files.mapInPandas(parse, schema)

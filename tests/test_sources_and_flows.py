@@ -177,21 +177,6 @@ def test_one_hot_and_report_sink(spark, scratch):
     assert text.startswith("# Title")
 
 
-def test_bounded_broadcast_hints_only_small_sides(spark):
-    from tabulon.operators.relational import bounded_broadcast
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    dim = spark.range(10).withColumnRenamed("id", "k")
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # only hints may broadcast
-    try:
-        small_plan = big.join(bounded_broadcast(dim, max_rows=10), "k")._jdf.queryExecution().executedPlan().toString()
-        large_plan = big.join(bounded_broadcast(dim, max_rows=9), "k")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-    assert "BroadcastHashJoin" in small_plan
-    assert "BroadcastHashJoin" not in large_plan
-
-
 def test_packed_grouped_function_bucket_count(spark):
     """Packed groups: as many buckets as the row count asks for, never fewer
     than four per shuffle partition; the result is the per-key one."""

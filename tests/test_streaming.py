@@ -23,3 +23,18 @@ def test_stream_matches_static(spark, scratch):
     a = sorted(tuple(r) for r in got.collect())
     b = sorted(tuple(r) for r in static.collect())
     assert a == b and len(a) > 5
+
+
+def test_late_files_count(spark, scratch):
+    """Files written newest first, one per batch: every row counts."""
+    import datetime
+    import os
+    schema = "ts timestamp, event_type string, value double"
+    for i, day in enumerate((20, 10, 1)):
+        rows = [(datetime.datetime(2024, 1, day, h), "a", 1.0) for h in range(3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{scratch}/in/p{i}")
+        for f in os.listdir(f"{scratch}/in/p{i}"):
+            os.utime(f"{scratch}/in/p{i}/{f}", (1000 + i, 1000 + i))
+    df = spark.read.parquet(f"{scratch}/in/*")
+    got = run_windowed_counts(spark, f"{scratch}/in/*", df.schema, f"{scratch}/sink", f"{scratch}/state")
+    assert sum(r.n_events for r in got.collect()) == 9
