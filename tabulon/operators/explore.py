@@ -61,12 +61,15 @@ def step_finding(df: DataFrame, n: int | None = None, total=None) -> str:
     :func:`step_shape` when the caller has them)."""
     cols = df.columns
     nums = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    first = df.limit(1).collect()
+    ordered = not df._jdf.queryExecution().analyzed().outputOrdering().isEmpty()
+    sortable = [q(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    # A result without an order of its own is read in the order of its columns.
+    first = (df if ordered or not sortable else df.orderBy(*sortable)).limit(1).collect()
     if n is None:
         n, total = step_shape(df)
     if not first:
         return f"The query returned no rows ({len(cols)} columns)."
-    head = ", ".join(f"{c} = {_show(first[0][c])}" for c in cols[:4])
+    head = ", ".join(f"{c} = {_show(first[0][c])}" for c in cols)
     text = f"The result has {n} rows and {len(cols)} columns. First row: {head}."
     if nums and n > 1:
         c = nums[-1]

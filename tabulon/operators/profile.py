@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import is_numeric, is_temporal, q
+from tabulon.functions.columns import is_numeric, is_temporal, normalise_nan, q
 
 PROFILE_SCHEMA = ("column_name position dtype semantic_type n_rows n_null nullable n_unique "
                   "min_value max_value mean_value samples").split()
@@ -51,6 +51,7 @@ def column_stats(df: DataFrame, approx: bool = False, wide: DataFrame | None = N
 
     All columns share one aggregation job (or ``wide``, its one-row result
     computed elsewhere); the one-row result is unpivoted."""
+    df = normalise_nan(df)
     fields = df.schema.fields
     if wide is None:
         wide = df.agg(*[e.alias(k) for k, e in column_stats_aggs(df, approx).items()])
@@ -85,12 +86,14 @@ def smallest_values(df: DataFrame, cols: list[str], k: int = 3) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("samples"))
 
 
-def unique_values(df: DataFrame, cols: list[str], limit: int = 10) -> DataFrame:
-    """Full sorted value list for columns with at most ``limit`` distinct values.
+def unique_values(df: DataFrame, cols: list[str], limit: int = 10, as_list: bool = False) -> DataFrame:
+    """Full sorted value list for columns with at most ``limit`` distinct values, as one
+    text or (``as_list``) as an array.
 
-    Columns above the limit stop growing at ``limit + 1`` values per column."""
+    Every distinct value is shuffled once; ``limit + 1`` values per column go further."""
+    kind = "array<string>" if as_list else "string"
     if not cols:
-        return df.sparkSession.createDataFrame([], "column_name string, n_unique long, unique_values string")
+        return df.sparkSession.createDataFrame([], f"column_name string, n_unique long, unique_values {kind}")
     items = F.array(*[F.struct(F.lit(c).alias("column_name"), q(c).cast("string").alias("v")) for c in cols])
     long = df.select(F.inline(items)).filter(F.col("v").isNotNull()).distinct()
     w = Window.partitionBy("column_name").orderBy("v")
@@ -99,7 +102,7 @@ def unique_values(df: DataFrame, cols: list[str], limit: int = 10) -> DataFrame:
                                         F.array_sort(F.collect_list("v")).alias("_vals"))
     return g.filter(F.col("_k") <= limit).select(
         "column_name", F.col("_k").cast("long").alias("n_unique"),
-        F.array_join("_vals", ", ").alias("unique_values"))
+        (F.col("_vals") if as_list else F.array_join("_vals", ", ")).alias("unique_values"))
 
 
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -142,14 +145,15 @@ def field_types(df: DataFrame, approx: bool = False, wide: DataFrame | None = No
         "n_unique", "n_rows")
 
 
-def field_stats(df: DataFrame, given: DataFrame | None = None, approx: bool = False) -> DataFrame:
+def field_stats(df: DataFrame, given: DataFrame | None = None, approx: bool = False,
+                as_list: bool = False) -> DataFrame:
     """Computed statistics, overridden by a given schema frame where present.
 
     ``given`` has (column_name, semantic_type, unique_count, stat_min, stat_max,
     stat_mean) with nulls where the schema says nothing."""
     stats = column_stats(df, approx)
     nominal = [f.name for f in df.schema.fields if semantic_class(f.dataType) == "nominal"]
-    uv = unique_values(df, nominal, 10)
+    uv = unique_values(df, nominal, 10, as_list)
     base = stats.join(uv.select("column_name", "unique_values"), "column_name", "left")
     if given is not None:
         g = given.select(*[F.col(c).alias(f"g_{c}") if c != "column_name" else F.col(c) for c in given.columns])
@@ -174,10 +178,11 @@ def _py_float_text(c):
 
 
 def field_lines(stats: DataFrame) -> DataFrame:
-    """P10: ``- **col** (type) [n unique values] Range: a to b Mean: m.mm Values: …``."""
-    vals = F.split(F.col("unique_values"), ", ")
-    sample_txt = F.when(F.col("unique_values").isNull(), F.lit(None)).when(
-        F.size(vals) <= 5, F.concat(F.lit("Values: "), F.col("unique_values"))).otherwise(
+    """P10: ``- **col** (type) [n unique values] Range: a to b Mean: m.mm Values: …``.
+    ``stats``: :func:`field_stats` with ``as_list``, since a value may hold a comma."""
+    vals = F.col("unique_values")
+    sample_txt = F.when(vals.isNull(), F.lit(None)).when(
+        F.size(vals) <= 5, F.concat(F.lit("Values: "), F.array_join(vals, ", "))).otherwise(
         F.concat(F.lit("Sample values: "), F.array_join(F.slice(vals, 1, 5), ", "), F.lit(", ...")))
     rng = F.when(F.col("stat_min").isNotNull() & F.col("stat_max").isNotNull(),
                  F.concat(F.lit("Range: "), _py_float_text(F.col("stat_min")), F.lit(" to "),

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions.columns import NUMERIC_TEXT, is_numeric, numeric_columns, q
+from tabulon.functions.columns import NUMERIC_TEXT, is_numeric, normalise_nan, numeric_columns, q
 from tabulon.operators.ranking import column_quantiles
 from tabulon.session import local_frame, small_frame
+from tabulon.sources.guards import require_rows
 
 
 def _row_count(df: DataFrame):
@@ -48,12 +49,16 @@ def quality_pass(df: DataFrame, approx: bool = False, probs=(0.25, 0.75), extra:
     0.75), with the column counts of Q1/Q3 and the caller's ``extra``
     aggregates riding along in their counting pass; then the outlier hits.
 
-    Returns (counts as a one-row frame, outliers, quantiles, extra values)."""
+    Returns (counts as a one-row frame, outliers, quantiles, extra values).  A table
+    without rows raises."""
+    df = normalise_nan(df)
     nums = numeric_columns(df)
     count_aggs = column_count_aggs(df)
     got: dict = {}
     qs = small_frame(column_quantiles(df, nums, list(probs), approx=approx,
                                       extra={**count_aggs, **(extra or {})}, extra_out=got))
+    if not got["_n"]:
+        raise ValueError("Data table is empty")
     outl = small_frame(outliers_iqr(df, nums, bounds=fences(qs)))
     counts = local_frame(df.sparkSession, [tuple(got[k] for k in count_aggs)],
                          ", ".join(f"{k} long" for k in count_aggs))
@@ -72,6 +77,7 @@ def missing_values(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 
     ``counts`` is :func:`column_counts` of ``df`` when the caller has it."""
     if counts is None:
+        df = normalise_nan(df)
         counts = df.agg(F.count(F.lit(1)).alias("_n"),
                         *[F.count_if(q(c).isNull()).alias(f"_m{i}") for i, c in enumerate(df.columns)])
     long = counts.select(F.col("_n"), F.inline(F.array(*[
@@ -88,6 +94,7 @@ def iqr_bounds(df: DataFrame, cols: list[str] | None = None, approx: bool = Fals
 
     ``extra``/``extra_out``: aggregates computed in the same counting pass
     (see :func:`column_quantiles`)."""
+    df = normalise_nan(df)
     cols = numeric_columns(df) if cols is None else cols
     return fences(column_quantiles(df, cols, [0.25, 0.75], approx=approx, extra=extra, extra_out=extra_out))
 
@@ -107,6 +114,7 @@ def outliers_iqr(df: DataFrame, cols: list[str] | None = None, bounds: DataFrame
 
     The fences are one row per column; the hits of every column are counted
     in one wide aggregation with the fences as literals."""
+    df = normalise_nan(df)
     cols = numeric_columns(df) if cols is None else cols
     schema = "column_name string, n_outliers long, percentage double, lower_bound double, upper_bound double"
     if not cols:
@@ -154,46 +162,26 @@ def _row_fingerprint(df: DataFrame) -> list:
             F.xxhash64(F.lit("second seed"), *flags, *cols).alias("_f2")]
 
 
-DUPLICATE_CANDIDATES_MAX = 1_000_000
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Q4: rows equal to an earlier row (nulls compare equal).
 
-    Pass 1 counts rows per 128-bit row fingerprint, shuffling a few bytes per
-    row instead of whole rows.  Equal rows share a fingerprint, so rows
-    whose fingerprint is unique are distinct.  The same query (one shared
-    exchange) returns the repeated fingerprints, up to a bound.  Pass 2 keeps
-    only the rows carrying one of them (broadcast semi-join) and groups those
-    by all columns, which is exact even under a hash collision.  Above the
-    bound, all rows are grouped by all columns.  Either way, copies of a hot
-    row collapse map-side."""
+    Rows are counted per 128-bit row fingerprint, shuffling a few bytes per row
+    instead of whole rows.  Equal rows share a fingerprint, so rows whose fingerprint
+    is unique are distinct.  Only rows with a repeated fingerprint are grouped by all
+    columns, which is exact even under a hash collision; copies of a hot row collapse
+    map-side in both steps."""
+    df = normalise_nan(df)
     spark = df.sparkSession
-    schema = "n_rows long, n_distinct long, n_duplicates long"
     tagged = df.select(*_row_fingerprint(df), *[q(c) for c in df.columns])
     fp = tagged.groupBy("_f1", "_f2").agg(F.count(F.lit(1)).alias("_k"))
-    stats = fp.agg(F.lit(True).alias("_stats"), F.lit(None).cast("long").alias("_f1"),
-                   F.lit(None).cast("long").alias("_f2"),
-                   F.coalesce(F.sum("_k"), F.lit(0)).cast("long").alias("n_rows"),
-                   F.count(F.lit(1)).alias("n_fp"), F.count_if(F.col("_k") > 1).alias("n_repeated"))
-    cands = fp.filter(F.col("_k") > 1).limit(DUPLICATE_CANDIDATES_MAX + 1).select(
-        F.lit(False).alias("_stats"), "_f1", "_f2", F.lit(None).cast("long").alias("n_rows"),
-        F.lit(None).cast("long").alias("n_fp"), F.lit(None).cast("long").alias("n_repeated"))
-    got = stats.unionByName(cands).collect()
-    st = next(r for r in got if r["_stats"])
-    n_rows, n_fp, n_rep = st["n_rows"], st["n_fp"], st["n_repeated"]
-    if n_rep == 0:
-        return local_frame(spark, [(n_rows, n_fp, 0)], schema)
-    if n_rep <= DUPLICATE_CANDIDATES_MAX:
-        cand = local_frame(spark, [(r["_f1"], r["_f2"]) for r in got if not r["_stats"]], "_f1 long, _f2 long")
-        rows = tagged.join(F.broadcast(cand), ["_f1", "_f2"], "left_semi").drop("_f1", "_f2")
-        exact = rows.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k")).agg(
-            F.count(F.lit(1)).alias("n")).first()["n"]
-        n_distinct = (n_fp - n_rep) + exact
-        return local_frame(spark, [(n_rows, n_distinct, n_rows - n_distinct)], schema)
-    g = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
-    return g.agg(F.sum("_k").cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
-                 F.sum(F.col("_k") - 1).cast("long").alias("n_duplicates"))
+    st = fp.agg(F.coalesce(F.sum("_k"), F.lit(0)).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_fp"),
+                F.count_if(F.col("_k") > 1).alias("n_repeated")).first()
+    n_distinct = st["n_fp"]
+    if st["n_repeated"]:
+        rows = tagged.join(fp.filter(F.col("_k") > 1), ["_f1", "_f2"], "left_semi").drop("_f1", "_f2")
+        n_distinct += rows.distinct().count() - st["n_repeated"]
+    return local_frame(spark, [(st["n_rows"], n_distinct, st["n_rows"] - n_distinct)],
+                       "n_rows long, n_distinct long, n_duplicates long")
 
 
 def duplicate_keys(df: DataFrame) -> DataFrame:
@@ -242,6 +230,7 @@ def quality_report(df: DataFrame, approx: bool = False, outliers: DataFrame | No
 
     The per-column results (one row per column) are materialised once, so
     the several summaries below read them instead of re-scanning the table."""
+    df = normalise_nan(df)
     if counts is None and outliers is None:
         counts, outliers = counts_with_outliers(df, approx)
     counts = small_frame(column_counts(df)) if counts is None else counts
@@ -278,6 +267,7 @@ def recommendation_text(report: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ cleaning
 def drop_sparse_rows(df: DataFrame) -> DataFrame:
     """Q6: keep rows whose non-null count is at least half the columns."""
+    df = normalise_nan(df)
     need = math.ceil(len(df.columns) * 0.5)
     return df.na.drop(thresh=need) if need > 0 else df
 
@@ -328,6 +318,7 @@ def fill_missing(df: DataFrame, approx: bool = False, numeric: bool = True,
     ``candidates`` (when known) are the only columns that may hold nulls;
     with none, no pass over the data is needed.  ``with_nulls`` (when known
     exactly) are the columns that do hold nulls: no counting pass at all."""
+    df = normalise_nan(df)
     if with_nulls is not None:
         todo = [c for c in df.columns if c in set(with_nulls)]
     else:
@@ -380,13 +371,17 @@ def clean(df: DataFrame, approx: bool = False, bounds: dict | None = None,
 
     ``null_columns``: the columns with nulls in ``df``, when already known.
     Without ``bounds``, the null counts of the rows that survive the sparse
-    drop ride along in the fences' counting pass (no pass of their own)."""
+    drop ride along in the fences' counting pass (no pass of their own).  A table
+    without rows raises."""
+    df = normalise_nan(df)
     with_nulls = None
     if bounds is None:
         keep = kept_row(df)
-        extra = {f"_kn{i}": F.count_if(keep & q(c).isNull()) for i, c in enumerate(df.columns)}
+        extra = {"_n": F.count(F.lit(1))} | {f"_kn{i}": F.count_if(keep & q(c).isNull()) for i, c in enumerate(df.columns)}
         got: dict = {}
         bounds = outlier_bounds(df, approx, extra=extra, extra_out=got)
+        if (got["_n"] if got else require_rows(df) and 1) == 0:
+            raise ValueError("Data table is empty")
         if got:
             with_nulls = [c for i, c in enumerate(df.columns) if got[f"_kn{i}"] > 0]
     step = drop_sparse_rows(df)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import q
-from tabulon.session import ensure_checkpoint_dir, local_frame, shared_table, small_frame
+from tabulon.session import ensure_checkpoint_dir, local_frame, shared_table
 
 
 def long_form(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = (),
@@ -63,351 +63,156 @@ def quantile_names(probs: Sequence[float]) -> list[str]:
     return [f"q{int(round(p * 1000)):04d}" for p in probs]
 
 
+#: Relative error of the summaries (1 / ACCURACY of the rows).
+ACCURACY = 10_000
+#: Equal-width slices that a bracket's values are ordered in.
+SLICES = 1000
+
+
+def _around(probs: Sequence[float]) -> list[float]:
+    """Probabilities just below and above each target, four summary errors away."""
+    margin = 4.0 / ACCURACY
+    return [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
+
+
 def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("column_name",),
-                    value: str = "value", approx: bool = False, accuracy: int = 10000,
-                    method: str = "select") -> DataFrame:
+                    value: str = "value", approx: bool = False) -> DataFrame:
     """Linear-interpolated quantiles per key (pandas / ``quantile_cont`` rule).
 
     Returns keys..., n, and one column per probability named by
-    :func:`quantile_names`.  ``approx=True`` is one ``percentile_approx``
-    pass.  The exact default (``method="select"``) needs no sort of the data:
-    an approximate pass brackets each target rank, a counting pass checks the
-    bracket really holds it, and only the few values inside a bracket are
-    counted and ordered (brackets above ``BRACKET_LIMIT`` rows are narrowed
-    again first).  A bracket that fails its check falls back to the
-    distributed sort (``method="sort"``), so the answer is always exact."""
-    names = quantile_names(probs)
+    :func:`quantile_names`.  ``approx=True`` is one summary pass.  Otherwise, at every
+    size: summaries bracket each target rank, a counting pass checks that the bracket
+    holds it (one that does not becomes the whole range), and the values inside the
+    brackets are ordered on the cluster.  The state is one row per group and stays a
+    distributed table."""
+    names, probs, keys = quantile_names(probs), list(probs), list(keys)
+    long = long.select(*keys, F.col(value).alias("value"))
+    v = F.col("value")
     if approx:
-        pa = F.percentile_approx(value, list(probs), accuracy)
-        return (long.groupBy(*keys).agg(F.count("*").alias("n"), pa.alias("_qs"))
+        pa = F.percentile_approx(v, probs, ACCURACY)
+        return (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pa.alias("_qs"))
                 .select(*keys, "n", *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)]))
-    if method == "select":
-        out = _select_quantiles(long, list(probs), list(keys), value, accuracy)
-        if out is not None:
-            return out
-    return _sorted_quantiles(long, probs, keys, value)
-
-
-BRACKET_LIMIT = 1_000_000
-DRIVER_RESOLVE_LIMIT = 500_000
-SAMPLE_SIZE = 100_000
-SAMPLE_CELLS = 2_000_000
-SAMPLE_BRACKET_MAX_ROWS = 50_000_000
-_GRID = 1000
-
-
-def _grid_bounds(grid_col, rel_lo, rel_hi):
-    """Grid values at or below ``rel_lo`` and at or above ``rel_hi``."""
-    i_lo = F.greatest(F.floor(rel_lo * _GRID), F.lit(0)).cast("int")
-    i_hi = F.least(F.ceil(rel_hi * _GRID), F.lit(_GRID)).cast("int")
-    return F.element_at(grid_col, i_lo + 1), F.element_at(grid_col, i_hi + 1)
-
-
-def _select_quantiles(long, probs, keys, value, accuracy):
-    spark = long.sparkSession
-    ensure_checkpoint_dir(spark)
-    P = len(probs)
-    v = F.col(value)
-    grid = [i / _GRID for i in range(_GRID + 1)]
-    margin = 4.0 / accuracy
-    # Pass 1: n and approximate values just below / above each target
-    # (map-side partial summaries, no shuffle of the rows).
-    around = []
-    for p in probs:
-        around += [max(0.0, p - margin), min(1.0, p + margin)]
-    s1 = long.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(v, around, accuracy).alias("_g"))
-    n1 = F.col("n") - 1
-    state_cols = [*keys, "n"]
-    for i, p in enumerate(probs):
+    s1 = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                 F.percentile_approx(v, _around(probs), ACCURACY).alias("_g"))
+    state = shared_table(s1, "brackets")
+    counted = []
+    for i in range(len(probs)):
         lo, hi = F.col("_g")[2 * i], F.col("_g")[2 * i + 1]
-        state_cols += [(F.floor(n1 * F.lit(p)) + 1).cast("long").alias(f"r1_{i}"),
-                       F.least(F.floor(n1 * F.lit(p)) + 2, F.col("n")).cast("long").alias(f"r2_{i}"),
-                       lo.alias(f"lo_{i}"), hi.alias(f"hi_{i}")]
-    state = small_frame(s1.select(*state_cols))
-    for _round in range(6):
-        # Pass 2: exact counts below and inside every bracket.
-        j = long.join(_small_side(state), keys)
-        aggs = []
-        for i in range(P):
-            aggs += [F.count_if(v < F.col(f"lo_{i}")).alias(f"below_{i}"),
-                     F.count_if((v >= F.col(f"lo_{i}")) & (v <= F.col(f"hi_{i}"))).alias(f"cin_{i}")]
-        counts = j.groupBy(*keys).agg(*aggs)
-        st = small_frame(state.join(counts, keys))
-        bad = None
-        big = None
-        for i in range(P):
-            ok_i = (F.col(f"below_{i}") < F.col(f"r1_{i}")) & (F.col(f"below_{i}") + F.col(f"cin_{i}") >= F.col(f"r2_{i}"))
-            bad = ~ok_i if bad is None else (bad | ~ok_i)
-            b_i = F.col(f"cin_{i}") > BRACKET_LIMIT
-            big = b_i if big is None else (big | b_i)
-        flags = st.agg(F.max(bad.cast("int")).alias("bad"), F.max(big.cast("int")).alias("big")).collect()[0]
-        if flags["bad"]:
-            return None
-        if not flags["big"]:
-            return _resolve(long, st, probs, keys, value)
-        # Narrow the wide brackets: a finer grid over the rows inside them.
-        inside = _inside(long, st, P, keys, value)
-        sub = inside.groupBy(*keys, "_i").agg(F.percentile_approx(value, grid, accuracy).alias("_g"))
-        sub = sub.join(st, keys)
-        cols = [*keys, "n"]
-        for i in range(P):
-            rel_lo = (F.col(f"r1_{i}") - F.col(f"below_{i}") - 1) / F.col(f"cin_{i}") - margin
-            rel_hi = (F.col(f"r2_{i}") - F.col(f"below_{i}")) / F.col(f"cin_{i}") + margin
-            nlo, nhi = _grid_bounds(F.col("_g"), rel_lo, rel_hi)
-            keep = F.col(f"cin_{i}") <= BRACKET_LIMIT
-            cols += [F.first(F.col(f"r1_{i}")).alias(f"r1_{i}"), F.first(F.col(f"r2_{i}")).alias(f"r2_{i}"),
-                     F.max(F.when(keep, F.col(f"lo_{i}")).when(F.col("_i") == i, nlo)).alias(f"lo_{i}"),
-                     F.max(F.when(keep, F.col(f"hi_{i}")).when(F.col("_i") == i, nhi)).alias(f"hi_{i}")]
-        state = small_frame(sub.groupBy(*keys).agg(F.first("n").alias("n"), *cols[len(keys) + 1:]))
-    return None
-
-
-STATE_BROADCAST_MAX_ROWS = 1_000_000
-
-
-def _small_side(state: DataFrame) -> DataFrame:
-    """The bracket state (one driver-side row per group) joined to the data:
-    broadcast when its row count, known because it was collected, is small,
-    so a group holding a third of all rows never lands in one join task."""
-    return F.broadcast(state) if state.count() <= STATE_BROADCAST_MAX_ROWS else state
-
-
-def _inside(long, st, P, keys, value):
-    """Rows inside any bracket, tagged with the bracket index ``_i``.
-
-    A cheap OR filter keeps only in-bracket rows before the (tiny) explode."""
-    j = long.join(_small_side(st), keys)
-    v = F.col(value)
-    conds = [(v >= F.col(f"lo_{i}")) & (v <= F.col(f"hi_{i}")) for i in range(P)]
-    anyin = conds[0]
-    for c in conds[1:]:
-        anyin = anyin | c
-    tagged = j.filter(anyin).select(*keys, value, F.explode(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conds)]))
-                                    .alias("_i"))
-    return tagged.filter(F.col("_i").isNotNull())
-
-
-def _resolve(long, st, probs, keys, value):
-    """Order the few values inside each bracket and read off the ranks."""
-    P = len(probs)
-    inside = _inside(long, st, P, keys, value)
-    vc = inside.groupBy(*keys, "_i", value).agg(F.count("*").alias("_c"))
-    meta = st.select(*keys, "n", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.col(f"below_{i}").alias("below"), F.col(f"r1_{i}").alias("r1"),
-                 F.col(f"r2_{i}").alias("r2")) for i in range(P)])))
-    w = Window.partitionBy(*keys, "_i").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = vc.join(meta, [*keys, "_i"]).withColumn("_cum", F.col("below") + F.sum("_c").over(w))
-    picked = cum.groupBy(*keys, "_i").agg(
-        F.first("n").alias("n"),
-        F.min(F.when(F.col("_cum") >= F.col("r1"), F.col(value))).alias("_v1"),
-        F.min(F.when(F.col("_cum") >= F.col("r2"), F.col(value))).alias("_v2"))
-    names = quantile_names(probs)
-    aggs = [F.first("n").alias("n")]
+        counted += [F.count_if(v < lo).alias(f"_b{i}"), F.count_if((v >= lo) & (v <= hi)).alias(f"_c{i}")]
+    counts = long.join(state, keys).groupBy(*keys).agg(*counted)
+    items = []
+    for i, p in enumerate(probs):
+        low = F.floor((F.col("n") - 1) * F.lit(p)) + 1
+        high = F.least(low + 1, F.col("n"))
+        ok = (F.col(f"_b{i}") < low) & (F.col(f"_b{i}") + F.col(f"_c{i}") >= high)
+        items.append(F.struct(
+            F.lit(i).alias("_i"), F.when(ok, F.col("_g")[2 * i]).otherwise(float("-inf")).alias("lo"),
+            F.when(ok, F.col("_g")[2 * i + 1]).otherwise(float("inf")).alias("hi"),
+            F.when(ok, F.col(f"_b{i}")).otherwise(0).alias("below"),
+            low.cast("long").alias("r1"), high.cast("long").alias("r2")))
+    checked = shared_table(state.join(counts, keys).select(*keys, "n", F.array(*items).alias("_s")), "brackets")
+    inside = (long.join(checked, keys)
+              .select(*keys, "value", F.explode(F.filter(
+                  "_s", lambda b: (v >= b["lo"]) & (v <= b["hi"]))).alias("b"))
+              .select(*keys, "value", F.col("b._i").alias("_i")))
+    meta = checked.select(*keys, F.inline("_s"))
+    picked = _ordered(inside, meta, keys)
+    got = picked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+        F.struct("_i", F.struct("v1", "v2").alias("v")))).alias("_m"))
+    out = [F.col(k) for k in keys] + [F.col("n")]
     for i, (p, nm) in enumerate(zip(probs, names)):
         h = (F.col("n") - 1) * F.lit(p)
-        frac = h - F.floor(h)
-        lo_v = F.max(F.when(F.col("_i") == i, F.col("_v1")))
-        hi_v = F.max(F.when(F.col("_i") == i, F.col("_v2")))
-        aggs.append((lo_v + (hi_v - lo_v) * F.max(F.when(F.col("_i") == i, frac))).alias(nm))
-    return small_frame(picked.groupBy(*keys).agg(*aggs).select(*keys, "n", *names))
-
-
-def _sorted_quantiles(long, probs, keys, value):
-    """Exact quantiles from global ranks (distributed sort)."""
-    names = quantile_names(probs)
-    ranked = rank_rows(long, keys, value)
-    n1 = F.col("n") - 1
-    wanted = None
-    parts = []
-    for p, nm in zip(probs, names):
-        lo = F.floor(n1 * F.lit(p)) + 1
-        cond = (F.col("rank") == lo) | (F.col("rank") == lo + 1)
-        wanted = cond if wanted is None else (wanted | cond)
-        parts.append((p, nm, lo))
-    needed = ranked.filter(wanted)
-    aggs = [F.first("n").alias("n")]
-    for p, nm, lo in parts:
-        aggs.append(F.max(F.when(F.col("rank") == lo, F.col(value))).alias(f"{nm}_lo"))
-        aggs.append(F.max(F.when(F.col("rank") == lo + 1, F.col(value))).alias(f"{nm}_hi"))
-    agg = needed.groupBy(*keys).agg(*aggs)
-    outs = []
-    for p, nm, _ in parts:
-        h = (F.col("n") - 1) * F.lit(p)
-        frac = h - F.floor(h)
-        lo_v, hi_v = F.col(f"{nm}_lo"), F.coalesce(F.col(f"{nm}_hi"), F.col(f"{nm}_lo"))
-        outs.append((lo_v + (hi_v - lo_v) * frac).alias(nm))
-    return agg.select(*keys, "n", *outs)
-
-
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 10000,
-                     approx: bool = False, extra: dict | None = None,
-                     extra_out: dict | None = None) -> DataFrame:
+        pair = F.col("_m")[F.lit(i)]
+        out.append((pair["v1"] + (pair["v2"] - pair["v1"]) * (h - F.floor(h))).alias(nm))
+    return checked.select(*keys, "n").join(got, keys).select(*out)
+
+
+def _ordered(inside: DataFrame, meta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values at ranks r1 and r2 of every bracket.
+
+    ``inside``: keys, _i, value (rows within the brackets); ``meta``: keys, _i, lo, hi,
+    below, r1, r2.  Values are counted first, so a repeated value is one row.  Counts per
+    equal-width slice find the one or two slices that hold the ranks, and only those are
+    ordered value by value: no task orders a whole bracket."""
+    by = [*keys, "_i"]
+    counts = inside.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_c"))
+    span = F.col("hi") - F.col("lo")
+    wide = (span > 0) & (span < float("inf"))
+    at = F.when(wide, F.least(F.floor((F.col("value") - F.col("lo")) / span * SLICES), F.lit(SLICES - 1))).otherwise(0)
+    counts = counts.join(meta, by).withColumn("_slice", at.cast("int"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (counts.groupBy(*by, "_slice").agg(F.sum("_c").alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    hit = slices.select(*[F.col(c).alias(f"_h_{c}") for c in (*by, "_slice")], "_before", "_n")
+    same = [F.col(c) == F.col(f"_h_{c}") for c in (*by, "_slice")]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    start = F.col("below") + F.col("_before")
+    holds = [(start < F.col(r)) & (start + F.col("_n") >= F.col(r)) for r in ("r1", "r2")]
+    within = Window.partitionBy(*by, "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (counts.join(hit, cond).filter(holds[0] | holds[1])
+           .withColumn("_cum", start + F.sum("_c").over(within)))
+    return cum.groupBy(*by).agg(F.min(F.when(F.col("_cum") >= F.col("r1"), F.col("value"))).alias("v1"),
+                                F.min(F.when(F.col("_cum") >= F.col("r2"), F.col("value"))).alias("v2"))
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], approx: bool = False,
+                     extra: dict | None = None, extra_out: dict | None = None) -> DataFrame:
     """Exact quantiles of several columns of one table (no unpivot of the data).
 
-    Same bracket-and-verify method as :func:`exact_quantiles`, but the two
-    counting passes are single wide aggregations with literal bounds, and
-    only the rows inside a bracket are unpivoted.  Returns a small frame
-    (column_name, n, q…).
-
-    ``extra`` (name → aggregate column) rides along in the counting pass, so
-    a caller's own statistics cost no scan of their own; their values land
-    in ``extra_out``."""
-    res = _column_quantiles(df, cols, probs, accuracy, approx, extra or {}, extra_out)
-    if extra and extra_out is not None and not extra_out:
-        # The counting pass did not run (approximate or empty input).
-        extra_out.update(df.agg(*[e.alias(k) for k, e in extra.items()]).collect()[0].asDict())
-    return res
-
-
-def _no_values(spark, cols, names):
-    """One row per column with n = 0 and null quantiles (empty input or
-    all-null columns), the same shape as when some columns have values."""
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("n", T.LongType())]
-                          + [T.StructField(nm, T.DoubleType()) for nm in names])
-    return local_frame(spark, [(c, 0, *[None] * len(names)) for c in cols], schema)
+    The method of :func:`exact_quantiles`, with one wide aggregation for the summaries
+    and one for the counts; only the rows inside a bracket are unpivoted.  Returns a
+    small frame (column_name, n, q…), one row per column.
 
-
-def _column_quantiles(df, cols, probs, accuracy, approx, extra, extra_out):
-    from pyspark.sql import types as T
-    names = quantile_names(probs)
+    ``extra`` (name → aggregate column) rides along in the summary pass, so a caller's
+    own statistics cost no scan of their own; their values land in ``extra_out``."""
+    names, probs, extra = quantile_names(probs), list(probs), extra or {}
     spark = df.sparkSession
-    if not cols:
-        return spark.createDataFrame([], "column_name string, n long, "
-                                     + ", ".join(f"{nm} double" for nm in names))
-    if approx:
-        res = small_frame(exact_quantiles(long_form(df, cols), probs, approx=True, accuracy=accuracy))
-        have = {r["column_name"] for r in res.collect()}
-        missing = [c for c in cols if c not in have]
-        return res.unionByName(_no_values(spark, missing, names)) if missing else res
-    P = len(probs)
-    margin = 4.0 / accuracy
-    around = []
-    for p in probs:
-        around += [max(0.0, p - margin), min(1.0, p + margin)]
-    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    # Pass 0: the row count (no column is read; it bounds every column's n).
-    n_all = df.count()
-    if n_all == 0:
-        return _no_values(spark, cols, names)
-    brackets = {}
-    if n_all <= SAMPLE_BRACKET_MAX_ROWS:
-        # Pass 1 (moderate sizes): brackets from a uniform sample of about
-        # SAMPLE_SIZE rows, cheaper than summaries; the counting pass below
-        # still proves every bracket, so the answer stays exact.
-        import numpy as np
-        # At most SAMPLE_CELLS values reach the driver, however wide the table.
-        frac = min(1.0, SAMPLE_SIZE / n_all, SAMPLE_CELLS / (n_all * len(cols)))
-        proj = df.select(*[x[c].alias(f"s{k}") for k, c in enumerate(cols)])
-        sample = (proj.filter(F.rand(17) < frac) if frac < 1.0 else proj).toPandas()
-        for k, c in enumerate(cols):
-            vals = np.sort(sample[f"s{k}"].dropna().to_numpy(dtype=float))
-            m = len(vals)
-            for i, p in enumerate(probs):
-                if m == 0:
-                    lo, hi = float("-inf"), float("inf")
-                else:
-                    spread = 6.0 * math.sqrt(m * p * (1 - p)) + 2
-                    a, b = int(math.floor(p * (m - 1) - spread)), int(math.ceil(p * (m - 1) + spread))
-                    lo = float(vals[a]) if a > 0 else float("-inf")
-                    hi = float(vals[b]) if b < m - 1 else float("inf")
-                brackets[(k, i)] = (lo, hi)
-    else:
-        # Pass 1 (large): approximate neighbours of every target, one aggregation.
-        aggs = [F.percentile_approx(x[c], around, accuracy).alias(f"a{k}") for k, c in enumerate(cols)]
-        row = df.agg(*aggs).collect()[0]
-        for k, c in enumerate(cols):
-            for i, p in enumerate(probs):
-                g = row[f"a{k}"]
-                brackets[(k, i)] = (g[2 * i], g[2 * i + 1]) if g else (float("-inf"), float("inf"))
-    # Pass 2: each column's non-null count, and exact counts below and inside
-    # each bracket, in one aggregation.
-    aggs = [F.count(x[c]).alias(f"n{k}") for k, c in enumerate(cols)]
-    aggs += [e.alias(f"_x_{name}") for name, e in extra.items()]
-    for (k, i), (lo, hi) in brackets.items():
-        c = x[cols[k]]
-        aggs += [F.count_if(c < F.lit(lo)).alias(f"b{k}_{i}"),
-                 F.count_if((c >= F.lit(lo)) & (c <= F.lit(hi))).alias(f"c{k}_{i}")]
-    row = df.agg(*aggs).collect()[0]
+    x = [q(c).cast("double") for c in cols]
+    asked = probs if approx else _around(probs)
+    aggs = [e.alias(f"_x_{name}") for name, e in extra.items()]
+    for k, c in enumerate(x):
+        aggs += [F.count(c).alias(f"n{k}"), F.percentile_approx(c, asked, ACCURACY).alias(f"a{k}")]
+    schema = "column_name string, n long" + "".join(f", {nm} double" for nm in names)
+    if not aggs:
+        return spark.createDataFrame([], schema)
+    first = df.agg(*aggs).first()
     if extra_out is not None:
-        extra_out.update({name: row[f"_x_{name}"] for name in extra})
-    state = {}
+        extra_out.update({name: first[f"_x_{name}"] for name in extra})
+    none = [None] * len(probs)
+    if approx:
+        return local_frame(spark, [(c, first[f"n{k}"], *(first[f"a{k}"] or none)) for k, c in enumerate(cols)], schema)
+    brackets = {(k, i): (first[f"a{k}"][2 * i], first[f"a{k}"][2 * i + 1])
+                for k in range(len(cols)) for i in range(len(probs)) if first[f"n{k}"]}
+    if not brackets:
+        return local_frame(spark, [(c, 0, *none) for c in cols], schema)
+    second = df.agg(*[e for (k, i), (lo, hi) in brackets.items() for e in (
+        F.count_if(x[k] < F.lit(lo)).alias(f"b{k}_{i}"),
+        F.count_if((x[k] >= F.lit(lo)) & (x[k] <= F.lit(hi))).alias(f"c{k}_{i}"))]).first()
+    meta = []
     for (k, i), (lo, hi) in brackets.items():
-        n = row[f"n{k}"]
-        if not n:
-            continue
-        r1 = int(((n - 1) * probs[i]) // 1) + 1
-        s_ = state[(k, i)] = dict(n=n, r1=r1, r2=min(r1 + 1, n), lo=lo, hi=hi,
-                                  below=row[f"b{k}_{i}"], cin=row[f"c{k}_{i}"])
-        if not (s_["below"] < s_["r1"] and s_["below"] + s_["cin"] >= s_["r2"]) or s_["cin"] > BRACKET_LIMIT:
-            # Unverified or wide bracket: the general path narrows or sorts.
-            return exact_quantiles(long_form(df, cols), probs, accuracy=accuracy)
-    if not state:
-        return _no_values(spark, cols, names)
-    # Pass 3: unpivot only the in-bracket rows, order them per bracket.
-    conds = {key: (x[cols[key[0]]] >= F.lit(s_["lo"])) & (x[cols[key[0]]] <= F.lit(s_["hi"]))
-             for key, s_ in state.items()}
-    anyin = None
-    for cnd in conds.values():
-        anyin = cnd if anyin is None else (anyin | cnd)
-    tagged = df.filter(anyin).select(F.explode(F.array(*[
-        F.when(cnd, F.struct(F.lit(k).alias("_k"), F.lit(i).alias("_i"), x[cols[k]].alias("value")))
-        for (k, i), cnd in conds.items()])).alias("t")).filter(F.col("t").isNotNull()).select("t.*")
-    meta = local_frame(spark, [(k, i, s_["below"], s_["r1"], s_["r2"]) for (k, i), s_ in state.items()],
-                       "_k int, _i int, below long, r1 long, r2 long")
-    vc = tagged.groupBy("_k", "_i", "value").agg(F.count("*").alias("_c"))
-    if sum(s_["cin"] for s_ in state.values()) <= DRIVER_RESOLVE_LIMIT:
-        # Few enough bracket values: order them on the driver (bounded by the limit).
-        pdf = vc.toPandas().rename(columns={"_k": "k", "_i": "i", "_c": "c"})
-        return _finish_local(spark, cols, probs, names, state,
-                             pdf.sort_values(["k", "i", "value"]).itertuples(index=False))
-    w = Window.partitionBy("_k", "_i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cum = vc.join(F.broadcast(meta), ["_k", "_i"]).withColumn("_cum", F.col("below") + F.sum("_c").over(w))
-    picked = cum.groupBy("_k", "_i").agg(F.min(F.when(F.col("_cum") >= F.col("r1"), F.col("value"))).alias("v1"),
-                                         F.min(F.when(F.col("_cum") >= F.col("r2"), F.col("value"))).alias("v2"))
-    got = {(r["_k"], r["_i"]): (r["v1"], r["v2"]) for r in picked.collect()}
-    out = []
-    for k, c in enumerate(cols):
-        if (k, 0) not in state:
-            out.append((c, 0, *[None] * P))
-            continue
-        n = state[(k, 0)]["n"]
-        vals = []
-        for i, p in enumerate(probs):
-            v1, v2 = got[(k, i)]
-            h = (n - 1) * p
-            vals.append(v1 + (v2 - v1) * (h - (h // 1)))
-        out.append((c, n, *vals))
-    schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("n", T.LongType())]
-                          + [T.StructField(nm, T.DoubleType()) for nm in names])
-    return local_frame(spark, out, schema)
-
-
-def _finish_local(spark, cols, probs, names, state, vc_rows):
-    from pyspark.sql import types as T
-    by = {}
-    for r in vc_rows:
-        by.setdefault((int(r.k), int(r.i)), []).append((float(r.value), int(r.c)))
+        low = math.floor((first[f"n{k}"] - 1) * probs[i]) + 1
+        high = min(low + 1, first[f"n{k}"])
+        below = second[f"b{k}_{i}"]
+        if not (below < low and below + second[f"c{k}_{i}"] >= high):
+            lo, hi, below = float("-inf"), float("inf"), 0
+        meta.append((k, i, lo, hi, below, low, high))
+    conds = [(x[k] >= F.lit(lo)) & (x[k] <= F.lit(hi)) for k, _, lo, hi, *_ in meta]
+    inside = df.select(F.explode(F.array(*[
+        F.when(c, F.struct(F.lit(m[0]).alias("_k"), F.lit(m[1]).alias("_i"), x[m[0]].alias("value")))
+        for c, m in zip(conds, meta, strict=True)])).alias("t")).filter(F.col("t").isNotNull()).select("t.*")
+    brackets_frame = local_frame(spark, meta, "_k int, _i int, lo double, hi double, below long, r1 long, r2 long")
+    # One row per column and probability.
+    got = {(r["_k"], r["_i"]): (r["v1"], r["v2"]) for r in _ordered(inside, brackets_frame, ["_k"]).collect()}
     out = []
     for k, c in enumerate(cols):
-        if (k, 0) not in state:
-            out.append((c, 0, *[None] * len(probs)))
-            continue
-        n = state[(k, 0)]["n"]
-        vals = []
+        n = first[f"n{k}"]
+        values = list(none)
         for i, p in enumerate(probs):
-            s_ = state[(k, i)]
-            cum, v1, v2 = s_["below"], None, None
-            for value, cnt in by.get((k, i), []):
-                cum += cnt
-                if v1 is None and cum >= s_["r1"]:
-                    v1 = value
-                if cum >= s_["r2"]:
-                    v2 = value
-                    break
-            h = (n - 1) * p
-            vals.append(v1 + (v2 - v1) * (h - (h // 1)))
-        out.append((c, n, *vals))
-    schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("n", T.LongType())]
-                          + [T.StructField(nm, T.DoubleType()) for nm in names])
+            if (k, i) in got:
+                v1, v2 = got[(k, i)]
+                h = (n - 1) * p
+                values[i] = v1 + (v2 - v1) * (h - math.floor(h))
+        out.append((c, n, *values))
     return local_frame(spark, out, schema)

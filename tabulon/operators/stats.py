@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.functions import distributions as dist
-from tabulon.functions.columns import norm_ppf, norm_ppf_scalar, numeric_columns, pearson, q
+from tabulon.functions.columns import norm_ppf, norm_ppf_scalar, normalise_nan, numeric_columns, pearson, q
 from tabulon.operators.ranking import column_quantiles, exact_quantiles, rank_rows
 from tabulon.session import local_frame
 
@@ -38,6 +38,7 @@ DESCRIBE_PROBS = [0.25, 0.5, 0.75]
 def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear), max per numeric
     column, plus the table's row count (small result: one row per column)."""
+    df = normalise_nan(df)
     cols = numeric_or_error(df, cols)
     # The moments ride along in the quantiles' counting pass (no scan of their own).
     row: dict = {}
@@ -66,6 +67,7 @@ def correlation(df: DataFrame, cols: list[str] | None = None, first: dict | None
     no cancellation) — per column where a pair has no nulls, per pair where
     nulls make the pair's rows differ.  A side that is constant over the
     pair's rows gives null, never an error."""
+    df = normalise_nan(df)
     cols = numeric_or_error(df, cols, 2)
     x = {c: q(c).cast("double") for c in cols}
     if first is None:
@@ -138,6 +140,7 @@ def interpretation(corr: DataFrame, threshold: float = 0.5) -> DataFrame:
 # ------------------------------------------------------------------ t-test
 def group_moments(df: DataFrame, dependent: str, group: str) -> DataFrame:
     """Mean, sample std, n per group (null groups and null values left out)."""
+    df = normalise_nan(df)
     return (df.filter(q(group).isNotNull() & q(dependent).isNotNull())
             .groupBy(q(group).cast("string").alias("grp"))
             .agg(F.avg(q(dependent)).alias("mean"), F.stddev_samp(q(dependent)).alias("std"),
@@ -162,10 +165,12 @@ def t_test(df: DataFrame, dependent: str, group: str) -> DataFrame:
     a = {k: F.col(f"{k}1") for k in ("grp", "mean", "std", "n")}
     b = {k: F.col(f"{k}2") for k in ("grp", "mean", "std", "n")}
     n1, n2 = a["n"].cast("double"), b["n"].cast("double")
-    sp2 = ((n1 - 1) * a["std"] ** 2 + (n2 - 1) * b["std"] ** 2) / (n1 + n2 - 2)
+    # A group of one row has no deviation of its own; it adds nothing to the pooled one.
+    ss = (n1 - 1) * F.coalesce(a["std"], F.lit(0.0)) ** 2 + (n2 - 1) * F.coalesce(b["std"], F.lit(0.0)) ** 2
+    sp2 = F.try_divide(ss, n1 + n2 - 2)
     sp = F.sqrt(sp2)
     t = F.try_divide(a["mean"] - b["mean"], F.sqrt(sp2 * (1 / n1 + 1 / n2)))
-    d = F.when(sp != 0, (a["mean"] - b["mean"]) / sp).otherwise(F.lit(0.0))
+    d = F.when(sp != 0, (a["mean"] - b["mean"]) / sp).when(sp == 0, F.lit(0.0))
     return two.select(
         F.lit(dependent).alias("dependent_variable"), F.lit(group).alias("group_variable"),
         a["grp"].alias("group1"), a["mean"].alias("mean1"), a["std"].alias("std1"), a["n"].alias("n1"),
@@ -194,6 +199,7 @@ def with_t_pvalue(tt: DataFrame) -> DataFrame:
 def jarque_bera(df: DataFrame, column: str) -> DataFrame:
     """T8 (all rows): population skewness S, excess kurtosis K,
     JB = n/6·(S² + K²/4), p = exp(−JB/2)."""
+    df = normalise_nan(df)
     x = q(column).cast("double")
     m = df.filter(x.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"),
                                       F.stddev_samp(x).alias("std"), F.skewness(x).alias("skewness"),
@@ -203,6 +209,10 @@ def jarque_bera(df: DataFrame, column: str) -> DataFrame:
                     jb.alias("jb_statistic"), F.exp(-jb / 2).alias("jb_p_value"))
 
 
+#: Rows up to which the p-value of Shapiro–Wilk is defined.
+SHAPIRO_MAX = 5000
+
+
 def shapiro_wilk_parts(df: DataFrame, column: str) -> DataFrame:
     """Shapiro–Wilk W on every row (Royston's coefficients).
 
@@ -254,17 +264,18 @@ def _shapiro_finish(batches):
                     inner = r.smx - (mn * r.xn - mn * r.x1)
                     num = inner / math.sqrt(phi) + an * (r.xn - r.x1)
             w = None if ssq <= 0 else min(num * num / ssq, 1.0)
-            p = dist.shapiro_p(w, n) if w is not None else None
+            # The fit behind p holds up to SHAPIRO_MAX rows; above, Jarque–Bera applies.
+            p = dist.shapiro_p(w, n) if w is not None and n <= SHAPIRO_MAX else None
             out.append((w, p, None if p is None else bool(p >= 0.05)))
         yield pdf.assign(statistic=[o[0] for o in out], p_value=[o[1] for o in out],
                          is_normal=[o[2] for o in out])[["n", "mean", "std", "statistic", "p_value", "is_normal"]]
 
 
 def shapiro_wilk(df: DataFrame, column: str | None = None) -> DataFrame:
-    """W, p (Royston), is_normal (p ≥ 0.05), n, mean, std.
+    """W, p (Royston, null above 5,000 rows), is_normal (p ≥ 0.05), n, mean, std.
     Default variable: the first numeric column."""
     column = column or numeric_or_error(df, None)[0]
-    parts = shapiro_wilk_parts(df, column)
+    parts = shapiro_wilk_parts(normalise_nan(df), column)
     res = parts.mapInPandas(_shapiro_finish, "n long, mean double, std double, statistic double, "
                                              "p_value double, is_normal boolean")
     return res.select(F.lit(column).alias("variable"), F.col("n").alias("sample_size"), "mean", "std",
@@ -274,6 +285,7 @@ def shapiro_wilk(df: DataFrame, column: str | None = None) -> DataFrame:
 # ------------------------------------------------------------------ distribution plots
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed) with density."""
+    df = normalise_nan(df)
     x = q(column).cast("double")
     vals = df.select(x.alias("v")).filter(F.col("v").isNotNull())
     st = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -288,6 +300,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def normal_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     """Normal pdf with the column's mean and sd at evenly spaced points over [min, max]."""
+    df = normalise_nan(df)
     x = q(column).cast("double")
     st = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mu"), F.stddev_samp(x).alias("sd"))
     pts = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
@@ -298,6 +311,7 @@ def normal_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, group: str | None = None, approx: bool = False) -> DataFrame:
     """Per group Q1, median, Q3, whiskers (furthest points inside 1.5·IQR), flier count."""
+    df = normalise_nan(df)
     gcol = q(group).cast("string") if group else F.lit("all")
     vals = df.select(gcol.alias("grp"), q(value).cast("double").alias("value")).filter(F.col("value").isNotNull())
     qs = exact_quantiles(vals, [0.25, 0.5, 0.75], keys=("grp",), approx=approx)
@@ -318,6 +332,7 @@ def box_stats(df: DataFrame, value: str, group: str | None = None, approx: bool
 
 def fliers(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     """T11 detail: the points outside the whiskers' fences."""
+    df = normalise_nan(df)
     gcol = q(group).cast("string") if group else F.lit("all")
     vals = df.select(gcol.alias("grp"), q(value).cast("double").alias("value")).filter(F.col("value").isNotNull())
     b = box_stats(df, value, group)

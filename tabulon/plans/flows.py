@@ -12,14 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.functions.columns import numeric_columns
+from tabulon.functions.columns import normalise_nan, numeric_columns
 from tabulon.operators import chartdata as cd
 from tabulon.operators import explore as ex
-from tabulon.operators import profile as pr
 from tabulon.operators import quality as qa
 from tabulon.operators import report as rp
 from tabulon.operators import stats as st
-from tabulon.session import ensure_checkpoint_dir, shared_table, small_frame
+from tabulon.session import local_frame, shared_folder, shared_table, small_frame
 from tabulon.sources.files import load
 
 
@@ -33,22 +32,34 @@ class QuickAnalysis:
     recommendations: DataFrame
     chart: DataFrame
     charts: DataFrame
+    analysis: DataFrame
+
+
+#: Analyses the quick flow offers.
+ANALYSES = ("descriptive", "correlation", "t_test", "normality")
 
 
 def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
-                   goal: str = "") -> QuickAnalysis:
+                   goal: str = "", analysis: str = "descriptive", dependent: str | None = None,
+                   group: str | None = None) -> QuickAnalysis:
     """F1.  The cleaned table is written once as Parquet to the shared
     checkpoint folder, so the three branches reuse it instead of re-running
-    the cleaning, and each reads only the columns it needs."""
+    the cleaning, and each reads only the columns it needs.
+
+    ``analysis``: descriptive, correlation, t_test (of ``dependent`` by ``group``) or
+    normality (of ``dependent``, else the first numeric column), as rows (item, value)."""
+    if analysis not in ANALYSES:
+        raise ValueError(f"Unknown analysis {analysis!r}; one of {ANALYSES}")
+    if analysis == "t_test" and not (dependent and group):
+        raise ValueError("T-test requires dependent and group variables")
     spark = df.sparkSession
+    df = normalise_nan(df)
     # One quantile pass over the numeric columns gives the outlier fences
     # (report and clipping bounds) and the quartiles for describe; the column
     # counts of the report and the moments for describe and correlation ride
     # along in its counting pass.
     nums0 = numeric_columns(df)
-    typing = {f"fs{k}": e for k, e in pr.column_stats_aggs(df, approx=True).items()}
-    counts, outl, qs0, moments0 = qa.quality_pass(df, approx, st.DESCRIBE_PROBS,
-                                                  {**st.moment_aggs(nums0), **typing})
+    counts, outl, qs0, moments0 = qa.quality_pass(df, approx, st.DESCRIBE_PROBS, st.moment_aggs(nums0))
     report = small_frame(qa.quality_report(df, approx=approx, outliers=outl, counts=counts))
     if auto_clean:
         bounds = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in outl.collect()}
@@ -61,20 +72,19 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
             cleaned = shared_table(qa.clean(df, approx=approx, bounds=bounds, null_columns=nulls), "cleaned")
     else:
         cleaned = df
-    removed = small_frame(qa.rows_removed(df, cleaned))
+    n_rows = report.first()["n_rows"]
+    removed = (local_frame(spark, [(n_rows, n_rows, 0)], "rows_before long, rows_after long, rows_removed long")
+               if cleaned is df else small_frame(qa.rows_removed(df, cleaned)))
     nums = numeric_columns(cleaned)
-    if cleaned is df:
-        # Nothing was cleaned: describe is already known, correlation needs its second pass only.
-        describe = (st.describe_from(spark, nums, qs0, moments0) if nums
-                    else small_frame(st.describe(cleaned, nums, approx=approx)))
-        corr = small_frame(st.correlation(cleaned, nums, first=moments0)) if len(nums) >= 2 else None
+    if cleaned is df and nums:
+        describe = st.describe_from(spark, nums, qs0, moments0)
     else:
         describe = small_frame(st.describe(cleaned, nums, approx=approx))
-        corr = small_frame(st.correlation(cleaned, nums)) if len(nums) >= 2 else None
-    # On an unchanged table the field types come from the first pass too.
-    types = (pr.field_types(df, approx=True, wide=pr.column_stats_row(
-        df, {k[2:]: v for k, v in moments0.items() if k.startswith("fs")})) if cleaned is df else None)
-    recs = small_frame(cd.spec_title(cd.chart_checks(cd.recommend_charts(cleaned, goal, approx=True, types=types))))
+    corr = None
+    if analysis == "correlation":
+        corr = small_frame(st.correlation(cleaned, nums, first=moments0 if cleaned is df else None))
+    found = _analysis_rows(cleaned, analysis, describe, corr, dependent, group)
+    recs = small_frame(cd.spec_title(cd.chart_checks(cd.recommend_charts(cleaned, goal, approx=approx))))
     top = recs.orderBy("priority").limit(1).collect()
     if top:
         r = top[0]
@@ -85,12 +95,34 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
     else:
         chart = spark.createDataFrame([], "x string")
         charts = spark.createDataFrame([], cd.CHART_SCHEMA)
-    return QuickAnalysis(report, cleaned, removed, describe, corr, recs, chart, charts)
+    return QuickAnalysis(report, cleaned, removed, describe, corr, recs, chart, charts, found)
 
 
-def quick_analysis_summary(df: DataFrame, approx: bool = False) -> DataFrame:
+def _analysis_rows(df, analysis, describe, corr, dependent, group) -> DataFrame:
+    """The chosen analysis as rows (item, value)."""
+    if analysis == "descriptive":
+        # Means at four decimals: the sixth decimal of a mean that sits on a
+        # rounding tie flips with the order the partitions are summed in (seen
+        # on lineitem's l_discount, whose exact mean is 0.0499185).
+        return describe.select(F.concat_ws(".", "column_name", F.lit("mean")).alias("item"),
+                               F.round("mean", 4).cast("string").alias("value"))
+    if analysis == "correlation":
+        return corr.filter(F.col("i") < F.col("j")).select(
+            F.concat_ws("~", "var1", "var2").alias("item"), F.round("r", 4).cast("string").alias("value"))
+    if analysis == "t_test":
+        one = st.with_t_pvalue(st.t_test(df, dependent, group))
+        fields = ("t_statistic", "df", "cohens_d", "p_value")
+    else:
+        one = st.shapiro_wilk(df, dependent)
+        fields = ("sample_size", "statistic", "p_value")
+    return small_frame(one).select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("item"), F.round(F.col(f), 4).cast("string").alias("value")) for f in fields])))
+
+
+def quick_analysis_summary(df: DataFrame, approx: bool = False, analysis: str = "descriptive",
+                           dependent: str | None = None, group: str | None = None) -> DataFrame:
     """F1 as one long frame (section, item, value) for a stable contract."""
-    qa_ = quick_analysis(df, approx=approx)
+    qa_ = quick_analysis(df, approx=approx, analysis=analysis, dependent=dependent, group=group)
     def kv(k, v):
         return F.struct(F.lit(k).alias("item"), v.cast("string").alias("value"))
 
@@ -100,12 +132,8 @@ def quick_analysis_summary(df: DataFrame, approx: bool = False) -> DataFrame:
         kv("n_missing_cols", F.col("n_missing_cols")), kv("n_outlier_cols", F.col("n_outlier_cols")))))
     rem = qa_.rows_removed.select(F.lit("cleaning").alias("section"), F.lit("rows_removed").alias("item"),
                                   F.col("rows_removed").cast("string").alias("value"))
-    # Means at four decimals: the sixth decimal of a mean that sits on a
-    # rounding tie flips with the order the partitions are summed in (seen
-    # on lineitem's l_discount, whose exact mean is 0.0499185).
-    desc = qa_.describe.select(F.lit("describe").alias("section"),
-                               F.concat_ws(".", "column_name", F.lit("mean")).alias("item"),
-                               F.round("mean", 4).cast("string").alias("value"))
+    desc = qa_.analysis.select(F.lit("describe" if analysis == "descriptive" else analysis).alias("section"),
+                               "item", "value")
     recs = qa_.recommendations.select(F.lit("chart").alias("section"),
                                       F.concat(F.lit("priority_"), F.col("priority").cast("string")).alias("item"),
                                       F.concat_ws(":", "chart_type", "x_field", "y_field").alias("value"))
@@ -124,9 +152,7 @@ def smart_analysis(spark: SparkSession, df: DataFrame, plan: list[dict], goal: s
 def shared_scratch(spark: SparkSession, name: str) -> str:
     """A folder under the cluster's shared checkpoint location (never a
     machine-local temp folder)."""
-    import uuid
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tabulon-{name}-{uuid.uuid4().hex[:12]}"
+    return shared_folder(spark, name)
 
 
 def load_correlation(spark: SparkSession, source_type: str, path: str,

@@ -46,7 +46,7 @@ def html_tables(spark, d):
 
 
 @query("html_tables_built", """
-SELECT n_regionkey AS page_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INTEGER AS row_idx,
+SELECT n_regionkey AS page_id, dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INTEGER AS row_idx,
        c.col_idx::INTEGER AS col_idx, c.header, CASE c.col_idx WHEN 0 THEN n_nationkey::VARCHAR ELSE n_name END AS value
 FROM nation, (VALUES (0, 'key'), (1, 'name & more')) c(col_idx, header)""")
 def html_tables_built(spark, d):

@@ -148,7 +148,7 @@ SELECT column_name, position,
                  ELSE 'Sample values: ' || array_to_string(string_split(unique_values, ', ')[1:5], ', ') || ', ...' END) AS line
 FROM s""")
 def field_lines(spark, d):
-    fs = pr.field_stats(T(spark, d, "orders"))
+    fs = pr.field_stats(T(spark, d, "orders"), as_list=True)
     fs = fs.select(*[F.round(c, 6).alias(c) if c in ("stat_min", "stat_max") else F.col(c) for c in fs.columns])
     return pr.field_lines(fs)
 

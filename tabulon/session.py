@@ -44,8 +44,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local runs and tests) fall back to a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; when it is unset, a local run
+    (driver and executors in one process) gets a fresh scratch folder and any other
+    master raises, because no folder of one machine is seen by the others."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,12 +55,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not is_local(sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tabulon-ckpt-", dir="/tmp")
+    delete_on_exit(spark, f"file://{local}")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
 
 
+def is_local(master: str) -> bool:
+    """One process for driver and executors (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted when the session's JVM ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, deleted when the session ends."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabulon-{name}-{uuid.uuid4().hex[:12]}"
+    delete_on_exit(spark, path)
+    return path
+
+
 def reliable_checkpoint(df):
     """Checkpoint to the shared checkpoint folder, computing the plan once.
 
@@ -79,12 +102,10 @@ def shared_table(df, name: str = "table"):
     back: the lineage is cut like a checkpoint, and later passes that need a
     few columns read only those (column pruning, vectorised reader) instead
     of deserialising whole rows."""
-    import uuid
     if "void" in df.schema.simpleString():
         # Parquet cannot hold an untyped all-null column.
         return reliable_checkpoint(df)
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/tabulon-{name}-{uuid.uuid4().hex[:12]}"
+    path = shared_folder(df.sparkSession, name)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.parquet(path)
 

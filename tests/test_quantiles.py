@@ -50,41 +50,27 @@ def test_single_value(spark):
     assert r["q0250"] == 5.0 and r["q0500"] == 5.0 and r["n"] == 1
 
 
-@pytest.mark.parametrize("limit", [10, 1_000_000])
-def test_select_path_is_exact_with_refinement(spark, monkeypatch, limit):
+@pytest.mark.parametrize("accuracy,slices", [(10_000, 1000), (3, 1000), (50, 2)])
+def test_quantiles_are_exact_for_any_summary(spark, monkeypatch, accuracy, slices):
+    """Coarse summaries give wide or failed brackets; the answer stays exact."""
     from tabulon.operators import ranking
-    monkeypatch.setattr(ranking, "BRACKET_LIMIT", limit)
-    rng = np.random.default_rng(7)
-    a = rng.exponential(size=4000).round(4)
-    df = spark.createDataFrame([(float(x),) for x in a], "a double").repartition(6)
-    long = long_form(df, ["a"])
-    out = ranking._select_quantiles(long, [0.25, 0.5, 0.9], ["column_name"], "value", 10000)
-    assert out is not None                      # the bracket check passed; no fallback
-    r = out.collect()[0]
-    for p, nm in ((0.25, "q0250"), (0.5, "q0500"), (0.9, "q0900")):
-        assert r[nm] == pytest.approx(brute(a, p), abs=1e-12)
-
-
-@pytest.mark.parametrize("driver_limit,sample_max", [(0, 50_000_000), (200_000, 50_000_000), (200_000, 0)])
-def test_column_quantiles_both_resolve_paths(spark, monkeypatch, driver_limit, sample_max):
-    """Both resolve paths, and both bracket sources (sample; summaries as for
-    tables above the sample limit)."""
-    from tabulon.operators import ranking
-    monkeypatch.setattr(ranking, "DRIVER_RESOLVE_LIMIT", driver_limit)
-    monkeypatch.setattr(ranking, "SAMPLE_BRACKET_MAX_ROWS", sample_max)
+    monkeypatch.setattr(ranking, "ACCURACY", accuracy)
+    monkeypatch.setattr(ranking, "SLICES", slices)
     rng = np.random.default_rng(11)
-    a = rng.normal(size=2500).round(2)
+    a = rng.exponential(size=2500).round(2)
     b = rng.integers(0, 4, size=2500)
     rows = [(float(x), int(y), None if i % 9 == 0 else float(x) * 2, None) for i, (x, y) in enumerate(zip(a, b))]
     df = spark.createDataFrame(rows, "a double, b long, c double, e double").repartition(4)
-    got = {r["column_name"]: r for r in
-           ranking.column_quantiles(df, ["a", "b", "c", "e"], [0.25, 0.5, 0.75]).collect()}
-    assert got["e"]["n"] == 0 and got["e"]["q0500"] is None
+    wide = {r["column_name"]: r for r in
+            ranking.column_quantiles(df, ["a", "b", "c", "e"], [0.25, 0.5, 0.9]).collect()}
+    long = {r["column_name"]: r for r in exact_quantiles(long_form(df, ["a", "b", "c"]), [0.25, 0.5, 0.9]).collect()}
+    assert wide["e"]["n"] == 0 and wide["e"]["q0500"] is None
     cvals = [r[2] for r in rows if r[2] is not None]
     for col, vals in (("a", a), ("b", b), ("c", cvals)):
-        for p, nm in ((0.25, "q0250"), (0.5, "q0500"), (0.75, "q0750")):
-            assert got[col][nm] == pytest.approx(brute(vals, p), abs=1e-9)
-    assert got["c"]["n"] == len(cvals)
+        for got in (wide, long):
+            assert got[col]["n"] == len(vals)
+            for p, nm in ((0.25, "q0250"), (0.5, "q0500"), (0.9, "q0900")):
+                assert got[col][nm] == pytest.approx(brute(vals, p), abs=1e-9)
 
 
 def test_describe_moments_on_every_quantile_path(spark):
