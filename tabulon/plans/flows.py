@@ -108,7 +108,7 @@ def _analysis_rows(df, analysis, describe, corr, dependent, group) -> DataFrame:
                                F.round("mean", 4).cast("string").alias("value"))
     if analysis == "correlation":
         return corr.filter(F.col("i") < F.col("j")).select(
-            F.concat_ws("~", "var1", "var2").alias("item"), F.round("r", 4).cast("string").alias("value"))
+            F.concat_ws("~", "var1", "var2").alias("item"), _four(F.col("r")).alias("value"))
     if analysis == "t_test":
         one = st.with_t_pvalue(st.t_test(df, dependent, group))
         fields = ("t_statistic", "df", "cohens_d", "p_value")
@@ -116,7 +116,12 @@ def _analysis_rows(df, analysis, describe, corr, dependent, group) -> DataFrame:
         one = st.shapiro_wilk(df, dependent)
         fields = ("sample_size", "statistic", "p_value")
     return small_frame(one).select(F.inline(F.array(*[
-        F.struct(F.lit(f).alias("item"), F.round(F.col(f), 4).cast("string").alias("value")) for f in fields])))
+        F.struct(F.lit(f).alias("item"), _four(F.col(f)).alias("value")) for f in fields])))
+
+
+def _four(x):
+    """Four decimals as text, without a negative zero; null stays null."""
+    return F.when(x.isNotNull(), F.format_string("%.4f", F.round(x.cast("double"), 4) + F.lit(0.0)))
 
 
 def quick_analysis_summary(df: DataFrame, approx: bool = False, analysis: str = "descriptive",

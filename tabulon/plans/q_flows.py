@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabulon.plans import flows
 from tabulon.plans.q_explore import _CHART_REPORT_SQL, GOAL, PLAN
 from tabulon.plans.derived import DIRTY_CTE, dirty_events
+from tabulon.plans.q_stats import shapiro_ctes, t_test_ctes
 from tabulon.plans.registry import query
 from tabulon.sources.sinks import write_table
 from tabulon.sources.tables import read_table as T
@@ -23,9 +24,10 @@ LINEITEM = [("l_orderkey", "bigint", "quantitative"), ("l_partkey", "bigint", "q
             ("l_shipdate", "timestamp", "temporal")]
 
 
-def _quick_analysis_sql(table: str, cols, with_ctes: str = "") -> str:
+def _quick_analysis_sql(table: str, cols, with_ctes: str = "", found: str | None = None) -> str:
     """F1 in DuckDB: quality on the raw table, the cleaning chain, means of the
-    cleaned numeric columns and the chart choice on the cleaned table."""
+    cleaned numeric columns (or ``found``, rows section, item, value over ``cleaned``)
+    and the chart choice on the cleaned table."""
     from tabulon.plans.q_charts import recommend_ctes
     names = [c for c, _, _ in cols]
     nums = [c for c, _, sem in cols if sem == "quantitative"]
@@ -81,7 +83,7 @@ SELECT section, item, value FROM (
   UNION ALL SELECT 'quality', 'n_missing_cols', CAST(count(*) AS VARCHAR) FROM miss
   UNION ALL SELECT 'quality', 'n_outlier_cols', CAST(count(*) AS VARCHAR) FROM outl
   UNION ALL SELECT 'cleaning', 'rows_removed', CAST((SELECT n FROM nn) - count(*) AS VARCHAR) FROM cleaned
-  UNION ALL SELECT section, item, value FROM ({means})
+  UNION ALL SELECT section, item, value FROM ({found or means})
   UNION ALL SELECT 'chart', 'priority_' || priority, chart_type || ':' || x_field || ':' || y_field FROM titled)"""
 
 
@@ -91,6 +93,37 @@ def quick_analysis(spark, d):
     return flows.quick_analysis_summary(T(spark, d, "lineitem"))
 
 
+def _correlation_rows(cols) -> str:
+    nums = [c for c, _, sem in cols if sem == "quantitative"]
+    return "\nUNION ALL ".join(
+        f"SELECT 'correlation' AS section, '{a}~{b}' AS item, printf('%.4f', round(corr({a}, {b}), 4) + 0.0) AS value FROM cleaned"
+        for i, a in enumerate(nums) for b in nums[i + 1:])
+
+
+@query("quick_analysis_correlation", _quick_analysis_sql("lineitem", LINEITEM, found=_correlation_rows(LINEITEM)))
+def quick_analysis_correlation(spark, d):
+    return flows.quick_analysis_summary(T(spark, d, "lineitem"), analysis="correlation")
+
+
+@query("quick_analysis_t_test", _quick_analysis_sql("lineitem", LINEITEM, found=f"""
+  SELECT 't_test' AS section, item, printf('%.4f', round(x, 4) + 0.0) AS value FROM (
+    {t_test_ctes("cleaned", "l_extendedprice", "l_linestatus")}
+    SELECT unnest(['t_statistic', 'df', 'cohens_d', 'p_value']) AS item,
+           unnest([t, df, d, p]) AS x FROM tt)"""))
+def quick_analysis_t_test(spark, d):
+    return flows.quick_analysis_summary(T(spark, d, "lineitem"), analysis="t_test", dependent="l_extendedprice",
+                                        group="l_linestatus")
+
+
+@query("quick_analysis_normality", _quick_analysis_sql("lineitem", LINEITEM, found=f"""
+  SELECT 'normality' AS section, item, printf('%.4f', round(x, 4) + 0.0) AS value FROM (
+    {shapiro_ctes("cleaned", "l_quantity")}
+    SELECT unnest(['sample_size', 'statistic', 'p_value']) AS item,
+           unnest([n::DOUBLE, w, NULL::DOUBLE]) AS x FROM sw)"""))
+def quick_analysis_normality(spark, d):
+    return flows.quick_analysis_summary(T(spark, d, "lineitem"), analysis="normality", dependent="l_quantity")
+
+
 _DIRTY = [("event_id", "bigint", "quantitative"), ("user_id", "bigint", "quantitative"),
           ("event_type", "string", "nominal"), ("value", "double", "quantitative"), ("ts", "timestamp", "temporal")]
 

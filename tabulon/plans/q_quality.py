@@ -207,3 +207,40 @@ SELECT (SELECT count(*) FROM dirty) AS rows_before, count(*) AS rows_after,
 def rows_removed(spark, d):
     df = dirty_events(spark, d)
     return qa.rows_removed(df, qa.clean(df))
+
+
+def _nan_events(spark, d):
+    """The ``dirty`` events with NaN where ``value`` is missing: missing all the same."""
+    return dirty_events(spark, d).withColumn("value", F.coalesce("value", F.lit(float("nan"))))
+
+
+@query("missing_values_nan", _MISSING_SQL)
+def missing_values_nan(spark, d):
+    return _r(qa.missing_values(_nan_events(spark, d)), ["percentage"])
+
+
+@query("outliers_iqr_nan", _OUTLIERS_SQL)
+def outliers_iqr_nan(spark, d):
+    return _r(qa.outliers_iqr(_nan_events(spark, d), _NUM), ["percentage", "lower_bound", "upper_bound"])
+
+
+@query("quality_score_nan", _SCORE_CTE + """
+SELECT round(quality_score, 4) AS quality_score, n_missing_cols, n_outlier_cols, n_duplicates, n_rows FROM sc""")
+def quality_score_nan(spark, d):
+    r = qa.quality_report(_nan_events(spark, d))
+    return r.select(F.round("quality_score", 4).alias("quality_score"), "n_missing_cols", "n_outlier_cols",
+                    "n_duplicates", "n_rows")
+
+
+@query("clean_nan", _CLEAN + f" SELECT event_id, user_id, event_type, round(value, 6) AS value, {_TS} FROM cleaned")
+def clean_nan(spark, d):
+    return _r(_ts(qa.clean(_nan_events(spark, d))), ["value"])
+
+
+@query("describe_nan", DIRTY_CTE + """
+SELECT 'value' AS column_name, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       min(value) AS min, quantile_cont(value, 0.5) AS p50, max(value) AS max, count(*) AS row_count FROM dirty""")
+def describe_nan(spark, d):
+    from tabulon.operators.stats import describe
+    out = describe(_nan_events(spark, d), ["value"])
+    return _r(out.select("column_name", "count", "mean", "std", "min", "p50", "max", "row_count"), ["mean", "std"])
