@@ -80,3 +80,99 @@ def test_long_cells_and_full_stops_are_tables(spark):
     df = spark.createDataFrame([(1, long), (2, stops)], "doc_id int, text string")
     rows = xt.text_tables(df).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in rows} == {1: 4, 2: 4}
+
+
+def test_value_with_a_comma_is_one_value(spark):
+    from tabulon.operators import profile as pr
+    df = spark.createDataFrame([("a, b",), ("c",)], "s string")
+    line = pr.field_lines(pr.field_stats(df, as_list=True)).collect()[0].line
+    assert "[2 unique values]" in line and line.endswith("Values: a, b, c")
+    many = spark.createDataFrame([(f"v{i}, x",) for i in range(6)], "s string")
+    line = pr.field_lines(pr.field_stats(many, as_list=True)).collect()[0].line
+    assert line.endswith("Sample values: v0, x, v1, x, v2, x, v3, x, v4, x, ...")
+
+
+def test_given_schema_overrides_statistics(spark):
+    from tabulon.operators import profile as pr
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "v double, s string")
+    given = spark.createDataFrame([("v", "ordinal", 99, None, None, 7.5)],
+                                  "column_name string, semantic_type string, unique_count long, stat_min double, "
+                                  "stat_max double, stat_mean double")
+    got = {r.column_name: r for r in pr.field_stats(df, given).collect()}
+    assert (got["v"].semantic_type, got["v"].unique_count, got["v"].stat_mean, got["v"].stat_min) == ("ordinal", 99, 7.5, 1.0)
+    assert got["s"].unique_count == 2
+
+
+def test_nan_is_missing(spark):
+    from tabulon.operators import profile as pr
+    from tabulon.operators import quality as qa
+    from tabulon.operators import stats as st
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0,), (2.0,), (nan,), (4.0,)], "v double")
+    assert qa.missing_values(df).collect()[0].n_missing == 1
+    row = pr.column_stats(df).collect()[0]
+    assert (row.n_null, row.max_value, row.mean_value) == (1, 4.0, pytest.approx(7 / 3))
+    d = st.describe(df).collect()[0]
+    assert d["count"] == 3 and d["max"] == 4.0
+    assert sorted(r.v for r in qa.clean(df).collect()) == [1.0, 2.0, 4.0]
+
+
+def test_empty_tables_raise(spark):
+    from tabulon.operators import quality as qa
+    from tabulon.plans.flows import quick_analysis
+    empty = spark.createDataFrame([], "a double, s string")
+    for call in (qa.quality_report, qa.clean, quick_analysis):
+        with pytest.raises(ValueError):
+            call(empty)
+
+
+def test_one_row_groups_have_no_effect_size(spark):
+    from tabulon.operators import stats as st
+    one = st.t_test(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "g string, v double"), "v", "g").collect()[0]
+    assert one.cohens_d is None and one.t_statistic is None
+    same = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "g string, v double")
+    assert st.t_test(same, "v", "g").collect()[0].cohens_d == 0.0
+
+
+def test_shapiro_wilk_published_example(spark):
+    """Weights of eleven men (Shapiro and Wilk, 1965): W = 0.79."""
+    from tabulon.operators import stats as st
+    men = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    r = st.shapiro_wilk(spark.createDataFrame([(float(x),) for x in men], "w double")).collect()[0]
+    assert r.statistic == pytest.approx(0.789, abs=0.002) and r.p_value == pytest.approx(0.0067, abs=0.0005)
+    assert r.is_normal is False
+    big = st.shapiro_wilk(spark.range(6000).selectExpr("cast(id as double) v")).collect()[0]
+    assert big.p_value is None and big.is_normal is None and 0.9 < big.statistic < 1
+
+
+def test_findings_do_not_depend_on_partitions(spark):
+    from tabulon.operators.explore import step_finding
+    df = spark.createDataFrame([(i, float(i)) for i in range(50)], "k int, v double")
+    assert len({step_finding(df.repartition(n)) for n in (1, 3, 7)}) == 1
+    assert "k = 49" in step_finding(df.orderBy("k", ascending=False))
+
+
+def test_other_masters_need_a_shared_folder():
+    from tabulon.session import is_local
+    assert is_local("local") and is_local("local[4]") and is_local("local[*]")
+    assert not is_local("local-cluster[2,1,1024]") and not is_local("yarn") and not is_local("spark://h:7077")
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from tabulon import session
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
