@@ -224,7 +224,7 @@ def chart_list(charts: DataFrame) -> DataFrame:
                           F.concat(F.lit("Chart "), F.col("idx").cast("string"))).alias("title"),
         "image", F.coalesce(F.col("description"), F.lit("")).alias("description"))
     if out.isEmpty():
-        raise ValueError("No valid charts found. All provided charts are missing image data.")
+        raise ValueError("No chart has an image")
     return out
 
 

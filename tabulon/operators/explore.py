@@ -155,6 +155,7 @@ def steps_chart_list(steps: DataFrame) -> DataFrame:
 
 def fallback_report(steps: DataFrame, goal: str) -> DataFrame:
     """Goal, findings per step in order, conclusion."""
+    # The report's headings and line format.
     item = F.format_string("**Step %d**: %s\n- Finding: %s", F.col("step_number"),
                            F.coalesce("transformation", F.lit("")), F.coalesce("insight", F.lit("")))
     agg = steps.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_number", item.alias("t")))),

@@ -21,40 +21,32 @@ def semantic_class(dt: T.DataType) -> str:
     return "nominal"
 
 
-def _distinct(c, approx: bool):
-    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
-
-
 def column_stats_aggs(df: DataFrame, approx: bool = False) -> dict:
-    """The aggregates behind :func:`column_stats` (name → column)."""
+    """The aggregates behind :func:`column_stats` (name → column), distinct counts only
+    where they are approximate."""
     aggs = {"_n": F.count(F.lit(1))}
     for i, f in enumerate(df.schema.fields):
         c = q(f.name)
-        aggs.update({f"_c{i}": F.count(c), f"_d{i}": _distinct(c, approx)})
+        aggs[f"_c{i}"] = F.count(c)
+        if approx:
+            aggs[f"_d{i}"] = F.approx_count_distinct(c)
         if is_numeric(f.dataType):
             aggs.update({f"_lo{i}": F.min(c).cast("double"), f"_hi{i}": F.max(c).cast("double"),
                          f"_m{i}": F.avg(c).cast("double")})
     return aggs
 
 
-def column_stats_row(df: DataFrame, values: dict) -> DataFrame:
-    """The one-row result of :func:`column_stats_aggs` (values by name) as a
-    frame, for callers that computed them inside another pass."""
-    from tabulon.session import local_frame
-    names = list(column_stats_aggs(df))
-    kind = lambda k: "double" if k.startswith(("_lo", "_hi", "_m")) else "long"
-    return local_frame(df.sparkSession, [tuple(values[k] for k in names)], ", ".join(f"{k} {kind(k)}" for k in names))
-
-
-def column_stats(df: DataFrame, approx: bool = False, wide: DataFrame | None = None) -> DataFrame:
+def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: counts, distinct count, numeric min/max/mean.
 
-    All columns share one aggregation job (or ``wide``, its one-row result
-    computed elsewhere); the one-row result is unpivoted."""
+    All columns share one aggregation job.  Exact distinct counts are subqueries that
+    read one column each, so no row is expanded once per column."""
     df = normalise_nan(df)
     fields = df.schema.fields
-    if wide is None:
-        wide = df.agg(*[e.alias(k) for k, e in column_stats_aggs(df, approx).items()])
+    wide = df.agg(*[e.alias(k) for k, e in column_stats_aggs(df, approx).items()])
+    if not approx:
+        wide = wide.select("*", *[df.agg(F.count_distinct(q(f.name))).scalar().alias(f"_d{i}")
+                                  for i, f in enumerate(fields)])
     rows = []
     for i, f in enumerate(fields):
         num = is_numeric(f.dataType)
@@ -131,11 +123,11 @@ def temporal_stats(df: DataFrame) -> DataFrame:
                  F.col(f"_hi{i}").alias("max_value")) for i, c in enumerate(cols)])))
 
 
-def field_types(df: DataFrame, approx: bool = False, wide: DataFrame | None = None) -> DataFrame:
+def field_types(df: DataFrame, approx: bool = False) -> DataFrame:
     """Quantitative / ordinal / temporal / nominal per column.
 
     Numeric columns are ordinal when n_unique < 20 and n_unique < half the rows."""
-    stats = column_stats(df, approx, wide)
+    stats = column_stats(df, approx)
     return stats.select(
         "column_name", "position",
         F.when(F.col("semantic_type") == "quantitative",

@@ -147,6 +147,7 @@ def numeric_as_string(df: DataFrame, counts: DataFrame | None = None) -> DataFra
     long = counts.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                  F.col(f"_c{i}").alias("n"), F.col(f"_k{i}").alias("k")) for i, c in text])))
+    # The two texts are part of the output.
     return long.filter((F.col("n") > 0) & (F.col("n") == F.col("k"))).select(
         "column_name",
         F.lit("Column appears numeric but stored as string").alias("issue"),

@@ -59,6 +59,24 @@ def rank_rows(long: DataFrame, keys: Sequence[str] = ("column_name",), value: st
                     "n"))
 
 
+def running_sum(df: DataFrame, order: Sequence[str], value, name: str) -> DataFrame:
+    """``df`` with the running sum of ``value`` in ``order`` (ties in any order), without a
+    one-task window: range partitions are summed, and each starts from the sum of those
+    before it (one row per partition)."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c) for c in order]
+    tagged = shared_table(df.withColumn("_v", value).repartitionByRange(parts, *by, F.monotonically_increasing_id())
+                          .sortWithinPartitions(*by).withColumn("_pid", F.spark_partition_id())
+                          .withColumn("_mid", F.monotonically_increasing_id()), "running")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tagged.groupBy("_pid").agg(F.sum("_v").alias("_s"))
+               .select("_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")))
+    within = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    return (tagged.join(offsets, "_pid").withColumn(name, F.col("_off") + F.sum("_v").over(within))
+            .select(*[q(c) for c in df.columns], q(name)))
+
+
 def quantile_names(probs: Sequence[float]) -> list[str]:
     return [f"q{int(round(p * 1000)):04d}" for p in probs]
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators.ranking import running_sum
+
 
 def check_read_only(spark: SparkSession, query: str) -> str:
     """R2: exactly one query, decided by Spark's own parser.
@@ -62,8 +64,10 @@ def sql_transform(spark: SparkSession, tables: dict[str, DataFrame] | DataFrame,
 
 
 def running_total(df: DataFrame, order_col: str, value_col: str, partition_cols=(), name="running_total"):
-    """Cumulative sum in order.  Feed it aggregated rows (one per period);
-    without partition columns the window runs in one task."""
+    """Cumulative sum in order, per partition columns or over the whole table (then
+    from range partitions and their offsets, not in one task)."""
+    if not partition_cols:
+        return running_sum(df, [order_col], F.col(value_col), name)
     w = Window.partitionBy(*partition_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.sum(value_col).over(w))
 

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from tabulon.functions import distributions as dist
 from tabulon.functions.columns import norm_ppf, norm_ppf_scalar, normalise_nan, numeric_columns, pearson, q
-from tabulon.operators.ranking import column_quantiles, exact_quantiles, rank_rows
-from tabulon.session import local_frame
+from tabulon.operators.ranking import column_quantiles, exact_quantiles, rank_rows, running_sum
+from tabulon.session import local_frame, shared_table
 
 
 def numeric_or_error(df: DataFrame, cols: list[str] | None, minimum: int = 1) -> list[str]:
@@ -62,11 +62,10 @@ def correlation(df: DataFrame, cols: list[str] | None = None, first: dict | None
     """Pearson r for every ordered pair (diagonal included), pairwise
     complete, in long form.
 
-    Two aggregation jobs regardless of width: per-column count, mean, min and
-    max, then plain sums of centred values (shifted by the column mean, so
-    no cancellation) — per column where a pair has no nulls, per pair where
-    nulls make the pair's rows differ.  A side that is constant over the
-    pair's rows gives null, never an error."""
+    Two passes regardless of width: per-column count, mean, min and max, then the
+    pairwise sums of centred values (shifted by the column mean, so no cancellation)
+    as matrix products per batch, added up per pair.  A side that is constant over
+    the pair's rows gives null, never an error."""
     df = normalise_nan(df)
     cols = numeric_or_error(df, cols, 2)
     x = {c: q(c).cast("double") for c in cols}
@@ -75,39 +74,15 @@ def correlation(df: DataFrame, cols: list[str] | None = None, first: dict | None
         first = df.agg(F.count(F.lit(1)).alias("_rows"), *[e for k, c in enumerate(cols) for e in (
             F.count(x[c]).alias(f"c{k}"), F.avg(x[c]).alias(f"m{k}"),
             F.min(x[c]).alias(f"lo{k}"), F.max(x[c]).alias(f"hi{k}"))]).collect()[0]
-    rows = first["_rows"]
-    full = {c for k, c in enumerate(cols) if first[f"c{k}"] == rows}
     mean = {c: (first[f"m{k}"] if first[f"m{k}"] is not None else 0.0) for k, c in enumerate(cols)}
     const = {c for k, c in enumerate(cols) if first[f"lo{k}"] is not None and first[f"lo{k}"] == first[f"hi{k}"]}
-    d = {c: x[c] - F.lit(mean[c]) for c in cols}
-    aggs, plan = [], {}
-    for k, c in enumerate(cols):
-        aggs += [F.sum(d[c]).alias(f"sx{k}"), F.sum(d[c] * d[c]).alias(f"sxx{k}")]
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            aggs.append(F.sum(d[a] * d[b]).alias(f"sxy{i}_{j}"))
-            if not (a in full and b in full):
-                both = x[a].isNotNull() & x[b].isNotNull()
-                da, db = F.when(both, d[a]), F.when(both, d[b])
-                aggs += [F.count_if(both).alias(f"pn{i}_{j}"), F.sum(da).alias(f"pa{i}_{j}"),
-                         F.sum(db).alias(f"pb{i}_{j}"), F.sum(da * da).alias(f"paa{i}_{j}"),
-                         F.sum(db * db).alias(f"pbb{i}_{j}")]
-    s = df.agg(*aggs).collect()[0]
+    s = _pair_sums(df.select(*[x[c].alias(f"x{k}") for k, c in enumerate(cols)]), [mean[c] for c in cols])
     out = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            lo_, hi_ = min(i, j), max(i, j)
-            if cols[lo_] in full and cols[hi_] in full:
-                n, sa, sb = rows, s[f"sx{lo_}"], s[f"sx{hi_}"]
-                saa, sbb = s[f"sxx{lo_}"], s[f"sxx{hi_}"]
-            else:
-                n, sa, sb = s[f"pn{lo_}_{hi_}"], s[f"pa{lo_}_{hi_}"], s[f"pb{lo_}_{hi_}"]
-                saa, sbb = s[f"paa{lo_}_{hi_}"], s[f"pbb{lo_}_{hi_}"]
-            sab = s[f"sxy{lo_}_{hi_}"]
+            n, sab, sa, sb, saa, sbb = s.get((i, j), (0, None, None, None, None, None))
             r = None
-            if n and n > 1 and cols[lo_] not in const and cols[hi_] not in const and None not in (sa, sb, saa, sbb, sab):
+            if n > 1 and a not in const and b not in const:
                 vaa, vbb = saa - sa * sa / n, sbb - sb * sb / n
                 if vaa > 1e-12 * max(saa, 1e-300) and vbb > 1e-12 * max(sbb, 1e-300):
                     r = (sab - sa * sb / n) / math.sqrt(vaa * vbb)
@@ -116,6 +91,32 @@ def correlation(df: DataFrame, cols: list[str] | None = None, first: dict | None
     return local_frame(df.sparkSession, out, "var1 string, var2 string, i int, j int, r double")
 
 
+def _pair_sums(df: DataFrame, means: list[float]) -> dict:
+    """(i, j) → n, Σab, Σa, Σb, Σa², Σb² of centred values over rows where both are
+    present.  Each task sends one row per pair of columns."""
+    import numpy as np
+    import pyarrow as pa
+    k, centre = len(means), np.array(means)
+
+    def run(batches):
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(values)
+            v = np.where(there, values - centre, 0.0)
+            m = there.astype(float)
+            total += np.array([m.T @ m, v.T @ v, v.T @ m, (v * v).T @ m])
+        i, j = np.divmod(np.arange(k * k), k)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t.reshape(-1)) for t in total]],
+                                         names=["i", "j", "n", "ab", "a", "aa"])
+
+    rows = (df.mapInArrow(run, "i long, j long, n double, ab double, a double, aa double").groupBy("i", "j")
+            .agg(*[F.sum(c).alias(c) for c in ("n", "ab", "a", "aa")]).collect())
+    got = {(r["i"], r["j"]): r for r in rows}
+    return {(i, j): (int(r["n"]), r["ab"], r["a"], got[(j, i)]["a"], r["aa"], got[(j, i)]["aa"])
+            for (i, j), r in got.items()}
+
+
 def significant_correlations(corr: DataFrame, threshold: float = 0.5, strong: float = 0.7) -> DataFrame:
     """T4: pairs i<j with |r| ≥ threshold; strong at ≥ 0.7, else moderate."""
     return corr.filter((F.col("i") < F.col("j")) & (F.abs("r") >= threshold)).select(
@@ -394,19 +395,26 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's rho: Pearson r of average ranks (ties share their mean rank).
 
-    Ranks come from the distributed rank operator per column; a value's
-    average rank is joined back by value, so no row identifier is needed."""
-    both = df.select(q(x).cast("double").alias("x"), q(y).cast("double").alias("y")).filter(
+    Equal values and equal pairs are counted first, so a value or pair that holds a
+    third of the rows is one row; ranks are running sums of the value counts."""
+    both = normalise_nan(df).select(q(x).cast("double").alias("x"), q(y).cast("double").alias("y")).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull())
+    pairs = shared_table(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")), "pairs")
 
     def avg_ranks(c):
-        ranked = rank_rows(both.select(F.lit(c).alias("column_name"), F.col(c).alias("value")))
-        return ranked.groupBy("value").agg(F.avg("rank").alias(f"r{c}"))
-
-    j = both.join(avg_ranks("x").withColumnRenamed("value", "x"), "x").join(
-        avg_ranks("y").withColumnRenamed("value", "y"), "y")
-    return j.agg(F.count(F.lit(1)).alias("n"), pearson(F.col("rx"), F.col("ry")).alias("rho")).select(
-        F.lit(x).alias("var1"), F.lit(y).alias("var2"), "n", "rho")
+        counts = pairs.groupBy(c).agg(F.sum("c").alias("_c"))
+        upto = running_sum(counts, [c], F.col("_c"), "_upto")
+        return upto.select(F.col(c).alias(f"_{c}"), (F.col("_upto") - (F.col("_c") - 1) / 2).alias(f"r{c}"))
+
+    rx, ry = avg_ranks("x"), avg_ranks("y")
+    # The mean of average ranks is (n + 1) / 2, so the sums are centred as they are built.
+    mid = pairs.select(((F.sum("c") + 1) / 2).alias("m")).scalar()
+    j = pairs.join(rx, F.col("x") == F.col("_x")).join(ry, F.col("y") == F.col("_y"))
+    a, b = F.col("rx") - mid, F.col("ry") - mid
+    return j.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.col("c") * a * b).alias("sab"),
+                 F.sum(F.col("c") * a * a).alias("saa"), F.sum(F.col("c") * b * b).alias("sbb")).select(
+        F.lit(x).alias("var1"), F.lit(y).alias("var2"), "n",
+        F.try_divide(F.col("sab"), F.sqrt(F.col("saa") * F.col("sbb"))).alias("rho"))
 
 
 def _tail_rows(batches):

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.session import shared_table
+
 
 def _check(result, what="transform_data") -> DataFrame:
     if not isinstance(result, DataFrame):
@@ -27,15 +29,15 @@ def function_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame] | Non
                        validate: bool = True) -> DataFrame:
     """Apply ``fn``; on failure run ``fallback`` once, else raise both.
 
-    ``validate`` forces a cheap evaluation (first row) so runtime errors are
-    seen here rather than at the caller's first action."""
+    ``validate`` computes the whole result here, once, into the shared folder, so an
+    error in any row is seen now rather than at the caller's first action."""
     if fn is None:
         raise ValueError("Function 'transform_data' not found")
 
     def run(f):
         out = _check(f(df))
         if validate:
-            out.limit(1).collect()
+            out = shared_table(out, "function")
         return out
 
     try:
@@ -67,15 +69,16 @@ def pack_bucket_count(df: DataFrame, pack_rows: int) -> int:
 
 
 def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
-                     partial=None, partial_schema: str | None = None, salt_buckets: int = 64,
+                     partial=None, partial_schema: str | None = None, partial_rows: int = 500_000,
                      pack_buckets: int | None = None, pack_rows: int | None = None) -> DataFrame:
     """Pandas function per key.
 
     Without ``partial`` the function sees each whole group: use it for keys
     whose groups are bounded (an order's lines, a user's session).  With
     ``partial`` (pandas → pandas of partial results, schema
-    ``partial_schema``) rows are spread over ``salt_buckets`` per key first
-    and ``fn`` then merges the partial frames of each key.
+    ``partial_schema``) each task reduces its own rows per key, about
+    ``partial_rows`` at a time and without a shuffle, and ``fn`` then merges the
+    partial frames of each key.
 
     ``pack_buckets`` hashes many small keys into each task-level group and
     applies ``fn`` per key inside it, which removes the per-group overhead
@@ -92,9 +95,19 @@ def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
             return (df.withColumn("_bucket", bucket).groupBy("_bucket")
                     .applyInPandas(lambda pdf: _packed(keys, fn)(pdf.drop(columns=["_bucket"])), schema))
         return df.groupBy(*keys).applyInPandas(fn, schema)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets)))
-    part = salted.groupBy(*keys, "_salt").applyInPandas(partial, partial_schema)
-    return part.groupBy(*keys).applyInPandas(fn, schema)
+    def reduce_rows(batches):
+        import pandas as pd
+        reduce, held, n = _packed(keys, partial), [], 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= partial_rows:
+                yield reduce(pd.concat(held, ignore_index=True))
+                held, n = [], 0
+        if n:
+            yield reduce(pd.concat(held, ignore_index=True))
+
+    return df.mapInPandas(reduce_rows, partial_schema).groupBy(*keys).applyInPandas(fn, schema)
 
 
 def batch_function(df: DataFrame, fn, schema: str) -> DataFrame:

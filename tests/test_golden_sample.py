@@ -7,6 +7,7 @@ from tabulon.operators import relational as rel
 from tabulon.operators import profile as pr
 from tabulon.sources.files import load
 
+# The survey's sample table and its totals.
 SAMPLE = """region,product,sales,year
 North,Product A,12500,2023
 North,Product B,8900,2023
