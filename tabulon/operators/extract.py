@@ -87,6 +87,36 @@ def html_list_items(pages: DataFrame, id_col: str = "page_id", html_col: str = "
 SEPARATOR_CELL = r"^:?-{2,}:?$"
 
 
+def _table_line(line, at):
+    """A line as (line number, delimiter, cells); no cells without a delimiter."""
+    delim = (F.when(line.contains("|"), F.lit("|")).when(line.contains("\t"), F.lit("\t"))
+             .when(line.contains(","), F.lit(",")))
+    framed = F.regexp_replace(F.regexp_replace(F.trim(line), r"^\|", ""), r"\|$", "")
+    cells = (F.when(line.contains("|"), F.split(framed, r"\|")).when(line.contains("\t"), F.split(line, "\t"))
+             .when(line.contains(","), F.split(line, ",")).otherwise(F.array().cast("array<string>")))
+    return F.struct(at.alias("at"), delim.alias("delim"), F.transform(cells, lambda c: F.trim(c)).alias("cells"))
+
+
+def _longest_run(lines):
+    """Start and length (bs, bl) of the longest run of consecutive lines with one
+    delimiter and width; the earliest on ties."""
+    none = F.struct(F.lit(0).alias("cs"), F.lit(0).alias("cl"), F.lit("").alias("cd"), F.lit(0).alias("cn"),
+                    F.lit(0).alias("bs"), F.lit(0).alias("bl"))
+
+    def step(run, x):
+        width = F.size(x["cells"])
+        table = width >= 2
+        goes_on = table & (x["delim"] == run["cd"]) & (width == run["cn"]) & (run["cl"] > 0)
+        start = F.when(goes_on, run["cs"]).otherwise(x["at"])
+        length = F.when(goes_on, run["cl"] + 1).when(table, 1).otherwise(0)
+        longer = length > run["bl"]
+        return F.struct(start.alias("cs"), length.alias("cl"), F.coalesce(x["delim"], F.lit("")).alias("cd"),
+                        width.alias("cn"), F.when(longer, start).otherwise(run["bs"]).alias("bs"),
+                        F.when(longer, length).otherwise(run["bl"]).alias("bl"))
+
+    return F.aggregate(lines, none, step)
+
+
 def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Delimited plain-text tables (pipe, tab or comma) as long rows.
 
@@ -95,31 +125,16 @@ def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     run wins (earliest on ties).  Its first line is the header; markdown rule
     lines are dropped; outer empty cells from ``|a|b|`` framing are removed.
     ``confidence`` = table lines / delimited lines of the document."""
-    lines = docs.select(q(id_col).alias("doc"), F.posexplode(F.split(q(text_col), "\n")).alias("line_idx", "line"))
-    delim = (F.when(F.col("line").contains("|"), F.lit("|")).when(F.col("line").contains("\t"), F.lit("\t"))
-             .when(F.col("line").contains(","), F.lit(",")))
-    d = lines.withColumn("delim", delim).filter(F.col("delim").isNotNull())
-    framed = F.regexp_replace(F.regexp_replace(F.trim("line"), r"^\|", ""), r"\|$", "")
-    pattern = F.when(F.col("delim") == "|", F.lit(r"\|")).when(F.col("delim") == ",", F.lit(",")).otherwise(F.lit("\t"))
-    cells = F.transform(F.split(F.when(F.col("delim") == "|", framed).otherwise(F.col("line")), pattern),
-                        lambda c: F.trim(c))
-    d = d.withColumn("cells", cells).withColumn("n_cells", F.size("cells")).filter(F.col("n_cells") >= 2)
-    d = d.withColumn("is_rule", F.forall("cells", lambda c: c.rlike(SEPARATOR_CELL) | (c == "")))
-    # Islands of consecutive lines with the same delimiter and width.
-    w_run = Window.partitionBy("doc", "delim", "n_cells").orderBy("line_idx")
-    d = d.withColumn("run", F.col("line_idx") - F.row_number().over(w_run))
-    runs = d.groupBy("doc", "delim", "n_cells", "run").agg(F.count(F.lit(1)).alias("n_lines"),
-                                                           F.min("line_idx").alias("first_line"))
-    w_best = Window.partitionBy("doc").orderBy(F.desc("n_lines"), "first_line")
-    best = runs.filter(F.col("n_lines") >= 2).withColumn("_r", F.row_number().over(w_best)).filter("_r = 1")
-    total = d.groupBy("doc").agg(F.count(F.lit(1)).alias("n_delimited"))
-    conf = best.join(total, "doc").select("doc", "delim", "n_cells", "run",
-                                          (F.col("n_lines") / F.col("n_delimited")).alias("confidence"))
-    t = d.join(conf, ["doc", "delim", "n_cells", "run"]).filter(~F.col("is_rule"))
-    w_row = Window.partitionBy("doc").orderBy("line_idx")
-    t = t.withColumn("row_idx", F.row_number().over(w_row) - 1)
-    header = t.filter(F.col("row_idx") == 0).select("doc", F.col("cells").alias("hdr"))
-    body = t.filter(F.col("row_idx") > 0).join(header, "doc")
+    parsed = F.transform(F.split(q(text_col), "\n"), _table_line)
+    base = docs.select(q(id_col).alias("doc"), parsed.alias("lines")).withColumn("run", _longest_run(F.col("lines")))
+    best = F.slice("lines", F.col("run.bs") + 1, F.col("run.bl"))
+    n_delimited = F.size(F.filter("lines", lambda x: F.size(x["cells"]) >= 2))
+    rows = (base.filter(F.col("run.bl") >= 2)
+            .select("doc", F.filter(best, lambda x: ~F.forall(x["cells"], lambda c: c.rlike(SEPARATOR_CELL) | (c == "")))
+                    .alias("rows"), (F.col("run.bl") / n_delimited).alias("confidence")))
+    body = (rows.select("doc", "confidence", F.get("rows", F.lit(0))["cells"].alias("hdr"),
+                        F.posexplode("rows").alias("row_idx", "r"))
+            .filter(F.col("row_idx") > 0).select("doc", "confidence", "hdr", "row_idx", F.col("r.cells").alias("cells")))
     out = body.select("doc", "row_idx", "confidence", F.posexplode(F.arrays_zip(
         F.col("hdr").alias("h"), F.col("cells").alias("v"))).alias("col_idx", "z"))
     return out.select(F.col("doc").alias(id_col), "row_idx", "col_idx",
