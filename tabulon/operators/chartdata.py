@@ -114,7 +114,9 @@ def auto_chart(df: DataFrame, order_by: list[str] | None = None) -> tuple[str, D
     cols = df.columns
     if not cols:
         return "none", df
-    types = {r["column_name"]: r["field_type"] for r in field_types(df).collect()}
+    # Only the first two columns decide.
+    types = {r["column_name"]: r["field_type"]
+             for r in field_types(df.select(*[q(c) for c in cols[:2]])).collect()}
     order = [q(c) for c in (order_by or cols)]
     if len(cols) == 1:
         c = cols[0]

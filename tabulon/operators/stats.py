@@ -138,6 +138,32 @@ def interpretation(corr: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.col("var1"), F.col("var2"), F.col("correlation")).alias("sentence"))
 
 
+def describe_text(described: DataFrame) -> DataFrame:
+    """One templated sentence per described column."""
+    return described.select("column_name", F.when(F.col("count") == 0, F.format_string(
+        "%s has no values.", F.col("column_name"))).otherwise(F.format_string(
+            "%s has %d values from %.2f to %.2f; mean %.2f, median %.2f.", F.col("column_name"), F.col("count"),
+            F.col("min"), F.col("max"), F.col("mean"), F.col("p50"))).alias("sentence"))
+
+
+def t_test_text(tested: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The verdict of :func:`with_t_pvalue` as a sentence."""
+    differ = F.when(F.col("p_value") < alpha, "differs").otherwise("does not differ")
+    return tested.select("dependent_variable", F.when(F.col("p_value").isNull(), F.format_string(
+        "%s has too few or constant values for a t-test.", F.col("dependent_variable"))).otherwise(F.format_string(
+            "%s %s significantly between %s and %s (t = %.2f, p = %.4f).", F.col("dependent_variable"), differ,
+            F.col("group1"), F.col("group2"), F.col("t_statistic"), F.col("p_value"))).alias("sentence"))
+
+
+def normality_text(tested: DataFrame) -> DataFrame:
+    """The verdict of :func:`shapiro_wilk` as a sentence."""
+    verdict = (F.when(F.col("is_normal").isNull(), "has no Shapiro-Wilk p-value at this size")
+               .when(F.col("is_normal"), "is compatible with a normal distribution")
+               .otherwise("is not normally distributed"))
+    return tested.select("variable", F.format_string("%s %s (W = %.4f, n = %d).", F.col("variable"), verdict,
+                                                     F.col("statistic"), F.col("sample_size")).alias("sentence"))
+
+
 # ------------------------------------------------------------------ t-test
 def group_moments(df: DataFrame, dependent: str, group: str) -> DataFrame:
     """Mean, sample std, n per group (null groups and null values left out)."""

@@ -120,6 +120,46 @@ def auto_chart(spark, d):
     return data
 
 
+@query("auto_chart_scatter", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey, o_totalprice LIMIT 100""")
+def auto_chart_scatter(spark, d):
+    kind, data = cd.auto_chart(T(spark, d, "orders").select("o_orderkey", "o_totalprice"))
+    assert kind == "scatter"
+    return data
+
+
+@query("auto_chart_histogram", _NICE_SQL)
+def auto_chart_histogram(spark, d):
+    kind, data = cd.auto_chart(T(spark, d, "events").select("value"))
+    assert kind == "histogram"
+    return data
+
+
+@query("auto_chart_values", """
+SELECT event_type, count(*) AS count FROM events WHERE event_type IS NOT NULL GROUP BY 1
+ORDER BY count DESC, event_type LIMIT 10""")
+def auto_chart_values(spark, d):
+    kind, data = cd.auto_chart(T(spark, d, "events").select("event_type"))
+    assert kind == "bar"
+    return data
+
+
+@query("auto_chart_default", """
+SELECT o_orderpriority, o_orderstatus FROM orders ORDER BY o_orderpriority, o_orderstatus, o_orderkey LIMIT 20""")
+def auto_chart_default(spark, d):
+    kind, data = cd.auto_chart(T(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_orderkey"))
+    assert kind == "bar"
+    return data
+
+
+@query("one_chart_list", """
+SELECT CAST(1 AS INTEGER) AS idx, 'Rows: ' || count(*) AS title, 'line:day:n' AS image, 'Line visualization' AS description
+FROM events""")
+def one_chart_list(spark, d):
+    n = T(spark, d, "events").count()
+    return cd.one_chart_list(spark, "line:day:n", "line", f"Rows: {n}")
+
+
 def _bonus(goal: str, words: tuple[str, ...], points: int = 10) -> str:
     goal_sql = "'" + goal.lower().replace("'", "''") + "'"
     return "CASE WHEN " + " OR ".join(f"contains({goal_sql}, '{w}')" for w in words) + f" THEN {points} ELSE 0 END"

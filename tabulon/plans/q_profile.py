@@ -136,6 +136,21 @@ def field_stats(spark, d):
     return fs.select(*[F.round(c, 6).alias(c) if c.startswith("stat_") else F.col(c) for c in fs.columns])
 
 
+@query("field_stats_given", "WITH s AS (" + _field_stats_sql("orders", ORDERS) + """)
+SELECT column_name, position, CASE WHEN column_name = 'o_custkey' THEN 'ordinal' ELSE semantic_type END AS semantic_type,
+       CASE WHEN column_name = 'o_custkey' THEN (SELECT count(*) FROM customer) ELSE unique_count END AS unique_count,
+       stat_min, CASE WHEN column_name = 'o_custkey' THEN (SELECT max(c_custkey) FROM customer)::DOUBLE ELSE stat_max END AS stat_max,
+       stat_mean, unique_values FROM s""")
+def field_stats_given(spark, d):
+    """P7 with a schema that knows o_custkey from the customer table."""
+    given = T(spark, d, "customer").agg(F.count(F.lit(1)).alias("unique_count"), F.max("c_custkey").alias("hi")).select(
+        F.lit("o_custkey").alias("column_name"), F.lit("ordinal").alias("semantic_type"), "unique_count",
+        F.lit(None).cast("double").alias("stat_min"), F.col("hi").cast("double").alias("stat_max"),
+        F.lit(None).cast("double").alias("stat_mean"))
+    fs = pr.field_stats(T(spark, d, "orders"), given)
+    return fs.select(*[F.round(c, 6).alias(c) if c.startswith("stat_") else F.col(c) for c in fs.columns])
+
+
 @query("field_lines", """
 WITH s AS (""" + _field_stats_sql("orders", ORDERS, round_mean=False) + """)
 SELECT column_name, position,

@@ -307,3 +307,27 @@ WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
 def box_fliers(spark, d):
     """T11 detail: the points beyond the whisker fences, per group."""
     return st.fliers(T(spark, d, "events"), "value", "event_type")
+
+
+@query("describe_text", """
+SELECT c AS column_name, printf('%s has %d values from %.2f to %.2f; mean %.2f, median %.2f.',
+       c, n, round(lo, 2), round(hi, 2), round(m, 2), round(med, 2)) AS sentence
+FROM (SELECT 'o_totalprice' AS c, count(o_totalprice) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi,
+             avg(o_totalprice) AS m, quantile_cont(o_totalprice, 0.5) AS med FROM orders)""")
+def describe_text(spark, d):
+    return st.describe_text(st.describe(T(spark, d, "orders"), ["o_totalprice"]))
+
+
+@query("t_test_text", t_test_ctes("lineitem", "l_extendedprice", "l_linestatus") + """
+SELECT 'l_extendedprice' AS dependent_variable,
+       printf('l_extendedprice %s significantly between F and O (t = %.2f, p = %.4f).',
+              CASE WHEN p < 0.05 THEN 'differs' ELSE 'does not differ' END, t, p) AS sentence FROM tt""")
+def t_test_text(spark, d):
+    return st.t_test_text(st.with_t_pvalue(st.t_test(T(spark, d, "lineitem"), "l_extendedprice", "l_linestatus")))
+
+
+@query("normality_text", shapiro_ctes("lineitem", "l_quantity") + """
+SELECT 'l_quantity' AS variable, printf('l_quantity %s (W = %.4f, n = %d).',
+       'has no Shapiro-Wilk p-value at this size', w, n) AS sentence FROM sw""")
+def normality_text(spark, d):
+    return st.normality_text(st.shapiro_wilk(T(spark, d, "lineitem"), "l_quantity"))
