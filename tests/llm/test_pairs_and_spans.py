@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -194,3 +195,29 @@ def test_long_text_is_read_in_stretches(frame, monkeypatch):
     from tabulon.llm.superkmers import Strings
     blocks = [Strings.from_block(r, b.as_py()) for p in parts for r, b in zip(p["raw"].to_pylist(), p["block"], strict=True)]
     assert sum(int(((b.sizes - 59) * b.n_places).sum()) for b in blocks) == len(text) - 59
+
+
+def test_clashing_extra_columns(frame):
+    """Extra columns named like the operators' own change nothing."""
+    from pyspark.sql import functions as F
+    rows = corpus(n=20)
+    df = frame(rows)
+    odd = df
+    for name in ("doc", "key", "text_key", "fp", "root", "starts", "stops", "window", "bucket", "n_words", "component_id",
+                 "n_bytes", "kept_sha256", "k", "d", "a", "b"):
+        odd = odd.withColumn(name, F.lit("mine"))
+    same = lambda f: Counter(map(tuple, f(odd).collect())) == Counter(map(tuple, f(df).collect()))
+    assert same(near_duplicates) and same(dedup_substrings) and same(dedup_suffixes)
+    assert dedup(odd).columns == odd.columns and dedup(odd).count() == dedup(df).count()
+
+
+def test_one_very_long_text_among_short_ones(frame):
+    rng = random.Random(9)
+    long = " ".join(str(rng.randrange(10 ** 6)) for _ in range(200_000))
+    rows = [(1, long), (2, "tail " + long[-3000:]), (3, "short")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in dedup_substrings(frame(rows)).collect()}
+    inside = len(WORD.findall(long[-3000:]))
+    assert got[1] == (200_000, 0) and got[3] == (1, 0) and got[2][1] in (inside, inside - 1)
+    kept = {r.doc_id: r.n_removed for r in dedup_suffixes(frame(rows)).collect()}
+    assert kept == {1: 0, 2: 3000, 3: 0} or kept[2] == 3001
+    assert len({r.fp for r in near_duplicates(frame(rows)).collect()}) == 3
