@@ -1,8 +1,9 @@
 """Database sources through Spark's JDBC reader.
 
 The query runs on the database server (``query`` option), as in the
-reference; Spark only receives the result.  ``num_partitions`` with a
-numeric ``partition_column`` splits big results across executors.
+reference; Spark only receives the result.  A numeric or date
+``partition_column`` splits big results across executors, over
+``num_partitions`` ranges between its bounds; without one a single task reads.
 """
 
 from __future__ import annotations
@@ -39,16 +40,25 @@ def validate(source_type: str, cfg: dict | None) -> dict:
 
 def load_database(spark: SparkSession, source_type: str, cfg: dict | None) -> DataFrame:
     cfg = validate(source_type, cfg)
-    r = (spark.read.format("jdbc")
-         .option("url", cfg.get("url") or jdbc_url(source_type, cfg))
-         .option("driver", cfg.get("driver") or DRIVERS[source_type]))
-    if cfg.get("user"):
-        r = r.option("user", cfg["user"]).option("password", cfg.get("password", ""))
-    if cfg.get("partition_column"):
+
+    def reader():
+        r = (spark.read.format("jdbc")
+             .option("url", cfg.get("url") or jdbc_url(source_type, cfg))
+             .option("driver", cfg.get("driver") or DRIVERS[source_type]))
+        if cfg.get("user"):
+            r = r.option("user", cfg["user"]).option("password", cfg.get("password", ""))
+        return r
+
+    r, column = reader(), cfg.get("partition_column")
+    low, high = cfg.get("lower_bound"), cfg.get("upper_bound")
+    if column and (low is None or high is None):
+        # The database gives the bounds: one row.
+        low, high = reader().option("query", f"SELECT MIN({column}) AS lo, MAX({column}) AS hi "
+                                             f"FROM ({cfg['query']}) q").load().first()
+    if column and low is not None:
         # Partitioned read: Spark issues one bounded query per partition.
-        r = (r.option("dbtable", f"({cfg['query']}) q")
-             .option("partitionColumn", cfg["partition_column"])
-             .option("lowerBound", cfg["lower_bound"]).option("upperBound", cfg["upper_bound"])
+        r = (r.option("dbtable", f"({cfg['query']}) q").option("partitionColumn", column)
+             .option("lowerBound", low).option("upperBound", high)
              .option("numPartitions", cfg.get("num_partitions", 8)))
     else:
         r = r.option("query", cfg["query"])

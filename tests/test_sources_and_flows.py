@@ -84,6 +84,15 @@ def test_jdbc_embedded_derby(spark, scratch):
     assert sorted(r["id"] for r in out.collect()) == [2, 3]
 
 
+def test_jdbc_partitions_without_given_bounds(spark, scratch):
+    cfg = {"url": f"jdbc:derby:{scratch}/db;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(100).withColumnRenamed("id", "ID").write.format("jdbc").option("url", cfg["url"]).option(
+        "dbtable", "T2").option("driver", cfg["driver"]).save()
+    out = jdbc.load_database(spark, "sqlite", cfg | {"query": "SELECT ID FROM T2", "partition_column": "ID",
+                                                     "num_partitions": 4})
+    assert out.rdd.getNumPartitions() == 4 and sorted(r.ID for r in out.collect()) == list(range(100))
+
+
 def test_sql_read_only_guard(spark):
     df = spark.createDataFrame([(1,)], "a int")
     for bad in ["DROP TABLE input_data", "select 1; select 2", "INSERT INTO x VALUES (1)", "  "]:
