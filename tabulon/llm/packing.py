@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +28,10 @@ SEQUENCE = 2048
 #: Pieces are multiples of this many tokens, besides one shorter tail per document.
 UNIT = 64
 END_ID = 1
-#: Distinct white-space separated strings whose ids a worker remembers.
-CACHE_WORDS = 300_000
+#: Distinct strings whose ids a worker remembers.
+CACHE_WORDS = 1_000_000
+#: Closing punctuation after a lower-case letter, which the tokenizer reads on its own.
+_CLOSING = r"(\p{Ll})[.,;:!?]+$"
 
 
 def default_tokenizer() -> str:
@@ -36,8 +40,10 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of texts.  The tokenizer drops white space and never joins across it,
-    so every distinct string between white space is encoded once and remembered."""
+    """Token ids of texts.  The tokenizer drops white space, never joins across it, reads
+    lower case and splits letters from punctuation, so every distinct string between
+    white space, in lower case and without closing punctuation, is encoded once and
+    remembered."""
 
     def __init__(self, path: str):
         import os
@@ -55,25 +61,42 @@ class Encoder:
     def numbers(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self.known]
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
             got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
             lists = [e.ids for e in got]
             sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            flat = np.fromiter((i for ids in lists for i in ids), dtype=np.uint32, count=int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum()))
             base = len(self.first) - 1
             self.known.update(zip(new, range(base, base + len(new)), strict=True))
             self.ids = np.concatenate((self.ids, flat))
             self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
-        return np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def _distinct(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct strings back to back, and their offsets."""
+        lower = pc.ascii_lower(distinct)
+        core = pc.replace_substring_regex(lower, _CLOSING, r"\1")
+        cut_at = pc.binary_length(core).to_numpy(zero_copy_only=False).astype(np.int64)
+        closed = np.flatnonzero(cut_at != pc.binary_length(lower).to_numpy(zero_copy_only=False))
+        # The closing part is ASCII, so bytes are characters from the end.
+        tails = [w[len(c) - len(w):] for w, c in zip(lower.take(pa.array(closed)).to_pylist(),
+                                                     core.take(pa.array(closed)).to_pylist(), strict=True)]
+        numbers = self.numbers(core.to_pylist() + tails)
+        stem, tail = numbers[:len(core)], numbers[len(core):]
+        starts, sizes = np.zeros((2, len(core), 2), dtype=np.int64)
+        starts[:, 0], sizes[:, 0] = self.first[stem], self.first[stem + 1] - self.first[stem]
+        starts[closed, 1], sizes[closed, 1] = self.first[tail], self.first[tail + 1] - self.first[tail]
+        return (self.ids[ragged(starts.reshape(-1), sizes.reshape(-1))],
+                np.concatenate(([0], np.cumsum(sizes.sum(axis=1)))).astype(np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, END_ID after each, and the texts' offsets."""
         words = Words(texts, join=False)
         at, distinct = words.encoded()
-        number = self.numbers(distinct.to_pylist())[at] if len(at) else at
-        sizes = self.first[number + 1] - self.first[number]
-        flat = self.ids[ragged(self.first[number], sizes)]
+        table, first = self._distinct(distinct)
+        sizes = np.diff(first)[at]
+        flat = table[ragged(first[at], sizes)]
         per_text = np.bincount(words.text_of_word, weights=sizes, minlength=words.n).astype(np.int64)
         ends = np.cumsum(per_text)
         out = np.insert(flat, ends, np.uint32(END_ID))
