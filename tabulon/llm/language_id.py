@@ -244,11 +244,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     key = F.col(id_col).cast("string")
     pool = docs.filter((F.crc32(key.cast("binary")) % 5 != 0) & F.col(lang_col).isNotNull()
                        & F.col(text_col).isNotNull())
-    # Ids are chosen without their texts; the texts of the few chosen ids follow.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (pool.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
-              .withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample_docs)
-              .select("id").distinct())
+    # Ids are chosen without their texts, the lowest hashes of each language.  A first cut
+    # by the share that is wanted (four times over) leaves few rows to rank.
+    ids = pool.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
+    per_lang = materialise(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    hashed = F.xxhash64("id")
+    share = F.pmod(hashed, F.lit(1 << 20)) / F.lit(float(1 << 20))
+    order = Window.partitionBy("lang").orderBy(F.pmod(hashed, F.lit(1 << 20)), hashed, "id")
+    chosen = materialise(ids.join(per_lang, "lang").filter(share * F.col("n") < 4.0 * sample_docs)
+                         .withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample_docs)
+                         .select("id").distinct(), "lang-sample")
+    # The chosen table's size is known once written: small enough, it is broadcast, and
+    # no text is shuffled.
     sample = (pool.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
                           F.col(text_col).cast("string").alias("text"))
               .join(chosen, "id", "left_semi").select("lang", "text"))
