@@ -52,7 +52,7 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
         raise ValueError(f"Unknown analysis {analysis!r}; one of {ANALYSES}")
     if analysis == "t_test" and not (dependent and group):
         raise ValueError("T-test requires dependent and group variables")
-    spark = df.sparkSession
+    spark, source = df.sparkSession, df
     df = normalise_nan(df)
     # One quantile pass over the numeric columns gives the outlier fences
     # (report and clipping bounds) and the quartiles for describe; the column
@@ -95,6 +95,8 @@ def quick_analysis(df: DataFrame, auto_clean: bool = True, approx: bool = False,
     else:
         chart = spark.createDataFrame([], "x string")
         charts = spark.createDataFrame([], cd.CHART_SCHEMA)
+    # Where cleaning changed nothing, the caller's own table comes back.
+    cleaned = source if cleaned is df else cleaned
     return QuickAnalysis(report, cleaned, removed, describe, corr, recs, chart, charts, found)
 
 

@@ -172,12 +172,8 @@ def test_duplicate_rows_nulls_in_different_places(spark):
     assert e["n_rows"] == 0 and e["n_duplicates"] == 0
 
 
-@pytest.mark.parametrize("cand_max", [0, 1_000_000])
-def test_duplicate_rows_collisions_and_fallback(spark, monkeypatch, cand_max):
-    """Every row given the same fingerprint (a forced collision): the
-    candidate path still counts exactly; with no room for candidates the
-    full grouping does."""
-    monkeypatch.setattr(qa, "DUPLICATE_CANDIDATES_MAX", cand_max)
+def test_duplicate_rows_collisions(spark, monkeypatch):
+    """Every row given the same fingerprint (a forced collision): the count stays exact."""
     monkeypatch.setattr(qa, "_row_fingerprint", lambda df: [F.lit(1).cast("long").alias("_f1"),
                                                             F.lit(2).cast("long").alias("_f2")])
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (2, None), (3, "c")], "x int, y string")
