@@ -126,7 +126,9 @@ def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines are dropped; outer empty cells from ``|a|b|`` framing are removed.
     ``confidence`` = table lines / delimited lines of the document."""
     parsed = F.transform(F.split(q(text_col), "\n"), _table_line)
-    base = docs.select(q(id_col).alias("doc"), parsed.alias("lines")).withColumn("run", _longest_run(F.col("lines")))
+    # Generators keep the parsed lines and the run from being computed once per use.
+    base = docs.select(q(id_col).alias("doc"), F.explode(F.array(parsed)).alias("lines"))
+    base = base.select("doc", "lines", F.explode(F.array(_longest_run(F.col("lines")))).alias("run"))
     best = F.slice("lines", F.col("run.bs") + 1, F.col("run.bl"))
     n_delimited = F.size(F.filter("lines", lambda x: F.size(x["cells"]) >= 2))
     rows = (base.filter(F.col("run.bl") >= 2)

@@ -82,7 +82,7 @@ def quantile_names(probs: Sequence[float]) -> list[str]:
 
 
 #: Relative error of the summaries (1 / ACCURACY of the rows).
-ACCURACY = 10_000
+ACCURACY = 1000
 #: Equal-width slices that a bracket's values are ordered in.
 SLICES = 1000
 

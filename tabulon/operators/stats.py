@@ -62,10 +62,10 @@ def correlation(df: DataFrame, cols: list[str] | None = None, first: dict | None
     """Pearson r for every ordered pair (diagonal included), pairwise
     complete, in long form.
 
-    Two passes regardless of width: per-column count, mean, min and max, then the
-    pairwise sums of centred values (shifted by the column mean, so no cancellation)
-    as matrix products per batch, added up per pair.  A side that is constant over
-    the pair's rows gives null, never an error."""
+    Per-column count, mean, min and max, then the pairwise sums of centred values
+    (shifted by the column mean, so no cancellation), one aggregation per pair of
+    column blocks.  A side that is constant over the pair's rows gives null, never an
+    error."""
     df = normalise_nan(df)
     cols = numeric_or_error(df, cols, 2)
     x = {c: q(c).cast("double") for c in cols}
@@ -76,13 +76,14 @@ def correlation(df: DataFrame, cols: list[str] | None = None, first: dict | None
             F.min(x[c]).alias(f"lo{k}"), F.max(x[c]).alias(f"hi{k}"))]).collect()[0]
     mean = {c: (first[f"m{k}"] if first[f"m{k}"] is not None else 0.0) for k, c in enumerate(cols)}
     const = {c for k, c in enumerate(cols) if first[f"lo{k}"] is not None and first[f"lo{k}"] == first[f"hi{k}"]}
-    s = _pair_sums(df.select(*[x[c].alias(f"x{k}") for k, c in enumerate(cols)]), [mean[c] for c in cols])
+    s = _pair_sums(df.select(*[x[c].alias(f"x{k}") for k, c in enumerate(cols)]), [mean[c] for c in cols],
+                   [first[f"c{k}"] == first["_rows"] for k in range(len(cols))])
     out = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             n, sab, sa, sb, saa, sbb = s.get((i, j), (0, None, None, None, None, None))
             r = None
-            if n > 1 and a not in const and b not in const:
+            if n > 1 and a not in const and b not in const and None not in (sab, sa, sb, saa, sbb):
                 vaa, vbb = saa - sa * sa / n, sbb - sb * sb / n
                 if vaa > 1e-12 * max(saa, 1e-300) and vbb > 1e-12 * max(sbb, 1e-300):
                     r = (sab - sa * sb / n) / math.sqrt(vaa * vbb)
@@ -91,30 +92,41 @@ def correlation(df: DataFrame, cols: list[str] | None = None, first: dict | None
     return local_frame(df.sparkSession, out, "var1 string, var2 string, i int, j int, r double")
 
 
-def _pair_sums(df: DataFrame, means: list[float]) -> dict:
+#: Columns per block of the pairwise sums (an aggregation holds one pair of blocks).
+PAIR_BLOCK = 16
+
+
+def _pair_sums(df: DataFrame, means: list[float], complete: list[bool]) -> dict:
     """(i, j) → n, Σab, Σa, Σb, Σa², Σb² of centred values over rows where both are
-    present.  Each task sends one row per pair of columns."""
-    import numpy as np
-    import pyarrow as pa
-    k, centre = len(means), np.array(means)
-
-    def run(batches):
-        total = np.zeros((4, k, k))
-        for batch in batches:
-            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            there = ~np.isnan(values)
-            v = np.where(there, values - centre, 0.0)
-            m = there.astype(float)
-            total += np.array([m.T @ m, v.T @ v, v.T @ m, (v * v).T @ m])
-        i, j = np.divmod(np.arange(k * k), k)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t.reshape(-1)) for t in total]],
-                                         names=["i", "j", "n", "ab", "a", "aa"])
-
-    rows = (df.mapInArrow(run, "i long, j long, n double, ab double, a double, aa double").groupBy("i", "j")
-            .agg(*[F.sum(c).alias(c) for c in ("n", "ab", "a", "aa")]).collect())
-    got = {(r["i"], r["j"]): r for r in rows}
-    return {(i, j): (int(r["n"]), r["ab"], r["a"], got[(j, i)]["a"], r["aa"], got[(j, i)]["aa"])
-            for (i, j), r in got.items()}
+    present.  One aggregation per pair of column blocks, which reads those columns only;
+    where both columns are complete, only Σab is the pair's own."""
+    k = len(means)
+    d = [F.col(f"x{c}") - F.lit(means[c]) for c in range(k)]
+    blocks = [range(b, min(b + PAIR_BLOCK, k)) for b in range(0, k, PAIR_BLOCK)]
+    got: dict = {}
+    for bi, left in enumerate(blocks):
+        for right in blocks[bi:]:
+            aggs = {"n": F.count(F.lit(1))}
+            for c in {*left, *right}:
+                aggs |= {f"s{c}": F.sum(d[c]), f"q{c}": F.sum(d[c] * d[c])}
+            for i in left:
+                for j in (j for j in right if j >= i):
+                    aggs[f"ab{i}_{j}"] = F.sum(d[i] * d[j])
+                    if not (complete[i] and complete[j]):
+                        both = d[i].isNotNull() & d[j].isNotNull()
+                        a, b = F.when(both, d[i]), F.when(both, d[j])
+                        aggs |= {f"n{i}_{j}": F.count_if(both), f"a{i}_{j}": F.sum(a), f"b{i}_{j}": F.sum(b),
+                                 f"aa{i}_{j}": F.sum(a * a), f"bb{i}_{j}": F.sum(b * b)}
+            row = df.agg(*[e.alias(name) for name, e in aggs.items()]).first()
+            for i in left:
+                for j in (j for j in right if j >= i):
+                    if complete[i] and complete[j]:
+                        one = (row["n"], row[f"ab{i}_{j}"], row[f"s{i}"], row[f"s{j}"], row[f"q{i}"], row[f"q{j}"])
+                    else:
+                        one = tuple(row[f"{p}{i}_{j}"] for p in ("n", "ab", "a", "b", "aa", "bb"))
+                    n, ab, a, b, aa, bb = one
+                    got[(i, j)], got[(j, i)] = one, (n, ab, b, a, bb, aa)
+    return got
 
 
 def significant_correlations(corr: DataFrame, threshold: float = 0.5, strong: float = 0.7) -> DataFrame:
