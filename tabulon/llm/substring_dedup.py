@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.batches import Words, mix64, row_slices, sliding_min, texts_of
 from tabulon.llm.scratch import materialise
-from tabulon.llm.superkmers import (BLOCK_SCHEMA, BUCKET_BOUND, BUCKET_BYTES, NULL_ID, SPAN_SCHEMA, Strings,
-                                    bucket_count, buckets_of, keyed, pack, ranks, runs, spans_batch)
+from tabulon.llm.superkmers import (BLOCK_SCHEMA, BUCKET_BOUND, BUCKET_BYTES, FOUND_SCHEMA, NULL_ID, Strings,
+                                    bucket_count, buckets_of, found_spans, keyed, pack, piece_batches, ranks, runs,
+                                    spans_batch, widened)
 
 WINDOW = 13
 GRAM = 4
@@ -118,27 +119,6 @@ def _place_spans(strings: Strings, n_windows: np.ndarray, lowest: np.ndarray, wi
     return out
 
 
-def single_windows(strings: Strings, window: int):
-    """Every window of every place as a row of its own, for buckets beyond the bound."""
-    from tabulon.llm.batches import ragged
-    offsets = np.concatenate((strings.starts, [len(strings.text)])).astype(np.int32)
-    arr = pa.Array.from_buffers(pa.string(), len(strings), [None, pa.py_buffer(offsets), pa.py_buffer(strings.text)])
-    words = Words(arr)
-    buf = bytes(words.joined)
-    n_windows = words.counts - window + 1
-    place_string = np.repeat(np.arange(len(strings)), strings.n_places)
-    sizes = n_windows[place_string]
-    place = np.repeat(np.arange(len(place_string)), sizes)
-    at = ragged(words.first[:-1][place_string], sizes)
-    begin = strings.at[place] + at - words.first[:-1][place_string][place]
-    for i in range(0, len(at), 1 << 15):
-        a = at[i:i + (1 << 15)]
-        p = place[i:i + (1 << 15)]
-        text = [buf[s:e] for s, e in zip(words.start[a].tolist(), words.end[a + window - 1].tolist(), strict=True)]
-        b = begin[i:i + (1 << 15)]
-        yield spans_batch(strings.doc[p], strings.key[p], b, b + window, text)
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, bucket_bound: int = BUCKET_BOUND) -> DataFrame:
     """Spans (doc, key, start, stop) of words covered by repeated windows."""
@@ -158,21 +138,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def work(batches):
         for whole, strings in buckets_of(batches, bucket_bound):
             if whole:
-                yield from solve(strings, window) or ()
+                yield from map(widened, solve(strings, window) or ())
             else:
-                yield from single_windows(strings, window)
+                yield from map(widened, piece_batches(strings))
+
+    def windows_of(string):
+        words = string.split(b" ")
+        return [b" ".join(words[k:k + window]) for k in range(len(words) - window + 1)]
 
     blocks = keyed(docs, id_col, text_col).mapInArrow(emit, BLOCK_SCHEMA)
     found = materialise(blocks.repartition("bucket").sortWithinPartitions("bucket")
-                        .mapInArrow(work, SPAN_SCHEMA), "window-spans")
-    spans = found.filter(F.col("window").isNull()).select("doc", "key", "start", "stop")
-    single = found.filter(F.col("window").isNotNull())
-    if single.isEmpty():
-        return spans
-    lowest = single.groupBy("window").agg(F.min("doc").alias("lowest"))
-    more = (single.join(lowest, "window").filter(F.col("lowest") < F.col("doc"))
-            .select("doc", "key", "start", "stop"))
-    return spans.unionByName(more)
+                        .mapInArrow(work, FOUND_SCHEMA), "window-spans")
+    return found_spans(found, windows_of, lambda doc, at, n, low_doc, low_at: low_doc < doc, window)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from tabulon.llm.batches import SLICE_BYTES, mix64, ragged, row_slices, sliding_min, texts_of
 from tabulon.llm.scratch import materialise
 from tabulon.llm.substring_dedup import covered, with_spans
-from tabulon.llm.superkmers import (BLOCK_SCHEMA, BUCKET_BOUND, BUCKET_BYTES, SPAN_SCHEMA, Strings,
-                                    bucket_count, buckets_of, keyed, pack, ranks, runs, spans_batch)
+from tabulon.llm.superkmers import (BLOCK_SCHEMA, BUCKET_BOUND, BUCKET_BYTES, FOUND_SCHEMA, Strings,
+                                    bucket_count, buckets_of, found_spans, keyed, pack, piece_batches, ranks, runs,
+                                    spans_batch, widened)
 
 LENGTH = 400
 GRAM = 24
@@ -166,18 +167,6 @@ def solve(strings: Strings, length: int, keep_first: bool):
     return out
 
 
-def single_windows(strings: Strings, length: int):
-    """Every window of every place by its SHA-256, for buckets beyond the bound."""
-    n_windows = strings.sizes - length + 1
-    first_place, starts = strings.first_place, strings.starts
-    for s in range(len(strings)):
-        a, n = int(starts[s]), int(n_windows[s])
-        digest = [hashlib.sha256(strings.text[a + k:a + k + length]).digest() for k in range(n)]
-        for p in range(int(first_place[s]), int(first_place[s] + strings.n_places[s])):
-            at = int(strings.at[p]) + np.arange(n)
-            yield spans_batch(np.full(n, strings.doc[p]), np.full(n, strings.key[p]), at, at + length, digest)
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    gram: int = GRAM, keep_first: bool = True, bucket_bytes: int = BUCKET_BYTES,
                    bucket_bound: int = BUCKET_BOUND) -> DataFrame:
@@ -195,23 +184,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def work(batches):
         for whole, strings in buckets_of(batches, bucket_bound):
             if whole:
-                yield from solve(strings, length, keep_first)
+                yield from map(widened, solve(strings, length, keep_first))
             else:
-                yield from single_windows(strings, length)
+                yield from map(widened, piece_batches(strings))
+
+    def windows_of(string):
+        return [string[k:k + length] for k in range(len(string) - length + 1)]
+
+    def hits(doc, at, n, low_doc, low_at):
+        return (n >= 2) & ~(keep_first & (doc == low_doc) & (at == low_at))
 
     blocks = keyed(docs, id_col, text_col).mapInArrow(emit, BLOCK_SCHEMA)
     found = materialise(blocks.repartition("bucket").sortWithinPartitions("bucket")
-                        .mapInArrow(work, SPAN_SCHEMA), "suffix-spans")
-    spans = found.filter(F.col("window").isNull()).select("doc", "key", "start", "stop")
-    single = found.filter(F.col("window").isNotNull())
-    if single.isEmpty():
-        return spans
-    seen = single.groupBy("window").agg(F.count(F.lit(1)).alias("n"),
-                                        F.min(F.struct("doc", "start")).alias("early"))
-    more = single.join(seen, "window").filter(F.col("n") >= 2)
-    if keep_first:
-        more = more.filter(F.struct("doc", "start") != F.col("early"))
-    return spans.unionByName(more.select("doc", "key", "start", "stop"))
+                        .mapInArrow(work, FOUND_SCHEMA), "suffix-spans")
+    return found_spans(found, windows_of, hits, length)
 
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,

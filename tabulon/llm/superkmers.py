@@ -5,11 +5,14 @@ Equal windows have equal minimisers, so they meet in one bucket.  Within a slice
 documents equal strings are stored once with the list of their places, and the
 strings of one slice for one bucket travel as one compressed block.  A bucket that
 outgrows its bound (a minimiser shared by very many documents) is not solved in one
-task: its windows are passed on singly, to be grouped by Spark.
+task: its strings are passed on with their places in pieces, each string is judged once
+by Spark, and the verdict goes back to the pieces.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.scratch import materialise
+
 #: Bytes of packed strings aimed at per bucket, and the bound up to which one is
 #: solved in a task.
 BUCKET_BYTES = 8 << 20
 BUCKET_BOUND = 64 << 20
+#: What a byte of places weighs against the bound: a place is 20 bytes in a block and
+#: about ten long integers while it is solved.
+PLACE_WEIGHT = 4
+#: Places of one block, and of one piece of a string passed on.
+BLOCK_PLACES = 1 << 18
+PIECE_PLACES = 1 << 14
 #: Stands for a null id inside the packed blocks.
 NULL_ID = -(1 << 63)
 _CHUNK = 1 << 15
@@ -103,6 +114,15 @@ class Strings:
                        cat("doc"), cat("key"), cat("at"))
 
 
+def pieces(starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches cut into pieces of at most ``most``: index of the stretch, start and size."""
+    from tabulon.llm.batches import ragged
+    count = -(-sizes // most)
+    row = np.repeat(np.arange(len(sizes)), count)
+    skip = ragged(np.zeros(len(sizes), dtype=np.int64), count) * most
+    return row, starts[row] + skip, np.minimum(sizes[row] - skip, most)
+
+
 def pack(buf: bytes, begin: np.ndarray, end: np.ndarray, minimiser: np.ndarray, doc: np.ndarray,
          key: np.ndarray, at: np.ndarray, buckets: int):
     """Record batch of blocks for one slice.  ``begin``/``end``: the packed strings' bytes
@@ -127,15 +147,20 @@ def pack(buf: bytes, begin: np.ndarray, end: np.ndarray, minimiser: np.ndarray,
     for rows in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
         if not len(rows):
             continue
-        where = places[ragged(first_place[rows], n_places[rows])]
-        own = [strings[i] for i in rows.tolist()]
-        part = Strings(b"".join(own), np.fromiter(map(len, own), dtype=np.int64, count=len(own)), mark[rows],
-                       n_places[rows], doc[where], key[where], at[where])
-        raw, block = part.to_block()
-        out["bucket"].append(int(bucket[rows[0]]))
-        out["raw"].append(raw)
-        out["text_bytes"].append(len(part.text))
-        out["block"].append(block)
+        # Strings of very many places go in several entries, and those in several blocks.
+        row, start, n = pieces(first_place[rows], n_places[rows], BLOCK_PLACES)
+        full = (np.cumsum(n) - 1) // BLOCK_PLACES
+        for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(full)) + 1):
+            mine = rows[row[some]]
+            where = places[ragged(start[some], n[some])]
+            own = [strings[i] for i in mine.tolist()]
+            part = Strings(b"".join(own), np.fromiter(map(len, own), dtype=np.int64, count=len(own)), mark[mine],
+                           n[some], doc[where], key[where], at[where])
+            raw, block = part.to_block()
+            out["bucket"].append(int(bucket[rows[0]]))
+            out["raw"].append(raw)
+            out["text_bytes"].append(len(part.text))
+            out["block"].append(block)
     return pa.RecordBatch.from_arrays(
         [pa.array(out["bucket"], pa.int32()), pa.array(out["raw"], pa.int64()),
          pa.array(out["text_bytes"], pa.int64()), pa.array(out["block"], pa.binary())], names=list(out))
@@ -157,7 +182,7 @@ def buckets_of(batches, bound: int):
                 yield False, Strings.from_block(*block)
                 continue
             held.append(block)
-            size += n
+            size += n + PLACE_WEIGHT * (raw - n)
             if size > bound:
                 over = True
                 for h in held:
@@ -167,15 +192,103 @@ def buckets_of(batches, bound: int):
         yield True, Strings.concat([Strings.from_block(*h) for h in held])
 
 
-SPAN_SCHEMA = "doc long, key int, start long, stop long, window binary"
+SPAN_SCHEMA = "doc long, key int, start long, stop long"
+#: Spans, or pieces of the strings of a bucket beyond the bound: the string and its hash,
+#: its places, their number and the smallest.
+FOUND_SCHEMA = SPAN_SCHEMA + (", name binary, string binary, n long, low_doc long, low_at long"
+                              ", docs binary, keys binary, ats binary")
+_SPANS = pa.schema([("doc", pa.int64()), ("key", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
+_PIECES = pa.schema([("name", pa.binary()), ("string", pa.binary()), ("n", pa.int64()), ("low_doc", pa.int64()),
+                     ("low_at", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("ats", pa.binary())])
+_FOUND = pa.schema([*_SPANS, *_PIECES])
+
+
+def spans_batch(doc, key, start, stop) -> pa.RecordBatch:
+    """Spans, those of a row that touch or overlap as one."""
+    order = np.lexsort((start, key, doc))
+    doc, key, start, stop = doc[order], key[order], start[order], stop[order]
+    row = np.cumsum(np.concatenate(([0], (np.diff(doc) != 0) | (np.diff(key) != 0)))[:len(doc)]) << 32
+    reach = np.maximum.accumulate(row + stop)
+    first = np.flatnonzero(np.concatenate(([True], (row + start)[1:] > reach[:-1]))[:len(doc)])
+    last = np.append(first[1:], len(doc))[:len(first)] - 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a, f.type) for a, f in zip((doc[first], key[first], start[first], (reach - row)[last]), _SPANS,
+                                             strict=True)], schema=_SPANS)
 
 
-def spans_batch(doc, key, start, stop, window=None) -> pa.RecordBatch:
-    n = len(doc)
+def widened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of spans or of pieces with all columns of FOUND_SCHEMA."""
+    have = set(batch.schema.names)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(key, pa.int32()), pa.array(start, pa.int64()),
-         pa.array(stop, pa.int64()), pa.nulls(n, pa.binary()) if window is None else pa.array(window, pa.binary())],
-        names=["doc", "key", "start", "stop", "window"])
+        [batch.column(f.name) if f.name in have else pa.nulls(batch.num_rows, f.type) for f in _FOUND], schema=_FOUND)
+
+
+def piece_batches(strings: Strings):
+    """The strings of a block as rows, each with up to PIECE_PLACES of its places."""
+    row, start, n = pieces(strings.first_place, strings.n_places, PIECE_PLACES)
+    of = np.repeat(np.arange(len(row)), n)
+    low = np.lexsort((strings.at, strings.doc, of))[start]
+    docs, ats = strings.doc.astype(np.int64), strings.at.astype(np.int64)
+    begin, end = strings.starts, strings.starts + strings.sizes
+    weight = np.cumsum(24 * n + strings.sizes[row]) >> 22
+    for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(weight)) + 1):
+        own = [strings.text[a:b] for a, b in zip(begin[row[some]].tolist(), end[row[some]].tolist(), strict=True)]
+        at = list(zip(start[some].tolist(), (start + n)[some].tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([hashlib.sha256(t).digest() for t in own], pa.binary()), pa.array(own, pa.binary()),
+             pa.array(n[some], pa.int64()), pa.array(docs[low[some]]), pa.array(ats[low[some]]),
+             *[pa.array([v[a:b].tobytes() for a, b in at], pa.binary()) for v in (docs, strings.key, ats)]],
+            schema=_PIECES)
+
+
+def found_spans(found: DataFrame, windows_of: Callable, hits: Callable, length: int) -> DataFrame:
+    """The spans of FOUND_SCHEMA rows.  Strings passed on in pieces are judged once each:
+    ``windows_of(string)`` are its windows, ``hits(doc, at, n, low_doc, low_at)`` says of
+    places (rows) and windows (columns) which are repeated, given the number and the
+    smallest of all places of the window."""
+    spans = found.filter(F.col("name").isNull()).select("doc", "key", "start", "stop")
+    held = found.filter(F.col("name").isNotNull())
+    if held.isEmpty():
+        return spans
+
+    def cut(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                names = [hashlib.sha256(w).digest() for w in windows_of(r["string"])]
+                k = np.arange(len(names))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["name"]] * len(k), pa.binary()), pa.array(k, pa.int32()), pa.array(names, pa.binary()),
+                     pa.array(np.full(len(k), r["n"])), pa.array(np.full(len(k), r["low_doc"])),
+                     pa.array(r["low_at"] + k)], names=["name", "k", "window", "n", "low_doc", "low_at"])
+
+    lowest = F.min(F.struct("low_doc", "low_at")).alias("low")
+    strings = (held.groupBy("name").agg(F.first("string").alias("string"), F.sum("n").alias("n"), lowest)
+               .select("name", "string", "n", "low.low_doc", "low.low_at"))
+    windows = materialise(strings.mapInArrow(
+        cut, "name binary, k int, window binary, n long, low_doc long, low_at long"), "large-windows")
+    seen = windows.groupBy("window").agg(F.sum("n").alias("n"), lowest)
+    verdict = (windows.select("name", "k", "window").join(seen, "window").groupBy("name")
+               .agg(F.sort_array(F.collect_list(F.struct("k", "n", "low.low_doc", "low.low_at"))).alias("v"))
+               .select("name", *[F.col(f"v.{c}").alias(f"w_{c}") for c in ("n", "low_doc", "low_at")]))
+
+    def judge(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, at = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.int64) for c in ("docs", "ats"))
+                key = np.frombuffer(batch.column("keys")[i].as_py(), dtype=np.int32)
+                seen = [batch.column(f"w_{c}")[i].values.to_numpy() for c in ("n", "low_doc", "low_at")]
+                width = len(seen[0])
+                step = max(1, (1 << 20) // width)
+                for a in range(0, len(doc), step):
+                    hit = np.broadcast_to(hits(doc[a:a + step, None], at[a:a + step, None] + np.arange(width), *seen),
+                                          (len(doc[a:a + step]), width)).ravel()
+                    first, n = runs(hit, np.repeat(np.arange(len(hit) // width), width))
+                    if len(first):
+                        who, begin = a + first // width, at[a + first // width] + first % width
+                        yield spans_batch(doc[who], key[who], begin, begin + n - 1 + length)
+
+    return spans.unionByName(held.select("name", "docs", "keys", "ats").join(verdict, "name")
+                             .drop("name").mapInArrow(judge, SPAN_SCHEMA))
 
 
 def runs(flag: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
