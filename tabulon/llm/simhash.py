@@ -61,10 +61,10 @@ def fingerprint_texts(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key (32-bit hash of the text), fp (the fingerprint as a signed long)."""
+    """doc_id, text_key (128-bit hash of the text), fp (the fingerprint as a signed long)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.select("doc_id", F.hash("text").alias("text_key"), "text")
+    base = base.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
 
     def compute(batches):
         for batch in row_slices(batches, "text"):
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(fp.view(np.int64))],
                 names=["doc_id", "text_key", "fp"])
 
-    return base.mapInArrow(compute, "doc_id long, text_key int, fp long")
+    return base.mapInArrow(compute, "doc_id long, text_key binary, fp long")
 
 
 def _packed(fp: str, units: list[tuple[int, int]]) -> str:
@@ -265,7 +265,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     best = materialise(found.groupBy("root").agg(first)
                        .select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__key")),
                        "simhash-best")
-    key = F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     names = [F.col(f"`{c}`") for c in docs.columns]
     kept = (docs.withColumn("__own", F.col(id_col).cast("long")).withColumn("__hash", key)
             .join(best, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key")), "left_semi"))

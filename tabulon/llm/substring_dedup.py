@@ -115,18 +115,18 @@ def _place_spans(strings: Strings, n_windows: np.ndarray, lowest: np.ndarray, wi
         if len(first):
             who = place[first] + i
             begin = strings.at[who] + at[first] - from_window[place_string[who]]
-            out.append(spans_batch(strings.doc[who], strings.key[who], begin, begin + length - 1 + window))
+            out.append(spans_batch(strings.key[who], begin, begin + length - 1 + window))
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+def repeated_spans(rows: DataFrame, window: int = WINDOW,
                    gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, bucket_bound: int = BUCKET_BOUND) -> DataFrame:
-    """Spans (doc, key, start, stop) of words covered by repeated windows."""
+    """Spans (key, start, stop) of words covered by repeated windows."""
     if not 1 <= gram < window:
         raise ValueError("gram must be at least 1 and below window")
     # A super-k-mer of (window - gram + 2) / 2 windows on average carries window - 1 words more.
     run = (window - gram + 2) / 2
-    buckets = bucket_count(docs, text_col, (run + window - 1) / run, bucket_bytes)
+    buckets = bucket_count(rows, "text", (run + window - 1) / run, bucket_bytes)
 
     def emit(batches):
         for batch in row_slices(batches, "text"):
@@ -146,20 +146,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         words = string.split(b" ")
         return [b" ".join(words[k:k + window]) for k in range(len(words) - window + 1)]
 
-    blocks = keyed(docs, id_col, text_col).mapInArrow(emit, BLOCK_SCHEMA)
+    blocks = rows.mapInArrow(emit, BLOCK_SCHEMA)
     found = materialise(blocks.repartition("bucket").sortWithinPartitions("bucket")
                         .mapInArrow(work, FOUND_SCHEMA), "window-spans")
     return found_spans(found, windows_of, lambda doc, at, n, low_doc, low_at: low_doc < doc, window)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, text and the document's spans as two arrays of longs (null when it has none)."""
-    lists = (spans.groupBy("doc", "key")
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc, text and the row's spans as two arrays of longs (null when it has none)."""
+    lists = (spans.groupBy(F.col("key").alias("k"))
              .agg(F.collect_list(F.struct("start", "stop")).alias("s"))
-             .select(F.col("doc").alias("d"), F.col("key").alias("k"),
-                     F.col("s.start").alias("starts"), F.col("s.stop").alias("stops")))
-    base = keyed(docs, id_col, text_col)
-    return (base.join(lists, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")), "left")
+             .select("k", F.col("s.start").alias("starts"), F.col("s.stop").alias("stops")))
+    # Spark's estimate of the spans is scaled down by the wide columns of pieces, which are null in
+    # nearly all rows, and would broadcast spans far beyond its threshold.
+    return (rows.join(lists.hint("merge"), F.col("key") == F.col("k"), "left")
             .select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "text", "starts", "stops"))
 
 
@@ -184,7 +184,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id) do not remove one another.  Whole texts are read; a task holds about fifteen
     times its longest text.  An empty table gives an empty result; other columns are ignored.
     """
-    spans = repeated_spans(docs, id_col, text_col, window, gram, bucket_bytes, bucket_bound)
+    rows = keyed(docs, id_col, text_col)
+    spans = repeated_spans(rows, window, gram, bucket_bytes, bucket_bound)
 
     def cut(batches):
         for batch in row_slices(batches, "text"):
@@ -207,5 +208,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                  pa.array(left, pa.string()), pa.array(sha, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "text", "kept_sha256"])
 
-    return with_spans(docs, spans, id_col, text_col).mapInArrow(
+    return with_spans(rows, spans).mapInArrow(
         cut, "doc_id long, n_words long, n_removed long, text string, kept_sha256 string")

@@ -163,18 +163,18 @@ def solve(strings: Strings, length: int, keep_first: bool):
         if len(first):
             who = place[first] + i
             begin = strings.at[who] + at[first] - from_window[place_string[who]]
-            out.append(spans_batch(strings.doc[who], strings.key[who], begin, begin + n - 1 + length))
+            out.append(spans_batch(strings.key[who], begin, begin + n - 1 + length))
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+def repeated_spans(rows: DataFrame, length: int = LENGTH,
                    gram: int = GRAM, keep_first: bool = True, bucket_bytes: int = BUCKET_BYTES,
                    bucket_bound: int = BUCKET_BOUND) -> DataFrame:
-    """Spans (doc, key, start, stop) of bytes covered by repeated strings of ``length`` bytes."""
+    """Spans (key, start, stop) of bytes covered by repeated strings of ``length`` bytes."""
     if not 1 <= gram < length:
         raise ValueError("gram must be at least 1 and below length")
     run = (length - gram + 2) / 2
-    buckets = bucket_count(docs, text_col, (run + length - 1) / run, bucket_bytes)
+    buckets = bucket_count(rows, "text", (run + length - 1) / run, bucket_bytes)
 
     def emit(batches):
         for batch in row_slices(batches, "text"):
@@ -194,7 +194,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def hits(doc, at, n, low_doc, low_at):
         return (n >= 2) & ~(keep_first & (doc == low_doc) & (at == low_at))
 
-    blocks = keyed(docs, id_col, text_col).mapInArrow(emit, BLOCK_SCHEMA)
+    blocks = rows.mapInArrow(emit, BLOCK_SCHEMA)
     found = materialise(blocks.repartition("bucket").sortWithinPartitions("bucket")
                         .mapInArrow(work, FOUND_SCHEMA), "suffix-spans")
     return found_spans(found, windows_of, hits, length)
@@ -215,7 +215,8 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay).  Whole texts are read.  An empty table gives an empty result; other columns
     are ignored.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram, keep_first, bucket_bytes, bucket_bound)
+    rows = keyed(docs, id_col, text_col)
+    spans = repeated_spans(rows, length, gram, keep_first, bucket_bytes, bucket_bound)
 
     def cut(batches):
         for batch in row_slices(batches, "text"):
@@ -239,5 +240,5 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  pa.array(n_spans, pa.int64()), pa.array(left, pa.binary()), pa.array(sha, pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "content", "kept_sha256"])
 
-    return with_spans(docs, spans, id_col, text_col).mapInArrow(
+    return with_spans(rows, spans).mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, content binary, kept_sha256 string")

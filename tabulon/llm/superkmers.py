@@ -26,7 +26,7 @@ from tabulon.llm.scratch import materialise
 #: solved in a task.
 BUCKET_BYTES = 8 << 20
 BUCKET_BOUND = 64 << 20
-#: What a byte of places weighs against the bound: a place is 20 bytes in a block and
+#: What a byte of places weighs against the bound: a place is 24 bytes in a block and
 #: about ten long integers while it is solved.
 PLACE_WEIGHT = 4
 #: Places of one block, and of one piece of a string passed on.
@@ -51,7 +51,8 @@ class Strings:
     """Distinct packed strings with their places.
 
     ``text``/``sizes``: the strings back to back; ``mark``: 32 bits of the minimiser's
-    hash; ``n_places``: places of each string; ``doc``/``key``/``at``: of each place."""
+    hash; ``n_places``: places of each string; ``doc``/``key``/``at``: id, row number and
+    offset of each place."""
 
     text: bytes
     sizes: np.ndarray
@@ -84,8 +85,9 @@ class Strings:
     def to_block(self) -> tuple[int, bytes]:
         head = np.array([len(self.sizes), len(self.doc)], dtype=np.int64)
         step = np.diff(self.doc, prepend=np.int64(0))
+        row = np.diff(self.key, prepend=np.int64(0))
         raw = b"".join([head.tobytes(), step.tobytes(), self.at.astype(np.int64).tobytes(),
-                        self.key.astype(np.int32).tobytes(), self.mark.astype(np.uint32).tobytes(),
+                        row.astype(np.int64).tobytes(), self.mark.astype(np.uint32).tobytes(),
                         self.sizes.astype(np.uint32).tobytes(), self.n_places.astype(np.uint32).tobytes(),
                         self.text])
         return len(raw), pa.Codec("zstd", compression_level=_LEVEL).compress(raw, asbytes=True)
@@ -103,7 +105,7 @@ class Strings:
             return out
 
         doc = np.cumsum(take(np.int64, m))
-        place, key = take(np.int64, m), take(np.int32, m)
+        place, key = take(np.int64, m), np.cumsum(take(np.int64, m))
         mark, sizes, n_places = take(np.uint32, n), take(np.uint32, n), take(np.uint32, n)
         return Strings(buf[at:], sizes.astype(np.int64), mark, n_places.astype(np.int64), doc, key, place)
 
@@ -192,28 +194,27 @@ def buckets_of(batches, bound: int):
         yield True, Strings.concat([Strings.from_block(*h) for h in held])
 
 
-SPAN_SCHEMA = "doc long, key int, start long, stop long"
+SPAN_SCHEMA = "key long, start long, stop long"
 #: Spans, or pieces of the strings of a bucket beyond the bound: the string and its hash,
 #: its places, their number and the smallest.
 FOUND_SCHEMA = SPAN_SCHEMA + (", name binary, string binary, n long, low_doc long, low_at long"
                               ", docs binary, keys binary, ats binary")
-_SPANS = pa.schema([("doc", pa.int64()), ("key", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
+_SPANS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 _PIECES = pa.schema([("name", pa.binary()), ("string", pa.binary()), ("n", pa.int64()), ("low_doc", pa.int64()),
                      ("low_at", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("ats", pa.binary())])
 _FOUND = pa.schema([*_SPANS, *_PIECES])
 
 
-def spans_batch(doc, key, start, stop) -> pa.RecordBatch:
+def spans_batch(key, start, stop) -> pa.RecordBatch:
     """Spans, those of a row that touch or overlap as one."""
-    order = np.lexsort((start, key, doc))
-    doc, key, start, stop = doc[order], key[order], start[order], stop[order]
-    row = np.cumsum(np.concatenate(([0], (np.diff(doc) != 0) | (np.diff(key) != 0)))[:len(doc)]) << 32
+    order = np.lexsort((start, key))
+    key, start, stop = key[order], start[order], stop[order]
+    row = np.cumsum(np.concatenate(([0], np.diff(key) != 0))[:len(key)]) << 32
     reach = np.maximum.accumulate(row + stop)
-    first = np.flatnonzero(np.concatenate(([True], (row + start)[1:] > reach[:-1]))[:len(doc)])
-    last = np.append(first[1:], len(doc))[:len(first)] - 1
+    first = np.flatnonzero(np.concatenate(([True], (row + start)[1:] > reach[:-1]))[:len(key)])
+    last = np.append(first[1:], len(key))[:len(first)] - 1
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, f.type) for a, f in zip((doc[first], key[first], start[first], (reach - row)[last]), _SPANS,
-                                             strict=True)], schema=_SPANS)
+        [pa.array(a, pa.int64()) for a in (key[first], start[first], (reach - row)[last])], schema=_SPANS)
 
 
 def widened(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -237,7 +238,7 @@ def piece_batches(strings: Strings):
         yield pa.RecordBatch.from_arrays(
             [pa.array([hashlib.sha256(t).digest() for t in own], pa.binary()), pa.array(own, pa.binary()),
              pa.array(n[some], pa.int64()), pa.array(docs[low[some]]), pa.array(ats[low[some]]),
-             *[pa.array([v[a:b].tobytes() for a, b in at], pa.binary()) for v in (docs, strings.key, ats)]],
+             *[pa.array([v[a:b].tobytes() for a, b in at], pa.binary()) for v in (docs, strings.key.astype(np.int64), ats)]],
             schema=_PIECES)
 
 
@@ -246,7 +247,7 @@ def found_spans(found: DataFrame, windows_of: Callable, hits: Callable, length:
     ``windows_of(string)`` are its windows, ``hits(doc, at, n, low_doc, low_at)`` says of
     places (rows) and windows (columns) which are repeated, given the number and the
     smallest of all places of the window."""
-    spans = found.filter(F.col("name").isNull()).select("doc", "key", "start", "stop")
+    spans = found.filter(F.col("name").isNull()).select("key", "start", "stop")
     held = found.filter(F.col("name").isNotNull())
     if held.isEmpty():
         return spans
@@ -274,8 +275,8 @@ def found_spans(found: DataFrame, windows_of: Callable, hits: Callable, length:
     def judge(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, at = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.int64) for c in ("docs", "ats"))
-                key = np.frombuffer(batch.column("keys")[i].as_py(), dtype=np.int32)
+                doc, key, at = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.int64)
+                                for c in ("docs", "keys", "ats"))
                 seen = [batch.column(f"w_{c}")[i].values.to_numpy() for c in ("n", "low_doc", "low_at")]
                 width = len(seen[0])
                 step = max(1, (1 << 20) // width)
@@ -285,7 +286,7 @@ def found_spans(found: DataFrame, windows_of: Callable, hits: Callable, length:
                     first, n = runs(hit, np.repeat(np.arange(len(hit) // width), width))
                     if len(first):
                         who, begin = a + first // width, at[a + first // width] + first % width
-                        yield spans_batch(doc[who], key[who], begin, begin + n - 1 + length)
+                        yield spans_batch(key[who], begin, begin + n - 1 + length)
 
     return spans.unionByName(held.select("name", "docs", "keys", "ats").join(verdict, "name")
                              .drop("name").mapInArrow(judge, SPAN_SCHEMA))
@@ -308,7 +309,9 @@ def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (null id as NULL_ID), key (32-bit hash of the text), text (null as empty)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"),
-                       F.hash(text).alias("key"), text.alias("text"))
+    """doc (null id as NULL_ID), key (a number of the row's own), text (null as empty).  Written
+    once, so every reader sees the same numbers whatever becomes of the input's partitions."""
+    return materialise(docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.monotonically_increasing_id().alias("key"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")),
+        "numbered-rows", spark__sql__parquet__compression__codec="zstd")

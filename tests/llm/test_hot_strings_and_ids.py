@@ -1,5 +1,7 @@
 """Strings of very many places, and rows whose ids repeat or are null."""
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm.substring_dedup import dedup_substrings
 from tabulon.llm.suffix_dedup import dedup_suffixes
@@ -41,3 +43,36 @@ def test_hot_text_and_run_of_one_byte(frame):
     small = dedup_suffixes(df, length=60, gram=8, keep_first=True).collect()
     large = dedup_suffixes(df, length=60, gram=8, keep_first=True, bucket_bound=20_000).collect()
     assert sorted(map(tuple, small)) == sorted(map(tuple, large))
+
+
+@pytest.fixture(scope="module")
+def clash(spark):
+    """Two texts of ten words with one 32-bit hash."""
+    text = F.regexp_replace(F.sha1(F.col("id").cast("string")), "(....)", "$1 ")
+    pair = (spark.range(400_000).select(text.alias("t")).groupBy(F.hash("t")).agg(F.sort_array(F.collect_list("t")).alias("l"))
+            .filter(F.size("l") == 2).orderBy("l").first().l)
+    assert pair[0] != pair[1]
+    return pair
+
+
+def test_rows_of_one_id_keep_their_own_spans(frame, clash):
+    a, b = clash
+    got = dedup_substrings(frame([(1, a), (5, a), (5, b)]), window=5, gram=2).collect()
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in got) == [(1, 0, a.strip()), (5, 0, b.strip()), (5, 10, "")]
+    got = dedup_suffixes(frame([(None, a), (None, b), (7, a)]), length=20, gram=5, keep_first=False).collect()
+    assert sorted((r.doc_id or 0, r.n_removed, bytes(r.content)) for r in got) == [
+        (0, 0, b.encode()), (0, len(a), b""), (7, len(a), b"")]
+
+
+def test_dedup_keeps_components_whose_null_rows_clash(frame, clash):
+    from tabulon.llm.simhash import dedup
+    assert sorted(r.text for r in dedup(frame([(None, clash[0]), (None, clash[1])])).collect()) == sorted(clash)
+
+
+def test_copies_under_one_id_do_not_multiply_spans(frame, clash):
+    from tabulon.llm.substring_dedup import repeated_spans, with_spans
+    from tabulon.llm.superkmers import keyed
+    rows = keyed(frame([(1, clash[0])] + [(5, clash[0])] * 20), "doc_id", "text")
+    got = with_spans(rows, repeated_spans(rows, window=5, gram=2)).collect()
+    # Ten words are six windows, in at most six super-k-mers.
+    assert len(got) == 21 and max(len(r.starts or ()) for r in got) <= 6
