@@ -4,8 +4,10 @@ A 64-bit fingerprint is eight positional bytes.  Two fingerprints that differ in
 most ``max_bits`` bits share at least ``8 - max_bits`` of them.  Lists of single bytes
 would each hold 1/256 of the corpus, so the index is keyed by groups of positional
 bytes: of four byte pairs at least ``4 - max_bits`` pairs are equal, and every choice
-of that many pairs is one key.  Fingerprints that meet in a list have their shared
-positional bytes tallied; pairs with the guaranteed count are verified bit by bit.
+of that many pairs is one key.  Fingerprints that meet in a short list (``SHORT``) have their
+shared positional bytes tallied; pairs with the guaranteed count are verified bit by
+bit.  In a longer list members are looked up by flipping free bits: the same links, in
+work linear in the list.
 A list too long for that is keyed again by further shared bytes, which leaves at most
 ``max_bits`` free bytes, so no list is ever unbounded.
 """
