@@ -140,6 +140,56 @@ def op1_license_scan(spark, sf_dir):
             ":", x["license"], x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("places"))
 
 
+@query("op12_phrase_mining", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (
+  SELECT lang, ws FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces) WHERE len(ws) > 0),
+total AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+one AS (
+  SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY ALL),
+two AS (
+  SELECT lang, x, y, count(*) AS f
+  FROM (SELECT lang, unnest(ws[:-2]) AS x, unnest(ws[2:]) AS y FROM w WHERE len(ws) >= 2) GROUP BY ALL HAVING count(*) >= 10),
+three AS (
+  SELECT lang, x, y, z, count(*) AS f
+  FROM (SELECT lang, unnest(ws[:-3]) AS x, unnest(ws[2:-2]) AS y, unnest(ws[3:]) AS z FROM w WHERE len(ws) >= 3)
+  GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r
+  FROM two t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN one q ON q.lang = t.lang AND q.x = t.y
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, p.f, q.f
+  FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, q.f
+  FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.x = t.z),
+scored AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS f
+  FROM (SELECT lang, x || ' ' || y AS phrase, f FROM three UNION ALL SELECT lang, y || ' ' || z, f FROM three)
+  GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase
+  WHERE g.f IS NULL OR 100 * g.f < 50 * b.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+""")
+def op12_phrase_mining(spark, sf_dir):
+    from tabulon.llm.phrases import mine
+    found = mine(_read(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
