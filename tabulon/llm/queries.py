@@ -190,6 +190,50 @@ def op12_phrase_mining(spark, sf_dir):
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+@query("op13_filter_audit", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, (CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END)
+             + (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END)
+             + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END)
+             + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+             + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS fails,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d LEFT JOIN g USING (doc_id)),
+cells AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+steps AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, s.step,
+         [a.bit, b.bit, c.bit, d.bit, e.bit][s.step] AS bit,
+         list_sum([a.bit, b.bit, c.bit, d.bit, e.bit][1:s.step - 1]) AS before
+  FROM letters a JOIN letters b ON b.bit <> a.bit JOIN letters c ON c.bit NOT IN (a.bit, b.bit)
+       JOIN letters d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN letters e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit),
+       (SELECT unnest(range(1, 6)) AS step) s),
+audit AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN fails & (coalesce(before, 0)::INT | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(before, 0)::INT = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(before, 0)::INT <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(before, 0)::INT = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN fails & bit <> 0 AND fails & coalesce(before, 0)::INT = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM audit
+""")
+def op13_filter_audit(spark, sf_dir):
+    from tabulon.llm.filter_audit import audit
+    return audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
