@@ -140,6 +140,12 @@ def op1_license_scan(spark, sf_dir):
             ":", x["license"], x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("places"))
 
 
+@query("op11_quality_neighbours")
+def op11_quality_neighbours(spark, sf_dir):
+    from tabulon.llm.quality_neighbours import classify
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 @query("op12_phrase_mining", r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,

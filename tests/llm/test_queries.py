@@ -59,7 +59,7 @@ PAIRS = [(r[0], r[1]) for r in corpus()]
 
 
 def test_every_operator_has_one_query():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in QUERIES) == 1
     assert "pipeline" in QUERIES and set(ORACLE) <= set(QUERIES)
 
@@ -117,6 +117,26 @@ def test_language_query(spark, sf_dir):
         assert r.lang_pred == (want[r.doc_id] if r.doc_id < 160 or r.doc_id == 303 else "und")
 
 
+def test_neighbour_query(spark, sf_dir):
+    got = QUERIES["op11_quality_neighbours"](spark, sf_dir).collect()
+    assert [len(got), *got[0].__fields__] == [len(PAIRS), "doc_id", "held_out", "score", "predicted"]
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+
+
+def test_phrase_query(spark, sf_dir):
+    from tests.llm.test_phrases import brute
+    got = sorted(rows(spark, sf_dir, "op12_phrase_mining"))
+    assert got and got == [r[:8] for r in brute(corpus(), 3, 10, 50, 2000)]
+
+
+def test_audit_query(spark, sf_dir):
+    from tests.llm.test_filter_audit import brute
+    labels = [(i, int(i % 9 != 0), 0) for i in range(0, 160, 2)]
+    assert sorted(rows(spark, sf_dir, "op13_filter_audit")) == brute(corpus(), labels)
+
+
 def brute_pipeline(spark, docs):
     """Plain Python for every stage; language predictions come from the fitted model."""
     model = L.fit(docs)
