@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from tabulon.plans import (q_relational, q_profile, q_quality, q_stats,  # noqa: F401
-                               q_charts, q_explore, q_extract, q_udf, q_flows)
+                               q_charts, q_explore, q_extract, q_udf, q_flows, q_series)
