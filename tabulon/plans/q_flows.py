@@ -161,14 +161,33 @@ SELECT CAST(c_custkey AS INTEGER) AS id,
        CASE WHEN c_custkey % 3 = 0 THEN 'a, "' || c_name || '"' || chr(10) || 'end' ELSE c_name END AS name,
        CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS balance FROM customer""")
 def load_csv(spark, d):
-    """Customers written with quoted commas, doubled quotes, line breaks and NA, and loaded."""
+    """Customers written with quoted commas, doubled quotes, line breaks and NA, half of them
+    in files with another column order, and loaded."""
     name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('a, "'), "c_name", F.lit('"\nend'))).otherwise(F.col("c_name"))
     src = T(spark, d, "customer").select(
         F.col("c_custkey").alias("id"), name.alias("name"),
         F.when(F.col("c_custkey") % 5 == 0, F.lit("NA")).otherwise(F.col("c_acctbal").cast("string")).alias("balance"))
     path = flows.shared_scratch(spark, "csv")
-    src.write.option("header", True).option("escape", '"').csv(path)
-    return flows.load(spark, "csv", path)
+    even = F.col("id") % 2 == 0
+    for part in (src.filter(even), src.filter(~even).select("balance", "name", "id")):
+        part.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return flows.load(spark, "csv", path).select("id", "name", "balance")
+
+
+@query("load_csv_rejects", """
+SELECT CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey AS INTEGER) END AS id,
+       CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN c_name END AS name,
+       CASE WHEN c_custkey % 7 = 0 THEN c_custkey || ',' || c_name || ',"x, y"' END AS rejected FROM customer""")
+def load_csv_rejects(spark, d):
+    """Records with a field too many go to a reject column, short ones are filled with nulls."""
+    line = (F.when(F.col("c_custkey") % 7 == 0, F.concat(F.col("c_custkey").cast("string"), F.lit(","), "c_name", F.lit(',"x, y"')))
+            .when(F.col("c_custkey") % 5 == 0, F.col("c_custkey").cast("string"))
+            .otherwise(F.concat(F.col("c_custkey").cast("string"), F.lit(","), "c_name")))
+    path = flows.shared_scratch(spark, "csv")
+    # Whole lines, without quotes of their own.
+    (T(spark, d, "customer").select(line.alias("id,name")).write.option("header", True).option("sep", "\u0001")
+     .option("quote", "").csv(path))
+    return flows.load(spark, "csv", path, reject_column="rejected")
 
 
 @query("load_json", "SELECT event_id, event_type, value, props FROM events")

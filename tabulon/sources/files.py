@@ -39,33 +39,139 @@ _CSV_TYPES = ("int", "bigint", "double", "boolean", "date", "timestamp")
 
 
 def read_csv(spark: SparkSession, path: str, infer_schema: bool = True,
-             schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
-    """CSV with a header, doubled quotes and missing-value spellings.
-
-    Files split across tasks unless a quoted field holds a line break.  With
-    ``multi_line`` None one pass over the lines looks for that (an odd number of
-    quotes); then each file is read by one task."""
-    if multi_line is None:
-        odd = F.col("value").contains('"') & (F.regexp_count("value", F.lit('"')) % 2 == 1)
-        multi_line = not spark.read.text(path).filter(odd).isEmpty()
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("quote", '"')
-           .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path))
-    text = raw.select(*[F.when(~F.trim(_q(c)).isin(*NULL_TEXT), _q(c)).alias(c) for c in raw.columns])
+             schema: T.StructType | str | None = None, multi_line: bool | None = None,
+             reject_column: str | None = None) -> DataFrame:
+    """CSV with a header in every file, doubled quotes and missing-value spellings.
+
+    One pass over the lines finds each file's header and whether a quoted field holds a
+    line break (an odd number of quotes on a line); only then a file is read by one task.
+    Fields go by the header of their own file, so files may order their columns
+    differently; files with other columns than the first one raise.  Columns come in the
+    order of the file whose name sorts first.  A repeated name gets a number (``a``, ``a.1``), an
+    empty one is ``_c`` and its place.
+
+    A record with fewer fields than the header is filled with nulls.  One with more raises,
+    with the number of such records and an example; with ``reject_column`` it is kept
+    instead as a row of nulls with its text in that column."""
+    heads, odd = _headers(spark, path)
+    if not heads:
+        return spark.createDataFrame([], T.StructType())
+    multi_line = odd if multi_line is None else multi_line
+    first = heads[0][0]
+    parts = []
+    for names, files in heads:
+        if set(names) != set(first) or len(names) != len(first):
+            other = sorted(set(names) ^ set(first))
+            raise SourceError(f"CSV files differ in their columns: {other} (e.g. {files[0] if files else path})")
+        parts.append(_read_group(spark, path if files is None else files, names, multi_line).select(
+            *[_q(c) for c in first], "_long"))
+    raw = parts[0]
+    for x in parts[1:]:
+        raw = raw.unionByName(x)
+    if reject_column:
+        # A rejected record has no values of its own.
+        raw = raw.select(*[F.when(F.col("_long").isNull(), _q(c)).alias(c) for c in first], "_long")
+    # Whole records are parsed only where every column is read.
+    checks = [F.count("_long").alias("n"), F.min("_long").alias("example"), F.count(F.struct(*map(_q, first))).alias("_any"),
+              *[F.max(F.length(_q(c))).alias(f"_w{i}") for i, c in enumerate(first)]]
+    guess = infer_schema and schema is None
+    if guess:
+        # The same pass decides the type of every column.
+        checks += [F.bool_and(_q(c).isNull() | _fits(c, t)).alias(f"{i}_{t}")
+                   for i, c in enumerate(first) for t in _CSV_TYPES]
+    found = raw.agg(*checks).first()
+    if found["n"] and not reject_column:
+        raise SourceError(f"{found['n']} CSV records have more than {len(first)} fields, e.g. {found['example'][:200]}")
+    extra = [F.col("_long").alias(reject_column)] if reject_column else []
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        return text.select(*[F.trim(_q(c)).cast(f.dataType).alias(f.name)
-                             if not isinstance(f.dataType, T.StringType) else _q(c).alias(f.name)
-                             for c, f in zip(text.columns, wanted.fields, strict=True)])
-    if not infer_schema or not text.columns:
-        return text
-    # One pass decides the type of every column.
-    fits = text.agg(*[F.bool_and(_q(c).isNull() | _fits(c, t)).alias(f"{i}_{t}")
-                      for i, c in enumerate(text.columns) for t in _CSV_TYPES]).first()
+        return raw.select(*[F.trim(_q(c)).cast(f.dataType).alias(f.name)
+                            if not isinstance(f.dataType, T.StringType) else _q(c).alias(f.name)
+                            for c, f in zip(first, wanted.fields, strict=True)], *extra)
     out = []
-    for i, c in enumerate(text.columns):
-        kind = next((t for t in _CSV_TYPES if fits[f"{i}_{t}"]), None)
+    for i, c in enumerate(first):
+        kind = next((t for t in _CSV_TYPES if found[f"{i}_{t}"]), None) if guess else None
         out.append(F.trim(_q(c)).cast(kind).alias(c) if kind else _q(c))
-    return text.select(*out)
+    return raw.select(*out, *extra)
+
+
+def _headers(spark: SparkSession, path: str) -> tuple[list[tuple[list[str], list[str] | None]], bool]:
+    """Column names of every distinct header with its files (None: all of ``path``), that of
+    the first file in front; and whether any line has an odd number of quotes."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    head = (F.col("block") == 0) & (F.trim("value") != "")
+    broken = F.col("value").contains('"') & (F.regexp_count("value", F.lit('"')) % 2 == 1)
+    per_file = lines.groupBy("file").agg(F.min_by(F.when(head, F.col("value")), F.when(head, F.col("at"))).alias("head"),
+                                         F.bool_or(broken).alias("broken"))
+    # One row per distinct header.
+    groups = sorted(per_file.groupBy("head").agg(F.min("file").alias("file"), F.bool_or("broken").alias("broken")).collect(),
+                    key=lambda r: r["file"])
+    odd = any(r["broken"] for r in groups)
+    groups = [r for r in groups if r["head"] is not None]
+    files: dict[str, list[str] | None] = {r["head"]: None for r in groups}
+    if len(groups) > 1:
+        # File names are what the reader lists on the driver anyway.
+        for r in per_file.filter(F.col("head").isNotNull()).groupBy("head").agg(F.sort_array(F.collect_set("file")).alias("f")).collect():
+            files[r["head"]] = [_plain_path(f) for f in r["f"]]
+    out: dict[tuple, tuple[list[str], list[str] | None]] = {}
+    for r in groups:
+        names = _names(spark, r["head"], _plain_path(r["file"]))
+        if tuple(names) in out and files[r["head"]] is not None:
+            out[tuple(names)][1].extend(files[r["head"]])
+        else:
+            out[tuple(names)] = (names, files[r["head"]])
+    if len(out) == 1:
+        return [(next(iter(out.values()))[0], None)], odd
+    return list(out.values()), odd
+
+
+def _plain_path(uri: str) -> str:
+    """A listed file's address as a path for the reader, which takes patterns."""
+    import re
+    from urllib.parse import unquote
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
+def _names(spark: SparkSession, head: str, file: str) -> list[str]:
+    import csv
+    if head.count('"') % 2:
+        # A quoted name holds a line break: Spark reads this one header.
+        fields = (spark.read.option("header", False).option("multiLine", True).option("quote", '"')
+                  .option("escape", '"').csv(file).first())
+    else:
+        fields = next(csv.reader([head]))
+    names, seen = [], set()
+    for i, name in enumerate(fields):
+        base = f"_c{i}" if not name else name
+        own, k = base, 0
+        while own.lower() in seen:
+            k += 1
+            own = f"{base}.{k}"
+        seen.add(own.lower())
+        names.append(own)
+    return names
+
+
+#: A field with its comma: in double quotes (doubled inside), else all up to the comma.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*),'
+
+
+def _read_group(spark: SparkSession, path: str | list[str], names: list[str], multi_line: bool) -> DataFrame:
+    """Files of one header as text columns ``names``, missing values null, and ``_long``: the
+    text of a record with more fields than names."""
+    n = len(names)
+    own = [f"_{i}" for i in range(n)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*own, "_bad"]])
+    raw = (spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+           .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+           .csv(path))
+    # Spark marks records with another number of fields; of these the short ones are no fault.
+    fields = F.size(F.regexp_extract_all(F.concat("_bad", F.lit(",")), F.lit(_FIELD), 0))
+    long = F.when(F.col("_bad").isNotNull() & (fields > n), F.col("_bad"))
+    return raw.select(*[F.when(~F.trim(c).isin(*NULL_TEXT), F.col(c)).alias(name) for c, name in zip(own, names, strict=True)],
+                      long.alias("_long"))
 
 
 def _fits(c: str, kind: str):
@@ -102,14 +208,15 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def load(spark: SparkSession, source_type: str, path: str | None = None,
          db_config: dict | None = None, infer_schema: bool = True,
-         schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
+         schema: T.StructType | str | None = None, multi_line: bool | None = None,
+         reject_column: str | None = None) -> DataFrame:
     """Load a table.  ``source_type``: csv, json, excel, parquet, mysql, postgresql, sqlite.
-    A table without rows raises."""
+    A table without rows raises.  ``reject_column``: see :func:`read_csv`."""
     st = (source_type or "").lower()
     if st in FILE_TYPES:
         path = _check_path(spark, path)
         if st == "csv":
-            df = read_csv(spark, path, infer_schema, schema, multi_line)
+            df = read_csv(spark, path, infer_schema, schema, multi_line, reject_column)
         elif st == "json":
             df = read_json(spark, path, schema, multi_line)
         elif st == "parquet":
