@@ -4,7 +4,10 @@ document is bounded by its own length)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.columns import q
@@ -26,41 +29,107 @@ def clean_cell(c):
     return F.trim(F.regexp_replace(decode_entities(no_tags), r"\s+", " "))
 
 
-TABLE_RE = r"(?is)<table\b[^>]*>(.*?)</table>"
-ROW_RE = r"(?is)<tr\b[^>]*>(.*?)</tr>"
-CELL_RE = r"(?is)<t([hd])\b[^>]*>(.*?)</t[hd]>"
+# Comments and script are skipped whole; of the tags only those that shape a table matter.
+_TABLE_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)(table|thead|tbody|tfoot|caption|tr|t[hd])\b(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*?>", re.I | re.S)
+
+
+class _Table:
+    """An open table: its rows so far, and the parts of the cell that is open (None: no cell)."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.row: dict | None = None
+        self.cell: list[str] | None = None
+
+    def end_cell(self):
+        if self.cell is not None:
+            self.row["cells"].append("".join(self.cell))
+            self.cell = None
+
+    def end_row(self):
+        self.end_cell()
+        self.row = None
+
+    def begin_row(self):
+        self.end_row()
+        self.row = {"th": [], "cells": []}
+        self.rows.append(self.row)
+
+    def begin_cell(self, head: bool):
+        self.end_cell()
+        if self.row is None:
+            self.begin_row()
+        self.row["th"].append(head)
+        self.cell = []
+
+
+def _page_tables(html: str) -> list[list[dict]]:
+    """All tables of a page in the order they open, from one walk over its tags.  A cell ends
+    at the next cell, row or table end where its own end tag is missing; a table inside a
+    cell is a table of its own, and its text is no part of that cell."""
+    tables: list[_Table] = []
+    stack: list[_Table] = []
+    at = 0
+    for m in _TABLE_TOKEN.finditer(html):
+        if stack and stack[-1].cell is not None:
+            stack[-1].cell.append(html[at:m.start()])
+        at = m.end()
+        tag, closing = (m[3] or "").lower(), bool(m[2])
+        if tag == "table" and not closing:
+            stack.append(_Table())
+            tables.append(stack[-1])
+        elif not stack or not tag:
+            continue
+        elif tag == "table":
+            stack.pop().end_row()
+        elif tag in ("td", "th"):
+            stack[-1].end_cell() if closing else stack[-1].begin_cell(tag == "th")
+        elif tag == "tr" and not closing:
+            stack[-1].begin_row()
+        else:
+            stack[-1].end_row()
+    if stack and stack[-1].cell is not None:
+        stack[-1].cell.append(html[at:])
+    for t in stack:
+        t.end_row()
+    return [t.rows for t in tables]
 
 
 def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """The largest ``<table>`` per page as long rows
-    (page, row_idx, col_idx, header, value).  Header: the ``<th>`` row, else
-    the first row."""
-    t = pages.select(q(id_col).alias("doc"), F.posexplode(F.regexp_extract_all(q(html_col), F.lit(TABLE_RE), 1))
-                     .alias("table_idx", "tbody"))
-    rows = t.select("doc", "table_idx", F.posexplode(F.regexp_extract_all("tbody", F.lit(ROW_RE), 1))
-                    .alias("row_idx", "tr"))
-    cells = rows.select("doc", "table_idx", "row_idx",
-                        F.posexplode(F.regexp_extract_all("tr", F.lit(CELL_RE), 0)).alias("col_idx", "td"))
-    cells = cells.select("doc", "table_idx", "row_idx", "col_idx",
-                         (F.lower(F.regexp_extract("td", r"(?is)^<t([hd])", 1)) == "h").alias("is_th"),
-                         clean_cell(F.regexp_extract("td", r"(?is)^<t[hd]\b[^>]*>(.*?)</t[hd]>$", 1)).alias("value"))
-    size = cells.groupBy("doc", "table_idx").agg(F.count(F.lit(1)).alias("n_cells"))
-    w = Window.partitionBy("doc").orderBy(F.desc("n_cells"), "table_idx")
-    best = size.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("doc", "table_idx")
-    kept = cells.join(best, ["doc", "table_idx"])
-    # Header row: the first row made of <th> cells, else row 0.
-    row_kind = kept.groupBy("doc", "row_idx").agg(F.bool_and("is_th").alias("all_th"))
-    hdr_row = row_kind.groupBy("doc").agg(F.coalesce(F.min(F.when(F.col("all_th"), F.col("row_idx"))),
-                                                     F.min("row_idx")).alias("hdr_row"))
-    k = kept.join(hdr_row, "doc")
-    headers = k.filter(F.col("row_idx") == F.col("hdr_row")).select(
-        "doc", "col_idx", F.coalesce(F.when(F.col("value") != "", F.col("value")),
-                                     F.concat(F.lit("column_"), F.col("col_idx").cast("string"))).alias("header"))
-    body = k.filter(F.col("row_idx") != F.col("hdr_row"))
-    return (body.join(headers, ["doc", "col_idx"], "left")
-            .select(F.col("doc").alias(id_col), "row_idx", "col_idx",
-                    F.coalesce("header", F.concat(F.lit("column_"), F.col("col_idx").cast("string"))).alias("header"),
-                    "value"))
+    """The largest ``<table>`` per page (by cells; the first on ties) as long rows
+    (page, row_idx, col_idx, header, value).  Header: the first row made of ``<th>``, else
+    the first row with a cell.
+
+    Tags are read as pages have them: end tags may be missing, tables may stand inside
+    cells.  One scan, no shuffle: tasks read the tags of the pages that hold a table, all
+    else are column functions.  A null page and one without a table give no rows."""
+    def largest(batches):
+        for batch in batches:
+            out = []
+            for html in batch.column("html").to_pylist():
+                sized = [(sum(len(r["cells"]) for r in t), t) for t in _page_tables(html)]
+                out.append(max(sized, key=lambda x: x[0], default=(0, []))[1])
+            kind = pa.list_(pa.struct([("th", pa.list_(pa.bool_())), ("cells", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, kind)], names=["doc", "rows"])
+
+    with_table = pages.filter(q(html_col).rlike(r"(?i)<table\b")).select(q(id_col).alias("doc"), q(html_col).alias("html"))
+    id_type = with_table.schema["doc"].dataType.simpleString()
+    found = with_table.mapInArrow(largest, f"doc {id_type}, rows array<struct<th:array<boolean>,cells:array<string>>>")
+    clean = F.transform("rows", lambda r, i: F.struct(i.alias("i"), r["th"].alias("th"), F.transform(r["cells"], clean_cell).alias("cells")))
+    full = F.filter("rows", lambda r: F.size(r["cells"]) > 0)
+    heads = F.filter("rows", lambda r: F.forall(r["th"], lambda x: x))
+    found = found.select("doc", F.explode(F.array(clean)).alias("rows"))
+    found = found.select("doc", F.explode(F.array(full)).alias("rows"))
+    found = found.select("doc", "rows", F.coalesce(F.get(heads, F.lit(0)), F.get("rows", F.lit(0))).alias("head"))
+    body = found.select("doc", "head", F.explode("rows").alias("r")).filter(F.col("r.i") != F.col("head.i"))
+    cells = body.select("doc", F.col("r.i").alias("row_idx"), F.col("head.cells").alias("names"),
+                        F.posexplode("r.cells").alias("col_idx", "value"))
+    name = F.get("names", F.col("col_idx"))
+    return cells.select(F.col("doc").alias(id_col), "row_idx", "col_idx",
+                        F.coalesce(F.when(name != "", name), F.concat(F.lit("column_"), F.col("col_idx").cast("string")))
+                        .alias("header"), "value")
 
 
 # Address in double quotes, in single quotes, or bare up to a blank or the tag's end.
@@ -87,13 +156,28 @@ def html_list_items(pages: DataFrame, id_col: str = "page_id", html_col: str = "
 SEPARATOR_CELL = r"^:?-{2,}:?$"
 
 
+# A cell up to its delimiter: in double quotes (doubled inside), else all up to the delimiter.
+_QUOTED = r'( *"[^"]*+(?:""[^"]*+)*+" *|[^{0}]*)[{0}]'
+
+
+def _cells(line, delimiter: str):
+    """Cells of a line; a delimiter inside a quoted cell parts nothing."""
+    one = F.regexp_extract_all(F.concat(line, F.lit(delimiter)), F.lit(_QUOTED.format(delimiter)), 1)
+    bare = F.transform(one, lambda c: F.when(
+        F.trim(c).rlike(r'(?s)^".*"$') & (F.length(F.trim(c)) > 1),
+        F.replace(F.substring(F.trim(c), F.lit(2), F.length(F.trim(c)) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(line.contains('"'), bare).otherwise(F.split(line, rf"\{delimiter}" if delimiter == "|" else delimiter))
+
+
 def _table_line(line, at):
     """A line as (line number, delimiter, cells); no cells without a delimiter."""
-    delim = (F.when(line.contains("|"), F.lit("|")).when(line.contains("\t"), F.lit("\t"))
-             .when(line.contains(","), F.lit(",")))
+    outside = F.when(line.contains('"'), F.regexp_replace(line, r'"[^"]*"', "")).otherwise(line)
     framed = F.regexp_replace(F.regexp_replace(F.trim(line), r"^\|", ""), r"\|$", "")
-    cells = (F.when(line.contains("|"), F.split(framed, r"\|")).when(line.contains("\t"), F.split(line, "\t"))
-             .when(line.contains(","), F.split(line, ",")).otherwise(F.array().cast("array<string>")))
+    delim, cells = F, F
+    for d in ("|", "\t", ","):
+        delim = delim.when(outside.contains(d), F.lit(d))
+        cells = cells.when(outside.contains(d), _cells(framed if d == "|" else line, d))
+    cells = cells.otherwise(F.array().cast("array<string>"))
     return F.struct(at.alias("at"), delim.alias("delim"), F.transform(cells, lambda c: F.trim(c)).alias("cells"))
 
 
@@ -123,7 +207,8 @@ def text_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A table is a run of at least two consecutive lines that split into the
     same number (≥ 2) of cells on the same delimiter; per document the longest
     run wins (earliest on ties).  Its first line is the header; markdown rule
-    lines are dropped; outer empty cells from ``|a|b|`` framing are removed.
+    lines are dropped; outer empty cells from ``|a|b|`` framing are removed.  A cell in
+    double quotes may hold the delimiter, and a doubled quote is one.
     ``confidence`` = table lines / delimited lines of the document."""
     parsed = F.transform(F.split(q(text_col), "\n"), _table_line)
     # Generators keep the parsed lines and the run from being computed once per use.
@@ -157,28 +242,60 @@ def text_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 FENCE_RE = r"```(?:json)?\s*"
 
 
+#: Pieces of a text that a scan for brackets looks at: escapes, quotes, brackets, all else.
+_JSON_PIECES = r'(?s)\\.|["\[\]{}]|[^"\[\]{}\\]+|\\'
+#: A value without brackets that fills the whole text.
+_JSON_SCALAR = r'(?s)^(?:-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|"[^"\\]*+(?:\\.[^"\\]*+)*+")$'
+
+
+def bracketed(c):
+    """The outermost complete bracketed stretches of a text, in order.  Brackets inside quotes
+    count for nothing, and quotes outside brackets are plain text.  One step per piece."""
+    none = F.struct(F.lit(1).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("start"),
+                    F.array().cast("array<struct<start:int,size:int>>").alias("found"))
+
+    def step(s, x):
+        inside = s["depth"] > 0
+        opens = x.isin("{", "[") & ~s["quoted"]
+        closes = x.isin("}", "]") & ~s["quoted"] & inside
+        start = F.when(opens & ~inside, s["at"]).otherwise(s["start"])
+        stretch = F.struct(s["start"].alias("start"), (s["at"] - s["start"] + 1).alias("size"))
+        return F.struct((s["at"] + F.length(x)).alias("at"),
+                        (s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+                        F.when(x == '"', inside & ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), start.alias("start"),
+                        F.when(closes & (s["depth"] == 1), F.array_append(s["found"], stretch)).otherwise(s["found"]).alias("found"))
+
+    scan = F.aggregate(F.regexp_extract_all(c, F.lit(_JSON_PIECES), 0), none, step, lambda s: s["found"])
+    return F.transform(scan, lambda f: F.substring(c, f["start"], f["size"]))
+
+
 def json_candidate(c):
-    """Drop code fences, then the first of these that parses: the span from the
-    first ``{``/``[`` (whichever comes first) to the last matching bracket, the span of
-    the other bracket, the bare text.  Without one that parses: the first span found."""
+    """(text, ok) of the JSON value in a text without its code fences: the first
+    outermost bracketed stretch that parses, else the whole text where it is a plain value.
+    Without either ``ok`` is false and the text is the first stretch, else all."""
     s = F.trim(F.regexp_replace(c, FENCE_RE, ""))
-    obj = F.nullif(F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.lit(""))
-    arr = F.nullif(F.regexp_extract(s, r"(?s)(\[.*\])", 1), F.lit(""))
-    first_obj = F.locate("{", s)
-    first_arr = F.locate("[", s)
-    pick_arr = (first_arr > 0) & ((first_obj == 0) | (first_arr < first_obj))
-    spans = [F.when(pick_arr, arr).otherwise(obj), F.when(pick_arr, obj).otherwise(arr), s]
-    return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull(), x) for x in spans], *spans)
+
+    def choose(texts):
+        good = F.get(F.filter(texts, lambda x: F.try_parse_json(x).isNotNull()), F.lit(0))
+        plain = F.when(s.rlike(_JSON_SCALAR) & F.try_parse_json(s).isNotNull(), s)
+        return F.struct(F.coalesce(good, plain, F.get(texts, F.lit(0)), s).alias("text"),
+                        F.coalesce(good, plain).isNotNull().alias("ok"))
+
+    # The stretches are found once, whatever reads them.
+    return F.get(F.transform(F.array(bracketed(s)), choose), F.lit(0))
 
 
 def extract_json(df: DataFrame, col: str, required: list[str] | None = None) -> DataFrame:
-    """Parse the JSON inside a text column into a VARIANT.
+    """Parse the first JSON value inside a text column into a VARIANT.
 
     Adds ``json_text``, ``parsed`` (null when it does not parse),
-    ``json_ok`` and ``missing_keys`` (required keys absent, comma list)."""
-    cand = json_candidate(q(col))
-    out = df.withColumn("json_text", cand).withColumn("parsed", F.try_parse_json("json_text"))
-    out = out.withColumn("json_ok", F.col("parsed").isNotNull())
+    ``json_ok`` and ``missing_keys`` (required keys absent, comma list).  What stands
+    before and after the value is left out; a value that is cut off does not parse, and a
+    bracket that never closes hides what follows it."""
+    out = df.withColumn("_json", F.explode(F.array(json_candidate(q(col)))))
+    ok = F.coalesce(F.col("_json.ok"), F.lit(False))
+    out = out.withColumn("json_text", F.col("_json.text")).withColumn("parsed", F.when(ok, F.try_parse_json("_json.text")))
+    out = out.withColumn("json_ok", ok).drop("_json")
     if required:
         # A present key (even a JSON null) extracts as a variant; an absent one as SQL NULL.
         miss = F.array_compact(F.array(*[F.when(F.try_variant_get("parsed", f"$.{k}", "variant").isNull(),
