@@ -27,7 +27,7 @@ def chart_data(df: DataFrame, chart_type: str, x: str, y: str, color: str | None
     if not chart_type or not x or not y:
         raise ValueError("chart_type, x_field and y_field are required")
     if chart_type not in CHART_TYPES:
-        raise ValueError(f"Unsupported chart type: {chart_type}")
+        raise ValueError(f"No chart data for a chart of type {chart_type!r}")
     require_columns(df, x, y, color, size)
     f = _AGGS[agg]
     if chart_type == "bar":
@@ -116,7 +116,7 @@ def auto_chart(df: DataFrame, order_by: list[str] | None = None) -> tuple[str, D
         return "none", df
     # Only the first two columns decide.
     types = {r["column_name"]: r["field_type"]
-             for r in field_types(df.select(*[q(c) for c in cols[:2]])).collect()}
+             for r in field_types(df.select(*[q(c) for c in cols[:2]]), near=True).collect()}
     order = [q(c) for c in (order_by or cols)]
     if len(cols) == 1:
         c = cols[0]
@@ -144,7 +144,7 @@ def recommend_charts(df: DataFrame, goal: str = "", max_specs: int = 3, approx:
     Field typing is one Spark job (or ``types``, the field_types frame when
     the caller has it); the rules run over that per-column metadata (one row
     per column)."""
-    meta = (field_types(df, approx=approx) if types is None else types).orderBy("position").collect()
+    meta = (field_types(df, approx=approx, near=True) if types is None else types).orderBy("position").collect()
     # Identifier-like numbers (…_id, …key, or one distinct value per row) are
     # not measures.
     integral = {f.name for f in df.schema.fields

@@ -206,11 +206,24 @@ def table_summary(spark, d):
     return st.select("column_name", "dtype", "n_unique", "n_null")
 
 
+def _summary_tail(c, sem):
+    if sem == "quantitative":
+        two = lambda f: f"printf('%.2f', {f}({c})::DOUBLE)"
+        return f"', range ' || {two('min')} || ' to ' || {two('max')} || ', mean ' || {two('avg')}"
+    if sem == "temporal":
+        when = lambda f: f"strftime({f}({c}), '%Y-%m-%d %H:%M:%S')"
+        return f"', from ' || {when('min')} || ' to ' || {when('max')}"
+    return f"', e.g. ' || {_samples_sql('orders', c, 3)}"
+
+
 @query("schema_summary", "SELECT 0 AS line_no, 'Table shape: ' || CAST(count(*) AS VARCHAR) || ' rows x 6 columns' AS line FROM orders\nUNION ALL "
        + "\nUNION ALL ".join(
            f"SELECT {i + 1} AS line_no, '  - {c} ({dt}): ' || CAST(count(DISTINCT {c}) AS VARCHAR) || ' unique values, ' "
-           f"|| CAST(count(*) - count({c}) AS VARCHAR) || ' nulls' AS line FROM orders"
-           for i, (c, dt, _) in enumerate(ORDERS)))
+           f"|| CAST(count(*) - count({c}) AS VARCHAR) || ' nulls' || {_summary_tail(c, sem)} AS line FROM orders"
+           for i, (c, dt, sem) in enumerate(ORDERS))
+       + f"\nUNION ALL SELECT {len(ORDERS) + 1}, 'Sample rows:'\nUNION ALL SELECT {len(ORDERS) + 1} + r, line FROM ("
+       + "SELECT row_number() OVER (ORDER BY o_orderkey)::INTEGER AS r, '  ' || concat_ws(', ', "
+       + ", ".join(f"'{c} = ' || {c}::VARCHAR" for c, _, _ in ORDERS) + ") AS line FROM orders) WHERE r <= 3")
 def schema_summary(spark, d):
-    """Shape and one line per column (type, distinct values, nulls)."""
-    return pr.schema_summary(T(spark, d, "orders"))
+    """Shape, one line per column (type, counts, range or first values), sample rows."""
+    return pr.schema_summary(T(spark, d, "orders"), sample_rows=3, order_by=["o_orderkey"])
