@@ -7,6 +7,9 @@ the heavy work (joins, grouping) stays partitioned and pre-aggregated.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,31 +33,39 @@ def check_read_only(spark: SparkSession, query: str) -> str:
     return body
 
 
+#: A query that starts with WITH, whatever comments stand before.
+_WITH = re.compile(r"(?:\s|--[^\n]*(?:\n|$)|/\*.*?\*/)*with\b", re.I | re.S)
+
+
 def run_query(spark: SparkSession, tables: dict[str, DataFrame], query: str) -> DataFrame:
-    """One read-only query over named frames.  The names are views only while the query
-    is analysed; a caller's own views of these names are put back afterwards."""
+    """One read-only query over named frames.
+
+    The frames are bound to their names inside the query itself (common table
+    expressions over views of unique names, dropped once the query is analysed), so no view
+    of the caller is read, replaced or dropped, the catalog is not listed, and runs of
+    several threads don't meet.  A view of the caller under one of the names is hidden."""
     body = check_read_only(spark, query)
-    before = {}
+    views = {name: f"tabulon_{uuid.uuid4().hex}" for name in tables}
+    made = []
     try:
         for name, df in tables.items():
-            if any(t.name.lower() == name.lower() and t.isTemporary for t in spark.catalog.listTables()):
-                before[name] = spark.table(name)
-            df.createOrReplaceTempView(name)
-        return spark.sql(body)
+            df.createTempView(views[name])
+            made.append(views[name])
+        bound = ", ".join(f"`{name.replace('`', '``')}` AS (SELECT * FROM {view})" for name, view in views.items())
+        if not bound:
+            return spark.sql(body)
+        # A query's own WITH goes into a subquery, where its names come first.
+        return spark.sql(f"WITH {bound} SELECT * FROM (\n{body}\n)" if _WITH.match(body) else f"WITH {bound}\n{body}")
     finally:
-        for name in tables:
-            if name in before:
-                before[name].createOrReplaceTempView(name)
-            else:
-                spark.catalog.dropTempView(name)
+        for view in made:
+            spark.catalog.dropTempView(view)
 
 
 def sql_transform(spark: SparkSession, tables: dict[str, DataFrame] | DataFrame, query: str,
                   require_rows: bool = False) -> DataFrame:
-    """Register the inputs as views and run one read-only query.
+    """Run one read-only query over the inputs under their names (:func:`run_query`).
 
-    A single DataFrame is registered as ``input_data`` (the reference name)
-    and ``data``."""
+    A single DataFrame is bound to ``input_data`` (the reference name) and ``data``."""
     if isinstance(tables, DataFrame):
         tables = {"input_data": tables, "data": tables}
     out = run_query(spark, tables, query)

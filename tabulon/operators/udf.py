@@ -61,20 +61,27 @@ def _packed(keys, fn):
     return run
 
 
-def pack_bucket_count(df: DataFrame, pack_rows: int) -> int:
-    """Buckets for about ``pack_rows`` rows each (one row count), never fewer
-    than four per shuffle partition."""
+#: Rows of one group that :func:`grouped_function` hands to a function as a whole.
+MAX_GROUP_ROWS = 1_000_000
+
+
+def pack_bucket_count(df: DataFrame, pack_rows: int, total: int | None = None) -> int:
+    """Buckets for about ``pack_rows`` rows each (one row count, unless ``total`` gives
+    it), never fewer than four per shuffle partition."""
     width = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(width, -(-df.count() // pack_rows))
+    return max(width, -(-(df.count() if total is None else total) // pack_rows))
 
 
 def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
                      partial=None, partial_schema: str | None = None, partial_rows: int = 500_000,
-                     pack_buckets: int | None = None, pack_rows: int | None = None) -> DataFrame:
+                     pack_buckets: int | None = None, pack_rows: int | None = None,
+                     max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Pandas function per key.
 
     Without ``partial`` the function sees each whole group: use it for keys
-    whose groups are bounded (an order's lines, a user's session).  With
+    whose groups are bounded (an order's lines, a user's session).  The bound is
+    ``max_group_rows``: the keys are counted first (a partial aggregation), and a greater
+    group raises before any is loaded (None: not checked).  With
     ``partial`` (pandas → pandas of partial results, schema
     ``partial_schema``) each task reduces its own rows per key, about
     ``partial_rows`` at a time and without a shuffle, and ``fn`` then merges the
@@ -88,8 +95,14 @@ def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
     than four per shuffle partition), so a packed group stays the same size
     however large the table grows."""
     if partial is None:
-        if pack_rows:
-            pack_buckets = pack_bucket_count(df, pack_rows)
+        if max_group_rows is not None or pack_rows:
+            sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            total, most = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+            if max_group_rows is not None and most > max_group_rows:
+                raise ValueError(f"A group of {keys} has {most} rows, more than max_group_rows ({max_group_rows}); "
+                                 "reduce the rows of each task with partial")
+            if pack_rows:
+                pack_buckets = pack_bucket_count(df, pack_rows, total)
         if pack_buckets:
             bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(pack_buckets))
             return (df.withColumn("_bucket", bucket).groupBy("_bucket")
