@@ -20,11 +20,6 @@ from tabulon.session import local_frame, small_frame
 from tabulon.sources.guards import require_rows
 
 
-def _row_count(df: DataFrame):
-    """Total rows as a lazy scalar subquery."""
-    return df.select(F.count(F.lit(1))).scalar()
-
-
 def column_count_aggs(df: DataFrame) -> dict:
     """The aggregates behind Q1 and Q3 (name → column): the row count, each
     column's null count and, for text columns, the non-null and the
@@ -58,7 +53,7 @@ def quality_pass(df: DataFrame, approx: bool = False, probs=(0.25, 0.75), extra:
     qs = small_frame(column_quantiles(df, nums, list(probs), approx=approx,
                                       extra={**count_aggs, **(extra or {})}, extra_out=got))
     if not got["_n"]:
-        raise ValueError("Data table is empty")
+        raise ValueError("The table has no rows to check")
     outl = small_frame(outliers_iqr(df, nums, bounds=fences(qs)))
     counts = local_frame(df.sparkSession, [tuple(got[k] for k in count_aggs)],
                          ", ".join(f"{k} long" for k in count_aggs))
@@ -382,7 +377,7 @@ def clean(df: DataFrame, approx: bool = False, bounds: dict | None = None,
         got: dict = {}
         bounds = outlier_bounds(df, approx, extra=extra, extra_out=got)
         if (got["_n"] if got else require_rows(df) and 1) == 0:
-            raise ValueError("Data table is empty")
+            raise ValueError("The table has no rows to check")
         if got:
             with_nulls = [c for i, c in enumerate(df.columns) if got[f"_kn{i}"] > 0]
     step = drop_sparse_rows(df)

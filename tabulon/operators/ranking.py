@@ -85,6 +85,11 @@ def quantile_names(probs: Sequence[float]) -> list[str]:
 ACCURACY = 1000
 #: Equal-width slices that a bracket's values are ordered in.
 SLICES = 1000
+#: Distinct values of one bracket that a task may order.  A bracket with more rows is cut at
+#: ranks of its own values, CUTS pieces a round, until the pieces that hold the target
+#: ranks have no more.
+ORDER_VALUES = 1_000_000
+CUTS = 64
 
 
 def _around(probs: Sequence[float]) -> list[float]:
@@ -126,7 +131,7 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str]
         items.append(F.struct(
             F.lit(i).alias("_i"), F.when(ok, F.col("_g")[2 * i]).otherwise(float("-inf")).alias("lo"),
             F.when(ok, F.col("_g")[2 * i + 1]).otherwise(float("inf")).alias("hi"),
-            F.when(ok, F.col(f"_b{i}")).otherwise(0).alias("below"),
+            F.when(ok, F.col(f"_b{i}")).otherwise(0).alias("below"), F.col(f"_c{i}").alias("rows"),
             low.cast("long").alias("r1"), high.cast("long").alias("r2")))
     checked = shared_table(state.join(counts, keys).select(*keys, "n", F.array(*items).alias("_s")), "brackets")
     inside = (long.join(checked, keys)
@@ -134,7 +139,10 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str]
                   "_s", lambda b: (v >= b["lo"]) & (v <= b["hi"]))).alias("b"))
               .select(*keys, "value", F.col("b._i").alias("_i")))
     meta = checked.select(*keys, F.inline("_s"))
-    picked = _ordered(inside, meta, keys)
+    # One row per group.
+    most = checked.select(F.explode("_s").alias("s"), "n").agg(F.max(F.when(
+        F.col("s.lo") == float("-inf"), F.col("n")).otherwise(F.col("s.rows")))).first()[0] or 0
+    picked = _ordered(inside, meta, keys, most)
     got = picked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
         F.struct("_i", F.struct("v1", "v2").alias("v")))).alias("_m"))
     out = [F.col(k) for k in keys] + [F.col("n")]
@@ -145,15 +153,42 @@ def exact_quantiles(long: DataFrame, probs: Sequence[float], keys: Sequence[str]
     return checked.select(*keys, "n").join(got, keys).select(*out)
 
 
-def _ordered(inside: DataFrame, meta: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _narrowed(counts: DataFrame, meta: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The counted values around the target ranks, and the brackets shrunk to them, so that
+    no bracket holds more than ``ORDER_VALUES`` distinct values.
+
+    Each round cuts at quantiles of the distinct values themselves, so it shrinks a bracket
+    CUTS / 2 times or nearly so whatever its values are: over many orders of magnitude,
+    crowded at one point, or infinite."""
+    counts, meta = shared_table(counts, "counts"), shared_table(meta, "brackets")
+    by = list(by)
+    while (counts.groupBy(*by).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).first()[0] or 0) > ORDER_VALUES:
+        cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [k / CUTS for k in range(1, CUTS)], ACCURACY).alias("_p"))
+        tagged = counts.join(shared_table(cuts, "cuts"), by).withColumn("_s", F.size(F.filter("_p", lambda p: p < F.col("value"))))
+        before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        pieces = (tagged.groupBy(*by, "_s").agg(F.sum("_c").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+                  .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(meta, by))
+        start = F.col("below") + F.col("_before")
+        holds = [(start < F.col(r)) & (start + F.col("_n") >= F.col(r)) for r in ("r1", "r2")]
+        hits = shared_table(pieces.filter(holds[0] | holds[1]), "pieces")
+        counts = shared_table(tagged.join(hits.select(*by, "_s"), [*by, "_s"], "left_semi").select(*by, "value", "_c"), "counts")
+        meta = shared_table(hits.groupBy(*by, "r1", "r2").agg(
+            F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), F.min(start).alias("below")), "brackets")
+    return counts, meta
+
+
+def _ordered(inside: DataFrame, meta: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """The values at ranks r1 and r2 of every bracket.
 
     ``inside``: keys, _i, value (rows within the brackets); ``meta``: keys, _i, lo, hi,
-    below, r1, r2.  Values are counted first, so a repeated value is one row.  Counts per
+    below, r1, r2; ``most``: rows of the fullest bracket.  Values are counted first, so a
+    repeated value is one row.  Brackets that may hold too many are narrowed.  Counts per
     equal-width slice find the one or two slices that hold the ranks, and only those are
     ordered value by value: no task orders a whole bracket."""
     by = [*keys, "_i"]
     counts = inside.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_c"))
+    if most > ORDER_VALUES:
+        counts, meta = _narrowed(counts, meta.select(*by, "lo", "hi", "below", "r1", "r2"), by)
     span = F.col("hi") - F.col("lo")
     wide = (span > 0) & (span < float("inf"))
     at = F.when(wide, F.least(F.floor((F.col("value") - F.col("lo")) / span * SLICES), F.lit(SLICES - 1))).otherwise(0)
@@ -208,13 +243,14 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     second = df.agg(*[e for (k, i), (lo, hi) in brackets.items() for e in (
         F.count_if(x[k] < F.lit(lo)).alias(f"b{k}_{i}"),
         F.count_if((x[k] >= F.lit(lo)) & (x[k] <= F.lit(hi))).alias(f"c{k}_{i}"))]).first()
-    meta = []
+    meta, most = [], 0
     for (k, i), (lo, hi) in brackets.items():
         low = math.floor((first[f"n{k}"] - 1) * probs[i]) + 1
         high = min(low + 1, first[f"n{k}"])
-        below = second[f"b{k}_{i}"]
-        if not (below < low and below + second[f"c{k}_{i}"] >= high):
-            lo, hi, below = float("-inf"), float("inf"), 0
+        below, rows = second[f"b{k}_{i}"], second[f"c{k}_{i}"]
+        if not (below < low and below + rows >= high):
+            lo, hi, below, rows = float("-inf"), float("inf"), 0, first[f"n{k}"]
+        most = max(most, rows)
         meta.append((k, i, lo, hi, below, low, high))
     conds = [(x[k] >= F.lit(lo)) & (x[k] <= F.lit(hi)) for k, _, lo, hi, *_ in meta]
     inside = df.select(F.explode(F.array(*[
@@ -222,7 +258,7 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         for c, m in zip(conds, meta, strict=True)])).alias("t")).filter(F.col("t").isNotNull()).select("t.*")
     brackets_frame = local_frame(spark, meta, "_k int, _i int, lo double, hi double, below long, r1 long, r2 long")
     # One row per column and probability.
-    got = {(r["_k"], r["_i"]): (r["v1"], r["v2"]) for r in _ordered(inside, brackets_frame, ["_k"]).collect()}
+    got = {(r["_k"], r["_i"]): (r["v1"], r["v2"]) for r in _ordered(inside, brackets_frame, ["_k"], most).collect()}
     out = []
     for k, c in enumerate(cols):
         n = first[f"n{k}"]

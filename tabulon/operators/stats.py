@@ -280,7 +280,7 @@ def _shapiro_finish(batches):
         for r in pdf.itertuples(index=False):
             n = int(r.n) if r.n == r.n else 0
             if n < 3:
-                raise ValueError("Normality test requires at least 3 data points")
+                raise ValueError("A test of normality needs three values or more")
             ssq = r.vp * n
             if n == 3:
                 a = [math.sqrt(0.5)]

@@ -1,5 +1,7 @@
 """Exact quantiles and global ranks against a single-node brute force."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +124,52 @@ def test_column_quantiles_one_row_per_column(spark, approx):
     assert got["e"]["n"] == 0 and got["e"]["q0500"] is None
     empty = column_quantiles(df.limit(0), ["a"], [0.5], approx=approx).collect()
     assert [(r["column_name"], r["n"], r["q0500"]) for r in empty] == [("a", 0, None)]
+
+
+def _wide_values(rng):
+    out = [s * 10.0 ** e for e in range(-300, 301, 9) for s in (1, -1)]
+    out += [float("inf"), float("-inf")] * 4 + [1 + 1e-15 * k for k in range(150)] + [2.0] * 60 + [0.0, -0.0, 5e-324]
+    return [rng.choice(out) for _ in range(700)]
+
+
+@pytest.mark.parametrize("most,cuts,failing", [(3, 4, True), (40, 8, True), (10, 4, False)])
+def test_brackets_are_narrowed_whatever_their_values_are(spark, monkeypatch, most, cuts, failing):
+    """Values over 600 orders of magnitude, crowded ones and infinities; brackets that fail."""
+    import random
+
+    from tabulon.operators import ranking as R
+    monkeypatch.setattr(R, "ORDER_VALUES", most)
+    monkeypatch.setattr(R, "CUTS", cuts)
+    if failing:
+        monkeypatch.setattr(R, "_around", lambda probs: [0.5, 0.5] * len(probs))
+    seen = []
+    real = R._narrowed
+
+    def narrowed(counts, meta, by):
+        counts, meta = real(counts, meta, by)
+        seen.append(counts.groupBy(*by).count().agg(F.max("count")).first()[0])
+        return counts, meta
+
+    monkeypatch.setattr(R, "_narrowed", narrowed)
+    rng = random.Random(most)
+    groups = {"a": _wide_values(rng), "b": _wide_values(rng), "c": [7.0] * 30}
+    probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+
+    def brute(values, p):
+        v = sorted(values)
+        h = (len(v) - 1) * p
+        lo = math.floor(h)
+        a, b = v[lo], v[min(lo + 1, len(v) - 1)]
+        return a + (b - a) * (h - lo)
+
+    long = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, value double").repartition(4)
+    for r in R.exact_quantiles(long, probs, ["g"]).collect():
+        for p, name in zip(probs, R.quantile_names(probs), strict=True):
+            want = brute(groups[r.g], p)
+            assert r[name] == want or (math.isnan(want) and (r[name] is None or math.isnan(r[name]))), (r.g, p)
+    wide = spark.createDataFrame([(float(v),) for v in groups["a"]], "x double").repartition(4)
+    [r] = R.column_quantiles(wide, ["x"], probs).collect()
+    for p, name in zip(probs, R.quantile_names(probs), strict=True):
+        want = brute(groups["a"], p)
+        assert r[name] == want or (math.isnan(want) and (r[name] is None or math.isnan(r[name])))
+    assert len(seen) == 2 and max(seen) <= most
