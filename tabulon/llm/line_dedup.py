@@ -18,6 +18,9 @@ MIN_SITES = 10
 LG_K = 10
 #: Estimates within this share of the threshold are counted exactly (over 7 sigma).
 NEAR = 0.2
+#: Parts of the documents that meet the boilerplate lines apart, so that a line of very many
+#: documents is not one task's.
+SALTS = 16
 
 
 def line_key(line) -> F.Column:
@@ -66,24 +69,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result.
     """
     bad = boilerplate(docs, text_col, site_col, min_sites, lg_k, near)
-    text = F.col(text_col)
-    # Rows meet their lines again by a key of the text itself, salted by the id so
+    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # The row travels as one value, so no column of its own meets those made here.  Rows
+    # meet their lines again by a key of the text itself, salted by the id so
     # that copies of one text spread over the partitions.
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)
-    held = (docs.filter(text.isNotNull())
-            .select(key.alias("__key"), F.explode(F.array_distinct(line_keys(text))).alias("k"))
+    text = F.col("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{text_col}`").alias("text"),
+                       F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{text_col}`")).alias("key"))
+    held = (rows.filter(text.isNotNull())
+            .select("key", F.explode(F.array_distinct(line_keys(text))).alias("k"))
             .filter(F.col("k").isNotNull())
-            .select("__key", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
-            .join(bad, ["a", "b"], "left_semi")
-            .groupBy("__key").agg(F.collect_set(F.struct("a", "b")).alias("__bad")))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    joined = docs.withColumn("__key", key).join(held, "__key", "left")
+            .select("key", F.col("k.a").alias("a"), F.col("k.b").alias("b"), F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
+            .join(bad, ["a", "b", "salt"], "left_semi")
+            .groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("bad")))
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    kept = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("__bad"), line_key(x)), F.lit(True)))
-    out = joined.withColumn("__lines", lines).withColumn(
-        "__kept", F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(kept))
-    n_lines = F.when(text.isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    n_removed = (F.size("__lines") - F.size("__kept")).cast("long")
-    new_text = F.when(F.col("__bad").isNull(), text).otherwise(F.array_join("__kept", "\n"))
-    return out.select(*[new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
+    kept = F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("bad"), line_key(x)), F.lit(True)))
+    out = rows.join(held, "key", "left").withColumn("lines", lines).withColumn(
+        "kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_removed = (F.size("lines") - F.size("kept")).cast("long")
+    new_text = F.when(F.col("bad").isNull(), text).otherwise(F.array_join("kept", "\n"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    return out.select(*[new_text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names],
                       n_lines.alias("n_lines"), n_removed.alias("n_removed_lines"))

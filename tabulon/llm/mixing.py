@@ -2,7 +2,7 @@
 
 Tokens (words) are summed per source, each source gets a target share, and
 ``rate = target / size`` says how often its documents are taken: every document
-``floor(rate)`` times, plus once more when a draw seeded by a hash of its id
+``floor(rate)`` times, plus once more when a draw seeded by a hash of its id and text
 falls below the fractional part.
 """
 
@@ -24,10 +24,12 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(id_col) -> F.Column:
-    """Uniform in [0, 1): the first 52 bits of an MD5 of the seed and the id."""
-    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-                   .cast("binary"))
+def draw(id_col, text_col) -> F.Column:
+    """Uniform in [0, 1): the first 52 bits of an MD5 of the seed, the id and the text's MD5, so
+    rows without an id, and rows that share one, have draws of their own."""
+    own = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")),
+           F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))]
+    digest = F.md5(F.concat(F.lit(SEED + ":"), own[0], F.lit(":"), own[1]).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
@@ -82,34 +84,34 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text has size 0.  A null source is one source of its own, last in order.
     An empty text is taken like any other document of its source; with no words in
-    the whole table all targets and copies are 0.  Rows that repeat an id share its
-    draw.  An empty table gives an empty result.  Other columns are ignored.
+    the whole table all targets and copies are 0.  Rows that repeat an id and
+    its text share a draw.  An empty table gives an empty result.  Other columns are ignored.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                        word_count(F.col(text_col)).alias("size"))
+                        word_count(F.col(text_col)).alias("size"), draw(id_col, text_col).alias("u"))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_repeat).withColumnRenamed("source", "src")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = F.when(draw("doc_id") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    extra = F.when(F.col("u") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return (sized.join(targets, F.col("source").eqNullSafe(F.col("src"))).drop("src")
             .withColumn("rate", rate)
-            .withColumn("copies", (F.floor("rate") + extra).cast("long")))
+            .withColumn("copies", (F.floor("rate") + extra).cast("long")).drop("u"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The mixed corpus: every document as often as :func:`mix_plan` says, all columns kept."""
+    """The mixed corpus: every document as often as :func:`mix_plan` says, all columns kept,
+    whatever their names."""
     sized = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_repeat)
     rates = targets.select(
-        F.col("source").alias("__source"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-        .otherwise(F.lit(0.0)).alias("__rate"))
-    extra = F.when(draw(id_col) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    copies = (F.floor("__rate") + extra).cast("int")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return (docs.join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
-            .withColumn("__copies", copies).filter(F.col("__copies") > 0)
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*names))
+        F.col("source").alias("of"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
+    # The row travels as one value, so no column of its own meets those of the plan.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{source_col}`").alias("source"), draw(id_col, text_col).alias("u"))
+    extra = F.when(F.col("u") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return (rows.join(rates, F.col("source").eqNullSafe(F.col("of")))
+            .select("row", (F.floor("rate") + extra).cast("int").alias("copies")).filter(F.col("copies") > 0)
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*"))

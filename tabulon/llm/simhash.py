@@ -265,11 +265,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
     best = materialise(found.groupBy("root").agg(first)
-                       .select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__key")),
-                       "simhash-best")
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = (docs.withColumn("__own", F.col(id_col).cast("long")).withColumn("__hash", key)
-            .join(best, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key")), "left_semi"))
-    order = Window.partitionBy("__own", "__hash").orderBy(F.xxhash64(*names))
-    return kept.withColumn("__at", F.row_number().over(order)).filter(F.col("__at") == 1).select(*names)
+                       .select(F.col("best.doc_id").alias("id"), F.col("best.text_key").alias("key")), "simhash-best")
+    # The row travels as one value, so no column of its own meets those made here.
+    key = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(f"`{id_col}`").cast("long").alias("own"), key.alias("hash"))
+    kept = rows.join(best, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("key")), "left_semi")
+    order = Window.partitionBy("own", "hash").orderBy(F.xxhash64("row"))
+    return kept.withColumn("at", F.row_number().over(order)).filter(F.col("at") == 1).select("row.*")
