@@ -25,8 +25,8 @@ MIN_COVERAGE = 0.8
 #: A stretch of text that may hold a template is this much longer than it, plus SLACK words.
 STRETCH = 1.25
 SLACK = 4
-#: Gaps without unique common words are aligned word by word up to this many cells.
-SMALL_GAP = 4096
+#: Cells of an alignment table that is held at once; a larger gap is split in two first.
+TABLE_CELLS = 1 << 20
 
 #: Notices scanned for (public license texts).
 TEMPLATES = {
@@ -58,6 +58,26 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
         "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
         "(at your option) any later version."),
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation; either version 2 of the License, or "
+        "(at your option) any later version."),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+        "License, or (at your option) any later version."),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version."),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE "
+        "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -100,7 +120,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             out.extend(anchors)
             edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
             todo.extend((p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:], strict=False))
-        elif (a1 - a0) * (b1 - b0) <= SMALL_GAP:
+        else:
             out.extend(common(a, b, a0, a1, b0, b1))
     return sorted(out)
 
@@ -126,23 +146,48 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _lcs_row(same: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences from the next word of one side on, by the start
+    in the other; ``last``: the same from the word after it on."""
+    cells = np.maximum(last[:-1], np.where(same, last[1:] + 1, 0))
+    return np.append(np.maximum.accumulate(cells[::-1])[::-1], 0)
+
+
 def common(a, b, a0, a1, b0, b1) -> list[tuple[int, int]]:
-    """Longest common subsequence of two small gaps."""
-    n, m = a1 - a0, b1 - b0
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[a0 + i] == b[b0 + j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[a0 + i] == b[b0 + j]:
-            out.append((a0 + i, b0 + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """Longest common subsequence of two gaps of any size: a gap of more than ``TABLE_CELLS``
+    cells is split where the halves' lengths add up to the most."""
+    number: dict = {}
+    x, y = [np.array([number.setdefault(w, len(number)) for w in part], dtype=np.int64) for part in (a[a0:a1], b[b0:b1])]
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        n, m = i1 - i0, j1 - j0
+        if not n or not m:
+            continue
+        if n * m > TABLE_CELLS and n > 1:
+            mid = (i0 + i1) // 2
+            below = np.zeros(m + 1, dtype=np.int64)
+            for i in range(i1 - 1, mid - 1, -1):
+                below = _lcs_row(y[j0:j1] == x[i], below)
+            above = np.zeros(m + 1, dtype=np.int64)
+            for i in range(i0, mid):
+                above = _lcs_row(y[j0:j1][::-1] == x[i], above)
+            j = j0 + int(np.argmax(above[::-1] + below))
+            todo += [(i0, mid, j0, j), (mid, i1, j, j1)]
+            continue
+        best = np.zeros((n + 1, m + 1), dtype=np.int64)
+        for i in range(n - 1, -1, -1):
+            best[i] = _lcs_row(y[j0:j1] == x[i0 + i], best[i + 1])
+        i = j = 0
+        while i < n and j < m:
+            if x[i0 + i] == y[j0 + j]:
+                out.append((a0 + i0 + i, b0 + j0 + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return sorted(out)
 
 
 def find(text: list, template: list, min_coverage: float) -> list[tuple[int, int, int]]:
