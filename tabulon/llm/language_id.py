@@ -33,6 +33,8 @@ UNKNOWN = 1e-8
 #: Pseudo-count of every piece.
 PSEUDO = 1e-3
 UNDETERMINED = "und"
+#: Letters from which a text's score per letter says something of the text.
+MIN_LETTERS = 20
 #: Words whose scores a worker remembers.
 CACHE_WORDS = 200_000
 _MARK = "▁"
@@ -223,8 +225,9 @@ class Scorer:
             self.known.update(zip(new[:room], range(first, first + room), strict=True))
         return out
 
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Log score by language, and whether a text has a letter."""
+    def texts(self, texts: pa.Array, letters: bool = False) -> tuple:
+        """Log score by language, and whether a text has a letter; with ``letters`` how many,
+        each word's start counted as one more."""
         words = split_words(texts)
         total = np.zeros((words.n, self.probs.shape[1]))
         if len(words.flat):
@@ -233,14 +236,15 @@ class Scorer:
             some = np.flatnonzero(words.counts)
             total[some] = np.add.reduceat(scores[ids], words.first[some], axis=0)
         letter = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-        return total, letter
+        if not letters:
+            return total, letter
+        sizes = pc.utf8_length(words.flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        return total, letter, np.bincount(words.text_of_word, weights=sizes, minlength=words.n).astype(np.int64)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS):
-    """Fit on at most ``sample_docs`` documents per language, those with a text and a
-    language whose crc32(id as text) mod 5 is not 0.  Returns (pieces, languages, probs)."""
-    pieces = read_pieces(vocabulary or default_vocabulary())
+def labelled_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> DataFrame:
+    """(lang, text) of at most ``sample_docs`` documents per language, those with a text and a
+    language whose crc32(id as text) mod 5 is not 0."""
     key = F.col(id_col).cast("string")
     pool = docs.filter((F.crc32(key.cast("binary")) % 5 != 0) & F.col(lang_col).isNotNull()
                        & F.col(text_col).isNotNull())
@@ -256,9 +260,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                          .select("id").distinct(), "lang-sample")
     # The chosen table's size is known once written: small enough, it is broadcast, and
     # no text is shuffled.
-    sample = (pool.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                          F.col(text_col).cast("string").alias("text"))
-              .join(chosen, "id", "left_semi").select("lang", "text"))
+    return (pool.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
+                        F.col(text_col).cast("string").alias("text"))
+            .join(chosen, "id", "left_semi").select("lang", "text"))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS):
+    """Fit on :func:`labelled_texts`.  Returns (pieces, languages, probs)."""
+    pieces = read_pieces(vocabulary or default_vocabulary())
+    sample = labelled_texts(docs, id_col, text_col, lang_col, sample_docs)
 
     def count(batches):
         for batch in row_slices(batches, "text"):
@@ -286,11 +297,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return pieces, langs, probs
 
 
+def least_per_letter(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                     sample_docs: int = SAMPLE_DOCS, min_letters: int = MIN_LETTERS) -> dict[str, float]:
+    """The score per letter of each learned language that 99 % of its labelled texts with at
+    least ``min_letters`` letters reach (the sample that :func:`fit` learns from)."""
+    pieces, langs, probs = model
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, probs))
+
+    def measure(batches):
+        scorer = Scorer(*shared.value) if langs else None
+        for batch in row_slices(batches, "text"):
+            if scorer:
+                total, _, letters = scorer.texts(texts_of(batch, "text"), True)
+                own = np.array([langs.index(x) if x in langs else -1 for x in batch.column("lang").to_pylist()])
+                at = np.flatnonzero((own >= 0) & (letters >= min_letters))
+                yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(at)), pa.array(total[at, own[at]] / letters[at])],
+                                                 names=["lang", "v"])
+
+    sample = labelled_texts(docs, id_col, text_col, lang_col, sample_docs)
+    # At most ``sample_docs`` rows of a language.
+    return {r["lang"]: r["v"] for r in sample.mapInArrow(measure, "lang string, v double")
+            .groupBy("lang").agg(F.percentile("v", F.lit(0.01)).alias("v")).collect()}
+
+
 def identify(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", vocabulary: str | None = None,
-             sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+             sample_docs: int = SAMPLE_DOCS, per_letter: bool = False) -> DataFrame:
     """All columns of ``docs`` plus ``held_out``, ``lang_pred`` and ``score`` (replacing
-    input columns of these names).
+    input columns of these names), and with ``per_letter`` the predicted language's log
+    score per letter, word starts counted (null without a letter) and ``n_letters``.
 
     ``score`` is the posterior of the predicted language under equal priors.  A null
     text, an empty one and one without a letter get ``und`` and 0.0, and so does every
@@ -301,7 +336,7 @@ def identify(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str
     """
     pieces, langs, probs = model or fit(docs, id_col, text_col, lang_col, vocabulary, sample_docs)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, probs))
-    added = ["held_out", "lang_pred", "score"]
+    added = ["held_out", "lang_pred", "score", *(["per_letter", "n_letters"] if per_letter else [])]
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     names = base.columns
@@ -311,19 +346,22 @@ def identify(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str
         for batch in row_slices(batches, text_col):
             n = batch.num_rows
             pred, best = np.full(n, UNDETERMINED, dtype=object), np.zeros(n)
+            letter, letters, height = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), np.zeros(n)
             if scorer:
-                total, letter = scorer.texts(texts_of(batch, text_col))
-                total -= total.max(axis=1, keepdims=True)
+                total, letter, letters = scorer.texts(texts_of(batch, text_col), True)
                 top = total.argmax(axis=1)
+                height = total[np.arange(n), top] / np.maximum(letters, 1)
+                total -= total.max(axis=1, keepdims=True)
                 post = 1.0 / np.exp(total).sum(axis=1)
                 pred[letter] = np.array(langs, dtype=object)[top[letter]]
                 best[letter] = post[letter]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(pred, pa.string()), pa.array(best, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"])
+                [*batch.columns, pa.array(pred, pa.string()), pa.array(best, pa.float64()),
+                 *([pa.array(height, mask=~letter), pa.array(letters, pa.int64())] if per_letter else [])],
+                names=[*batch.schema.names, *added[1:]])
 
     schema = base.withColumn("held_out", held)
-    out = _schema_with(schema, "lang_pred string, score double")
+    out = _schema_with(schema, "lang_pred string, score double" + (", per_letter double, n_letters long" if per_letter else ""))
     return schema.mapInArrow(score, out).select(*names, *added)
 
 
