@@ -8,9 +8,12 @@ on its left is read off the forward transform, one word more on its right off th
 one, and both intervals follow.  So the phrases of k words of a shard come with their
 counts from those of k - 1 words, and Spark sums the counts across shards.
 
-Only phrases whose parts are frequent in the whole corpus are extended.  The frequent
-phrases of the last level reach the tasks as a bit table of at most ``MAX_BITS`` bits; a
-chance hit costs a row of shuffle and never a result, because counts are exact.
+Only phrases whose parts are frequent in the whole corpus are extended.  The phrases of a
+level that may be frequent reach the tasks as a bit table of at most ``MAX_BITS`` bits.
+Which they are is found by hashes: a task sends the hashes of its phrases, 40 bits or so
+each, sorted and packed by bucket, and each bucket sums their counts.  Two phrases of one
+hash, and a chance hit in the bit table, only let a phrase through that is not frequent:
+those let through are counted as text, exactly.
 """
 
 from __future__ import annotations
@@ -39,16 +42,22 @@ SHARD_WORDS = 2_000_000
 #: Bits of a table of frequent phrases: 16 to 32 for each phrase, up to 16 MB.
 MIN_BITS = 1 << 16
 MAX_BITS = 1 << 27
-#: Copies of every count that a candidate may be joined to, so that a word which starts
-#: very many phrases is no single key.
-SALTS = 16
+#: Copies of a word's count that candidates are joined to, so that a word which starts very
+#: many phrases is no single key.
+SALTS = 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?" or 10 <= c <= 13 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [32, 9, 10])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Hashes a task gathers before it sends them, hashes aimed at per bucket, and the low bits
+#: of a hash that stay within its bucket.
+GATHER = 1 << 22
+BUCKET_HASHES = 1 << 21
+LOW_BITS = 32
 #: A row of the index holds a shard, so few rows go to a task's worker at once.
-_FEW_ROWS = {"spark__sql__execution__arrow__maxRecordsPerBatch": "8",
-             "spark__sql__parquet__compression__codec": "zstd"}
-INDEX = "lang string, words array<string>, counts array<long>, bwt binary, rbwt binary"
+_FEW_ROWS = {"spark__sql__execution__arrow__maxRecordsPerBatch": "8"}
+_ZSTD = {"spark__sql__parquet__compression__codec": "zstd"}
+#: Words joined by a space in order of their symbols, with their counts and hashes.
+INDEX = "lang string, words string, counts array<int>, hashes binary, bwt binary, rbwt binary"
 
 
 @dataclass
@@ -74,9 +83,9 @@ class Index:
     def words(self, symbols: np.ndarray) -> Intervals:
         return Intervals(symbols[:, None], self.first[symbols], self.first[symbols], self.sizes[symbols])
 
-    def extend(self, phrases: Intervals, left: bool, keep=None) -> Intervals:
+    def extend(self, phrases: Intervals, left: bool, keep=None, last: bool = False) -> Intervals:
         """All phrases one word longer on the left (right) side, those for which
-        ``keep(ids)`` holds."""
+        ``keep(ids)`` holds.  ``last``: they are not extended again, so counts will do."""
         bwt = self.bwt if left else self.rbwt
         here, there = (phrases.low, phrases.rlow) if left else (phrases.rlow, phrases.low)
         rows = ragged(here, phrases.size)
@@ -93,12 +102,14 @@ class Index:
         starts, size, head, who, new = (x[real] for x in (starts, size, head, who, new))
         parts = (new[:, None], phrases.ids[who]) if left else (phrases.ids[who], new[:, None])
         ids = np.concatenate(parts, axis=1)
+        if keep is not None:
+            at = keep(ids)
+            ids, starts, size, head, who, new = (x[at] for x in (ids, starts, size, head, who, new))
+        if last:
+            return Intervals(ids, size, size, size)
         begin = np.cumsum(phrases.size) - phrases.size
         low, rlow = self.first[new] + self._before(bwt, rows[head], new), there[who] + starts - begin[who]
-        if not left:
-            low, rlow = rlow, low
-        out = Intervals(ids, low, rlow, size)
-        return out if keep is None else out.pick(keep(ids))
+        return Intervals(ids, low, rlow, size) if left else Intervals(ids, rlow, low, size)
 
     def _before(self, bwt: np.ndarray, rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """How often each symbol stands in ``bwt`` before its row."""
@@ -118,9 +129,6 @@ class Intervals:
     rlow: np.ndarray
     size: np.ndarray
 
-    def pick(self, at: np.ndarray) -> Intervals:
-        return Intervals(self.ids[at], self.low[at], self.rlow[at], self.size[at])
-
 
 def _suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes ordered by their first ``depth`` symbols; a depth-limited index needs no more."""
@@ -184,15 +192,20 @@ def index_shards(docs: DataFrame, lang_col: str, text_col: str, depth: int,
             every, table = words.encoded()
             lang = tags.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.text_of_word]
             for number, ids, opening in shards(every, opens, lang, shard_words):
-                used, symbol, counts = np.unique(ids, return_inverse=True, return_counts=True)
+                counts = np.bincount(ids, minlength=len(table))
+                used = np.flatnonzero(counts)
+                counts, symbol = counts[used], (np.cumsum(counts > 0) - 1)[ids]
                 t = np.zeros(len(ids) + int(opening.sum()) + 1, dtype=np.int32)
                 t[np.arange(len(ids)) + np.cumsum(opening)] = symbol + 1
                 fm = Index.build(t, depth)
+                own = table.take(pa.array(used))
+                name = tags.dictionary[number]
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), " ")
                 yield pa.RecordBatch.from_arrays(
-                    [tags.dictionary.take(pa.array([number])), pa.array([table.take(pa.array(used)).to_pylist()], pa.list_(pa.string())),
-                     pa.array([counts], pa.list_(pa.int64())), pa.array([fm.bwt.astype("<i4").tobytes()], pa.binary()),
-                     pa.array([fm.rbwt.astype("<i4").tobytes()], pa.binary())],
-                    names=["lang", "words", "counts", "bwt", "rbwt"])
+                    [pa.array([name.as_py()], pa.string()), joined, pa.array([counts], pa.list_(pa.int32())),
+                     *[pa.array([x.tobytes()], pa.binary()) for x in (
+                         word_hashes(name.as_py(), own.to_pylist()), fm.bwt.astype("<i4"), fm.rbwt.astype("<i4"))]],
+                    names=["lang", "words", "counts", "hashes", "bwt", "rbwt"])
 
     return base.mapInArrow(build, INDEX)
 
@@ -211,108 +224,210 @@ def phrase_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 class Frequent:
-    """A bit table of phrases: never misses one that it was built from."""
+    """A bit table of phrases: never misses one that it was built from.  With ``buckets`` it is
+    built from bucket and low bits of their hashes."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, buckets: int | None = None):
+        self.bits, self.buckets = bits, buckets
 
     @staticmethod
     def slots(hashes: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        mask = np.uint64(n_bits - 1)
-        return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+        mixed, mask = mix64(hashes), np.uint64(n_bits - 1)
+        return (mixed & mask).astype(np.int64), ((mixed >> np.uint64(32)) & mask).astype(np.int64)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if self.buckets:
+            low = np.uint64((1 << LOW_BITS) - 1)
+            hashes = (hashes & low) | (((hashes >> np.uint64(LOW_BITS)) % np.uint64(self.buckets)) << np.uint64(LOW_BITS))
         out = np.ones(len(hashes), dtype=bool)
         for slot in self.slots(hashes, 64 * len(self.bits)):
             out &= (self.bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
         return out
 
     @staticmethod
-    def of(table: DataFrame, n: int) -> Frequent:
-        """From phrases (lang, phrase): tasks send the 64-bit cells they set, Spark joins
-        them, and at most ``MAX_BITS`` bits reach the driver."""
+    def of(hashes: DataFrame, n: int, buckets: int | None = None) -> Frequent:
+        """From a column ``hash`` of ``n`` phrase hashes: tasks send the 64-bit cells they
+        set, Spark joins them, and at most ``MAX_BITS`` bits reach the driver."""
         n_bits = MIN_BITS
         while n_bits < min(16 * n, MAX_BITS):
             n_bits *= 2
 
         def cells(batches):
             for batch in batches:
-                tags = batch.column("lang").dictionary_encode()
-                number = tags.indices.to_numpy(zero_copy_only=False)
-                split = [p.split(" ") for p in batch.column("phrase").to_pylist()]
-                hashes = np.zeros(len(split), dtype=np.uint64)
-                for i, lang in enumerate(tags.dictionary.to_pylist()):
-                    at = np.flatnonzero(number == i)
-                    flat = word_hashes(lang, [w for j in at for w in split[j]])
-                    hashes[at] = phrase_hashes(flat.reshape(len(at), -1))
-                slot = np.concatenate(Frequent.slots(hashes, n_bits))
+                values = batch.column("hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                slot = np.concatenate(Frequent.slots(values, n_bits))
                 cell, where = np.unique(slot >> 6, return_inverse=True)
                 value = np.zeros(len(cell), dtype=np.uint64)
                 np.bitwise_or.at(value, where, np.uint64(1) << (slot & 63).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(value.view(np.int64), pa.int64())],
                                                  names=["cell", "bits"])
 
-        got = (table.select("lang", "phrase").mapInArrow(cells, "cell long, bits long")
+        got = (hashes.select("hash").mapInArrow(cells, "cell long, bits long")
                .groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow())
         out = np.zeros(n_bits // 64, dtype=np.uint64)
         out[got.column("cell").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-        return Frequent(out)
+        return Frequent(out, buckets)
 
 
-def shard_phrases(lang: str, words: list[str], fm: Index, tables: list[Frequent], k: int) -> Intervals:
-    """Phrases of ``k`` words of a shard whose parts of k - 1 words are in ``tables[k - 2]``;
-    words join on the left and on the right in turn."""
-    hashes = np.concatenate((np.zeros(1, dtype=np.uint64), word_hashes(lang, words)))
+def hashes_of(table: DataFrame) -> DataFrame:
+    """The hashes of phrases (lang, phrase) of one size as a column ``hash``."""
+    def hash_rows(batches):
+        for batch in batches:
+            tags = batch.column("lang").dictionary_encode()
+            number = tags.indices.to_numpy(zero_copy_only=False)
+            split = [p.split(" ") for p in batch.column("phrase").to_pylist()]
+            out = np.zeros(len(split), dtype=np.uint64)
+            for i, lang in enumerate(tags.dictionary.to_pylist()):
+                at = np.flatnonzero(number == i)
+                flat = word_hashes(lang, [w for j in at for w in split[j]])
+                out[at] = phrase_hashes(flat.reshape(len(at), -1))
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64), pa.int64())], names=["hash"])
+
+    return table.select("lang", "phrase").mapInArrow(hash_rows, "hash long")
+
+
+def shard_phrases(row: dict, tables: list[Frequent], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(size, ids, counts, word hashes by id) of the phrases of 2, 3, .. ``k`` words of a shard.
+    ``tables[i]`` holds the frequent phrases of i + 1 words: phrases are kept that it
+    holds, or, beyond the last table, whose parts it holds.  Words join on the left and
+    on the right in turn."""
+    fm = Index(np.frombuffer(row["bwt"], dtype="<i4"), np.frombuffer(row["rbwt"], dtype="<i4"))
+    hashes = np.concatenate((np.zeros(1, dtype=np.uint64), np.frombuffer(row["hashes"], dtype=np.uint64)))
     found = fm.words(1 + np.flatnonzero(tables[0](phrase_hashes(hashes[1:, None]))))
     for size in range(2, k + 1):
         left = size % 2 == 0
 
         def known(ids, size=size, left=left):
-            if size < k:
+            if size <= len(tables):
                 return tables[size - 1](phrase_hashes(hashes[ids]))
             # The other part is the phrase that was extended.
             part = ids[:, :-1] if left else ids[:, 1:]
-            return tables[k - 2](phrase_hashes(hashes[part]))
+            return tables[size - 2](phrase_hashes(hashes[part]))
+
+        found = fm.extend(found, left, known, last=size == k)
+        yield size, found.ids, found.size, hashes
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
+def _packed(hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, n, block): the bucket's sorted low hash bits as steps, and counts up to 255."""
+    mask = np.uint64((1 << LOW_BITS) - 1)
+    # A bucket follows from the upper bits alone, so equal hashes meet.
+    bucket = ((hashes >> np.uint64(LOW_BITS)) % np.uint64(buckets)).astype(np.uint64)
+    key, where = np.unique((bucket << np.uint64(LOW_BITS)) | (hashes & mask), return_inverse=True)
+    total = np.minimum(np.bincount(where, weights=counts), 255).astype(np.uint8)
+    edges = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(LOW_BITS))
+    low = (key & mask).astype(np.uint32)
+    codec, rows = pa.Codec("zstd", compression_level=1), []
+    for i in np.flatnonzero(np.diff(edges)):
+        part = low[edges[i]:edges[i + 1]]
+        block = np.diff(part, prepend=np.uint32(0)).tobytes() + total[edges[i]:edges[i + 1]].tobytes()
+        rows.append((int(i), len(part), codec.compress(block, asbytes=True)))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                                      names=["bucket", "n", "block"])
+
+
+def _unpacked(n: int, block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(block, decompressed_size=5 * n, asbytes=True)
+    return np.cumsum(np.frombuffer(raw, dtype=np.uint32, count=n), dtype=np.uint32), np.frombuffer(raw, dtype=np.uint8, offset=4 * n)
+
+
+def frequent_hashes(index: DataFrame, tables: list[Frequent], k: int, min_count: int, buckets: int) -> DataFrame:
+    """Column ``hash``: (bucket, low bits) as one number for every hash whose phrases of ``k``
+    words occur ``min_count`` times or more together (255 times, if that is less: a packed count stops there)."""
+    shared = index.sparkSession.sparkContext.broadcast(tables)
+
+    def send(batches):
+        held, n = [], 0
+        for row in _shards(batches):
+            for size, ids, counts, hashes in shard_phrases(row, shared.value, k):
+                if size == k and len(ids):
+                    held.append((phrase_hashes(hashes[ids]), counts))
+                    n += len(ids)
+            if n >= GATHER:
+                yield _packed(*map(np.concatenate, zip(*held, strict=True)), buckets)
+                held, n = [], 0
+        if held:
+            yield _packed(*map(np.concatenate, zip(*held, strict=True)), buckets)
+
+    def add(batches):
+        # Rows come sorted by bucket.
+        now, held = None, []
+        for batch in batches:
+            for bucket, n, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "block")), strict=True):
+                if bucket != now and held:
+                    yield _sums(now, held, min_count)
+                    held = []
+                now = bucket
+                held.append(_unpacked(n, block))
+                if len(held) >= 64:
+                    held = [_summed(held)]
+        if held:
+            yield _sums(now, held, min_count)
+
+    blocks = index.select("hashes", "bwt", "rbwt").mapInArrow(send, "bucket int, n int, block binary")
+    return (blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "hash long"))
+
 
-        found = fm.extend(found, left, known)
-    return found
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    low, counts = map(np.concatenate, zip(*held, strict=True))
+    order = np.argsort(low)
+    low = low[order]
+    starts = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
+    return low[starts], np.minimum(np.add.reduceat(counts[order].astype(np.int64), starts), 1 << 40)
 
 
-def count_phrases(index: DataFrame, tables: list[Frequent], k: int) -> DataFrame:
-    """(lang, phrase, f): summed counts of the phrases of ``k`` words that the tables leave."""
+def _sums(bucket: int, held: list, min_count: int) -> pa.RecordBatch:
+    low, counts = _summed(held)
+    often = low[counts >= min(min_count, 255)].astype(np.int64) | np.int64(bucket << LOW_BITS)
+    return pa.RecordBatch.from_arrays([pa.array(often, pa.int64())], names=["hash"])
+
+
+def count_phrases(index: DataFrame, tables: list[Frequent], sizes: list[int]) -> DataFrame:
+    """(lang, phrase, size, f): summed counts of the phrases of ``sizes`` that the tables leave."""
     shared = index.sparkSession.sparkContext.broadcast(tables)  # at most MAX_BITS bits each
 
     def enumerate_(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                fm = Index(np.frombuffer(row["bwt"], dtype="<i4"), np.frombuffer(row["rbwt"], dtype="<i4"))
-                got = shard_phrases(row["lang"], row["words"], fm, shared.value, k)
-                if not len(got.size):
-                    continue
-                words = pa.array(row["words"], pa.string())
-                parts = [words.take(pa.array(got.ids[:, j] - 1)) for j in range(k)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["lang"]] * len(got.size), pa.string()), pc.binary_join_element_wise(*parts, " "),
-                     pa.array(got.size, pa.int64())], names=["lang", "phrase", "f"])
-
-    return (index.select("lang", "words", "bwt", "rbwt").mapInArrow(enumerate_, "lang string, phrase string, f long")
-            .groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
+        for row in _shards(batches):
+            words = pa.array(row["words"].split(" "), pa.string())
+            for size, ids, counts, _ in shard_phrases(row, shared.value, sizes[-1]):
+                if size in sizes and len(ids):
+                    n = len(ids)
+                    parts = [words.take(pa.array(ids[:, j] - 1)) for j in range(size)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(row["lang"], pa.string()), n), pc.binary_join_element_wise(*parts, " "),
+                         pa.repeat(pa.scalar(size, pa.int32()), n), pa.array(counts, pa.int64())],
+                        names=["lang", "phrase", "size", "f"])
+
+    return (index.select("lang", "words", "hashes", "bwt", "rbwt")
+            .mapInArrow(enumerate_, "lang string, phrase string, size int, f long")
+            .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")))
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = MAX_WORDS,
                      min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS) -> tuple[list[DataFrame], DataFrame]:
     """Tables (lang, phrase, f) of the phrases of 1, 2, .. ``max_words`` words that occur
     ``min_count`` times or more in their language, and (lang, n) with n all words."""
-    index = materialise(index_shards(docs, lang_col, text_col, max_words, shard_words), "phrase-index", **_FEW_ROWS)
-    pairs = index.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    every = pairs.groupBy("lang", F.col("x.words").alias("phrase")).agg(F.sum("x.counts").alias("f"))
+    index = materialise(index_shards(docs, lang_col, text_col, max_words, shard_words), "phrase-index", **_ZSTD)
+    counted = F.explode(F.arrays_zip(F.split("words", " ").alias("word"), F.col("counts").alias("f"))).alias("x")
+    every = index.select("lang", counted).groupBy("lang", F.col("x.word").alias("phrase")).agg(F.sum("x.f").alias("f"))
     total = materialise(index.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
                         .groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    levels, tables = [materialise(every.filter(F.col("f") >= min_count), "phrases-1")], []
+    levels = [materialise(every.filter(F.col("f") >= min_count), "phrases-1")]
+    tables = [Frequent.of(hashes_of(levels[0]), levels[0].count())]
+    buckets = max(1, (total.agg(F.sum("n")).first()[0] or 0) // BUCKET_HASHES + 1)
     for k in range(2, max_words + 1):
-        tables.append(Frequent.of(levels[-1], levels[-1].count()))
-        levels.append(materialise(count_phrases(index, tables, k).filter(F.col("f") >= min_count), f"phrases-{k}",
-                                  **_FEW_ROWS))
+        often = materialise(frequent_hashes(index, tables, k, min_count, buckets), f"phrase-hashes-{k}", **_FEW_ROWS)
+        tables.append(Frequent.of(often, often.count(), buckets))
+        release(often)
+    found = materialise(count_phrases(index, tables, list(range(2, max_words + 1))).filter(F.col("f") >= min_count),
+                        "phrases", **_FEW_ROWS)
+    levels += [found.filter(F.col("size") == k).select("lang", "phrase", "f") for k in range(2, max_words + 1)]
     release(index)
     return levels, total
 
@@ -341,16 +456,17 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_wo
     if max_words < 2:
         raise ValueError("a collocation has two words at least")
     levels, total = frequent_phrases(docs, lang_col, text_col, max_words, min_count, shard_words)
-    known = levels[0]
+    # A word may be part of very many candidates, so its count stands under several salts.
+    known = levels[0].withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     for x in levels[1:-1]:
-        known = known.unionByName(x)
+        known = known.unionByName(x.withColumn("salt", F.lit(0)))
     found = levels[1]
     for x in levels[2:]:
         found = found.unionByName(x)
     words = F.split("phrase", " ")
     found = found.withColumnRenamed("f", "a").withColumn("words", words).withColumn("size", F.size("words"))
 
-    # Every cut asks for the counts of its two parts; the parts are joined under a salt.
+    # Every cut asks for the counts of its two parts.
     def cuts(row):
         return F.flatten(F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.array(
             F.struct(k.alias("cut"), F.lit(0).alias("side"), F.array_join(F.slice("words", F.lit(1), k), " ").alias("part")),
@@ -358,10 +474,10 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_wo
                      F.array_join(F.slice("words", k + 1, F.col("size") - k), " ").alias("part")))))
 
     asked = (found.select("lang", "phrase", "a", F.explode(cuts(found)).alias("x"))
-             .select("lang", "phrase", "a", "x.*", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int").alias("salt")))
-    counts = known.select("lang", F.col("phrase").alias("part"), "f",
-                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    parts = (asked.join(counts, ["lang", "part", "salt"])
+             .select("lang", "phrase", "a", "x.*")
+             .withColumn("salt", F.when(F.col("part").contains(" "), 0)
+                         .otherwise(F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))))
+    parts = (asked.join(known.withColumnRenamed("phrase", "part"), ["lang", "part", "salt"])
              .groupBy("lang", "phrase", "a", "cut")
              .agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"),
                   F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r")))

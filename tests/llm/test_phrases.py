@@ -72,7 +72,7 @@ def test_intervals_of_the_index_hold_every_occurrence():
 
 def test_frequent_table_misses_nothing(spark):
     rows = [("en" if i % 3 else "fr", f"w{i} v{i}", 10) for i in range(5000)]
-    table = P.Frequent.of(spark.createDataFrame(rows, "lang string, phrase string, f long").repartition(4), 5000)
+    table = P.Frequent.of(P.hashes_of(spark.createDataFrame(rows, "lang string, phrase string, f long").repartition(4)), 5000)
     for lang in ("en", "fr"):
         own = [p.split() for g, p, _ in rows if g == lang]
         hashes = P.word_hashes(lang, [w for p in own for w in p]).reshape(-1, 2)
@@ -81,6 +81,19 @@ def test_frequent_table_misses_nothing(spark):
         assert table(P.phrase_hashes(other)).mean() < 0.2
 
 
+def test_packed_hashes_sum_up():
+    rng = np.random.default_rng(3)
+    hashes = np.concatenate((rng.integers(0, 1 << 63, 400, dtype=np.uint64), rng.integers(0, 9, 300, dtype=np.uint64) << np.uint64(33)))
+    counts, want = rng.integers(1, 300, 700), Counter()
+    for h, c in zip(hashes.tolist(), counts.tolist(), strict=True):
+        want[((h >> 32) % 5, h & 0xFFFFFFFF)] += c
+    got = P._packed(hashes, counts, 5)
+    rows = [(b, *P._unpacked(n, x)) for b, n, x in zip(*(got.column(c).to_pylist() for c in range(3)), strict=True)]
+    assert {(b, int(v)): int(c) for b, low, n in rows for v, c in zip(low, n, strict=True)} == {k: min(c, 255) for k, c in want.items()}
+    low, sums = P._summed([(np.array([3, 5], dtype=np.uint32), np.array([200, 1], dtype=np.uint8)), (np.array([3], dtype=np.uint32), np.array([200]))])
+    assert low.tolist() == [3, 5] and sums.tolist() == [400, 1]
+
+
 @pytest.mark.parametrize("depth,least,cover,top,shard", [(3, 10, 50, 2000, 2_000_000), (3, 3, 80, 7, 40), (4, 4, 50, None, 300), (2, 2, 50, 5, 10)])
 def test_mine(frame, depth, least, cover, top, shard):
     from pyspark.sql import functions as F
