@@ -124,7 +124,7 @@ def brute_anomalies(values, window, threshold, centred, least):
     return out
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.one_of(st.none(), st.integers(-3, 3), st.sampled_from([50, -80])), min_size=1, max_size=40),
        st.integers(1, 6), st.booleans(), st.sampled_from([0.5, 3.5]))
 def test_anomalies_against_brute_force(spark, values, window, centred, threshold):
