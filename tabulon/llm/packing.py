@@ -114,28 +114,37 @@ def cut(length: int, sequence: int, unit: int) -> list[int]:
     return out
 
 
+def cuts(lengths: np.ndarray, sequence: int, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`cut` of many documents: the piece lengths back to back, and each one's document."""
+    rest = lengths % sequence
+    tail = rest % unit
+    parts = np.stack((lengths // sequence, rest >= unit, tail > 0), axis=1).astype(np.int64)
+    size = np.stack((np.full(len(lengths), sequence), rest - tail, tail), axis=1)
+    return np.repeat(size.reshape(-1), parts.reshape(-1)), np.repeat(np.arange(len(lengths)), parts.sum(axis=1))
+
+
 def pieces(docs: DataFrame, id_col: str, text_col: str, sequence: int, unit: int, path: str) -> DataFrame:
     """One row per piece; ``rank`` numbers the pieces of one length within a task's ``chunk``."""
     def run(batches: Iterator[pa.RecordBatch]):
         encoder, chunk = Encoder(path), TaskContext.get().partitionId()
-        used: dict[int, int] = {}
+        used = np.zeros(sequence + 1, dtype=np.int64)
         for batch in row_slices(batches, "text"):
             ids, first = encoder.encode(texts_of(batch, "text"))
-            raw = ids.astype("<u4").tobytes()
-            cols: list[list] = [[] for _ in range(6)]
-            for i in range(batch.num_rows):
-                start, total = 0, int(first[i + 1] - first[i])
-                for size in cut(total, sequence, unit):
-                    a = 4 * (int(first[i]) + start)
-                    rank = used.get(size, 0)
-                    used[size] = rank + 1
-                    for store, value in zip(cols, (i, start, size, zlib.crc32(raw[a:a + 4 * size]), total, rank),
-                                            strict=True):
-                        store.append(value)
-                    start += size
+            raw, total = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.diff(first)
+            size, doc = cuts(total, sequence, unit)
+            # The documents' pieces lie back to back, as their ids do.
+            ends = np.cumsum(size)
+            begin = ends - size
+            crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip((4 * begin).tolist(), (4 * ends).tolist(), strict=True)),
+                              dtype=np.int64, count=len(size))
+            order = np.argsort(size, kind="stable")
+            counts = np.bincount(size, minlength=sequence + 1)
+            rank = np.empty(len(size), dtype=np.int64)
+            rank[order] = np.arange(len(size)) - np.repeat(np.cumsum(counts) - counts, counts) + used[size[order]]
+            used += counts
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(cols[0], pa.int64())),
-                 *[pa.array(c, pa.int64()) for c in cols[1:]], pa.array([chunk] * len(cols[0]), pa.int64())],
+                [batch.column("doc_id").take(pa.array(doc)), *[pa.array(c, pa.int64()) for c in (
+                    begin - first[doc], size, crc, total[doc], rank, np.full(len(size), chunk))]],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "chunk"])
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
