@@ -2,7 +2,7 @@
 
 ``function_transform`` takes a DataFrame → DataFrame function (Spark columns,
 fully optimised by Catalyst).  ``grouped_function`` runs a pandas function per
-key with ``applyInPandas``; for keys that can be hot, pass ``partial`` and
+key (or over many whole groups at a time) with ``applyInPandas``; for keys that can be hot, pass ``partial`` and
 ``final`` so each key is first split over salt buckets and the partial
 results are merged — no key is ever loaded whole into one task.
 ``batch_function`` runs a row-local pandas function per Arrow batch.
@@ -75,7 +75,7 @@ def pack_bucket_count(df: DataFrame, pack_rows: int, total: int | None = None) -
 def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
                      partial=None, partial_schema: str | None = None, partial_rows: int = 500_000,
                      pack_buckets: int | None = None, pack_rows: int | None = None,
-                     max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+                     max_group_rows: int | None = MAX_GROUP_ROWS, many_groups: bool = False) -> DataFrame:
     """Pandas function per key.
 
     Without ``partial`` the function sees each whole group: use it for keys
@@ -93,7 +93,13 @@ def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
     ``pack_rows`` sizes the buckets from the data instead: about that many
     rows per bucket (a row count sets the number of buckets, never fewer
     than four per shuffle partition), so a packed group stays the same size
-    however large the table grows."""
+    however large the table grows.
+
+    With ``many_groups`` a packed frame goes to ``fn`` as it is: all rows of many keys, of
+    which ``fn`` makes the rows of every key (pandas' own grouped functions), so that no
+    Python call is made per key."""
+    if many_groups and (partial is not None or not (pack_rows or pack_buckets)):
+        raise ValueError("many_groups goes with pack_rows or pack_buckets")
     if partial is None:
         if max_group_rows is not None or pack_rows:
             sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -105,8 +111,9 @@ def grouped_function(df: DataFrame, keys: list[str], fn, schema: str,
                 pack_buckets = pack_bucket_count(df, pack_rows, total)
         if pack_buckets:
             bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(pack_buckets))
+            run = fn if many_groups else _packed(keys, fn)
             return (df.withColumn("_bucket", bucket).groupBy("_bucket")
-                    .applyInPandas(lambda pdf: _packed(keys, fn)(pdf.drop(columns=["_bucket"])), schema))
+                    .applyInPandas(lambda pdf: run(pdf.drop(columns=["_bucket"])), schema))
         return df.groupBy(*keys).applyInPandas(fn, schema)
     def reduce_rows(batches):
         import pandas as pd
