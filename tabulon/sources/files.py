@@ -98,26 +98,20 @@ def read_csv(spark: SparkSession, path: str, infer_schema: bool = True,
 def _headers(spark: SparkSession, path: str) -> tuple[list[tuple[list[str], list[str] | None]], bool]:
     """Column names of every distinct header with its files (None: all of ``path``), that of
     the first file in front; and whether any line has an odd number of quotes."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"))
-    head = (F.col("block") == 0) & (F.trim("value") != "")
-    broken = F.col("value").contains('"') & (F.regexp_count("value", F.lit('"')) % 2 == 1)
-    per_file = lines.groupBy("file").agg(F.min_by(F.when(head, F.col("value")), F.when(head, F.col("at"))).alias("head"),
-                                         F.bool_or(broken).alias("broken"))
+    per_file = _file_heads(spark, path)
     # One row per distinct header.
     groups = sorted(per_file.groupBy("head").agg(F.min("file").alias("file"), F.bool_or("broken").alias("broken")).collect(),
                     key=lambda r: r["file"])
     odd = any(r["broken"] for r in groups)
     groups = [r for r in groups if r["head"] is not None]
-    files: dict[str, list[str] | None] = {r["head"]: None for r in groups}
+    files: dict[int, list[str] | None] = {r["head"]: None for r in groups}
     if len(groups) > 1:
         # File names are what the reader lists on the driver anyway.
         for r in per_file.filter(F.col("head").isNotNull()).groupBy("head").agg(F.sort_array(F.collect_set("file")).alias("f")).collect():
             files[r["head"]] = [_plain_path(f) for f in r["f"]]
     out: dict[tuple, tuple[list[str], list[str] | None]] = {}
     for r in groups:
-        names = _names(spark, r["head"], _plain_path(r["file"]))
+        names = _names(spark, _first_line(spark, _plain_path(r["file"])), _plain_path(r["file"]))
         if tuple(names) in out and files[r["head"]] is not None:
             out[tuple(names)][1].extend(files[r["head"]])
         else:
@@ -127,6 +121,24 @@ def _headers(spark: SparkSession, path: str) -> tuple[list[tuple[list[str], list
     return list(out.values()), odd
 
 
+def _file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(file, head, broken): the hash of each file's first line that is not blank, and whether
+    any of its lines has an odd number of quotes."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    head = (F.col("block") == 0) & (F.trim("value") != "")
+    broken = F.col("value").contains('"') & (F.regexp_count("value", F.lit('"')) % 2 == 1)
+    # Numbers only: an aggregate that holds text would sort all lines of a task by file.
+    return lines.groupBy("file").agg(F.min_by(F.when(head, F.xxhash64("value")), F.when(head, F.col("at"))).alias("head"),
+                                     F.bool_or(broken).alias("broken"))
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    """The first line of a file that is not blank; Spark reads no further."""
+    return spark.read.text(file).filter(F.trim("value") != "").first()["value"]
+
+
 def _plain_path(uri: str) -> str:
     """A listed file's address as a path for the reader, which takes patterns."""
     import re
