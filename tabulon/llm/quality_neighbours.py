@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.batches import Words, row_slices, texts_of
-from tabulon.llm.quality_rules import gram_buckets, labelled_sample
+from tabulon.llm.quality_rules import gram_buckets, quality_marks
 from tabulon.llm.scratch import materialise, release
 
 #: Labelled documents per quality that are learned from (by hash order of their ids).  They
@@ -155,6 +155,18 @@ def votes(vectors: np.ndarray, known: np.ndarray, good: np.ndarray, balance: np.
     return yes / (yes + no)
 
 
+def labelled_sample(labels: DataFrame, sample_docs: int) -> DataFrame:
+    """(__id, quality): at most ``sample_docs`` distinct ids per quality 0 and 1."""
+    marks = quality_marks(labels)
+    sizes = marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+    # A first cut by the share that is wanted (four times over) leaves few rows to rank.
+    share = F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    order = Window.partitionBy("quality").orderBy(share, "__id")
+    return materialise(marks.join(sizes, "quality").filter(share * F.col("n") < 4.0 * sample_docs)
+                       .withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample_docs)
+                       .select("__id", "quality"), "quality-sample")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sample_docs: int = SAMPLE_DOCS, dimensions: int = DIMENSIONS):
     """(space, labelled vectors, labels) from at most ``sample_docs`` documents per quality

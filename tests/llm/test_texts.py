@@ -224,6 +224,28 @@ def test_quality(spark, frame):
     assert quality(frame([]), labels).count() == 0
 
 
+def test_quality_learns_from_every_label(frame, spark):
+    """5,100 trusted texts: all of them are counted, and the threshold lies between all
+    labelled scores of the two qualities."""
+    from tabulon.llm import quality_rules as Q
+    rows = [(i, f"w{i} " * 60 if i % 2 else " ".join(f"a{i}b{j}" for j in range(60))) for i in range(5100)]
+    rows += [(6000 + i, " ".join(f"##{i}|{j}" for j in range(60))) for i in range(20)]
+    labels = spark.createDataFrame([(d, int(d < 6000)) for d, _ in rows] * 2, "doc_id long, quality int")
+
+    def counts(texts):
+        out = np.zeros(Q.BUCKETS, dtype=np.int64)
+        for t in texts:
+            out += np.bincount(Q.gram_buckets(np.frombuffer(t.encode(), np.uint8), 4, Q.BUCKETS), minlength=Q.BUCKETS)
+        return out
+    ratio = Q.log_ratio(counts(t for d, t in rows if d < 6000), counts(t for _, t in rows))
+    got = quality(frame(rows), labels).collect()
+    assert len(got) == len(rows)
+    for r, t in [(r, dict(rows)[r.doc_id]) for r in got[::200]]:
+        want = ratio[Q.gram_buckets(np.frombuffer(t.encode(), np.uint8), 4, Q.BUCKETS)].mean()
+        assert abs(r.score - want) < 1e-9
+    assert all(r.kept == (r.doc_id < 6000 and not r.base_failed) for r in got)
+
+
 def test_scores_against_plain_counts(frame, spark):
     from tabulon.llm import quality_rules as Q
     rows = [(i, t) for i, t in enumerate(["abcabcabc", "xyz é xyz", "", None, "ab", "aaaaaaa"])]
