@@ -25,12 +25,12 @@ MARGIN = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages.  All but the text travels as one value, so no
     column of the documents meets those of the judgement."""
-    model = fit(docs)
-    least = least_per_letter(docs, model)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select("doc_id", "text", "lang", F.struct(*rest).alias("row"))
-    found = identify(rows, model, per_letter=True)
+    # Scored once: the limits come from all labelled texts, then the texts are held against them.
+    found = materialise(identify(rows, fit(docs), per_letter=True), "pipeline-identified")
     # One entry per learned language; without a labelled text of some length there is no limit.
+    least = {r["lang"]: r["least"] for r in least_per_letter(found).collect()}
     limit = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, v - MARGIN)]) if least else None
     known = F.lit(True) if limit is None else F.coalesce(
         (F.col("n_letters") < MIN_LETTERS) | (F.col("per_letter") >= F.try_element_at(limit, F.col("lang_pred"))), F.lit(True))

@@ -4,7 +4,8 @@ Each language has a probability for every piece of a fixed public vocabulary.  T
 score of a word is the sum over all its segmentations into pieces of the product
 of their probabilities (forward algorithm), and a text's score is the product over
 its words.  Piece probabilities come from a few rounds of expectation maximisation
-on the words of a bounded sample of labelled documents per language.
+on the words of all labelled documents: every round is a job over the counted words, and
+one number per language and piece reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,17 +13,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.batches import Words, mix64, ragged, row_slices, texts_of
-from tabulon.llm.scratch import materialise
+from tabulon.llm.scratch import materialise, release
+from tabulon.operators.ranking import exact_quantiles, quantile_names
 
-#: Documents per language that the model is fitted on (by hash order of their ids).
-SAMPLE_DOCS = 500
 EM_ROUNDS = 3
 #: Pieces longer than this many code points are left out of the vocabulary.
 MAX_PIECE = 8
@@ -33,6 +32,8 @@ UNKNOWN = 1e-8
 #: Pseudo-count of every piece.
 PSEUDO = 1e-3
 UNDETERMINED = "und"
+#: Share of a language's labelled texts that may lie below its least score per letter.
+BELOW = 0.01
 #: Letters from which a text's score per letter says something of the text.
 MIN_LETTERS = 20
 #: Words whose scores a worker remembers.
@@ -141,36 +142,33 @@ def word_scores(pieces: Pieces, words: list[str], probs: np.ndarray) -> np.ndarr
     return out
 
 
-def fit_language(pieces: Pieces, words: list[str], counts: np.ndarray,
-                 rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Piece probabilities by expectation maximisation on words with counts."""
+def expected_counts(pieces: Pieces, words: list[str], counts: np.ndarray, probs: np.ndarray | None = None) -> np.ndarray:
+    """Expected number of uses of each piece in words with counts: over their segmentations
+    under ``probs``, or without any every occurrence by its length."""
     expected = np.zeros(pieces.n + 1)
     for part, codes in _by_length(words, 500_000):
-        for k in range(1, min(MAX_PIECE, codes.shape[1]) + 1):
-            ids = pieces.find(codes, k)
-            w = np.broadcast_to(counts[part][:, None], ids.shape)[ids >= 0]
-            expected += np.bincount(ids[ids >= 0], weights=w * float(k), minlength=pieces.n + 1)
-    probs = _normalised(expected)
-    for _ in range(rounds):
-        expected = np.zeros(pieces.n + 1)
-        for part, codes in _by_length(words, 500_000):
-            alpha, found = _forward(pieces, codes, probs[:, None])
-            size = codes.shape[1]
-            beta = np.zeros((size + 1, len(part)))
-            beta[size] = 1.0
-            scale = counts[part] / alpha[-1, :, 0]
-            for t in range(size - 1, -1, -1):
-                for k in range(1, min(MAX_PIECE, size - t) + 1):
-                    ids = found[k][:, t]
-                    hit = np.flatnonzero(ids >= 0)
-                    if not len(hit):
-                        continue
-                    step = probs[ids[hit]] * beta[t + k, hit]
-                    beta[t, hit] += step
-                    expected += np.bincount(ids[hit], weights=alpha[t, hit, 0] * step * scale[hit],
-                                            minlength=pieces.n + 1)
-        probs = _normalised(expected)
-    return probs
+        size = codes.shape[1]
+        if probs is None:
+            for k in range(1, min(MAX_PIECE, size) + 1):
+                ids = pieces.find(codes, k)
+                w = np.broadcast_to(counts[part][:, None], ids.shape)[ids >= 0]
+                expected += np.bincount(ids[ids >= 0], weights=w * float(k), minlength=pieces.n + 1)
+            continue
+        alpha, found = _forward(pieces, codes, probs[:, None])
+        beta = np.zeros((size + 1, len(part)))
+        beta[size] = 1.0
+        scale = counts[part] / alpha[-1, :, 0]
+        for t in range(size - 1, -1, -1):
+            for k in range(1, min(MAX_PIECE, size - t) + 1):
+                ids = found[k][:, t]
+                hit = np.flatnonzero(ids >= 0)
+                if not len(hit):
+                    continue
+                step = probs[ids[hit]] * beta[t + k, hit]
+                beta[t, hit] += step
+                expected += np.bincount(ids[hit], weights=alpha[t, hit, 0] * step * scale[hit],
+                                        minlength=pieces.n + 1)
+    return expected
 
 
 def _normalised(expected: np.ndarray) -> np.ndarray:
@@ -242,34 +240,19 @@ class Scorer:
         return total, letter, np.bincount(words.text_of_word, weights=sizes, minlength=words.n).astype(np.int64)
 
 
-def labelled_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> DataFrame:
-    """(lang, text) of at most ``sample_docs`` documents per language, those with a text and a
-    language whose crc32(id as text) mod 5 is not 0."""
-    key = F.col(id_col).cast("string")
-    pool = docs.filter((F.crc32(key.cast("binary")) % 5 != 0) & F.col(lang_col).isNotNull()
-                       & F.col(text_col).isNotNull())
-    # Ids are chosen without their texts, the lowest hashes of each language.  A first cut
-    # by the share that is wanted (four times over) leaves few rows to rank.
-    ids = pool.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
-    per_lang = materialise(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
-    hashed = F.xxhash64("id")
-    share = F.pmod(hashed, F.lit(1 << 20)) / F.lit(float(1 << 20))
-    order = Window.partitionBy("lang").orderBy(F.pmod(hashed, F.lit(1 << 20)), hashed, "id")
-    chosen = materialise(ids.join(per_lang, "lang").filter(share * F.col("n") < 4.0 * sample_docs)
-                         .withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample_docs)
-                         .select("id").distinct(), "lang-sample")
-    # The chosen table's size is known once written: small enough, it is broadcast, and
-    # no text is shuffled.
-    return (pool.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                        F.col(text_col).cast("string").alias("text"))
-            .join(chosen, "id", "left_semi").select("lang", "text"))
+def learned(id_col: str, lang_col: str, text_col: str):
+    """Whether a document is learned from: one with a text and a language whose crc32(id as
+    text) mod 5 is not 0."""
+    key = F.col(id_col).cast("string").cast("binary")
+    return (F.crc32(key) % 5 != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS):
-    """Fit on :func:`labelled_texts`.  Returns (pieces, languages, probs)."""
+        vocabulary: str | None = None):
+    """Fit on all :func:`learned` documents.  Returns (pieces, languages, probs)."""
     pieces = read_pieces(vocabulary or default_vocabulary())
-    sample = labelled_texts(docs, id_col, text_col, lang_col, sample_docs)
+    texts = docs.filter(learned(id_col, lang_col, text_col)).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
         for batch in row_slices(batches, "text"):
@@ -280,52 +263,66 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             t = pa.table({"lang": lang, "word": words.flat}).group_by(["lang", "word"]).aggregate([([], "count_all")])
             yield from t.rename_columns({"count_all": "n"}).select(["lang", "word", "n"]).to_batches()
 
-    counts = (sample.mapInArrow(count, "lang string, word string, n long")
-              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-
-    def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table = Pieces(pieces)
-        parts, n = marked(pdf["word"].tolist())
-        p = fit_language(table, parts, np.repeat(pdf["n"].to_numpy(dtype=float), n))
-        return pd.DataFrame({"lang": [key[0]], "probs": [p]})
-
-    # One row per language: languages x pieces of the fixed vocabulary is the bound.
-    rows = sorted(counts.groupBy("lang").applyInPandas(learn, "lang string, probs array<double>").collect(),
-                  key=lambda r: r["lang"])
-    langs = [r["lang"] for r in rows]
-    probs = np.array([r["probs"] for r in rows]).T if rows else np.zeros((len(pieces) + 1, 0))
+    counts = materialise(texts.mapInArrow(count, "lang string, word string, n long")
+                         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return pieces, langs, np.zeros((len(pieces) + 1, 0))
+    probs = None
+    for _ in range(1 + EM_ROUNDS):
+        probs = _round(counts, pieces, langs, probs)
+    release(counts)
     return pieces, langs, probs
 
 
-def least_per_letter(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                     sample_docs: int = SAMPLE_DOCS, min_letters: int = MIN_LETTERS) -> dict[str, float]:
-    """The score per letter of each learned language that 99 % of its labelled texts with at
-    least ``min_letters`` letters reach (the sample that :func:`fit` learns from)."""
-    pieces, langs, probs = model
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, probs))
-
-    def measure(batches):
-        scorer = Scorer(*shared.value) if langs else None
-        for batch in row_slices(batches, "text"):
-            if scorer:
-                total, _, letters = scorer.texts(texts_of(batch, "text"), True)
-                own = np.array([langs.index(x) if x in langs else -1 for x in batch.column("lang").to_pylist()])
-                at = np.flatnonzero((own >= 0) & (letters >= min_letters))
-                yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(at)), pa.array(total[at, own[at]] / letters[at])],
-                                                 names=["lang", "v"])
-
-    sample = labelled_texts(docs, id_col, text_col, lang_col, sample_docs)
-    # At most ``sample_docs`` rows of a language.
-    return {r["lang"]: r["v"] for r in sample.mapInArrow(measure, "lang string, v double")
-            .groupBy("lang").agg(F.percentile("v", F.lit(0.01)).alias("v")).collect()}
+def _round(counts: DataFrame, pieces: list[str], langs: list[str], probs: np.ndarray | None) -> np.ndarray:
+    """Piece probabilities, pieces x languages, from the expected counts under ``probs``."""
+    shared = counts.sparkSession.sparkContext.broadcast((pieces, probs))
+
+    def expect(batches):
+        table, probs = None, shared.value[1]
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            table = table or Pieces(shared.value[0])
+            tags = batch.column("lang").dictionary_encode()
+            number = tags.indices.to_numpy(zero_copy_only=False)
+            for i, lang in enumerate(tags.dictionary.to_pylist()):
+                rows, at = pa.array(np.flatnonzero(number == i)), langs.index(lang)
+                parts, n = marked(batch.column("word").take(rows).to_pylist())
+                weight = np.repeat(batch.column("n").take(rows).to_numpy().astype(float), n)
+                found = expected_counts(table, parts, weight, None if probs is None else probs[:, at])
+                sums[at] = sums[at] + found if at in sums else found
+        for at, found in sums.items():
+            used = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), at)), pa.array(used), pa.array(found[used])],
+                                             names=["lang", "piece", "n"])
+
+    # At most one row per language and piece of the fixed vocabulary.
+    got = (counts.mapInArrow(expect, "lang long, piece long, n double")
+           .groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow())
+    expected = np.zeros((len(pieces) + 1, len(langs)))
+    expected[got.column("piece").to_numpy(), got.column("lang").to_numpy()] = got.column("n").to_numpy()
+    return np.stack([_normalised(expected[:, i]) for i in range(len(langs))], axis=1)
+
+
+def least_per_letter(found: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                     min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(lang, least): the score per letter that 99 % of the labelled texts of a learned
+    language with at least ``min_letters`` letters reach.  ``found``: :func:`identify` with
+    ``per_letter``; all texts that :func:`fit` learns from count."""
+    own = found.filter(learned(id_col, lang_col, text_col) & F.col("own_per_letter").isNotNull()
+                       & (F.col("n_letters") >= min_letters))
+    least = exact_quantiles(own.select(F.col(lang_col).cast("string").alias("lang"), F.col("own_per_letter").alias("value")),
+                            [BELOW], keys=("lang",))
+    return least.select("lang", F.col(quantile_names([BELOW])[0]).alias("least"))
 
 
 def identify(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang", vocabulary: str | None = None,
-             sample_docs: int = SAMPLE_DOCS, per_letter: bool = False) -> DataFrame:
+             lang_col: str = "lang", vocabulary: str | None = None, per_letter: bool = False) -> DataFrame:
     """All columns of ``docs`` plus ``held_out``, ``lang_pred`` and ``score`` (replacing
     input columns of these names), and with ``per_letter`` the predicted language's log
-    score per letter, word starts counted (null without a letter) and ``n_letters``.
+    score per letter, word starts counted (null without a letter), ``n_letters`` and the
+    same of ``lang_col``'s own language (null where that is not learned).
 
     ``score`` is the posterior of the predicted language under equal priors.  A null
     text, an empty one and one without a letter get ``und`` and 0.0, and so does every
@@ -334,21 +331,26 @@ def identify(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str
     read; words longer than MAX_WORD code points are read in stretches.  Repeated rows
     are judged one by one; an empty table gives an empty result.
     """
-    pieces, langs, probs = model or fit(docs, id_col, text_col, lang_col, vocabulary, sample_docs)
+    pieces, langs, probs = model or fit(docs, id_col, text_col, lang_col, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, probs))
-    added = ["held_out", "lang_pred", "score", *(["per_letter", "n_letters"] if per_letter else [])]
+    added = ["held_out", "lang_pred", "score", *(["per_letter", "n_letters", "own_per_letter"] if per_letter else [])]
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     names = base.columns
 
     def score(batches):
-        scorer = Scorer(*shared.value) if langs else None
+        scorer, place = Scorer(*shared.value) if langs else None, {x: i for i, x in enumerate(langs)}
         for batch in row_slices(batches, text_col):
             n = batch.num_rows
             pred, best = np.full(n, UNDETERMINED, dtype=object), np.zeros(n)
             letter, letters, height = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), np.zeros(n)
+            own, own_height = np.full(n, -1), np.zeros(n)
             if scorer:
                 total, letter, letters = scorer.texts(texts_of(batch, text_col), True)
+                if per_letter:
+                    tags = [place.get(x, -1) for x in batch.column(lang_col).cast(pa.string()).to_pylist()]
+                    own = np.where(letter, np.array(tags, dtype=np.int64), -1)
+                    own_height = total[np.arange(n), own] / np.maximum(letters, 1)
                 top = total.argmax(axis=1)
                 height = total[np.arange(n), top] / np.maximum(letters, 1)
                 total -= total.max(axis=1, keepdims=True)
@@ -357,11 +359,12 @@ def identify(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str
                 best[letter] = post[letter]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(pred, pa.string()), pa.array(best, pa.float64()),
-                 *([pa.array(height, mask=~letter), pa.array(letters, pa.int64())] if per_letter else [])],
+                 *([pa.array(height, mask=~letter), pa.array(letters, pa.int64()), pa.array(own_height, mask=own < 0)]
+                   if per_letter else [])],
                 names=[*batch.schema.names, *added[1:]])
 
     schema = base.withColumn("held_out", held)
-    out = _schema_with(schema, "lang_pred string, score double" + (", per_letter double, n_letters long" if per_letter else ""))
+    out = _schema_with(schema, "lang_pred string, score double" + (", per_letter double, n_letters long, own_per_letter double" if per_letter else ""))
     return schema.mapInArrow(score, out).select(*names, *added)
 
 

@@ -367,6 +367,30 @@ def test_labels_of_held_out_documents_are_not_used(frame):
     assert key(a) == key(b)
 
 
+def test_language_model_learns_from_every_label(frame):
+    """More than 500 labelled texts of a language: each one's word is counted, and the least
+    score per letter is the exact quantile of them all."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} the house stood there all day long", "en", "s")
+            for i in range(1200)]
+    rows += [(2000 + i, "das haus steht nicht hier", "de", "s") for i in range(20)] + [(3000, None, "en", "s"), (None, "the", "en", "s")]
+    known = [r for r in rows if r[0] is not None and r[1] and zlib.crc32(str(r[0]).encode()) % 5]
+    pieces, langs, probs = model = L.fit(frame(rows))
+    assert langs == ["de", "en"]
+    table = L.Pieces(pieces)
+    for i, lang in enumerate(langs):
+        words, counts = zip(*Counter(w for _, t, g, _ in known if g == lang for w in t.split()).items(), strict=True)
+        words, counts, p = ["▁" + w for w in words], np.array(counts, dtype=float), None
+        for _ in range(1 + L.EM_ROUNDS):
+            p = L._normalised(L.expected_counts(table, words, counts, p))
+        assert np.allclose(probs[:, i], p, rtol=1e-9)
+    found = L.identify(frame(rows), model, per_letter=True)
+    scorer = L.Scorer(pieces, probs)
+    for r in L.least_per_letter(found).collect():
+        texts = [t for _, t, g, _ in known if g == r.lang]
+        total, _, n = scorer.texts(pa.array(texts), True)
+        assert (n >= 20).all() and abs(np.percentile(total[:, langs.index(r.lang)] / n, 1) - r.least) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = L.identify(docs).filter("held_out").select("lang", "lang_pred").collect()
