@@ -53,9 +53,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 GATHER = 1 << 22
 BUCKET_HASHES = 1 << 21
 LOW_BITS = 32
-#: A row of the index holds a shard, so few rows go to a task's worker at once.
-_FEW_ROWS = {"spark__sql__execution__arrow__maxRecordsPerBatch": "8"}
-_ZSTD = {"spark__sql__parquet__compression__codec": "zstd"}
+#: A row of the index holds a shard, megabytes each: rows are read from the table and go to a
+#: task's worker one by one, else a task holds all of its shards at once.
+_ROW_BY_ROW = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1", "spark__sql__parquet__columnarReaderBatchSize": "1"}
+#: The index is written a few shards at a time.
+_INDEX = {"spark__sql__parquet__compression__codec": "zstd", "parquet__block__size": str(16 << 20)}
 #: Words joined by a space in order of their symbols, with their counts and hashes.
 INDEX = "lang string, words string, counts array<int>, hashes binary, bwt binary, rbwt binary"
 
@@ -413,7 +415,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
                      min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS) -> tuple[list[DataFrame], DataFrame]:
     """Tables (lang, phrase, f) of the phrases of 1, 2, .. ``max_words`` words that occur
     ``min_count`` times or more in their language, and (lang, n) with n all words."""
-    index = materialise(index_shards(docs, lang_col, text_col, max_words, shard_words), "phrase-index", **_ZSTD)
+    index = materialise(index_shards(docs, lang_col, text_col, max_words, shard_words), "phrase-index", **_INDEX)
     counted = F.explode(F.arrays_zip(F.split("words", " ").alias("word"), F.col("counts").alias("f"))).alias("x")
     every = index.select("lang", counted).groupBy("lang", F.col("x.word").alias("phrase")).agg(F.sum("x.f").alias("f"))
     total = materialise(index.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
@@ -422,11 +424,11 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     tables = [Frequent.of(hashes_of(levels[0]), levels[0].count())]
     buckets = max(1, (total.agg(F.sum("n")).first()[0] or 0) // BUCKET_HASHES + 1)
     for k in range(2, max_words + 1):
-        often = materialise(frequent_hashes(index, tables, k, min_count, buckets), f"phrase-hashes-{k}", **_FEW_ROWS)
+        often = materialise(frequent_hashes(index, tables, k, min_count, buckets), f"phrase-hashes-{k}", **_ROW_BY_ROW)
         tables.append(Frequent.of(often, often.count(), buckets))
         release(often)
     found = materialise(count_phrases(index, tables, list(range(2, max_words + 1))).filter(F.col("f") >= min_count),
-                        "phrases", **_FEW_ROWS)
+                        "phrases", **_ROW_BY_ROW)
     levels += [found.filter(F.col("size") == k).select("lang", "phrase", "f") for k in range(2, max_words + 1)]
     release(index)
     return levels, total

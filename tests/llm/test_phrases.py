@@ -117,3 +117,21 @@ def test_mine_without_phrases(frame):
     assert P.mine(frame([(1, "a b c", "en", None)])).count() == 0
     with pytest.raises(ValueError):
         P.mine(frame([]), max_words=1)
+
+
+def test_shards_are_read_one_by_one(spark, frame, monkeypatch):
+    """A task's worker gets one shard at a time, read alone from a table with small row groups."""
+    from tabulon.llm import phrases
+    seen, write = [], phrases.materialise
+
+    def noted(df, name, **settings):
+        seen.append((name, settings))
+        return write(df, name, **settings)
+
+    monkeypatch.setattr(phrases, "materialise", noted)
+    levels, _ = phrases.frequent_phrases(frame([(i, "a b c. d e f " * 4, "en", "s") for i in range(40)]), shard_words=50)
+    assert levels[2].count() > 0
+    by = dict(seen)
+    assert int(by["phrase-index"]["parquet__block__size"]) <= 16 << 20
+    for name in ("phrase-hashes-2", "phrase-hashes-3", "phrases"):
+        assert {int(v) for v in by[name].values()} == {1}
