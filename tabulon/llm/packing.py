@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
+from string import ascii_lowercase, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,13 @@ UNIT = 64
 END_ID = 1
 #: Distinct strings whose ids a worker remembers.
 CACHE_WORDS = 1_000_000
-#: Closing punctuation after a lower-case letter, which the tokenizer reads on its own.
-_CLOSING = r"(\p{Ll})[.,;:!?]+$"
+#: Words of letters handed to the tokenizer as one string.
+JOINED = 200
+#: Closing punctuation of more characters stays with its word.
+CLOSING = 8
+_LETTERS = r"^\p{Ll}+$"
+_LOWER, _PUNCTUATION = (np.isin(np.arange(256), np.frombuffer(x.encode(), dtype=np.uint8))
+                        for x in (ascii_lowercase, punctuation))
 
 
 def default_tokenizer() -> str:
@@ -43,52 +50,91 @@ class Encoder:
     """Token ids of texts.  The tokenizer drops white space, never joins across it, reads
     lower case and splits letters from punctuation, so every distinct string between
     white space, in lower case and without closing punctuation, is encoded once and
-    remembered."""
+    remembered.  New words of letters alone are encoded many at a time: each ends with
+    the only one of its ids that ends a word.  Words of a-z need no normalising and go
+    straight to the tokenizer's model."""
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ends_word = self._ends_word()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
         self.clear()
 
+    def _ends_word(self) -> np.ndarray | None:
+        """Which ids end a word; None where the vocabulary does not mark every word's end."""
+        from tokenizers.pre_tokenizers import ByteLevel
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        if not suffix or not all(c + suffix in vocab for c in ByteLevel.alphabet()):
+            return None
+        out = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        out[[n for token, n in vocab.items() if token.endswith(suffix)]] = True
+        return out
+
     def clear(self):
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, dtype=np.uint32)
         self.first = np.zeros(1, dtype=np.int64)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words back to back, and how many each has."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+    def _joined(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters.  Each has at least one id that ends a word, so where
+        there are as many of those as words, each word has one."""
+        if self.ends_word is None or not words:
+            return self._one_by_one(words)
+        parts = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        got = tokenizer.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False)
+        flat, sizes = [], []
+        for part, encoded in zip(parts, got, strict=True):
+            ids = np.array(encoded.ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            size = np.diff(ends, prepend=-1)
+            if len(ends) != len(part) or ends[-1] != len(ids) - 1:
+                ids, size = self._one_by_one(part)
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct strings in the memory; new ones are encoded."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            lists = [e.ids for e in got]
-            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum()))
+        listed = words.to_numpy(zero_copy_only=False).tolist()
+        out = np.fromiter(map(self.known.get, listed, repeat(-1)), dtype=np.int64, count=len(listed))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            strings = words.take(pa.array(new))
+            letters, ascii_ = (x.to_numpy(zero_copy_only=False) for x in (
+                pc.match_substring_regex(strings, _LETTERS), pc.string_is_ascii(strings)))
+            kinds = [new[letters & ascii_], new[letters & ~ascii_], new[~letters]]
+            new, fresh = np.concatenate(kinds), [[listed[i] for i in k.tolist()] for k in kinds]
+            flat, sizes = zip(self._joined(fresh[0], self.model), self._joined(fresh[1], self.tokenizer),
+                              self._one_by_one(fresh[2]), strict=True)
             base = len(self.first) - 1
-            self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            self.ids = np.concatenate((self.ids, flat))
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+            self.ids = np.concatenate((self.ids, *flat))
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))))
+            out[new] = np.arange(base, base + len(new))
+            self.known.update(zip(chain.from_iterable(fresh), range(base, base + len(new)), strict=True))
+        return out
 
     def _distinct(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct strings back to back, and their offsets."""
-        lower = pc.ascii_lower(distinct)
-        core = pc.replace_substring_regex(lower, _CLOSING, r"\1")
-        cut_at = pc.binary_length(core).to_numpy(zero_copy_only=False).astype(np.int64)
-        closed = np.flatnonzero(cut_at != pc.binary_length(lower).to_numpy(zero_copy_only=False))
-        # The closing part is ASCII, so bytes are characters from the end.
-        tails = [w[len(c) - len(w):] for w, c in zip(lower.take(pa.array(closed)).to_pylist(),
-                                                     core.take(pa.array(closed)).to_pylist(), strict=True)]
-        numbers = self.numbers(core.to_pylist() + tails)
-        stem, tail = numbers[:len(core)], numbers[len(core):]
-        starts, sizes = np.zeros((2, len(core), 2), dtype=np.int64)
-        starts[:, 0], sizes[:, 0] = self.first[stem], self.first[stem + 1] - self.first[stem]
-        starts[closed, 1], sizes[closed, 1] = self.first[tail], self.first[tail + 1] - self.first[tail]
-        return (self.ids[ragged(starts.reshape(-1), sizes.reshape(-1))],
-                np.concatenate(([0], np.cumsum(sizes.sum(axis=1)))).astype(np.int64))
+        parts = stems_and_closings(pc.ascii_lower(distinct)).dictionary_encode()
+        at = self.numbers(parts.dictionary)[parts.indices.to_numpy()].reshape(2, -1).T.reshape(-1)
+        sizes = self.first[at + 1] - self.first[at]
+        return (self.ids[ragged(self.first[at], sizes)],
+                np.concatenate(([0], np.cumsum(sizes)[1::2])).astype(np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, END_ID after each, and the texts' offsets."""
@@ -103,6 +149,41 @@ class Encoder:
         return out, np.concatenate(([0], ends + np.arange(1, words.n + 1)))
 
 
+def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data[ragged(starts, sizes)]))
+
+
+def stems_and_closings(words: pa.Array) -> pa.Array:
+    """Words without the ASCII punctuation that follows a lower-case letter at their end,
+    which the tokenizer reads on its own, and then what was cut off each (or nothing)."""
+    bounds = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset:words.offset + len(words) + 1]
+    bounds = bounds.astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    starts, stops = bounds[:-1], bounds[1:]
+    cut_at, left = stops.copy(), np.flatnonzero(stops > starts)
+    for _ in range(CLOSING):
+        left = left[_PUNCTUATION[data[cut_at[left] - 1]]]
+        cut_at[left] -= 1
+        left = left[cut_at[left] > starts[left]]
+    closed = np.flatnonzero((cut_at < stops) & (cut_at > starts))
+    last = data[cut_at[closed] - 1]
+    after = _LOWER[last]
+    wide = np.flatnonzero(last >= 0x80)
+    stems = _strings(data, starts[closed[wide]], (cut_at - starts)[closed[wide]])
+    after[wide] = pc.match_substring_regex(stems, r"\p{Ll}$").to_numpy(zero_copy_only=False)
+    whole = np.ones(len(words), dtype=bool)
+    whole[closed[after]] = False
+    cut_at = np.where(whole, stops, cut_at)
+    return _strings(data, np.concatenate((starts, cut_at)), np.concatenate((cut_at - starts, stops - cut_at)))
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """The worker's own encoder, loaded once; what one task encoded the next ones look up."""
+    return Encoder(path)
+
+
 def cut(length: int, sequence: int, unit: int) -> list[int]:
     """Piece lengths of a document: full sequences, whole units, a tail."""
     out = [sequence] * (length // sequence)
@@ -126,7 +207,7 @@ def cuts(lengths: np.ndarray, sequence: int, unit: int) -> tuple[np.ndarray, np.
 def pieces(docs: DataFrame, id_col: str, text_col: str, sequence: int, unit: int, path: str) -> DataFrame:
     """One row per piece; ``rank`` numbers the pieces of one length within a task's ``chunk``."""
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder, chunk = Encoder(path), TaskContext.get().partitionId()
+        encoder, chunk = worker_encoder(path), TaskContext.get().partitionId()
         used = np.zeros(sequence + 1, dtype=np.int64)
         for batch in row_slices(batches, "text"):
             ids, first = encoder.encode(texts_of(batch, "text"))
