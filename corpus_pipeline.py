@@ -12,7 +12,7 @@ from tabulon.llm.language_id import MIN_LETTERS, UNDETERMINED, fit, identify, le
 from tabulon.llm.line_dedup import dedup_lines
 from tabulon.llm.mixing import mix
 from tabulon.llm.packing import pack
-from tabulon.llm.scratch import materialise
+from tabulon.llm.scratch import TEXT_BATCHES, materialise
 from tabulon.llm.simhash import dedup
 
 #: A document whose best language has less than this posterior is rejected.
@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select("doc_id", "text", "lang", F.struct(*rest).alias("row"))
     # Scored once: the limits come from all labelled texts, then the texts are held against them.
-    found = materialise(identify(rows, fit(docs), per_letter=True), "pipeline-identified")
+    found = materialise(identify(rows, fit(docs), per_letter=True), "pipeline-identified", **TEXT_BATCHES)
     # One entry per learned language; without a labelled text of some length there is no limit.
     least = {r["lang"]: r["least"] for r in least_per_letter(found).collect()}
     limit = F.create_map(*[F.lit(x) for k, v in least.items() for x in (k, v - MARGIN)]) if least else None

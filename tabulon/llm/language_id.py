@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.batches import Words, mix64, ragged, row_slices, texts_of
-from tabulon.llm.scratch import materialise, release
+from tabulon.llm.scratch import TEXT_BATCHES, materialise, release
 from tabulon.operators.ranking import exact_quantiles, quantile_names
 
 EM_ROUNDS = 3
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield from t.rename_columns({"count_all": "n"}).select(["lang", "word", "n"]).to_batches()
 
     counts = materialise(texts.mapInArrow(count, "lang string, word string, n long")
-                         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+                         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words", **TEXT_BATCHES)
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return pieces, langs, np.zeros((len(pieces) + 1, 0))

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.batches import Words, ragged, row_slices, texts_of
-from tabulon.llm.scratch import materialise
+from tabulon.llm.scratch import TEXT_BATCHES, materialise
 
 SEQUENCE = 2048
 #: Pieces are multiples of this many tokens, besides one shorter tail per document.
 UNIT = 64
 END_ID = 1
-#: Distinct strings whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Distinct strings whose ids a worker remembers; with more, those met least are forgotten.
+CACHE_WORDS = 200_000
 #: Words of letters handed to the tokenizer as one string.
 JOINED = 200
 #: Closing punctuation of more characters stays with its word.
@@ -64,7 +64,10 @@ class Encoder:
         self.ends_word = self._ends_word()
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = WhitespaceSplit()
-        self.clear()
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.first = np.zeros(1, dtype=np.int64)
+        self.met = np.zeros(0, dtype=np.int32)
 
     def _ends_word(self) -> np.ndarray | None:
         """Which ids end a word; None where the vocabulary does not mark every word's end."""
@@ -77,10 +80,16 @@ class Encoder:
         out[[n for token, n in vocab.items() if token.endswith(suffix)]] = True
         return out
 
-    def clear(self):
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.first = np.zeros(1, dtype=np.int64)
+    def _forget(self):
+        """Keep the strings met in most slices, half of CACHE_WORDS at most and none met once."""
+        often = np.flatnonzero(self.met > 1)
+        kept = np.sort(often[np.argsort(-self.met[often], kind="stable")[:CACHE_WORDS // 2]])
+        strings, sizes = list(self.known), self.first[kept + 1] - self.first[kept]
+        self.ids = self.ids[ragged(self.first[kept], sizes)]
+        self.first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        # What was met long ago counts less each time.
+        self.met = self.met[kept] // 2
+        self.known = {strings[i]: at for at, i in enumerate(kept.tolist())}
 
     def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words back to back, and how many each has."""
@@ -109,7 +118,7 @@ class Encoder:
     def numbers(self, words: pa.Array) -> np.ndarray:
         """Places of distinct strings in the memory; new ones are encoded."""
         if len(self.known) > CACHE_WORDS:
-            self.clear()
+            self._forget()
         listed = words.to_numpy(zero_copy_only=False).tolist()
         out = np.fromiter(map(self.known.get, listed, repeat(-1)), dtype=np.int64, count=len(listed))
         new = np.flatnonzero(out < 0)
@@ -126,6 +135,8 @@ class Encoder:
             self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))))
             out[new] = np.arange(base, base + len(new))
             self.known.update(zip(chain.from_iterable(fresh), range(base, base + len(new)), strict=True))
+            self.met = np.concatenate((self.met, np.zeros(len(new), dtype=np.int32)))
+        self.met[out] += 1
         return out
 
     def _distinct(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +363,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sequen
     if not 1 <= unit <= sequence:
         raise ValueError("unit must be between 1 and the sequence length")
     table = materialise(pieces(docs, id_col, text_col, sequence, unit, tokenizer or default_tokenizer()),
-                        "pack-pieces")
+                        "pack-pieces", **TEXT_BATCHES)
     counts = materialise(table.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     # One row per length: at most sequence / unit + unit rows.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.batches import Words, row_slices, texts_of
 from tabulon.llm.components import components
-from tabulon.llm.scratch import materialise, release
+from tabulon.llm.scratch import TEXT_BATCHES, materialise, release
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay as rows.  A component of null ids only has a null component_id.  An empty table
     gives an empty result; other columns are ignored.
     """
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-rows", **TEXT_BATCHES)
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     tied = components(links(classes.select("fp"), max_bits, long_list))
     placed = (classes.join(tied, F.col("fp") == F.col("node"), "left")

@@ -54,6 +54,36 @@ def test_a_worker_loads_its_encoder_once(frame, spark):
     assert sorted(map(tuple, got.collect())) == [(i, 2 * i + 1) for i in range(1, 9)]
 
 
+def test_a_worker_forgets_rare_words_and_keeps_common_ones(plain, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    rng = random.Random(2)
+    encoder = packing.Encoder(packing.default_tokenizer())
+    common = ["".join(rng.choices("abcdeßñ", k=9)) for _ in range(20)]
+    for i in range(12):
+        rare = ["".join(rng.choices("fghijé", k=11)) for _ in range(25)]
+        check(encoder, plain, [" ".join(common + rare), " ".join(rare[::-1]) + "."])
+        assert len(encoder.known) <= 60 + 50 and set(common) <= set(encoder.known), i
+        assert list(encoder.known.values()) == list(range(len(encoder.met))) == list(range(len(encoder.first) - 1))
+    check(encoder, plain, ["other words"])
+    assert len(encoder.known) <= 60
+
+
+def test_text_batches_are_bounded_by_bytes(spark):
+    from tabulon.llm.batches import SLICE_BYTES
+    from tabulon.llm.scratch import TEXT_BATCHES, materialise
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    rows = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 2000) AS text").mapInArrow(sizes, "rows long, size long")
+    got = materialise(rows, "sizes", **TEXT_BATCHES).collect()
+    assert sum(r["rows"] for r in got) == 9000 and max(r["size"] for r in got) < 1.1 * SLICE_BYTES
+    assert spark.conf.get(key, None) == before
+
+
 def test_odd_words_equal_whole_texts(plain):
     letters = ["i̇", "İ", "ŉ", "ǆ", "ς", "Σ", "ﬁ", "é", "́", "日", "ª", "ᵃ", "\U00010428", "ß", "ẞ", "’", " ", "\x1c"]
     marks = ["", "*" * 12, ".é.", "'", "''", "'s", "'s.", ".'t", "`", "<|endoftext|>", "</w>", "≠", "1", "$1", "_", "…"]
