@@ -123,12 +123,15 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> Data
 
 def copies(rows: DataFrame) -> DataFrame:
     """Rows (row, part) whose text also stands under a smaller id (by 128 bits of SHA-256).
-    Groups of copies are salted by row, so a large one is shared out over ``SALTS`` keys."""
+    Groups of copies are salted by row, so a large one is shared out over ``SALTS`` keys.
+
+    Spark sizes a table before its salts are made, ``SALTS`` times too small, so it would
+    broadcast salted tables that the driver cannot hold: these joins sort and merge."""
     groups = (rows.groupBy("text_key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
               .filter(F.col("first") < F.col("last"))
               .select("text_key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     salted = rows.select("row", "part", "id", "text_key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(groups, ["text_key", "salt"]).filter(F.col("id") > F.col("first")).select("row", "part")
+    return salted.join(groups.hint("shuffle_merge"), ["text_key", "salt"]).filter(F.col("id") > F.col("first")).select("row", "part")
 
 
 def postings(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
@@ -145,7 +148,7 @@ def postings(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     salted = rows.select("row", "part", "id", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
     both = F.explode(F.filter(F.array(F.when(F.col("good"), F.lit(5)), F.when(F.col("toxic"), F.lit(6))),
                               lambda x: x.isNotNull())).alias("list")
-    found = found.unionByName(salted.join(marks, ["id", "salt"]).select("row", "part", both))
+    found = found.unionByName(salted.join(marks.hint("shuffle_merge"), ["id", "salt"]).select("row", "part", both))
     # At most RANGE_ROWS numbers in one list.
     return (found.groupBy("part", F.shiftright("row", RANGE_BITS).alias("range"), "list")
             .agg(F.sort_array(F.collect_list("row")).alias("ids")))

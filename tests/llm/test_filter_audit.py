@@ -98,3 +98,15 @@ def test_audit_of_little(frame, spark):
     clean = " ".join(f"word{i}" for i in range(120))
     got = run(frame, spark, [(1, clean, "en", None)], []).collect()
     assert len(got) == 600 and all((r.kept, r.removed, r.redundant, r.unique_fails, r.shapley) == (1, 0, 0, 0, 0) for r in got)
+
+
+def test_salted_tables_are_never_broadcast(frame, spark, tmp_path):
+    # Read from files, so that Spark knows their sizes and finds them small enough.
+    rows, labels = corpus()
+    frame(rows).write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels")
+    numbered = A.numbered(spark.read.parquet(f"{tmp_path}/documents"), "doc_id", "text", "lang")
+    lists = A.postings(numbered, spark.read.parquet(f"{tmp_path}/labels"), "doc_id")
+    lists.collect()
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
