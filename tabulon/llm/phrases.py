@@ -13,7 +13,8 @@ level that may be frequent reach the tasks as a bit table of at most ``MAX_BITS`
 Which they are is found by hashes: a task sends the hashes of its phrases, 40 bits or so
 each, sorted and packed by bucket, and each bucket sums their counts.  Two phrases of one
 hash, and a chance hit in the bit table, only let a phrase through that is not frequent:
-those let through are counted as text, exactly.
+those let through are counted as text, exactly.  Counts travel in blocks as well: a task
+adds up its texts and sends them packed by bucket, and each bucket adds up its blocks.
 """
 
 from __future__ import annotations
@@ -53,6 +54,13 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 GATHER = 1 << 22
 BUCKET_HASHES = 1 << 21
 LOW_BITS = 32
+#: Texts a task gathers before it sends them with their counts.
+GATHER_TEXTS = 1 << 20
+#: Blocks, and so many texts at least, that a bucket holds before they are added up.
+HELD_BLOCKS = 64
+HELD_TEXTS = 1 << 18
+#: Bytes beyond which a text is hashed by itself.
+LONG_TEXT = 64
 #: A row of the index holds a shard, megabytes each: rows are read from the table and go to a
 #: task's worker one by one, else a task holds all of its shards at once.
 _ROW_BY_ROW = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1", "spark__sql__parquet__columnarReaderBatchSize": "1"}
@@ -94,9 +102,8 @@ class Index:
         owner = np.repeat(np.arange(len(here)), phrases.size)
         symbol = bwt[rows].astype(np.int64)
         # Order within each interval by symbol: the place there is the place in the other order.
-        key = owner * len(self.first) + symbol
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+        key, order = _sorted(owner * len(self.first) + symbol, len(here) * len(self.first))
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
         size = np.diff(np.append(starts, len(order)))
         head = order[starts]
         who, new = owner[head], symbol[head]
@@ -110,16 +117,16 @@ class Index:
         if last:
             return Intervals(ids, size, size, size)
         begin = np.cumsum(phrases.size) - phrases.size
-        low, rlow = self.first[new] + self._before(bwt, rows[head], new), there[who] + starts - begin[who]
+        low, rlow = self._target(bwt)[rows[head]], there[who] + starts - begin[who]
         return Intervals(ids, low, rlow, size) if left else Intervals(ids, rlow, low, size)
 
-    def _before(self, bwt: np.ndarray, rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """How often each symbol stands in ``bwt`` before its row."""
-        places = np.argsort(bwt, kind="stable")
-        n = np.int64(len(bwt))
-        # The places of a symbol are ascending, so (symbol, place) is sorted as a whole.
-        at = np.searchsorted(bwt[places].astype(np.int64) * n + places, symbols * n + rows)
-        return at - self.first[symbols]
+    def _target(self, bwt: np.ndarray) -> np.ndarray:
+        """The row that each row leads to: the first of its symbol, and as many further as that
+        symbol stands in ``bwt`` before."""
+        places = _sorted(bwt, len(self.first))[1]
+        out = np.empty(len(bwt), dtype=np.int64)
+        out[places] = np.arange(len(bwt))
+        return out
 
 
 @dataclass
@@ -132,21 +139,32 @@ class Intervals:
     size: np.ndarray
 
 
+def _sorted(keys: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """``keys`` (0 to ``bound`` - 1) in order and the place of each, equal keys by place.  Key and
+    place share a 64-bit word where they fit: numpy sorts plain words many times faster."""
+    shift = max(1, (len(keys) - 1).bit_length()) if len(keys) else 1
+    if (int(bound) - 1).bit_length() + shift > 64:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    word = np.sort((keys.astype(np.uint64) << np.uint64(shift)) | np.arange(len(keys), dtype=np.uint64))
+    return (word >> np.uint64(shift)).astype(np.int64), (word & np.uint64((1 << shift) - 1)).astype(np.int64)
+
+
 def _suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes ordered by their first ``depth`` symbols; a depth-limited index needs no more."""
     rank, have = t.astype(np.int64), 1
     while True:
         step = min(have, depth - have)
-        key = rank
+        key, bound = rank, int(rank.max(initial=0)) + 1
         if step > 0:
             after = np.concatenate((rank[step:], np.zeros(min(step, len(rank)), dtype=np.int64)))
-            key = rank * (int(rank.max(initial=0)) + 1) + after
-        order = np.argsort(key)
+            key, bound = rank * bound + after, bound * bound
+        key, order = _sorted(key, bound)
         have += max(step, 0)
         if have >= depth:
             return order
         rank = np.empty(len(t), dtype=np.int64)
-        rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) > 0)
+        rank[order] = np.cumsum(np.diff(key, prepend=key[:1]) > 0)
 
 
 def pieces_of(texts: pa.Array) -> tuple[Words, np.ndarray]:
@@ -204,17 +222,36 @@ def index_shards(docs: DataFrame, lang_col: str, text_col: str, depth: int,
                 name = tags.dictionary[number]
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), " ")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name.as_py()], pa.string()), joined, pa.array([counts], pa.list_(pa.int32())),
+                    [pa.array([name.as_py()], pa.string()), joined,
+                     pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(counts, pa.int32())),
                      *[pa.array([x.tobytes()], pa.binary()) for x in (
-                         word_hashes(name.as_py(), own.to_pylist()), fm.bwt.astype("<i4"), fm.rbwt.astype("<i4"))]],
+                         word_hashes(name.as_py(), own), fm.bwt.astype("<i4"), fm.rbwt.astype("<i4"))]],
                     names=["lang", "words", "counts", "hashes", "bwt", "rbwt"])
 
     return base.mapInArrow(build, INDEX)
 
 
-def word_hashes(lang: str, words: list[str]) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in words), dtype=np.uint64, count=len(words))
+def word_hashes(lang: str, words: list[str] | pa.Array) -> np.ndarray:
+    return text_hashes(words if isinstance(words, pa.Array) else pa.array(words, pa.string()), xxhash.xxh64_intdigest(lang.encode()))
+
+
+def text_hashes(texts: pa.Array, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of a string array, eight bytes of all texts at a time; of long texts by xxHash."""
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    raw = bytes(memoryview(texts.buffers()[2] or b"")[bounds[0]:bounds[-1]]) + bytes(8)
+    start, sizes = bounds[:-1] - bounds[0], np.diff(bounds)
+    at_byte = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw, strides=(1,))
+    out = mix64(np.uint64(seed) + sizes.astype(np.uint64) * _BASE)
+    live = np.flatnonzero((sizes > 0) & (sizes <= LONG_TEXT))
+    for done in range(0, LONG_TEXT, 8):
+        chunk, left = at_byte[start[live] + done], sizes[live] - done
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix64(out[live] * _BASE + chunk)
+        live = live[left > 8]
+    for i in np.flatnonzero(sizes > LONG_TEXT):
+        out[i] = xxhash.xxh64_intdigest(raw[start[i]:start[i] + sizes[i]], seed)
+    return out
 
 
 def phrase_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -313,7 +350,8 @@ def shard_phrases(row: dict, tables: list[Frequent], k: int) -> Iterator[tuple[i
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            values = {c: batch.column(c)[i] for c in batch.schema.names}
+            yield {c: x.values if isinstance(x, pa.ListScalar) else x.as_py() for c, x in values.items()}
 
 
 def _packed(hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -321,8 +359,12 @@ def _packed(hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBa
     mask = np.uint64((1 << LOW_BITS) - 1)
     # A bucket follows from the upper bits alone, so equal hashes meet.
     bucket = ((hashes >> np.uint64(LOW_BITS)) % np.uint64(buckets)).astype(np.uint64)
-    key, where = np.unique((bucket << np.uint64(LOW_BITS)) | (hashes & mask), return_inverse=True)
-    total = np.minimum(np.bincount(where, weights=counts), 255).astype(np.uint8)
+    # Bucket, low bits and count in one word: 24 bits are left to the bucket.
+    word = np.sort((((bucket << np.uint64(LOW_BITS)) | (hashes & mask)) << np.uint64(8)) | np.minimum(counts, 255).astype(np.uint64))
+    key = word >> np.uint64(8)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    total = np.minimum(np.add.reduceat(word & np.uint64(255), starts), 255).astype(np.uint8)
+    key = key[starts]
     edges = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(LOW_BITS))
     low = (key & mask).astype(np.uint32)
     codec, rows = pa.Codec("zstd", compression_level=1), []
@@ -358,30 +400,39 @@ def frequent_hashes(index: DataFrame, tables: list[Frequent], k: int, min_count:
             yield _packed(*map(np.concatenate, zip(*held, strict=True)), buckets)
 
     def add(batches):
-        # Rows come sorted by bucket.
-        now, held = None, []
-        for batch in batches:
-            for bucket, n, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "block")), strict=True):
-                if bucket != now and held:
-                    yield _sums(now, held, min_count)
-                    held = []
-                now = bucket
-                held.append(_unpacked(n, block))
-                if len(held) >= 64:
-                    held = [_summed(held)]
-        if held:
-            yield _sums(now, held, min_count)
+        yield from hash_sums(batches, min_count)
 
     blocks = index.select("hashes", "bwt", "rbwt").mapInArrow(send, "bucket int, n int, block binary")
     return (blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "hash long"))
 
 
+def hash_sums(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """The frequent hashes of every bucket from its blocks; rows come sorted by bucket.  Blocks
+    are added up when they hold as many hashes as the sums so far, so that each is sorted a
+    few times, however many blocks there are."""
+    now, held, n_sums, n_held = None, [], 0, 0
+    for batch in batches:
+        for bucket, n, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "block")), strict=True):
+            if bucket != now and held:
+                yield _sums(now, held, min_count)
+                held, n_sums, n_held = [], 0, 0
+            now = bucket
+            held.append(_unpacked(n, block))
+            n_held += n
+            if len(held) >= HELD_BLOCKS and n_held >= n_sums:
+                held = [_summed(held)]
+                n_sums, n_held = len(held[0][0]), 0
+    if held:
+        yield _sums(now, held, min_count)
+
+
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     low, counts = map(np.concatenate, zip(*held, strict=True))
-    order = np.argsort(low)
-    low = low[order]
-    starts = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
-    return low[starts], np.minimum(np.add.reduceat(counts[order].astype(np.int64), starts), 1 << 40)
+    mask = np.uint64((1 << 32) - 1)
+    word = np.sort((low.astype(np.uint64) << np.uint64(32)) | np.minimum(counts.astype(np.int64), 1 << 31).astype(np.uint64))
+    low = (word >> np.uint64(32)).astype(np.uint32)
+    starts = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    return low[starts], np.minimum(np.add.reduceat(word & mask, starts), 1 << 31).astype(np.int64)
 
 
 def _sums(bucket: int, held: list, min_count: int) -> pa.RecordBatch:
@@ -390,25 +441,124 @@ def _sums(bucket: int, held: list, min_count: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(often, pa.int64())], names=["hash"])
 
 
-def count_phrases(index: DataFrame, tables: list[Frequent], sizes: list[int]) -> DataFrame:
+def _added(texts: list[pa.Array], counts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct texts and the sums of their counts."""
+    table = pa.table({"text": pa.chunked_array(texts, pa.string()), "f": np.concatenate(counts)})
+    table = table.group_by("text", use_threads=False).aggregate([("f", "sum")]).combine_chunks()
+    return _one(table.column("text")), table.column("f_sum").to_numpy().astype(np.int64)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _packed_texts(texts: pa.Array, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, n, block): counts, lengths and bytes of the bucket's texts."""
+    bucket, order = _sorted(text_hashes(texts) % np.uint64(buckets), buckets)
+    texts, counts = texts.take(pa.array(order)), counts[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    sizes, data = np.diff(bounds), memoryview(texts.buffers()[2])
+    codec, rows = pa.Codec("zstd", compression_level=1), []
+    for i in np.flatnonzero(np.diff(edges)):
+        a, b = edges[i], edges[i + 1]
+        block = counts[a:b].tobytes() + sizes[a:b].tobytes() + bytes(data[bounds[a]:bounds[b]])
+        rows.append((int(i), int(b - a), len(block), codec.compress(block, asbytes=True)))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)],
+                                      names=["bucket", "n", "size", "block"])
+
+
+def _unpacked_texts(n: int, size: int, block: bytes) -> tuple[pa.Array, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(block, decompressed_size=size, asbytes=True)
+    bounds = np.zeros(n + 1, dtype=np.int32)
+    np.cumsum(np.frombuffer(raw, dtype=np.int32, count=n, offset=8 * n), out=bounds[1:])
+    return (pa.StringArray.from_buffers(n, pa.py_buffer(bounds), pa.py_buffer(memoryview(raw)[12 * n:])),
+            np.frombuffer(raw, dtype=np.int64, count=n))
+
+
+def text_sums(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, size, f) of every bucket's texts that occur ``min_count`` times or more,
+    from its blocks; rows come sorted by bucket."""
+    def frequent(held):
+        texts, counts = _added(*zip(*held, strict=True))
+        often = counts >= min_count
+        texts, counts = texts.filter(pa.array(often)), counts[often]
+        # The language stands before the last line break: no word holds one.
+        parts = pc.split_pattern(texts, "\n", max_splits=1, reverse=True).flatten()
+        lang, phrase = (parts.take(pa.array(np.arange(k, len(parts), 2))) for k in (0, 1))
+        size = pc.add(pc.count_substring(phrase, " "), pa.scalar(1, pa.int32()))
+        return pa.RecordBatch.from_arrays([lang, phrase, size, pa.array(counts, pa.int64())], names=["lang", "phrase", "size", "f"])
+
+    now, held, n_sums, n_held = None, [], 0, 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "size", "block")), strict=True):
+            if row[0] != now and held:
+                yield frequent(held)
+                held, n_sums, n_held = [], 0, 0
+            now = row[0]
+            held.append(_unpacked_texts(*row[1:]))
+            n_held += row[1]
+            if n_held >= max(n_sums, HELD_TEXTS):
+                held = [_added(*zip(*held, strict=True))]
+                n_sums, n_held = len(held[0][0]), 0
+    if held:
+        yield frequent(held)
+    pa.default_memory_pool().release_unused()
+
+
+def count_texts(rows: DataFrame, counted, min_count: int, buckets: int) -> DataFrame:
+    """(lang, phrase, size, f): summed counts of the texts that ``counted(row)`` yields with
+    their counts for each shard, ``min_count`` or more.  Before a text stand its language and a
+    line break."""
+    def send(batches):
+        texts, counts, n = [], [], 0
+        for row in _shards(batches):
+            for text, f in counted(row):
+                texts.append(text)
+                counts.append(f)
+                n += len(f)
+                if n >= GATHER_TEXTS:
+                    yield _packed_texts(*_added(texts, counts), buckets)
+                    texts, counts, n = [], [], 0
+        if n:
+            yield _packed_texts(*_added(texts, counts), buckets)
+        pa.default_memory_pool().release_unused()
+
+    def add(batches):
+        yield from text_sums(batches, min_count)
+
+    blocks = rows.mapInArrow(send, "bucket int, n int, size long, block binary")
+    return (blocks.repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(add, "lang string, phrase string, size int, f long"))
+
+
+def _words(row: dict) -> tuple[pa.Array, pa.Array]:
+    """The words of a shard in order of their symbols, and the same after the language."""
+    words = pc.split_pattern(pa.array([row["words"]], pa.string()), " ").flatten()
+    return words, pc.binary_join_element_wise(pa.scalar(row["lang"] + "\n", pa.string()), words, "")
+
+
+def count_words(index: DataFrame, min_count: int, buckets: int) -> DataFrame:
+    """(lang, phrase, f) of single words."""
+    def counted(row):
+        yield _words(row)[1], row["counts"].to_numpy(zero_copy_only=False).astype(np.int64)
+
+    return count_texts(index.select("lang", "words", "counts"), counted, min_count, buckets).select("lang", "phrase", "f")
+
+
+def count_phrases(index: DataFrame, tables: list[Frequent], sizes: list[int], min_count: int, buckets: int) -> DataFrame:
     """(lang, phrase, size, f): summed counts of the phrases of ``sizes`` that the tables leave."""
     shared = index.sparkSession.sparkContext.broadcast(tables)  # at most MAX_BITS bits each
 
-    def enumerate_(batches):
-        for row in _shards(batches):
-            words = pa.array(row["words"].split(" "), pa.string())
-            for size, ids, counts, _ in shard_phrases(row, shared.value, sizes[-1]):
-                if size in sizes and len(ids):
-                    n = len(ids)
-                    parts = [words.take(pa.array(ids[:, j] - 1)) for j in range(size)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(pa.scalar(row["lang"], pa.string()), n), pc.binary_join_element_wise(*parts, " "),
-                         pa.repeat(pa.scalar(size, pa.int32()), n), pa.array(counts, pa.int64())],
-                        names=["lang", "phrase", "size", "f"])
+    def counted(row):
+        words, heads = _words(row)
+        for size, ids, counts, _ in shard_phrases(row, shared.value, sizes[-1]):
+            if size in sizes and len(ids):
+                parts = [(words if j else heads).take(pa.array(ids[:, j] - 1)) for j in range(size)]
+                yield pc.binary_join_element_wise(*parts, " "), counts.astype(np.int64)
 
-    return (index.select("lang", "words", "hashes", "bwt", "rbwt")
-            .mapInArrow(enumerate_, "lang string, phrase string, size int, f long")
-            .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")))
+    return count_texts(index.select("lang", "words", "hashes", "bwt", "rbwt"), counted, min_count, buckets)
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_words: int = MAX_WORDS,
@@ -416,19 +566,16 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     """Tables (lang, phrase, f) of the phrases of 1, 2, .. ``max_words`` words that occur
     ``min_count`` times or more in their language, and (lang, n) with n all words."""
     index = materialise(index_shards(docs, lang_col, text_col, max_words, shard_words), "phrase-index", **_INDEX)
-    counted = F.explode(F.arrays_zip(F.split("words", " ").alias("word"), F.col("counts").alias("f"))).alias("x")
-    every = index.select("lang", counted).groupBy("lang", F.col("x.word").alias("phrase")).agg(F.sum("x.f").alias("f"))
     total = materialise(index.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
                         .groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    levels = [materialise(every.filter(F.col("f") >= min_count), "phrases-1")]
-    tables = [Frequent.of(hashes_of(levels[0]), levels[0].count())]
     buckets = max(1, (total.agg(F.sum("n")).first()[0] or 0) // BUCKET_HASHES + 1)
+    levels = [materialise(count_words(index, min_count, buckets), "phrases-1", **_ROW_BY_ROW)]
+    tables = [Frequent.of(hashes_of(levels[0]), levels[0].count())]
     for k in range(2, max_words + 1):
         often = materialise(frequent_hashes(index, tables, k, min_count, buckets), f"phrase-hashes-{k}", **_ROW_BY_ROW)
         tables.append(Frequent.of(often, often.count(), buckets))
         release(often)
-    found = materialise(count_phrases(index, tables, list(range(2, max_words + 1))).filter(F.col("f") >= min_count),
-                        "phrases", **_ROW_BY_ROW)
+    found = materialise(count_phrases(index, tables, list(range(2, max_words + 1)), min_count, buckets), "phrases", **_ROW_BY_ROW)
     levels += [found.filter(F.col("size") == k).select("lang", "phrase", "f") for k in range(2, max_words + 1)]
     release(index)
     return levels, total
@@ -480,28 +627,31 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_wo
              .withColumn("salt", F.when(F.col("part").contains(" "), 0)
                          .otherwise(F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))))
     parts = (asked.join(known.withColumnRenamed("phrase", "part"), ["lang", "part", "salt"])
-             .groupBy("lang", "phrase", "a", "cut")
-             .agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"),
-                  F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r")))
+             .select("lang", "phrase", "a", "cut", "side", "f"))
+    # The counts of candidates one word longer go to the phrases they extend, as sides 2 and 3.
+    inner = lambda start: F.array_join(F.slice("words", F.lit(start), F.col("size") - 1), " ")
+    longer = (found.filter(F.col("size") > 2)
+              .select("lang", "a", F.explode(F.array(F.struct(inner(2).alias("phrase"), F.lit(2).alias("side")),
+                                                     F.struct(inner(1).alias("phrase"), F.lit(3).alias("side")))).alias("x"))
+              .select("lang", "x.phrase", F.lit(None).cast("long").alias("a"), F.lit(0).alias("cut"), "x.side", F.col("a").alias("f")))
+    # One shuffle by phrase gathers all of these.
+    most_of = lambda cut, side: F.max(F.when((F.col("cut") == cut) & (F.col("side") == side), F.col("f")))
+    facts = parts.unionByName(longer).groupBy("lang", "phrase").agg(
+        F.max("a").alias("a"), *[most_of(k, side).alias(f"{name}{k}") for k in range(1, max_words) for side, name in enumerate("lr")],
+        most_of(0, 2).alias("left_most"), most_of(0, 3).alias("right_most"))
     # a * a * 1000000 and l * r pass 64 bits; no score is above 1000000.
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     part = F.lit(1000000).cast("decimal(7,0)") * (wide("a") * wide("a")).cast("decimal(31,0)")
-    product = (wide("l") * wide("r")).cast("decimal(38,0)")
-    scored = parts.withColumn("top_half", part.cast("decimal(38,0)")).withColumn("product", product)
-    scored = scored.withColumn("score", F.expr("top_half div product").cast("long"))
-    best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("x"))
+    facts = facts.withColumn("top_half", part.cast("decimal(38,0)"))
+    for k in range(1, max_words):
+        facts = facts.withColumn(f"product{k}", (wide(f"l{k}") * wide(f"r{k}")).cast("decimal(38,0)"))
+    scores = [F.when(F.col(f"l{k}").isNotNull(), F.struct(
+        F.expr(f"top_half div product{k}").cast("long").alias("score"), F.lit(k).alias("cut"),
+        F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, max_words)]
+    best = facts.select("lang", "phrase", "a", F.array_min(F.array(*scores)).alias("x"), "left_most", "right_most")
 
-    # The counts of candidates one word longer go to the phrases they extend.
-    inner = lambda start: F.array_join(F.slice("words", F.lit(start), F.col("size") - 1), " ")
-    longer = (found.filter(F.col("size") > 2)
-              .select("lang", "a", F.explode(F.array(F.struct(inner(2).alias("phrase"), F.lit(0).alias("side")),
-                                                     F.struct(inner(1).alias("phrase"), F.lit(1).alias("side")))).alias("x"))
-              .groupBy("lang", F.col("x.phrase").alias("phrase"))
-              .agg(F.max(F.when(F.col("x.side") == 0, F.col("a"))).alias("left_most"),
-                   F.max(F.when(F.col("x.side") == 1, F.col("a"))).alias("right_most")))
     most = F.greatest("left_most", "right_most")
-    kept = (best.join(longer, ["lang", "phrase"], "left")
-            .filter(most.isNull() | (100 * most < cover_percent * F.col("a"))))
+    kept = best.filter(most.isNull() | (100 * most < cover_percent * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = kept.select("lang", "phrase", "a", "x.*", "left_most", "right_most").withColumn("rank", F.row_number().over(order))
     if top is not None:

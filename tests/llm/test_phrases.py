@@ -135,3 +135,62 @@ def test_shards_are_read_one_by_one(spark, frame, monkeypatch):
     assert int(by["phrase-index"]["parquet__block__size"]) <= 16 << 20
     for name in ("phrase-hashes-2", "phrase-hashes-3", "phrases"):
         assert {int(v) for v in by[name].values()} == {1}
+
+
+def test_blocks_of_a_bucket_are_sorted_a_few_times(monkeypatch):
+    """However many blocks a bucket has, each hash is sorted a few times."""
+    rng = np.random.default_rng(5)
+    hashes = [rng.integers(0, 1 << 40, 200, dtype=np.uint64) for _ in range(3000)]
+    hashes[7], hashes[1234], hashes[2900] = (np.full(200, 77, dtype=np.uint64) for _ in range(3))
+    blocks = [P._packed(h, np.ones(len(h), dtype=np.int64), 1) for h in hashes]
+    work, add = [], P._summed
+
+    def noted(held):
+        work.append(sum(len(x) for x, _ in held))
+        return add(held)
+
+    monkeypatch.setattr(P, "_summed", noted)
+    got = [x for b in P.hash_sums(blocks, 200) for x in b.column("hash").to_pylist()]
+    assert got == [77]
+    assert sum(work) < 8 * sum(map(len, hashes))
+
+
+def test_text_blocks_sum_up(monkeypatch):
+    monkeypatch.setattr(P, "HELD_TEXTS", 50)
+    rng, want, blocks = random.Random(6), Counter(), []
+    for _ in range(30):
+        texts = [rng.choice(["en", "a\nb", ""]) + "\n" + " ".join(rng.choices(["é", "x" * 70, "the", "日本", "w"], k=rng.randrange(1, 4)))
+                 for _ in range(40)]
+        counts = np.array([rng.randrange(1, 1 << 33) for _ in texts])
+        for t, c in zip(texts, counts.tolist(), strict=True):
+            want[t] += c
+        blocks.append(P._packed_texts(*P._added([P.pa.array(texts)], [counts]), 3))
+    rows = sorted((r for b in blocks for r in b.to_pylist()), key=lambda r: r["bucket"])
+    least = sorted(want.values())[len(want) // 2]
+    got = [r for b in P.text_sums([P.pa.RecordBatch.from_pylist(rows, blocks[0].schema)], least) for r in b.to_pylist()]
+    assert {r["lang"] + "\n" + r["phrase"]: r["f"] for r in got} == {t: c for t, c in want.items() if c >= least}
+    assert len(got) == len({(r["lang"], r["phrase"]) for r in got}) and all(r["size"] == len(r["phrase"].split(" ")) for r in got)
+
+
+def test_word_hashes_of_any_length_and_place():
+    words = ["", "a", "b", "x" * 8, "x" * 9, "x" * 64, "x" * 65, "é日本", "y" * 5000, "z"]
+    together = P.word_hashes("en", words)
+    assert len(set(together.tolist())) == len(words)
+    assert [int(P.word_hashes("en", [w])[0]) for w in words] == together.tolist()
+    assert P.word_hashes("en", P.pa.array(["?", *words, "!"]).slice(1, len(words))).tolist() == together.tolist()
+    assert not set(P.word_hashes("fr", words).tolist()) & set(together.tolist())
+
+
+def test_counts_of_phrases_are_not_grouped_as_rows(spark, frame, monkeypatch):
+    """Counts reach their bucket in blocks, not as a row for each text of each shard."""
+    plans, write = {}, P.materialise
+
+    def noted(df, name, **settings):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, **settings)
+
+    monkeypatch.setattr(P, "materialise", noted)
+    found = P.mine(frame([(i, "a b c. d e f " * 4, "en", "s") for i in range(40)]), shard_words=50)
+    assert "Aggregate" not in plans["phrases-1"] + plans["phrases"]
+    # The cuts and the longer candidates of a phrase are gathered at once.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
